@@ -41,6 +41,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.near_dedup import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.exact_dedup import exact_dedup
 
