@@ -24,6 +24,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.chat_format import format_chats, trained_text
 
