@@ -30,6 +30,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.fingerprints import neighbours
+
+    return neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.chat_format import format_chats, trained_text
 
@@ -53,6 +59,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.exact_dedup import exact_dedup
 
