@@ -11,7 +11,7 @@ s2 as (select *, case (place - 1) % 3 when 0 then 5.0::double when 1 then 2.0::d
 s3 as (select *, 3 * source_size as lim, (3 * source_size) / weight as ratio from s2),
 s4 as (select *, (sum(source_size) over () - coalesce(sum(lim) over (order by ratio, place rows between unbounded preceding and 1 preceding), 0))::double
                  / sum(weight) over (order by ratio, place rows between current row and unbounded following) as lev from s3),
-s as (select *, least(lim::double, weight * min(case when lev <= ratio then lev end) over ()) as target from s4),
+s as (select *, least(lim::double, weight * max(case when lev <= ratio then lev end) over ()) as target from s4),
 c as (select d.doc_id, d.size, d.k, s.source_size, s.weight, s.target,
              sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows unbounded preceding) as cum
       from d join s on d.source is not distinct from s.source),

@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], passes: int) -> DataFr
     every = Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0))) / F.sum("weight").over(after)
     levels = ranked.withColumn("level", level)
-    return levels.withColumn("level", F.min(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(every)).select(
+    return levels.withColumn("level", F.max(F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.col("level"))).over(every)).select(
         "source", "source_size", "weight", "level", F.least(F.col("limit").cast("double"), F.col("weight") * F.col("level")).alias("target")
     )
 
