@@ -1,5 +1,58 @@
-"""A corpus pipeline."""
-STAGES = []
+"""A corpus pipeline of five stages. Each takes (spark, docs, sf_dir) and all but the last keep the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrove.llm.base import written
+from lexigrove.llm.exact_dedup import exact_dedup
+from lexigrove.llm.language_id import UNKNOWN, identify, train
+from lexigrove.llm.near_dedup import near_components
+from lexigrove.llm.packing import pack_documents
+from lexigrove.llm.source_mix import mix
+
+#: The least calibrated probability of a document's language.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those whose language is unsure, go."""
+    found = identify(docs, train(docs), pred="_lang_pred", score="_lang_score")
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return exact_dedup(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    gone = near_components(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mix(docs, keep=tuple(docs.columns)).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mixed), ("pack", packed)]
+#: Trained and sketched stages are not expressible in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.language_id import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = identify(docs.select("doc_id", "text"), train(docs))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.source_mix import mix
 
@@ -65,6 +73,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.llm.exact_dedup import exact_dedup
 
