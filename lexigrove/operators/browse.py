@@ -136,7 +136,8 @@ def clusters(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 20, s
 def top_terms(docs: DataFrame, group: str, text: str, n: int, words: int = 200, stop: tuple[str, ...] = ()) -> DataFrame:
     """(group, term, score, rank): tf × ln(N / df) over the first words of each document."""
     first = F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, words)
-    rows = docs.select(group, F.monotonically_increasing_id().alias("_d"), F.explode(first).alias("term")).where(~F.col("term").isin(*stop) if stop else F.lit(True))
+    numbered = docs.select(group, F.monotonically_increasing_id().alias("_d"), first.alias("_w"))
+    rows = numbered.select(group, "_d", F.explode("_w").alias("term")).where(~F.col("term").isin(*stop) if stop else F.lit(True))
     per = rows.groupBy(group, "_d", "term").agg(F.count(F.lit(1)).alias("c"))
     df = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.count()
