@@ -125,13 +125,20 @@ class Target:
         return 1 / (1 + np.exp(-np.clip(a * text + b + c * meta + d - self.prior, -30, 30)))
 
 
+def hash_of(number: int) -> int:
+    return (number * kernels.R) & (2**64 - 1)
+
+
 def co_train(rows: list[dict], label: str, weight: np.ndarray, rounds: int, confident: float) -> Target:
     """rows: labelled ones and the pool (label None), each with features f and m."""
     text = [(np.array(r["f"], np.int64), weight[np.array(r["f"], np.int64)]) for r in rows]
     meta = [(np.array(r["m"], np.int64), np.ones(len(r["m"]))) for r in rows]
     y = np.array([-1 if r[label] is None else int(r[label] > 0) for r in rows])
     known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    apart, fit = known[::5], known[np.arange(len(known)) % 5 != 0]
+    draw = kernels.mixed(np.array([hash_of(rows[i]["id"]) for i in known], np.uint64)) % np.uint64(5) == 0
+    apart, fit = known[draw], known[~draw]
+    if len(set(y[apart].tolist())) < 2:  # too few labels to keep some of both apart
+        apart, fit = known, known
     prior = float(np.log((y[known].sum() + 1) / (len(known) - y[known].sum() + 1)))
     own = {"text": {int(i): int(y[i]) for i in fit}, "meta": {int(i): int(y[i]) for i in fit}}
     sizes = {"text": DIMS, "meta": META}
@@ -140,7 +147,7 @@ def co_train(rows: list[dict], label: str, weight: np.ndarray, rounds: int, conf
     marks: dict[str, np.ndarray] = {}
     for step in range(rounds + 1):
         for view in ("text", "meta"):
-            w[view] = linear.ftrl([(*data[view][i], c) for i, c in sorted(own[view].items())], 2, sizes[view], epochs=3, alpha=0.2, l1=0.5, l2=0.5)
+            w[view] = linear.ftrl([(*data[view][i], c) for i, c in sorted(own[view].items())], 2, sizes[view], epochs=5, alpha=0.3, l1=0.1 * len(own[view]) ** 0.5, l2=0.5)
             odds = linear.logits([(*x, 0) for x in data[view]], w[view])
             marks[view] = odds[:, 1] - odds[:, 0] if len(odds) else np.empty(0)
         if step == rounds:
@@ -174,7 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, pool: int =
     rows = docs.join(F.broadcast(sample), "id").select("id", "quality", "toxic", "text", "n_chars", "source", "lang")  # bounded by per_label and pool
     found = rows.mapInArrow(_examples, "id bigint, quality int, toxic int, f array<int>, m array<int>").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], str(r["quality"]), str(r["toxic"]), len(r["f"])))
-    return weight, {t: co_train(found, t, weight, rounds, confident) for t in ("quality", "toxic")}
+    targets = {}
+    for at, name in enumerate(("quality", "toxic")):
+        targets[name] = co_train(found, name, weight, rounds, confident)
+        # The sample evens out the labels; scores are calibrated to how often they are given.
+        up = sum(n for pair, n in held.items() if pair[at])
+        down = sum(n for pair, n in held.items() if pair[at] is not None and not pair[at])
+        targets[name].prior -= float(np.log((up + 1) / (down + 1))) - targets[name].prior
+    return weight, targets
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
