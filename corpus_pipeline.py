@@ -12,8 +12,8 @@ from lexigrove.llm.near_dedup import near_components
 from lexigrove.llm.packing import pack_documents
 from lexigrove.llm.source_mix import mix
 
-#: The least calibrated probability of a document's language.
-LEAST_SCORE = 0.5
+#: The least calibrated probability of a language; very short texts of a clear language still have more.
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
