@@ -52,5 +52,28 @@ from d join g using (body)
 """
 
 
+def _op3() -> str:
+    from lexigrove.llm.license_scan import LOWER, NOTICES, PHRASES, UPPER
+
+    rows = []
+    for base, table in (("true", PHRASES), ("false", NOTICES)):
+        for text, label in table.items():
+            w = text.split()
+            rows += [f"('{text}', '{label}', {base}, {len(w) - 2}, {i}, '{w[i]}', '{w[i + 1]}', '{w[i + 2]}')" for i in range(len(w) - 2)]
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+g as (select doc_id, i - 1 as pos, ws[i] as a, ws[i + 1] as b, ws[i + 2] as c from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2)),
+t(template, label, base, need, place, a, b, c) as (values {", ".join(rows)}),
+d as (select doc_id, template, label, base, need, pos - place as diagonal, list(distinct place) as places from g join t using (a, b, c) group by all),
+n as (select *, case when diagonal - lag(diagonal) over o <= 2 and len(places) < need and coalesce(len(lag(places) over o) < need, true) then 0 else 1 end as begins from d window o as (partition by doc_id, template order by diagonal)),
+s as (select *, sum(begins) over (partition by doc_id, template order by diagonal) as span from n),
+x as (select doc_id, template, label, base, need, span, len(list_distinct(flatten(list(places))))::double / need as score, min(diagonal) as lo, max(len(places)) as best from s group by doc_id, template, label, base, need, span having score >= 0.6),
+f as (select doc_id, count(*) filter (base and best = need) as n_base, min(lo) filter (base and best = need) as first_word, max(lo) filter (base and best = need) as last_word,
+        string_agg(distinct label, ',' order by label) filter (base and best = need) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(score) as score from x group by doc_id)
+select w.doc_id, len(ws) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0::double) as score
+from w left join f using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": OP2, "op6_chat_format": OP6, "op10_exact_dedup": OP10}
+    return {"op3_license_scan": _op3(), "op2_source_mix": OP2, "op6_chat_format": OP6, "op10_exact_dedup": OP10}
