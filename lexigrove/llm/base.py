@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 BLANK = r"\x20\x09-\x0D"
 
 
+#: Makes Spark delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,12 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder. The lineage ends there, and a lost executor costs no earlier work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexigrove/{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    with tidy(spark):  # nothing reads this write's shuffles again
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lexigrove_path = path  # for drop()
     return back

@@ -16,7 +16,8 @@ and a marker tells the bucket of that first digit; so no bucket holds an unbound
 
 Defined results: null texts are empty; a window counts as repeated only if a document with a smaller id has it; rows of
 one id never match each other; rows with a null id lose nothing and are no source; texts shorter than ``depth`` stay.
-Other columns are not read. Digits are compared as 64-bit hashes of their bytes, at least 96 bits together.
+Other columns are not read. Digits are compared as hashes of their bytes: 32 and 48
+bits and those of the bucket for runs, 64 bits more for windows.
 """
 
 from __future__ import annotations
@@ -63,9 +64,11 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-RECORD = (np.uint64, np.uint64, np.int64, np.uint16, np.uint32, np.uint8)  # digit 1, digit 2, id, tag, first window, windows
-REPLY = (np.int64, np.uint16, np.uint32, np.uint8, np.uint8, np.uint64)  # id, tag, first window, windows, kind, digit 1
-RUN = (np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint8)  # digit 1, id, tag, first window, windows, bytes
+# Digit 1 travels as 32 bits beside those that the bucket holds, digit 2 as 32 and 16. A tag tells texts of one id apart:
+# 16 bits of digit 2 in first replies, of the whole text in last ones.
+RECORD = (np.uint32, np.uint32, np.uint16, np.int64, np.uint32, np.uint8)  # digit 1, digit 2, id less the one before, first window, windows
+REPLY = (np.int64, np.uint16, np.uint32, np.uint8, np.uint8, np.uint32)  # id, tag, first window, windows, kind, digit 1
+RUN = (np.uint32, np.int64, np.uint16, np.uint32, np.uint8, np.uint8)  # digit 1, id, tag, first window, windows, bytes
 WINDOW = (np.uint64, np.int64, np.uint16, np.uint32)  # digits, id, tag, window
 
 
@@ -126,7 +129,7 @@ def _of_id(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _of_digit(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> U(20)) % U(n)).astype(np.int64)
+    return ((h >> U(32)) % U(n)).astype(np.int64)
 
 
 def _dealt(bucket: np.ndarray, kind: int, arrays: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int, bytes]]:
@@ -174,13 +177,14 @@ def scanned(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
     """First pass, over (id, text): kind 0 are records by radix bucket, kind 1 are replies that need no other task."""
 
     def flushed(held: list) -> Iterator[tuple[int, int, bytes]]:
-        d1, d2, ids, tag, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        d1, d2, ids, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((ids, d2, d1))
-        d1, d2, ids, tag, lo, n = (x[order] for x in (d1, d2, ids, tag, lo, n))
+        d1, d2, ids, lo, n = (x[order] for x in (d1, d2, ids, lo, n))
+        tag = (d2 >> U(32)).astype(np.uint16)
         heads = _heads(d1, d2)
         dup = ids > _spread(ids[heads], heads, len(ids))
         zero = np.zeros(int(dup.sum()), np.uint8)
-        yield from _dealt(_of_id(ids[dup], buckets), 1, (ids[dup], tag[dup], lo[dup], n[dup], zero, zero.astype(U)))
+        yield from _dealt(_of_id(ids[dup], buckets), 1, (ids[dup], tag[dup], lo[dup], n[dup], zero, zero.astype(np.uint32)))
         tops = _heads(d1)
         many = np.add.reduceat(np.isin(np.arange(len(d1)), heads, assume_unique=True).astype(np.int64), tops) > HOT
         hot = _spread(many, tops, len(d1))
@@ -190,9 +194,16 @@ def scanned(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
         n = np.where(hot, n | np.uint8(128), n).astype(np.uint8)
         bucket = np.where(hot, _of_digit(d2, buckets), _of_digit(d1, buckets))
         none = np.zeros(len(first), np.uint8)
-        d1_, d2_ = np.concatenate([d1[keep], d1[first]]), np.concatenate([d2[keep], none.astype(U)])
-        rest = (np.concatenate([ids[keep], least]), np.concatenate([tag[keep], none.astype(np.uint16)]), np.concatenate([lo[keep], none.astype(np.uint32)]), np.concatenate([n[keep], none]))
-        yield from _dealt(np.concatenate([bucket[keep], _of_digit(d1[first], buckets)]), 0, (d1_, d2_, *rest))
+        bucket = np.concatenate([bucket[keep], _of_digit(d1[first], buckets)])
+        ids, lo, n = np.concatenate([ids[keep], least]), np.concatenate([lo[keep], none.astype(np.uint32)]), np.concatenate([n[keep], none])
+        d1, d2 = np.concatenate([d1[keep], d1[first]]), np.concatenate([d2[keep], none.astype(U)])
+        order = np.lexsort((lo, ids, bucket))  # ids ascend in a bucket, so the steps between them are small
+        bucket, ids, lo, n, d1, d2 = (x[order] for x in (bucket, ids, lo, n, d1, d2))
+        edges = _heads(bucket)
+        step = np.diff(ids, prepend=0)
+        step[edges] = ids[edges]
+        for a, b in zip(edges, np.append(edges[1:], len(ids)), strict=True):
+            yield int(bucket[a]), 0, pack(d1[a:b].astype(np.uint32), d2[a:b].astype(np.uint32), (d2[a:b] >> U(32)).astype(np.uint16), step[a:b], lo[a:b], n[a:b])
 
     def every() -> Iterator[tuple[int, int, bytes]]:
         held, size = [], 0
@@ -201,13 +212,12 @@ def scanned(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
             for i, j in kernels.slices(texts):
                 raw, at = kernels.bytes_of(texts.slice(i, j - i))
                 ids = all_ids[i:j]
-                tags = np.array([_tag(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint16)
                 for a in range(0, max(len(raw), 1), PART) if j - i == 1 else (0,):
                     part, edges = (raw[a : a + PART + depth - 1], None) if j - i == 1 else (raw, at)
                     d1, d2, row, lo, n = runs(part, np.array([0, len(part)]) if edges is None else edges, depth)
                     good = ids[row] != NO_ID
                     d1, d2, row, lo, n = (x[good] for x in (d1, d2, row, lo, n))
-                    held.append((d1, d2, ids[row], tags[row], (lo + a - (at[row] if edges is not None else 0)).astype(np.uint32), n.astype(np.uint8)))
+                    held.append((d1, d2, ids[row], (lo + a - (at[row] if edges is not None else 0)).astype(np.uint32), n.astype(np.uint8)))
                     size += len(d1)
                     if size > FLUSH:
                         yield from flushed(held)
@@ -222,7 +232,10 @@ def ordered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     """Second pass, over records sorted by bucket: replies by bucket of the id."""
 
     def answer(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        d1, d2, ids, tag, lo, n = (np.concatenate(x) for x in zip(*(unpack(b, *RECORD) for b in blobs), strict=True))
+        parts = [unpack(b, *RECORD) for b in blobs]
+        ids = np.concatenate([np.cumsum(p[3]) for p in parts])
+        d1, low, tag, _, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d2 = low.astype(U) | tag.astype(U) << U(32)
         order = np.lexsort((ids, d2, d1, n > 128))
         d1, d2, ids, tag, lo, n = (x[order] for x in (d1, d2, ids, tag, lo, n))
         hot, marker = n > 128, n == 0
@@ -235,7 +248,7 @@ def ordered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         more = _spread(marked | (shared & (seconds > 1)), tops, len(d1)) | hot
         kind = np.where(dup, DUP, np.where(_spread(marked, tops, len(d1)) | hot, BY_WINDOW, BY_RUN)).astype(np.uint8)
         say = (dup | more) & ~marker
-        yield from _dealt(_of_id(ids[say], buckets), 0, (ids[say], tag[say], lo[say], n[say] & np.uint8(127), kind[say], np.where(kind == BY_RUN, d1, U(0))[say]))
+        yield from _dealt(_of_id(ids[say], buckets), 0, (ids[say], tag[say], lo[say], n[say] & np.uint8(127), kind[say], np.where(kind == BY_RUN, d1, np.uint32(0))[say]))
 
     def every() -> Iterator[tuple[int, int, bytes]]:
         now, held = None, []
@@ -339,7 +352,7 @@ def settled(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, last: b
             d1, ids, tag, lo, n = (np.concatenate([np.atleast_1d(r[k]) for r in runs_held]) for k in range(5))
             data = [r[5] for r in runs_held]
             flat = [x for d in data for x in d]
-            bucket = _of_digit(d1, buckets)
+            bucket = _of_id(d1, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = _heads(bucket[order])
             for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
@@ -353,7 +366,7 @@ def settled(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, last: b
             heads = _heads(h)
             dup = ids > _spread(ids[heads], heads, len(ids))
             one = np.ones(int(dup.sum()), np.uint8)
-            for b, _, blob in _dealt(_of_id(ids[dup], buckets), 0, (ids[dup], tag[dup], p[dup], one, one * 0, one.astype(U))):
+            for b, _, blob in _dealt(_of_id(ids[dup], buckets), 0, (ids[dup], tag[dup], p[dup], one, one * 0, one.astype(np.uint32))):
                 out.add(4, b, blob)
             for b, _, blob in _dealt(_of_digit(h[~dup], buckets), 0, (h[~dup], ids[~dup], tag[~dup], p[~dup])):
                 out.add(2, b, blob)
@@ -383,10 +396,16 @@ def settled(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, last: b
             text = data[ends[r] - sizes[r] : ends[r]].tobytes()
             a, b = left[r], right[r]
             lo, n, kinds, d1 = merged[2][a:b], merged[3][a:b], merged[4][a:b], merged[5][a:b]
-            tag = 0
+            tag, rolling = 0, None
             if b > a:
                 tag = _tag(text)
-                mine = merged[1][a:b] == tag
+                if last:
+                    mine = merged[1][a:b] == tag
+                else:
+                    rolling = Rolling(np.frombuffer(text, np.uint8))
+                    end = lo.astype(np.int64) + n + depth - 1
+                    mine = end <= len(text)
+                    mine[mine] = (rolling.of(lo[mine].astype(np.int64), end[mine]) >> U(32)).astype(np.uint16) == merged[1][a:b][mine]
                 if not mine.all():
                     lo, n, kinds, d1 = lo[mine], n[mine], kinds[mine], d1[mine]
             done = kinds == DUP
@@ -402,7 +421,6 @@ def settled(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, last: b
                 runs_held.append((d1[x], ids[r], np.uint16(tag), lo[x], n[x], [text[s : s + int(n[x]) + depth - 1]]))
                 open_bytes += int(n[x]) + depth
             if (kinds == BY_WINDOW).any():
-                rolling = Rolling(np.frombuffer(text, np.uint8))
                 w = kinds == BY_WINDOW
                 p = np.repeat(lo[w].astype(np.int64), n[w]) + np.arange(int(n[w].sum())) - np.repeat(np.cumsum(n[w].astype(np.int64)) - n[w], n[w])
                 windows_held.append((rolling.of(p, p + depth), np.full(len(p), ids[r]), np.full(len(p), tag, np.uint16), p.astype(np.uint32)))
@@ -429,7 +447,7 @@ def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
         run = np.repeat(np.arange(len(n)), count)
         step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
         p = begin[run] + step
-        h = kernels.mixed(Rolling(data).of(p, p + depth) + d1[run] * U(kernels.R))
+        h = kernels.mixed(Rolling(data).of(p, p + depth) + d1[run].astype(U) * U(kernels.R))
         order = np.lexsort((ids[run], h))
         heads = _heads(h[order])
         owner = ids[run][order]
@@ -442,7 +460,7 @@ def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
         length = np.diff(np.append(b, len(at))).astype(np.uint8)
         at = at[b]
         r = run[at]
-        yield from _dealt(_of_id(ids[r], buckets), 0, (ids[r], tag[r], (lo[r] + step[at]).astype(np.uint32), length, length * 0, length.astype(U)))
+        yield from _dealt(_of_id(ids[r], buckets), 0, (ids[r], tag[r], (lo[r] + step[at]).astype(np.uint32), length, length * 0, length.astype(np.uint32)))
 
     def by_window(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         h, ids, tag, p = (np.concatenate(x) for x in zip(*(unpack(b, *WINDOW) for b in blobs), strict=True))
@@ -451,7 +469,7 @@ def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
         heads = _heads(h)
         dup = ids > _spread(ids[heads], heads, len(ids))
         one = np.ones(int(dup.sum()), np.uint8)
-        yield from _dealt(_of_id(ids[dup], buckets), 0, (ids[dup], tag[dup], p[dup], one, one * 0, one.astype(U)))
+        yield from _dealt(_of_id(ids[dup], buckets), 0, (ids[dup], tag[dup], p[dup], one, one * 0, one.astype(np.uint32)))
 
     def every() -> Iterator[tuple[int, int, bytes]]:
         now, held = None, []
@@ -477,9 +495,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    replies = dealt(texts.mapInArrow(lambda x: scanned(x, depth, buckets), ROW)).mapInArrow(lambda x: ordered(x, buckets), ROW)
+    replies = written(dealt(texts.mapInArrow(lambda x: scanned(x, depth, buckets), ROW)).mapInArrow(lambda x: ordered(x, buckets), ROW))
     bodies = texts.mapInArrow(lambda x: packed_texts(x, buckets), ROW)
     first = written(dealt(replies.unionByName(bodies)).mapInArrow(lambda x: settled(x, depth, buckets, False), FINAL), "kind")
+    drop(replies)
     rows = first.select("bucket", "kind", "blob")
     deep = dealt(rows.where("kind in (1, 2, 4)")).mapInArrow(lambda x: deepest(x, depth, buckets), ROW)
     waiting = rows.where("kind = 3").select("bucket", F.lit(1).alias("kind"), "blob")
