@@ -19,6 +19,7 @@ since the tokenizer drops white space and joins nothing across it.
 from __future__ import annotations
 
 import bisect
+import itertools
 import struct
 import sys
 import types
@@ -134,18 +135,17 @@ def reduce_dominated(count: dict[int, int], capacity: int) -> tuple[list[tuple[i
             while left.get(big):
                 pair = capacity - big
                 if pair in left and (pair != big or left[big] > 1):
-                    take(left[big] // 2 if pair == big else min(left[big], left[pair]), big, *([pair] if pair else []))
+                    take(left[big] // 2 if pair == big else min(left[big], left[pair]), big, pair)
                     changed = True
                     continue
                 if big == capacity:
                     take(left[big], big)
                     changed = True
                     continue
-                have = [x for x in (sizes[0], *sizes[1:]) if left.get(x, 0) > (x == big)][:2]
+                others = (x for x in sizes if left.get(x, 0) > (x == big))
+                have = list(itertools.islice(others, 2))
                 if not have or big + have[0] > capacity:
-                    take(left[big], big) if not have or have[0] + big > capacity and 2 * big > capacity or len(left) == 1 and 2 * big > capacity else None
-                    if left.get(big):
-                        break
+                    take(left[big], big)
                     changed = True
                     continue
                 second = have[0] if left[have[0]] - (have[0] == big) > 1 else have[1] if len(have) > 1 else None
