@@ -185,18 +185,24 @@ def summary(text: Column, most: int = 300) -> Column:
 def word_diff(a: str, b: str) -> dict:
     """Segments (op, text) over words and the white space between, and counts of words."""
     x, y = re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)
-    segments, added, removed = [], 0, 0
+    added = removed = 0
     words = lambda part: sum(not w.isspace() for w in part)
-    for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+    least = min(len(x), len(y))
+    head = next((i for i in range(least) if x[i] != y[i]), least)
+    tail = next((i for i in range(least - head) if x[-1 - i] != y[-1 - i]), least - head)
+    p, q = x[head : len(x) - tail], y[head : len(y) - tail]
+    segments = [("equal", "".join(x[:head]))] * bool(head)
+    for op, i, j, k, m in difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes():
         if op == "equal":
-            segments.append(("equal", "".join(x[i:j])))
+            segments.append(("equal", "".join(p[i:j])))
             continue
         if j > i:
-            segments.append(("removed", "".join(x[i:j])))
-            removed += words(x[i:j])
+            segments.append(("removed", "".join(p[i:j])))
+            removed += words(p[i:j])
         if m > k:
-            segments.append(("added", "".join(y[k:m])))
-            added += words(y[k:m])
+            segments.append(("added", "".join(q[k:m])))
+            added += words(q[k:m])
+    segments += [("equal", "".join(x[len(x) - tail :]))] * bool(tail)
     return {"segments": segments, "added": added, "removed": removed, "ratio": (added + removed) / max(words(x) + words(y), 1)}
 
 

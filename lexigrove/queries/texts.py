@@ -55,8 +55,8 @@ def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f8_change_ratio")
 def change_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edited = F.concat(F.substring("text", 1, 40), F.lit(" new words "), F.substring("text", 61, 400))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.change_ratio(F.substring("text", 1, 460), edited), 6).alias("ratio"))
+    edited = F.concat(F.substring("text", 1, 40), F.lit(" new words "), F.substr("text", F.lit(61)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.change_ratio(F.col("text"), edited), 6).alias("ratio"))
 
 
 @query("f9_fold", f"select doc_id, md5({FOLD_SQL.format('text')}) as digest from documents")
