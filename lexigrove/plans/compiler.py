@@ -95,8 +95,8 @@ class Compiler:
         first = sequence[0][0]
         out = self._places(f, sequence[0][1])
         for place, term in sequence[1:]:
-            later = self._places(f, term)
-            out = F.filter(out, lambda p: F.array_contains(later, p + (place - first)))  # noqa: B023  used at once
+            back = place - first
+            out = F.array_intersect(out, F.transform(self._places(f, term), lambda p: p - back))  # noqa: B023  used at once
         return out
 
     def _sequence(self, f: str, sequence: tuple[tuple[int, str], ...]) -> tuple[Column, Column]:
@@ -173,7 +173,16 @@ class Compiler:
 
     @staticmethod
     def _before(left: Column, right: Column, distance: int) -> Column:
-        return F.exists(left, lambda x: F.exists(right, lambda y: (y["s"] > x["e"]) & (y["s"] - x["e"] - 1 <= distance)))
+        """Whether some right span begins behind a left one with at most distance words between, in one walk over both."""
+        ends = F.transform(left, lambda x: F.struct(x["e"].alias("p"), F.lit(1).alias("k")))
+        starts = F.transform(right, lambda y: F.struct(y["s"].alias("p"), F.lit(0).alias("k")))  # before an end at the same place
+        none = F.struct(F.lit(-1).alias("end"), F.lit(False).alias("hit"))
+
+        def step(state: Column, x: Column) -> Column:
+            near = (x["k"] == 0) & (state["end"] >= 0) & (x["p"] - state["end"] - 1 <= distance)
+            return F.struct(F.when(x["k"] == 1, x["p"]).otherwise(state["end"]).alias("end"), (state["hit"] | near).alias("hit"))
+
+        return F.aggregate(F.array_sort(F.concat(ends, starts)), none, step)["hit"]
 
 
 def search(docs: DataFrame, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
