@@ -9,7 +9,8 @@ similarity 0.75 with probability 2e-6, and closer pairs far less often.
 Equal sets become one class first. Candidates are then confirmed on full sets, but no bucket is expanded into all
 pairs: every class is compared with the leader that it shares most bands with, confirmed classes are united, and only
 buckets that still hold more than one component are gone through again, with four times as many leaders a round, until
-each is of one component or all its members have led. So large groups of near copies cost a few comparisons for each
+each is of one component or all its members have led. Pairs that their sizes and the shingles they share with anyone
+rule out are never made. So large groups of near copies cost a few comparisons for each
 copy, and no link that a bucket could show between two components is lost.
 
 Defined results: null and word-less texts have an empty set and are linked with nothing; fewer than five words are one
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernels
@@ -31,6 +32,8 @@ from lexigrove.llm.components import components
 
 #: Pairs whose list may be broadcast to the scan of the texts (about 40 bytes each); longer lists are joined.
 BROADCAST_ROWS = 200_000
+#: Classes of shingles, by their last bits, for bounds on what two sets have in common.
+CLASSES = 64
 #: Members of a group that one task compares with the leader.
 PER_SALT = 256
 
@@ -105,6 +108,49 @@ def compared(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(shingle, id) of every text's set."""
+    hasher = kernels.WordHasher()
+    for batch in batches:
+        for i, j in kernels.slices(batch.column(1)):
+            raw, at = kernels.bytes_of(batch.column(1).slice(i, j - i))
+            sets = kernels.shingles(*hasher.words(raw, at), j - i, k)
+            own = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(own)], ["shingle", "id"])
+
+
+def tallied(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(rep, all: the set's shingles by class)."""
+    hasher = kernels.WordHasher()
+    for batch in batches:
+        for i, j in kernels.slices(batch.column(1)):
+            raw, at = kernels.bytes_of(batch.column(1).slice(i, j - i))
+            sets = kernels.shingles(*hasher.words(raw, at), j - i, k)
+            counts = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.list_(pa.int32()))], ["rep", "all"])
+
+
+def with_common(docs: DataFrame, held: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+    """held (key, rep, n) with ``common``: by classes of shingles, how many of a set's any other set in held has too.
+
+    Two sets have no more in common than the sum of the smaller counts of each class. That rules most pairs out before
+    they are made, and never one that is alike: in a group of edited copies, whoever is not near the copies' origin has
+    too many shingles of its own, or has lost others than its like.
+    """
+    reps = written(held.select(F.col("rep").alias("id")).distinct().join(repeated, "id", "left_anti"))
+    few = reps.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(reps) if few else reps, "id").select("id", "text")
+    every = written(held.select(F.col("rep").alias("id")).distinct()) if repeated.head(1) else reps
+    known = docs.join(F.broadcast(every) if few else every, "id").select("id", "text")
+    alone = known.mapInArrow(lambda x: listed(x, k), "shingle bigint, id bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
+    alone = alone.groupBy("rep", F.col("shingle").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("class")).agg(F.count(F.lit(1)).cast("int").alias("c"))
+    alone = alone.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("alone"))
+    totals = texts.mapInArrow(lambda x: tallied(x, k), "rep bigint, all array<int>")
+    common = F.when(F.col("alone").isNull(), F.col("all")).otherwise(F.transform("all", lambda n, i: n - F.coalesce(F.element_at("alone", i), F.lit(0))))
+    counted = written(totals.join(alone, "rep", "left").select("rep", common.alias("common")))
+    return held.join(counted, "rep", "left").select("key", "rep", "n", "common")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of a written table that are alike on full sets. docs: (id, text)."""
     groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
@@ -144,22 +190,33 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = firsts.select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id", "n"]).select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     held = written(keyed.join(shared, "key").select("key", "lead", "rep", "n"))
-    alike = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))  # noqa: E731  sizes that allow the similarity
+
+    def possible(x: str, y: str) -> Column:
+        """Whether sizes and common shingles allow the similarity. Ids that stand for several texts have no bound."""
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        most = F.aggregate(F.zip_with(f"{x}.common", f"{y}.common", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & F.coalesce((100 + percent) * most >= percent * (nx + ny), F.lit(True))
+
     votes = held.where("lead < rep").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("votes"))
     pairs = written(votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("a")).select("a", F.col("rep").alias("b")))
     tried = pairs
     labels = _united(None, confirmed(texts, pairs, k, percent))
-    share = 16
+    share, counted = 16, False
+    repeated = signed.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
     while True:
-        live = _labelled(held.select("key", "rep", "n", F.col("rep").alias("comp")), labels, "comp")
+        live = _labelled(held.select("*", F.col("rep").alias("comp")).drop("lead"), labels, "comp")
         mixed = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("key", "members")
         left = written(live.join(mixed, "key"))
         if not left.head(1):
             break
+        if not counted:
+            counted = True
+            held = written(with_common(texts, left.select("key", "rep", "n"), repeated, k))
+            continue
         step = F.greatest(F.floor(F.col("members") / share), F.lit(1))
         leads = left.where(F.pmod(F.xxhash64("rep", "key"), step) == 0)
         x, y = leads.alias("x"), left.alias("y")
-        new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & alike(F.col("x.n"), F.col("y.n")))
+        new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
         new = new.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"))
         if new.head(1):
@@ -168,7 +225,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not left.where(F.col("members") >= 2 * share).head(1):
             break
         drop(held)
-        held, share = left.select("key", "rep", "n"), share * 4
+        held, share = left.select("key", "rep", "n", "common"), share * 4
     known = _labelled(classes.select("d1", "d2", F.col("rep").alias("comp")), labels, "comp")
     out = signed.select("id", "n_shingles", "d1", "d2").join(known, ["d1", "d2"], "left")
     first = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
