@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernels
-from lexigrove.llm.base import shuffle_partitions, text_or_empty
+from lexigrove.llm.base import shuffle_partitions, text_or_empty, tidy
 from lexigrove.llm.substring_dedup import _heads, _rows, pack, unpack
 
 U = np.uint64
@@ -68,7 +68,8 @@ def lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> np.ndarr
     texts = docs.select(text_or_empty(text_col).alias("text"))
     n = docs.count()
     terms = texts.mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    band = terms.where((F.col("n") >= max(1, low * n)) & (F.col("n") <= high * n)).select("term").toArrow()  # bounded by low
+    with tidy(docs.sparkSession):
+        band = terms.where((F.col("n") >= max(1, low * n)) & (F.col("n") <= high * n)).select("term").toArrow()  # bounded by low
     return np.sort(band.column(0).to_numpy().view(U))
 
 
