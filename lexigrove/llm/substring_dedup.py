@@ -492,7 +492,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs."""
     if depth < 2 * DIGIT or depth > 100:
         raise ValueError(f"depth must be from {2 * DIGIT} to 100")
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession) * 3 // 2  # few, so that packed rows stay large
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
     replies = written(dealt(texts.mapInArrow(lambda x: scanned(x, depth, buckets), ROW)).mapInArrow(lambda x: ordered(x, buckets), ROW))
