@@ -35,7 +35,7 @@ from lexigrove.llm import kernels
 from lexigrove.llm.base import text_or_empty, written
 
 #: Entries of a worker's caches of encoded chunks and words.
-CACHE = 500_000
+CACHE = 200_000
 #: What the tokenizer's pre-tokenizer splits by (a fixed value of the vocabulary file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
