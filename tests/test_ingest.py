@@ -57,3 +57,34 @@ def test_index_recall(spark):
     exact = {x.id for x in nearest(rows.where("id = 8"), rows, 10).collect()} | {8}
     found = {x.id for x in index.search(rows.where("id = 8").first()["vector"], 11, probes=2).select(F.col("id")).collect()}
     assert len(exact & found) >= 10
+
+
+def test_index_recall_without_clusters(spark):
+    """Defaults, on vectors of no kind, where a neighbour may be in any list."""
+    import random
+
+    from lexigrove.operators.ranking import nearest
+
+    r = random.Random(5)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(32)]) for i in range(1500)], "id bigint, vector array<double>").localCheckpoint()
+    index, some = I.VectorIndex(rows), rows.where("id % 20 = 0")
+    exact = {(x.query_id, x.id): x.score for x in nearest(some, rows, 10).collect()}
+    found = {(x.query_id, x.id): x.score for x in index.search_all(some, 10).collect()}
+    assert len(found) == 750 and len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(found[x] == exact[x] for x in exact.keys() & found.keys())
+    assert {(x.query_id, x.id): x.score for x in index.search_all(some, 10, probes=index.lists).collect()} == exact
+    alone = [({x.id for x in index.search(q.vector, 11).collect()} - {q.id}, {i for j, i in exact if j == q.id}) for q in some.limit(8).collect()]
+    assert sum(len(a & b) for a, b in alone) >= 0.85 * 80  # few queries
+
+
+def test_index_query(spark):
+    """All queries of the registered query, against the exact ones."""
+    import os
+
+    from lexigrove import catalog
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    exact, found = ({(x.query_id, x.id) for x in catalog.queries()[q](spark, data).collect()} for q in ("r3_vector_batch", "r5_vector_index"))
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
