@@ -66,16 +66,22 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f11_passage_matches", "select b.item_id, d.doc_id, position(trim(b.text) in d.text) - 1 as start from benchmark b join documents d on contains(d.text, trim(b.text))")
 def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact stage over the corpus: passages and documents meet on the passage's first three words, then are compared."""
+    """The exact stage over the corpus: passages and documents meet on three inner words of the passage, then are compared.
+
+    The second to the fourth word are whole in every document that holds a passage of five words or more. Shorter
+    passages have no such words and are looked for in every document.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("passage"))
     items = items.withColumn("_w", words("passage")).withColumn("_g", gram(F.col("_w"), F.lit(1)))
     docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("_w"))
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 3, F.lit(0))), lambda i: gram(F.col("_w"), i)))).alias("_g"))
-    met = grams.join(items.select("item_id", "passage", "_g"), "_g").select("doc_id", "item_id", "passage")
+    met = grams.join(items.where(F.size("_w") >= 5).select("item_id", "passage", "_g"), "_g").select("doc_id", "item_id", "passage")
     at = F.instr("text", F.col("passage"))
-    return table(spark, sf_dir, "documents").join(met, "doc_id").where(at > 0).select("item_id", "doc_id", (at - 1).alias("start"))
+    texts, short = table(spark, sf_dir, "documents").select("doc_id", "text"), items.where(F.size("_w") < 5).select("item_id", "passage")
+    every = texts.join(met, "doc_id").where(at > 0).unionByName(texts.join(short, at > 0))
+    return every.select("item_id", "doc_id", (at - 1).alias("start"))
 
 
 @query("f13_entity_tags", "with t as (select user_id, event_type as prefix, lower(event_type || (event_id % 9)) as txt, value as score from events where value >= 5), d as (select user_id, prefix, txt, max(score) as score from t group by all), r as (select *, row_number() over (partition by user_id order by score desc, prefix, txt) as n from d) select user_id, list(prefix || ':' || txt order by n) as tags from r where n <= 6 group by user_id")

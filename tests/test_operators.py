@@ -191,3 +191,20 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
     last = spark.read.parquet(f"{tmp_path}/table/v1").collect()
     assert sorted((r.key, r.ts.second) for r in last) == [("a", 11), ("b", 1)]
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    import duckdb
+
+    from lexigrove import catalog
+
+    passages = ["alpha", "alpha beta", "alpha beta gam", "alpha beta gamma del", "lpha beta gamma delta eps", " beta gamma ", "--", "none of this"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["x alpha beta gamma delta epsilon y", "alpha beta", "Alpha Beta gamma", "a -- b", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["f11_passage_matches"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["f11_passage_matches"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 9
