@@ -187,7 +187,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(texts.mapInArrow(lambda x: signatures(x, permutations, rows, k), kinds))
     classes = written(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
     firsts = signed.where("n_shingles > 0 and id is not null").join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
-    keyed = firsts.select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id", "n"]).select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+    keyed = firsts.dropDuplicates(["id", "d1", "d2"]).select("id", F.col("n_shingles").alias("n"), "bands").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
     held = written(keyed.join(shared, "key").select("key", "lead", "rep", "n"))
 

@@ -142,6 +142,16 @@ def test_near_components_of_a_large_group(spark):
     assert got == _components(rows)
 
 
+def test_near_components_of_an_id_with_two_texts(spark):
+    """Both texts of id 1 have as many shingles and lead a class of their own; each links its near copy."""
+    from lexigrove.llm.near_dedup import near_components
+
+    one, two = words(120, 31), words(120, 32)
+    rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail")]
+    got = near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
 def _removed(rows, depth=50):
     seen, out = set(), []
     for i in sorted({r[0] for r in rows}):
