@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.base import written
+from lexigrove.llm.base import same, written
 from lexigrove.llm.exact_dedup import exact_dedup
 from lexigrove.llm.language_id import UNKNOWN, identify, train
 from lexigrove.llm.near_dedup import near_components
@@ -29,8 +29,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays."""
-    gone = near_components(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    marked = docs.withColumn("_text", F.sha2("text", 256))  # with the id, null or repeated, it tells what was decided on a row
+    gone = near_components(marked, mark="_text").where("not kept").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_gone_text"))
+    return marked.join(gone, same(F.col("doc_id"), F.col("_gone")) & (F.col("_text") == F.col("_gone_text")), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

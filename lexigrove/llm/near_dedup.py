@@ -39,7 +39,7 @@ PER_SALT = 256
 
 
 def signatures(batches: Iterator[pa.RecordBatch], permutations: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(id, n_shingles, d1, d2: a digest of the set, bands)."""
+    """Over (id, text, row): (id, n_shingles, d1, d2: a digest of the set, bands, row)."""
     import xxhash
 
     rng = np.random.default_rng(2024)
@@ -77,7 +77,7 @@ def signatures(batches: Iterator[pa.RecordBatch], permutations: int, rows: int,
             lens = np.where(full, n_bands, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(keys[full].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), bands], ["id", "n_shingles", "d1", "d2", "bands"]
+                [ids.slice(i, j - i), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), bands, batch.column(2).slice(i, j - i)], ["id", "n_shingles", "d1", "d2", "bands", "row"]
             )
 
 
@@ -180,11 +180,12 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return rows.join(labels.select(F.col("rep").alias(column), F.col("comp").alias("_c")), column, "left").withColumn(column, F.coalesce("_c", column)).drop("_c")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permutations: int = 120, rows: int = 5, k: int = 5, percent: int = 75) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept), a row for each row of docs."""
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kinds = "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
-    signed = written(texts.mapInArrow(lambda x: signatures(x, permutations, rows, k), kinds))
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permutations: int = 120, rows: int = 5, k: int = 5, percent: int = 75, mark: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept), a row for each row of docs; with mark, a string column of docs, that too."""
+    rowed = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), (F.col(mark) if mark else F.lit(None)).cast("string").alias("row"))
+    texts = rowed.select("id", "text")
+    kinds = "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, row string"
+    signed = written(rowed.mapInArrow(lambda x: signatures(x, permutations, rows, k), kinds))
     classes = written(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
     firsts = signed.where("n_shingles > 0 and id is not null").join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
     keyed = firsts.dropDuplicates(["id", "d1", "d2"]).select("id", F.col("n_shingles").alias("n"), "bands").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
@@ -227,6 +228,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop(held)
         held, share = left.select("key", "rep", "n", "common"), share * 4
     known = _labelled(classes.select("d1", "d2", F.col("rep").alias("comp")), labels, "comp")
-    out = signed.select("id", "n_shingles", "d1", "d2").join(known, ["d1", "d2"], "left")
+    out = signed.select("id", "n_shingles", "d1", "d2", "row").join(known, ["d1", "d2"], "left")
     first = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", first.alias("component_id"), same(F.col("id"), first).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", first.alias("component_id"), same(F.col("id"), first).alias("kept"), *([F.col("row").alias(mark)] if mark else []))

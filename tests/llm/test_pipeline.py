@@ -30,3 +30,13 @@ def test_stages(spark, tmp_path):
     assert set(kept["near"]) == {i for i, x in _components([(i, lettered[i]) for i in set(kept["exact"])]).items() if x[2]}
     assert set(kept["mix"]) <= set(kept["near"]) and max(map(kept["mix"].count, kept["mix"])) <= 3 * max(map(kept["near"].count, kept["near"]))
     assert set(kept["pack"]) == set(kept["mix"])
+
+
+def test_near_stage_takes_away_rows_without_an_id(spark):
+    """Of rows without an id only those go that the operator does not keep; texts differ by case only."""
+    from tests.llm.fixtures import words
+
+    one, two = words(60, 41), words(60, 42)
+    rows = [(1, one), (None, one.upper()), (None, two), (2, one.title()), (None, None)]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
