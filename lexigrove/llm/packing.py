@@ -13,7 +13,8 @@ length by sums over (length, hash bucket), so a length that a third of all piece
 
 Defined results: a null text is empty and has the end id only; rows of one id are documents of their own; an empty table
 gives no piece. Other columns are not read. Chunks between ASCII white space are encoded on their own, which is exact,
-since the tokenizer drops white space and joins nothing across it.
+since the tokenizer drops white space and joins nothing across it. Chunks with the string of an added token are left to
+the tokenizer, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         model, find = self.tokenizer.model, regex.compile(SPLIT).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -66,8 +67,9 @@ class Encoder:
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
-                if chunk.isascii() and chunk.isprintable() or chunk.isprintable() and max(chunk) < "ɐ":
-                    out = b"".join([words[w] for w in find(chunk.lower())])
+                low = chunk.lower()
+                if chunk.isprintable() and (chunk.isascii() or max(chunk) < "ɐ") and not any(t in low for t in added):
+                    out = b"".join([words[w] for w in find(low)])
                 else:
                     out = whole(chunk)
                 if len(self) >= CACHE:

@@ -239,6 +239,21 @@ def test_packing_is_exact_and_tight(spark, docs):
     assert pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    """The tokenizer as its file has it, on texts that hold the strings of its added tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lexigrove.llm.packing import pack_documents
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["<|startoftext|> a <|endoftext|>", "x<|endoftext|>y", "<|EndOfText|> <|endoftext |>", "a<|startoftext|><|endoftext|>é.", "<| plain |>"]
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert {49406, 49407} <= set(want[0])
+    got = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), with_ids=True).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == want
+
+
 def test_plans_hold_every_piece():
     import random
 
