@@ -1,13 +1,13 @@
-"""Repeated substrings by a depth-limited radix sort of suffixes.
+"""Repeated substrings by anchor and window hashing (winnowing).
 
-Suffixes are ordered only through the first ``depth`` bytes, by passes over digits of growing depth; a group that is in
-one document is dropped after each pass, and the groups left at full depth are exactly the repeated windows.
+Windows of ``depth`` bytes are grouped by hashes of growing reach, called digits here; no suffixes are ordered. A group
+that is in one document is dropped after each pass, and the groups left at full depth are exactly the repeated windows.
 
 * Digit 1 is a 16-byte string that every window of ``depth`` bytes picks from itself (the one with the smallest hash, the
   leftmost of equals), so equal windows have equal digits. Neighbouring windows that pick the same place travel as one
   record, about one for 17 bytes of text.
 * Digit 2 is all bytes of such a run of windows. A run that an earlier document has too needs no more.
-* Digit 3 orders the rest by whole windows: runs whose first digit is in several documents, under different second ones.
+* Digit 3 groups the rest by whole windows: runs whose first digit is in several documents, under different second ones.
 
 Records travel in packed, compressed arrays, a row for each radix bucket and flush. Mappers keep the earliest document
 of each equal (digit 1, digit 2) before they send it. A first digit with very many different second digits in one task
