@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where that is unset and all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lexigrove-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,9 +50,35 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lexigrove_path = path  # for drop()
+    for made in _OPEN:
+        made.append(back)
     return back
 
 
+#: The lists of the scratch() blocks that are open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes in here are deleted at the end, but for those that went through the function given."""
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(getattr(table, "_lexigrove_path", ""))
+        return table
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for table in made:
+            if table._lexigrove_path not in kept:
+                drop(table)
+
+
 def drop(table: DataFrame) -> None:
     """Deletes a table that written() made, once nothing reads it any more."""
     spark, path = table.sparkSession, getattr(table, "_lexigrove_path", None)
@@ -58,6 +87,14 @@ def drop(table: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, longer while a column has it."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

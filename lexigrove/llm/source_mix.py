@@ -18,10 +18,12 @@ through where ``keep`` names them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrove.llm.base import same, text_or_empty, written
+from lexigrove.llm.base import same, scratch, text_or_empty, written
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -70,16 +72,21 @@ def _first_refused(rows: DataFrame, finish: list[Column], budget: int, top: floa
     return tuple(over.orderBy("finish", "key", "id", "size", "pass").select("finish", "key", "id", "size", "pass").first())
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, passes: int = 3) -> DataFrame:
-    """id, the columns in keep, size, source_size, target, taken (tokens) and copies, a row for each row of docs."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] | None = None, weights: tuple[float, ...] = WEIGHTS, passes: int = 3) -> DataFrame:
+    """id, size, source_size, target, taken (tokens) and copies, a row for each row of docs; with keep, its columns as the struct ``row``."""
+    with scratch() as stays:
+        return _mixed(docs, id_col, text_col, source_col, keep, weights, passes, stays)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...] | None, weights: tuple[float, ...], passes: int, stays: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = docs.select(
-        F.struct(*dict.fromkeys((id_col, *keep))).alias("row"),
+        F.struct(*(keep or (id_col,))).alias("row"),
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         size_in_words(text_or_empty(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"),
     )
-    sized = written(rows.select("id", "source", "size", "key"))
+    sized = stays(written(rows.select("id", "source", "size", "key")))
     by_bucket = sized.withColumn("bucket", F.substring("key", 1, 3))
     sums = written(by_bucket.groupBy("source", "bucket").agg(F.sum("size").alias("tokens")))
     wanted = written(targets(sums.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, passes))
@@ -105,8 +112,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         cut = F.struct(*(F.lit(v).cast(kind).alias(n) for v, kind, n in zip(refused, kinds, names, strict=True)))
         last = [F.max(F.when(F.struct(x.alias("finish"), "key", "id", "size", F.lit(k).alias("pass")) < cut, mine)) for k, x in enumerate(finish)]
     marks = timed.where("size > 0").groupBy("source").agg(*(x.alias(f"last{k}") for k, x in enumerate(last))) if total.budget else timed.limit(0).select("source", *(x.alias(f"last{k}") for k, x in enumerate(last)))
-    marks = written(marks.alias("m").join(wanted.alias("w"), same(F.col("m.source"), F.col("w.source")), "right").select("w.source", "source_size", "target", *(f"last{k}" for k in range(passes))))
-    out = (rows if keep else sized.withColumn("row", F.struct(F.col("id").alias(id_col)))).alias("r").join(marks.alias("m"), same(F.col("r.source"), F.col("m.source")))
+    marks = stays(written(marks.alias("m").join(wanted.alias("w"), same(F.col("m.source"), F.col("w.source")), "right").select("w.source", "source_size", "target", *(f"last{k}" for k in range(passes)))))
+    out = (rows if keep else sized.withColumn("row", F.lit(None))).alias("r").join(marks.alias("m"), same(F.col("r.source"), F.col("m.source")))
     copies = sum((F.coalesce((F.struct("key", "id", "size") <= F.col(f"last{k}")).cast("bigint"), F.lit(0)) for k in range(passes)), F.lit(0).cast("bigint"))
-    out = out.select("row", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("bigint").alias("copies"))
-    return out.select("row.*", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = out.select("row", "r.id", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("bigint").alias("copies"))
+    return out.select(*(["row"] if keep else []), F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -16,27 +16,56 @@ def docs(spark):
     return frame(spark).repartition(3).cache()
 
 
-def test_exact_dedup(spark, docs):
+@pytest.mark.parametrize("capacity", [1, 2, 4096])
+def test_exact_dedup(spark, docs, capacity):
     from lexigrove.llm.exact_dedup import exact_dedup
 
-    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs, capacity=2, max_bits=6).collect())
-    body = {}
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(docs, capacity=capacity).collect())
+    body = collections.defaultdict(list)
     for r in documents():
-        body.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), []).append(r[0])
-    want = sorted((i, min(ids), len(ids), i == min(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in body.items() for i in ids)
-    assert got == want
+        body[re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")].append(r[0])
+    assert got == collections.Counter((i, min(ids), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in body.items() for i in ids)
+
+
+def test_exact_dedup_keeps_one_of_each_group(spark, docs):
+    """Equal rows and null ids included; names that clash with the result's come back in the struct."""
+    from lexigrove.llm.exact_dedup import exact_dedup
+
+    kept = exact_dedup(docs).where("kept").collect()
+    assert collections.Counter(r.text_sha256 for r in kept) == {h: 1 for h in {r.text_sha256 for r in exact_dedup(docs).collect()}}
     assert exact_dedup(docs.limit(0)).count() == 0
-    nulls = frame(spark, [(None, "t", None, None, 1, *CLASH), (7, "t", None, None, 1, *CLASH), (None, "u", None, None, 1, *CLASH)])
-    assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in exact_dedup(nulls).collect()) == [("7", "7", True), ("None", "7", False), ("None", "None", True)]
+    nulls = frame(spark, [(None, "t", None, None, 1, *CLASH), (7, "t", None, None, 1, *CLASH), (None, "u", None, None, 1, *CLASH), (None, "u", "x", None, 1, *CLASH), (None, "u", None, None, 1, *CLASH)])
+    assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in exact_dedup(nulls).collect()) == [("7", "7", True), ("None", "7", False), *[("None", "None", False)] * 2, ("None", "None", True)]
+    clash = docs.selectExpr("*", "doc_id as group_size", "text as text_sha256", "1 as keep_id", "'r' as row", "2 as entry")
+    rows = exact_dedup(clash, keep=tuple(clash.columns)).select("row.*").collect()
+    assert collections.Counter(map(str, rows)) == collections.Counter(map(str, clash.collect()))
 
 
 def test_directory_doubles_only_overfull_buckets(spark):
-    from lexigrove.llm.exact_dedup import directory
+    from lexigrove.llm.exact_dedup import _levels, directory
+
+    def found(keys, capacity):
+        return {(r.bucket % 2**64, r.depth) for r in directory(_levels(keys, capacity)).collect()}
+
+    four = spark.range(64).selectExpr("shiftleft(id % 4, 62) | id as h")
+    assert found(four, 16) == {(k << 62, 2) for k in range(4)}
+    assert found(four, 64) == {(0, 0)}
+    # Two keys that differ in their 20th bit alone, three that differ in the last bits, and one far away.
+    deep = spark.createDataFrame([((5 << 45),), ((5 << 45) + (1 << 44),), (-1,), (-2,), (-3,), (1 << 60,)], "h bigint")
+    at = found(deep, 2)
+    assert {(0, 4), (1 << 60, 4), (2**64 - 2, 63), (2**64 - 4, 63)} <= at and max(d for _, d in at) == 63
+    one = found(deep, 1)
+    assert ((5 << 45), 20) in one and ((5 << 45) + (1 << 44), 20) in one and max(d for _, d in one) == 64
+
+
+def test_texts_of_one_key_form_a_chain(spark, monkeypatch):
+    """With a key that says nothing, every text is in one bucket's chain and bytes alone decide."""
+    from lexigrove.llm import exact_dedup as module
 
-    keys = spark.range(64).selectExpr("shiftleft(id % 4, 62) | id as h")
-    found = {r.slot: (r.bucket, r.depth) for r in directory(keys, 16, 4).collect()}
-    assert found == {0: (0, 2), 4: (4, 2), 8: (8, 2), 12: (12, 2)}
-    assert {r.depth for r in directory(keys, 64, 4).collect()} == {0}
+    monkeypatch.setattr(module.F, "xxhash64", lambda *c: module.F.lit(5).cast("bigint"))
+    rows = [(3, "a b"), (1, "a\tb"), (2, "c"), (4, None), (5, ""), (6, "c")]
+    got = module.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=1).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(1, 1, 2, True), (3, 1, 2, False), (2, 2, 2, True), (6, 2, 2, False), (4, 4, 2, True), (5, 4, 2, False)}
 
 
 def test_mix_takes_targets(spark, docs):
@@ -48,9 +77,9 @@ def test_mix_takes_targets(spark, docs):
     taken = collections.Counter()
     for r in rows:
         assert r.taken <= 3 * r["size"] and r.taken == r.copies * r["size"]
-        size[r.source] += r["size"]
-        taken[r.source] += r.taken
-    target = {r.source: r.target for r in rows}
+        size[r.row.source] += r["size"]
+        taken[r.row.source] += r.taken
+    target = {r.row.source: r.target for r in rows}
     total = sum(size.values())
     assert abs(sum(target.values()) - total) < 1e-6
     largest = max(r["size"] for r in rows)
@@ -59,6 +88,9 @@ def test_mix_takes_targets(spark, docs):
     assert sum(taken.values()) <= total
     assert sorted(map(str, rows)) == sorted(map(str, mix(docs.repartition(5), keep=("source",)).collect()))
     assert mix(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 as source_size", "2 as taken", "3 as target", "4 as copies", "5 as row")
+    kept = mix(clash, keep=tuple(clash.columns)).select("row.*").collect()
+    assert collections.Counter(map(str, kept)) == collections.Counter(map(str, clash.collect()))
     assert {r.taken for r in mix(frame(spark, [(1, None, None, "a", 0, *CLASH)])).collect()} == {0}
 
 
