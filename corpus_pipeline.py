@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.base import same, written
+from lexigrove.llm.base import drop, fresh, same, scratch, written
 from lexigrove.llm.exact_dedup import exact_dedup
 from lexigrove.llm.language_id import UNKNOWN, identify, train
 from lexigrove.llm.near_dedup import near_components
@@ -18,26 +18,29 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language is unsure, go."""
-    found = identify(docs, train(docs), pred="_lang_pred", score="_lang_score")
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = fresh("lang_pred", docs.columns), fresh("lang_score", docs.columns)
+    found = identify(docs, train(docs), pred=pred, score=score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact_dedup(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return exact_dedup(docs, keep=tuple(docs.columns)).where("kept").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays."""
-    marked = docs.withColumn("_text", F.sha2("text", 256))  # with the id, null or repeated, it tells what was decided on a row
-    gone = near_components(marked, mark="_text").where("not kept").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_gone_text"))
-    return marked.join(gone, same(F.col("doc_id"), F.col("_gone")) & (F.col("_text") == F.col("_gone_text")), "left_anti").select(*docs.columns)
+    """One document of each component of near duplicates stays, and every document that is linked with none."""
+    mark = fresh("mark", docs.columns)
+    marked = docs.withColumn(mark, F.sha2("text", 256))  # with the id, null or repeated, it tells what was decided on a row
+    gone = near_components(marked, mark=mark).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col(mark).alias("gone_mark"))
+    out = marked.alias("d").join(gone.alias("g"), same(F.col("d.doc_id"), F.col("g.gone_id")) & (F.col(f"d.{mark}") == F.col("g.gone_mark")), "left_anti")
+    return out.select(*(F.col(f"d.{c}") for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mix(docs, keep=tuple(docs.columns)).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage wrote goes when the next one has read it; the last one's tables stay for the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as stays:
+            done = stays(written(stage(spark, docs, sf_dir)))
+        drop(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
