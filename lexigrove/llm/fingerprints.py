@@ -67,7 +67,7 @@ def lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> np.ndarr
     """The sorted hashes of all terms that are in low to high of all documents."""
     texts = docs.select(text_or_empty(text_col).alias("text"))
     n = docs.count()
-    terms = texts.mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = texts.mapInArrow(kernels.lean(counted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     with tidy(docs.sparkSession):
         band = terms.where((F.col("n") >= max(1, low * n)) & (F.col("n") <= high * n)).select("term").toArrow()  # bounded by low
     return np.sort(band.column(0).to_numpy().view(U))
@@ -239,8 +239,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     if not len(heads):
         return docs.sparkSession.createDataFrame([], OUT).withColumnRenamed("id", id_col)
-    rows = texts.mapInArrow(lambda x: dealt(x, edges, heads, guest_of), ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    return rows.mapInArrow(lambda x: matched(x, terms, parts), OUT).withColumnRenamed("id", id_col)
+    rows = texts.mapInArrow(kernels.lean(lambda x: dealt(x, edges, heads, guest_of)), ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return rows.mapInArrow(kernels.lean(lambda x: matched(x, terms, parts)), OUT).withColumnRenamed("id", id_col)
 
 
 def _tops(ids: DataFrame, edges: np.ndarray) -> dict[int, int]:
@@ -255,5 +255,5 @@ def _tops(ids: DataFrame, edges: np.ndarray) -> dict[int, int]:
                     best[r] = v
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], ["range", "id"])
 
-    found = ids.mapInArrow(largest, "range int, id bigint").groupBy("range").agg(F.max("id").alias("id")).collect()
+    found = ids.mapInArrow(kernels.lean(largest), "range int, id bigint").groupBy("range").agg(F.max("id").alias("id")).collect()
     return {r.range: r.id for r in found}

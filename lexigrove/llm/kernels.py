@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,21 @@ R = 0x9E3779B97F4A7C15
 R_INVERSE = pow(R, -1, 2**64)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker's freed memory goes back to the system (workers outlive their tasks)."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def tables(seed: int = 7) -> np.ndarray:
     """A random 64-bit value for each byte."""
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -68,14 +84,23 @@ class WordHasher:
         self.inside = inside
         self.value = tables()
         self.value[65:91] = self.value[97:123]
-        self.up = self.down = powers(1, R)
+
+    #: Powers for slices of the usual size, shared; a longer text gets its own for as long as it is read.
+    usual = 1 << 20
+    up = down = None
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.usual:
+            return powers(n, R), powers(n, R_INVERSE)
+        if WordHasher.up is None:
+            WordHasher.up, WordHasher.down = powers(self.usual, R), powers(self.usual, R_INVERSE)
+        return WordHasher.up, WordHasher.down
 
     def words(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, document) of every word in order."""
         if not len(raw):
             return np.empty(0, U), np.empty(0, np.int64)
-        if len(self.up) <= len(raw):
-            self.up, self.down = powers(len(raw) * 2, R), powers(len(raw) * 2, R_INVERSE)
+        up, down = self.powers(len(raw))
         inside = self.inside[raw]
         before = np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
@@ -87,8 +112,8 @@ class WordHasher:
         begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         sums = np.empty(len(raw) + 1, U)
         sums[0] = 0
-        np.cumsum(self.value[raw] * self.up[: len(raw)], out=sums[1:])
-        h = mixed((sums[end] - sums[begin]) * self.down[begin])
+        np.cumsum(self.value[raw] * up[: len(raw)], out=sums[1:])
+        h = mixed((sums[end] - sums[begin]) * down[begin])
         return h, np.searchsorted(at, begin, "right") - 1
 
 

@@ -26,6 +26,8 @@ from lexigrove.llm.base import text_or_empty
 
 DIMS = 1 << 14
 UNKNOWN = "und"
+#: Texts whose counts (DIMS numbers each) a task holds at once.
+ROWS = 32
 _ASCII = np.array([c + 32 if 65 <= c < 91 else c if 97 <= c < 123 else 32 for c in range(128)], np.uint32)
 
 
@@ -62,8 +64,8 @@ def counts(texts: list[str]) -> np.ndarray:
 
 def _text_slices(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     for i, j in kernels.slices(texts, 1 << 19):
-        for a in range(i, j, 128):
-            b = min(a + 128, j)
+        for a in range(i, j, ROWS):
+            b = min(a + ROWS, j)
             yield a, b, [t or "" for t in texts.slice(a, b - a).to_pylist()]
 
 
@@ -116,7 +118,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Trained on the folds that are not held out."""
     texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     df = np.zeros(DIMS)
-    for r in texts.select(text_or_empty("text").alias("text")).mapInArrow(document_frequencies, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
+    for r in texts.select(text_or_empty("text").alias("text")).mapInArrow(kernels.lean(document_frequencies), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
         df[r.f] = r.n
     labelled = texts.where("lang is not null and text is not null")
     held = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -129,7 +131,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     wanted = F.lit(False)
     for lang, n in held.items():
         wanted = wanted | ((F.col("lang") == lang) & (place < int(min(1.0, per_language / n) * 1_000_000)))
-    rows = labelled.where(wanted).select(F.xxhash64(F.col("id").cast("string")).alias("id"), "lang", "text").mapInArrow(_sampled, "id bigint, lang string, f array<int>, n array<int>").toArrow().to_pylist()
+    rows = labelled.where(wanted).select(F.xxhash64(F.col("id").cast("string")).alias("id"), "lang", "text").mapInArrow(kernels.lean(_sampled), "id bigint, lang string, f array<int>, n array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["lang"], len(r["f"])))
     at = {lang: k for k, lang in enumerate(languages)}
     examples = []
@@ -152,12 +154,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred: str =
         for batch in batches:
             names, scores = [], []
             for i, j in kernels.slices(batch.column(at), 1 << 19):
-                for a in range(i, j, 128):
-                    got = model.predict(batch.column(at).slice(a, min(128, j - a)).to_pylist())
+                for a in range(i, j, ROWS):
+                    got = model.predict(batch.column(at).slice(a, min(ROWS, j - a)).to_pylist())
                     names += got[0]
                     scores.append(got[1])
             p = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(p, pa.float64())], [*batch.schema.names, pred, score])
 
     kinds = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(kernels.lean(run), kinds)

@@ -19,7 +19,7 @@ shingle; rows of one id are one node; a null id joins its class of equal sets on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernels
-from lexigrove.llm.base import drop, same, text_or_empty, written
+from lexigrove.llm.base import drop, same, scratch, text_or_empty, written
 from lexigrove.llm.components import components
 
 #: Pairs whose list may be broadcast to the scan of the texts (about 40 bytes each); longer lists are joined.
 BROADCAST_ROWS = 200_000
 #: Classes of shingles, by their last bits, for bounds on what two sets have in common.
 CLASSES = 64
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 18
 #: Members of a group that one task compares with the leader.
 PER_SALT = 256
 
@@ -51,7 +53,7 @@ def signatures(batches: Iterator[pa.RecordBatch], permutations: int, rows: int,
     hasher = kernels.WordHasher()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for i, j in kernels.slices(texts):
+        for i, j in kernels.slices(texts, SLICE):
             raw, at = kernels.bytes_of(texts.slice(i, j - i))
             sets = kernels.shingles(*hasher.words(raw, at), j - i, k)
             n = np.array([len(s) for s in sets], np.int64)
@@ -89,7 +91,7 @@ def compared(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         lead, salt, member, ids = (batch.column(c).to_pylist() for c in range(4))
         texts = batch.column(4)
         out_a, out_b = [], []
-        for i, j in kernels.slices(texts):
+        for i, j in kernels.slices(texts, SLICE):
             raw, at = kernels.bytes_of(texts.slice(i, j - i))
             sets = kernels.shingles(*hasher.words(raw, at), j - i, k)
             for r in range(i, j):
@@ -112,7 +114,7 @@ def listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     """(shingle, id) of every text's set."""
     hasher = kernels.WordHasher()
     for batch in batches:
-        for i, j in kernels.slices(batch.column(1)):
+        for i, j in kernels.slices(batch.column(1), SLICE):
             raw, at = kernels.bytes_of(batch.column(1).slice(i, j - i))
             sets = kernels.shingles(*hasher.words(raw, at), j - i, k)
             own = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), [len(s) for s in sets])
@@ -123,7 +125,7 @@ def tallied(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     """(rep, all: the set's shingles by class)."""
     hasher = kernels.WordHasher()
     for batch in batches:
-        for i, j in kernels.slices(batch.column(1)):
+        for i, j in kernels.slices(batch.column(1), SLICE):
             raw, at = kernels.bytes_of(batch.column(1).slice(i, j - i))
             sets = kernels.shingles(*hasher.words(raw, at), j - i, k)
             counts = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32) for s in sets]
@@ -142,10 +144,10 @@ def with_common(docs: DataFrame, held: DataFrame, repeated: DataFrame, k: int) -
     texts = docs.join(F.broadcast(reps) if few else reps, "id").select("id", "text")
     every = written(held.select(F.col("rep").alias("id")).distinct()) if repeated.head(1) else reps
     known = docs.join(F.broadcast(every) if few else every, "id").select("id", "text")
-    alone = known.mapInArrow(lambda x: listed(x, k), "shingle bigint, id bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
+    alone = known.mapInArrow(kernels.lean(lambda x: listed(x, k)), "shingle bigint, id bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
     alone = alone.groupBy("rep", F.col("shingle").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("class")).agg(F.count(F.lit(1)).cast("int").alias("c"))
     alone = alone.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("alone"))
-    totals = texts.mapInArrow(lambda x: tallied(x, k), "rep bigint, all array<int>")
+    totals = texts.mapInArrow(kernels.lean(lambda x: tallied(x, k)), "rep bigint, all array<int>")
     common = F.when(F.col("alone").isNull(), F.col("all")).otherwise(F.transform("all", lambda n, i: n - F.coalesce(F.element_at("alone", i), F.lit(0))))
     counted = written(totals.join(alone, "rep", "left").select("rep", common.alias("common")))
     return held.join(counted, "rep", "left").select("key", "rep", "n", "common")
@@ -160,7 +162,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     few = need.count() <= BROADCAST_ROWS
     joined = docs.join(F.broadcast(need) if few else need, "id").select("lead", "salt", "member", "id", "text")
     joined = joined.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
-    return written(joined.mapInArrow(lambda x: compared(x, k, percent), "a bigint, b bigint").distinct())
+    return written(joined.mapInArrow(kernels.lean(lambda x: compared(x, k, percent)), "a bigint, b bigint").distinct())
 
 
 def _united(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -182,10 +184,15 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permutations: int = 120, rows: int = 5, k: int = 5, percent: int = 75, mark: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each row of docs; with mark, a string column of docs, that too."""
+    with scratch() as stays:
+        return _components(docs, id_col, text_col, permutations, rows, k, percent, mark, stays)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, permutations: int, rows: int, k: int, percent: int, mark: str | None, stays: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rowed = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), (F.col(mark) if mark else F.lit(None)).cast("string").alias("row"))
     texts = rowed.select("id", "text")
     kinds = "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, row string"
-    signed = written(rowed.mapInArrow(lambda x: signatures(x, permutations, rows, k), kinds))
+    signed = stays(written(rowed.mapInArrow(kernels.lean(lambda x: signatures(x, permutations, rows, k)), kinds)))
     classes = written(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
     firsts = signed.where("n_shingles > 0 and id is not null").join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
     keyed = firsts.dropDuplicates(["id", "d1", "d2"]).select("id", F.col("n_shingles").alias("n"), "bands").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
@@ -227,7 +234,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         drop(held)
         held, share = left.select("key", "rep", "n", "common"), share * 4
-    known = _labelled(classes.select("d1", "d2", F.col("rep").alias("comp")), labels, "comp")
+    known = stays(written(_labelled(classes.select("d1", "d2", F.col("rep").alias("comp")), labels, "comp")))
     out = signed.select("id", "n_shingles", "d1", "d2", "row").join(known, ["d1", "d2"], "left")
     first = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", first.alias("component_id"), same(F.col("id"), first).alias("kept"), *([F.col("row").alias(mark)] if mark else []))

@@ -9,7 +9,8 @@ fully described by how many pieces there are of each length: at most ``capacity`
 * the remainder is packed best-fit in decreasing order, a whole length at a time.
 
 The plan (rows for each pattern and length) is bounded too, so it is sent to all tasks. Pieces are numbered inside their
-length by sums over (length, hash bucket), so a length that a third of all pieces share is in no single task.
+length by sums over (length, hash bucket), so a length that a third of all pieces share is in no single task. These sums
+(capacity times 256 rows at most) are merged in where the numbering has dealt the pieces already, not sent to all tasks.
 
 Defined results: a null text is empty and has the end id only; rows of one id are documents of their own; an empty table
 gives no piece. Other columns are not read. Chunks between ASCII white space are encoded on their own, which is exact,
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from lexigrove.llm import kernels
 from lexigrove.llm.base import text_or_empty, written
 
-#: Entries of a worker's caches of encoded chunks and words.
-CACHE = 200_000
+#: Entries of a worker's caches of encoded chunks and words, and the longest chunk or word that is kept.
+CACHE, LONGEST = 200_000, 48
 #: What the tokenizer's pre-tokenizer splits by (a fixed value of the vocabulary file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -58,9 +59,11 @@ class Encoder:
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 ids = [t.id for t in model.tokenize("".join([shown[b] for b in word.encode()]))]
+                out = struct.pack(f"<{len(ids)}I", *ids)
                 if len(self) >= CACHE:
                     self.clear()
-                self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+                if len(word) <= LONGEST:
+                    self[word] = out
                 return out
 
         words = Words()
@@ -74,7 +77,8 @@ class Encoder:
                     out = whole(chunk)
                 if len(self) >= CACHE:
                     self.clear()
-                self[chunk] = out
+                if len(chunk) <= LONGEST:
+                    self[chunk] = out
                 return out
 
         self.chunks = Chunks()
@@ -103,7 +107,7 @@ def cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, end_
     encode, end, width = encoder(path), struct.pack("<I", end_id), 4 * capacity
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for i, j in kernels.slices(texts, 8 << 20):
+        for i, j in kernels.slices(texts):
             rows = []
             for own, text in zip(ids[i:j], texts.slice(i, j - i).to_pylist(), strict=True):
                 data = encode(text or "") + end
@@ -235,7 +239,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset), and the ids if asked for, a row for each piece."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     kinds = "id bigint, piece int, start bigint, length bigint, crc bigint, ids array<int>"
-    pieces = texts.mapInArrow(lambda x: cut(x, tokenizer, capacity, end_id, with_ids), kinds)
+    pieces = texts.mapInArrow(kernels.lean(lambda x: cut(x, tokenizer, capacity, end_id, with_ids)), kinds)
     if not with_ids:
         pieces = pieces.drop("ids")
     pieces = written(pieces).withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(256)).cast("int"))
@@ -244,8 +248,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count = {r.length: r.n for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     where = plan(count, capacity)
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "crc")) - 1
-    numbered = pieces.withColumn("inside", inside).join(starts.select("length", "bucket", "before"), ["length", "bucket"]).withColumn("k", F.col("before") + F.col("inside"))
+    numbered = pieces.withColumn("inside", inside).join(starts.select("length", "bucket", "before").hint("merge"), ["length", "bucket"]).withColumn("k", F.col("before") + F.col("inside"))
     own = ["id", "piece", "start", "length", "crc", *(["ids"] if with_ids else [])]
     numbered = numbered.select(*own, "k")
-    out = numbered.mapInArrow(lambda x: placed(x, where), ", ".join(f"{c} {dict(numbered.dtypes)[c]}" for c in own) + ", sequence_id bigint, offset bigint")
+    out = numbered.mapInArrow(kernels.lean(lambda x: placed(x, where)), ", ".join(f"{c} {dict(numbered.dtypes)[c]}" for c in own) + ", sequence_id bigint, offset bigint")
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", *own[5:])

@@ -164,7 +164,7 @@ def co_train(rows: list[dict], label: str, weight: np.ndarray, rounds: int, conf
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, pool: int = 3000, rounds: int = 3, confident: float = 0.97) -> tuple[np.ndarray, dict[str, Target]]:
     """The features' weights (inverse document frequency) and a Target for quality and toxic. docs: id, text, n_chars, source, lang."""
     df = np.zeros(DIMS)
-    for r in docs.select("text").mapInArrow(_frequencies, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
+    for r in docs.select("text").mapInArrow(kernels.lean(_frequencies), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
         df[r.f] = r.n
     every = docs.count()
     weight = np.log((1 + every) / (1 + df)) + 1
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, pool: int =
     few = docs.where(place < share).select("id").join(labels.select("id"), "id", "left_anti").select("id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
     sample = chosen.select("id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(few)
     rows = docs.join(F.broadcast(sample), "id").select("id", "quality", "toxic", "text", "n_chars", "source", "lang")  # bounded by per_label and pool
-    found = rows.mapInArrow(_examples, "id bigint, quality int, toxic int, f array<int>, m array<int>").toArrow().to_pylist()
+    found = rows.mapInArrow(kernels.lean(_examples), "id bigint, quality int, toxic int, f array<int>, m array<int>").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], str(r["quality"]), str(r["toxic"]), len(r["f"])))
     targets = {}
     for at, name in enumerate(("quality", "toxic")):
@@ -211,4 +211,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **optio
                 p = [t.score(np.bincount(row, weights=w[f], minlength=j - i), t.meta[meta].sum(axis=1)) for t, w in ((quality, by_text["quality"]), (toxic, by_text["toxic"]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p[0]), pa.array(p[1]), pa.array((p[0] >= 0.5) & (p[1] < 0.5))], ["id", "score", "toxic_score", "kept"])
 
-    return pages.mapInArrow(run, "id bigint, score double, toxic_score double, kept boolean").withColumnRenamed("id", id_col)
+    return pages.mapInArrow(kernels.lean(run), "id bigint, score double, toxic_score double, kept boolean").withColumnRenamed("id", id_col)

@@ -495,13 +495,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = shuffle_partitions(docs.sparkSession) * 3 // 2  # few, so that packed rows stay large
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    replies = written(dealt(texts.mapInArrow(lambda x: scanned(x, depth, buckets), ROW)).mapInArrow(lambda x: ordered(x, buckets), ROW))
-    bodies = texts.mapInArrow(lambda x: packed_texts(x, buckets), ROW)
-    first = written(dealt(replies.unionByName(bodies)).mapInArrow(lambda x: settled(x, depth, buckets, False), FINAL), "kind")
+    replies = written(dealt(texts.mapInArrow(kernels.lean(lambda x: scanned(x, depth, buckets)), ROW)).mapInArrow(kernels.lean(lambda x: ordered(x, buckets)), ROW))
+    bodies = texts.mapInArrow(kernels.lean(lambda x: packed_texts(x, buckets)), ROW)
+    first = written(dealt(replies.unionByName(bodies)).mapInArrow(kernels.lean(lambda x: settled(x, depth, buckets, False)), FINAL), "kind")
     drop(replies)
     rows = first.select("bucket", "kind", "blob")
-    deep = dealt(rows.where("kind in (1, 2, 4)")).mapInArrow(lambda x: deepest(x, depth, buckets), ROW)
+    deep = dealt(rows.where("kind in (1, 2, 4)")).mapInArrow(kernels.lean(lambda x: deepest(x, depth, buckets)), ROW)
     waiting = rows.where("kind = 3").select("bucket", F.lit(1).alias("kind"), "blob")
-    rest = dealt(deep.unionByName(waiting)).mapInArrow(lambda x: settled(x, depth, buckets, True), FINAL)
+    rest = dealt(deep.unionByName(waiting)).mapInArrow(kernels.lean(lambda x: settled(x, depth, buckets, True)), FINAL)
     columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return first.where("kind = 0").select(*columns).unionByName(rest.where("kind = 0").select(*columns))
