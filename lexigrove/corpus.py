@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.operators.postings import TextIndex, opened
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +47,15 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("tags", F.array(*TAGS)).withColumn("chunk_index", F.lit(0)).drop(*TAGS)
 
 
+#: Text columns of the library by search field.
+FIELDS = {"title": "title", "headings": "headings", "body": "body"}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The library's inverted index, built by the first query that asks for it."""
+    return opened(table(spark, sf_dir, "documents"), library(spark, sf_dir), ("owner_id", "id", "num"), FIELDS)
+
+
 #: The same as a common table expression for DuckDB.
 LIB = "lib as (select " + ", ".join(f"{e.format(string='varchar')} as {n}" for n, e in LIBRARY.items() if n not in TAGS) + ", sha256(text) as source_hash, [" + ", ".join(LIBRARY[t].format(string="varchar") for t in TAGS) + "] as tags, 0 as chunk_index from documents)"
 

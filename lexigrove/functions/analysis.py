@@ -40,7 +40,8 @@ def tokens(text: Column) -> Column:
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
     placed = F.transform(raw, lambda w, i: F.struct(w.alias("w"), i.alias("p")))
     short = F.filter(placed, lambda x: F.octet_length(x["w"]) < LONGEST)
-    return F.transform(short, lambda x: F.struct(folded(x["w"]).alias("t"), x["p"].alias("p")))
+    plain = lambda w: F.octet_length(w) == F.length(w)  # noqa: E731  nothing to fold in ASCII
+    return F.transform(short, lambda x: F.struct(F.when(plain(x["w"]), F.lower(x["w"])).otherwise(folded(x["w"])).alias("t"), x["p"].alias("p")))
 
 
 _PY_WORD = re.compile(r"[^\W_]+")

@@ -1,9 +1,10 @@
-"""From a parsed query to columns over a document table.
+"""From a parsed query to columns over a row for each document.
 
-All of a document's fields are in its row, so matching and scoring are row-local: no clause shuffles anything. What a
-score needs of the corpus (documents, mean lengths, document frequencies of the query's own terms) is one aggregate of
-a single row. Fuzzy words are looked up in the vocabulary first: the JVM's edit distance narrows it, the exact distance
-decides on the driver, within a checked bound.
+What a query needs of a document, the places of the query's own terms, is in one row, so matching and scoring are
+row-local. Over an index, that row is made of the postings of these terms alone, and what a score needs of the corpus
+(documents, mean lengths, document frequencies) is looked up in the vocabulary. Over plain documents, the row is made by
+tokenising, and the statistics are one aggregate; that is for streams and small sets. Fuzzy words are looked up in the
+vocabulary first: the JVM's edit distance narrows it, the exact distance decides on the driver, within a checked bound.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import py_tokens, tokens
+from lexigrove.operators.postings import TextIndex
 from lexigrove.plans import language as q
 
 K1, B = 1.2, 0.75
@@ -28,17 +30,34 @@ class Stats:
     frequency: dict[tuple[str, str], int]
 
 
+def holds_without_words(expr: object, scope: str | None = None) -> bool:
+    """Whether a document with none of the query's words matches."""
+    if isinstance(expr, q.And):
+        return all(holds_without_words(p, scope) for p in expr.parts)
+    if isinstance(expr, q.Or):
+        return any(holds_without_words(p, scope) for p in expr.parts)
+    if isinstance(expr, q.Not):
+        return not holds_without_words(expr.inner, scope)
+    if isinstance(expr, q.Scope):
+        return holds_without_words(expr.inner, expr.field)
+    return isinstance(expr, q.Word) and expr.text == "*" and scope is None
+
+
 @dataclass
 class Compiler:
     """fields: names of text columns of docs by search field."""
 
-    docs: DataFrame
+    docs: DataFrame | TextIndex
     fields: dict[str, str]
     fuzzy: dict[q.Fuzzy, list[str]] = field(default_factory=dict)
     stats: Stats | None = None
 
     def __post_init__(self):
-        self.base = self.docs.select("*", *(tokens(F.col(c)).alias(f"_tok_{f}") for f, c in self.fields.items()))
+        self.index = self.docs if isinstance(self.docs, TextIndex) else None
+        self.base = None
+        if not self.index:
+            found = self.docs.select("*", *(tokens(F.col(c)).alias(f"_tok_{f}") for f, c in self.fields.items()))
+            self.base = found.withColumns({f"_len_{f}": F.size(f"_tok_{f}") for f in self.fields})
 
     # What the query needs of the corpus.
 
@@ -51,25 +70,53 @@ class Compiler:
             return self._leaves(expr.left) + self._leaves(expr.right)
         return [x for part in expr.parts for x in self._leaves(part)]
 
-    def prepare(self, *exprs: object) -> None:
+    def prepare(self, *exprs: object, every: bool = False) -> None:
+        """Looks up what exprs need. With every, all documents are rows, also those that cannot match."""
         leaves = [x for expr in exprs for x in self._leaves(expr)]
         kinds = [q.pattern(x.text) for x in leaves if isinstance(x, q.Word) and x.text != "*"]
         terms = {t for k in kinds if isinstance(k, q.Exact) for _, t in k.tokens} | {t for x in leaves if isinstance(x, q.Phrase) for _, t in py_tokens(x.text)}
         for k in kinds:
             if isinstance(k, q.Fuzzy) and k not in self.fuzzy:
                 self.fuzzy[k] = self._near_words(k)
+        if self.index:
+            self._from_index(terms, kinds, every or any(holds_without_words(e) for e in exprs))
+            return
         aggs = [F.count(F.lit(1)).alias("n")]
         ordered = sorted(terms)
         for f in self.fields:
-            aggs.append(F.coalesce(F.avg(F.size(f"_tok_{f}")), F.lit(0.0)).alias(f"len_{f}"))
+            aggs.append(F.coalesce(F.avg(f"_len_{f}"), F.lit(0.0)).alias(f"len_{f}"))
             for i, t in enumerate(ordered):
                 aggs.append(F.count(F.when(F.size(self._places(f, t)) > 0, 1)).alias(f"df_{f}_{i}"))
         row = self.base.agg(*aggs).first()
         self.stats = Stats(row["n"], {f: row[f"len_{f}"] for f in self.fields}, {(f, t): row[f"df_{f}_{i}"] for f in self.fields for i, t in enumerate(ordered)})
 
+    def _from_index(self, terms: set[str], kinds: list, every: bool) -> None:
+        """The statistics of terms, and a row for each document that has what the query names; with every, for all documents."""
+        index = self.index
+        known = index.words().where(F.col("term").isin(sorted(terms))).collect() if terms else []  # fields times terms of the query
+        totals = index.totals()
+        frequency = {(f, t): 0 for f in self.fields for t in terms} | {(r.field, r.term): r.documents for r in known}
+        self.stats = Stats(max((d for d, _ in totals.values()), default=0), {f: totals[f][1] / max(totals[f][0], 1) for f in self.fields}, frequency)
+        likely = terms | {w for k in kinds if isinstance(k, q.Fuzzy) for w in self.fuzzy[k]}
+        found = index.with_terms(likely, [k.regex for k in kinds if isinstance(k, q.Wildcard)])
+        at = F.transform("places", lambda p: F.struct(F.col("term").alias("t"), p.alias("p")))
+        of = lambda f, x: F.when(F.col("field") == f, x)
+        rows = found.groupBy(*index.keys).agg(
+            *(F.flatten(F.collect_list(of(f, at))).alias(f"_tok_{f}") for f in self.fields), *(F.max(of(f, F.col("length"))).alias(f"_len_{f}") for f in self.fields)
+        )
+        if every:
+            on = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in index.keys]
+            all_, own = index.rows().alias("k"), rows.alias("r")
+            none = F.array().cast("array<struct<t:string,p:int>>")
+            rows = all_.join(own, on, "left").select(*(f"k.{c}" for c in index.keys), *(F.coalesce(f"_tok_{f}", none).alias(f"_tok_{f}") for f in self.fields), *(f"_len_{f}" for f in self.fields))
+        self.base = rows
+
     def _near_words(self, k: q.Fuzzy) -> list[str]:
-        words = F.array_distinct(F.transform(F.concat(*(F.col(f"_tok_{f}") for f in self.fields)), lambda x: x["t"]))
-        near = self.base.select(F.explode(words).alias("t")).where(F.abs(F.length("t") - len(k.term)) <= k.distance)
+        if self.index:
+            words = self.index.words().select(F.col("term").alias("t"))
+        else:
+            words = self.base.select(F.explode(F.array_distinct(F.transform(F.concat(*(F.col(f"_tok_{f}") for f in self.fields)), lambda x: x["t"]))).alias("t"))
+        near = words.where(F.abs(F.length("t") - len(k.term)) <= k.distance)
         near = near.where(F.levenshtein("t", F.lit(k.term)) <= 2 * k.distance).distinct().limit(MOST_FUZZY + 1).collect()
         if len(near) > MOST_FUZZY:
             raise q.QueryError(f"{k.term}~{k.distance} is near more than {MOST_FUZZY} words")
@@ -86,7 +133,7 @@ class Compiler:
     def _bm25(self, f: str, terms: list[str], count: Column) -> Column:
         s = self.stats
         idf = sum((F.log1p(F.lit((s.documents - s.frequency[f, t] + 0.5) / (s.frequency[f, t] + 0.5))) for t in terms), F.lit(0.0))
-        length = F.size(f"_tok_{f}") / F.lit(s.mean_length[f] or 1.0)
+        length = F.coalesce(f"_len_{f}", F.lit(0)) / F.lit(s.mean_length[f] or 1.0)
         c = count.cast("double")
         return idf * c * (K1 + 1) / (c + K1 * (1 - B + B * length))
 
@@ -185,8 +232,8 @@ class Compiler:
         return F.aggregate(F.array_sort(F.concat(ends, starts)), none, step)["hit"]
 
 
-def search(docs: DataFrame, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
-    """The matching rows of docs: keep and score."""
+def search(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
+    """The matching rows of docs: keep and score. Of an index, keep names key columns."""
     expr = q.parse(query, tuple(fields))
     compiler = Compiler(docs, fields)
     compiler.prepare(expr)
@@ -194,11 +241,11 @@ def search(docs: DataFrame, query: str, fields: dict[str, str], keep: tuple[str,
     return compiler.base.where(match).select(*keep, score.alias("score"))
 
 
-def explain_clauses(docs: DataFrame, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
+def explain_clauses(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
     """For each document, whether each clause of the query holds: (keep, clause, text, holds)."""
     expr = q.parse(query, tuple(fields))
     compiler = Compiler(docs, fields)
-    compiler.prepare(expr)
+    compiler.prepare(expr, every=True)
     rows: list[Column] = []
 
     def walk(e: object, scope: str | None, positive: bool) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,21 @@ def session(name: str = "lexigrove", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lexigrove-')}"
         spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in spark.checkpoint.dir."""
+    spark = df.sparkSession
+    where = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint()
