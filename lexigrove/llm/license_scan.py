@@ -6,7 +6,7 @@ template. Votes are summed by diagonal, neighbouring diagonals (inserted or miss
 span is verified when the template groups that it holds make at least ``share`` of the template. A diagonal that holds
 all groups of a phrase is a place where its words stand consecutively.
 
-Words are compared, not only their hashes. Rows of one id and one text count once and get equal results; null texts are
+Words are compared, not only their hashes. Very long texts are read whole. Rows of one id and one text count once and get equal results; null texts are
 empty: no words, no labels, score 0. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -20,7 +20,7 @@ from lexigrove.llm.base import same, text_or_empty
 #: Phrases whose every place counts, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Openings of common licence notices, with the labels that the method adds.
+#: Sentences of common licence notices, headers and deeds, with the labels that the method adds.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "you may not use this file except in compliance with the license": "apache-2",
@@ -30,6 +30,24 @@ NOTICES = {
     "licensed under a creative commons attribution noncommercial license": "cc-by-nc",
     "licensed under a creative commons attribution license": "cc-by",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability": "mit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation": "bsd",
+    "may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache-2",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty": "gpl",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-2",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib",
+    "has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law": "cc0",
+    "if you remix transform or build upon the material you must distribute your contributions under the same license as the original": "cc-by-sa",
+    "you must give appropriate credit provide a link to the license and indicate if changes were made": "cc-by",
+    "you may not use the material for commercial purposes": "cc-by-nc",
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -57,9 +75,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans: (label, template, first, last, score)."""
     text = text_or_empty(text_col)
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
-    n = F.greatest(F.size("w") - (GRAM - 1), F.lit(0))
-    grams = words.select("id", "th", F.posexplode(F.arrays_zip(*(F.slice("w", F.lit(k + 1), n).alias(f"w{k}") for k in range(GRAM)))).alias("pos", "g"))
-    grams = grams.select("id", "th", "pos", *(F.col(f"g.w{k}").alias(f"w{k}") for k in range(GRAM)))
+    # A place goes on only if its word begins some template group.
+    first = sorted({w for table in (phrases, notices) for t in table for w in t.split()[: 1 - GRAM]})
+    places = words.select("id", "th", "w", F.posexplode("w").alias("pos", "w0")).where(F.lower("w0").isin(first) & (F.col("pos") + GRAM <= F.size("w")))
+    grams = places.select("id", "th", "pos", "w0", *(F.get("w", F.col("pos") + k).alias(f"w{k}") for k in range(1, GRAM)))
     table = templates(docs.sparkSession, phrases, notices)
     alike = grams.join(F.broadcast(table), F.xxhash64(*(F.lower(f"w{k}") for k in range(GRAM))) == table["h"])
     for k in range(GRAM):
