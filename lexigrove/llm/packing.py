@@ -4,8 +4,9 @@ Documents become token ids with one end id after each, and only longer ones than
 fully described by how many pieces there are of each length: at most ``capacity`` numbers, whatever the corpus. On these,
 
 * reduction fixes small sets that provably dominate all others with one of their pieces: a pair that fills a sequence
-  exactly; a piece alone where nothing fits beside it; a piece with the largest that fits where no two do. The instance
-  shrinks, and the search goes on until nothing more is fixed;
+  exactly; a piece alone where nothing fits beside it; a piece with the largest that fits where no two do; and, where two
+  fit but no three, a piece with the one or two others that dominate. The instance shrinks, and the search goes on until
+  nothing more is fixed;
 * the remainder is packed best-fit in decreasing order, a whole length at a time.
 
 The plan (rows for each pattern and length) is bounded too, so it is sent to all tasks. Pieces are numbered inside their
@@ -21,6 +22,7 @@ the tokenizer, which gives that token's id.
 from __future__ import annotations
 
 import bisect
+import collections
 import itertools
 import struct
 import sys
@@ -163,10 +165,46 @@ def reduce_dominated(count: dict[int, int], capacity: int) -> tuple[list[tuple[i
                     take(left[big] // 2 if fit == big else min(left[big], left[fit]), big, fit)
                     changed = True
                     continue
-                break
+                three = _dominating(left, sizes, big, capacity)
+                if three is None:
+                    break
+                own = collections.Counter(three)
+                # While copies are left over, every choice stays as it is.
+                take(max(min((left[x] - 3) // m for x, m in own.items()), 1), *three)
+                changed = True
     return fixed, left
 
 
+def _dominating(left: dict[int, int], sizes: list[int], big: int, capacity: int) -> tuple[int, ...] | None:
+    """A set with ``big`` of two or three pieces that dominates all others, where no more than two pieces fit beside it.
+
+    With the largest piece that fits alone (a) and the pair with the largest sum: a dominates if it is no smaller than
+    that sum. The pair dominates if a is its larger piece and no two pieces between its two fit beside big.
+    """
+    room = capacity - big
+    have = lambda x: left.get(x, 0) - (x == big)
+    small = [x for x in sizes if x <= room and have(x) > 0]
+    least = [x for x in small[:3] for _ in range(min(have(x), 3))][:3]
+    if len(least) < 2 or (len(least) > 2 and sum(least) <= room):
+        return None
+    best, i, j = None, 0, len(small) - 1
+    while i <= j:
+        if small[i] + small[j] > room or (i == j and have(small[i]) < 2):
+            j -= 1
+        else:
+            best = max(best or (0, 0, 0), (small[i] + small[j], small[j], small[i]))
+            i += 1
+    a = small[-1]
+    if best is None or a >= best[0]:
+        return big, a
+    total, upper, lower = best
+    if upper != a:
+        return None
+    at = bisect.bisect_right(small, lower)
+    between = [x for x in small[at : at + 2] for _ in range(min(have(x) - (x == a), 2))][:2]
+    return (big, upper, lower) if len(between) < 2 or sum(between) > room else None
+
+
 def best_fit(count: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Best-fit decreasing by whole lengths: (sequences, [(length, pieces in each)])."""
     open_: dict[int, list[tuple[int, tuple]]] = {}
