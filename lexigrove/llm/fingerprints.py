@@ -4,8 +4,9 @@ Document frequencies of all terms come from the whole corpus. Terms in a band of
 document frequency) are the lexicon: since each is in ``low`` of all documents or more, there are at most (mean distinct
 terms of a document / low) of them, a bound that does not grow with the corpus, and the lexicon is sent to all tasks.
 Each of ``parts`` random lexicons keeps some of its terms, from one in 8 to one in 256; a text's sorted distinct terms
-in it are hashed. A fingerprint is the hashes of all parts, and two are alike by the share of parts, not empty in both,
-that agree.
+in it are hashed: a 64-bit hash of the set, in which the order of the terms plays no part (a sum over distinct terms,
+mixed). A fingerprint shows 32 bits of each part's hash, and two are alike by the share of parts, not empty in both, whose
+hashes agree.
 
 ``neighbours`` also fingerprints an edited text (its second half replaced by the start of the next document, ids
 descending). Ids are dealt to ranges, each a few of all partitions' sizes; the first document of each range goes to the range
@@ -91,7 +92,7 @@ class Matcher:
         self.value = kernels.mixed(terms ^ U(0x5851F42D4C957F2D))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
-        """Part hashes (-1: empty; all of them in one column if there is no lexicon term), and fingerprints."""
+        """Part hashes of 63 bits (-1: empty; one for all words if there is no lexicon term), and fingerprints."""
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         h, doc = self.hasher.words(np.frombuffer(b"".join(texts), np.uint8), at)
         out = np.full((len(texts), self.parts), -1, np.int64)
@@ -106,17 +107,17 @@ class Matcher:
                 member = self.member[term]
                 sums = np.add.reduceat(member * self.value[term][:, None], heads, axis=0)
                 some = np.add.reduceat(member, heads, axis=0) > 0
-                out[own[heads]] = np.where(some, (kernels.mixed(sums) & U(0xFFFF)).astype(np.int64), -1)
+                out[own[heads]] = np.where(some, (kernels.mixed(sums) >> U(1)).astype(np.int64), -1)
                 have[own[heads]] = some.any(axis=1)
         lo = np.searchsorted(doc, np.arange(len(texts) + 1))
         names = []
         for r in range(len(texts)):
             if have[r]:
-                names.append("".join([f"{v:04x}" if v >= 0 else "...." for v in out[r].tolist()]))
+                names.append("".join([f"{v >> 31:08x}" if v >= 0 else "." * 8 for v in out[r].tolist()]))
             else:
                 whole = hashlib.blake2b(h[lo[r] : lo[r + 1]].tobytes(), digest_size=8).hexdigest()
                 names.append(f"words:{whole}")
-                out[r, 0] = int(whole[:12], 16) + (1 << 20)
+                out[r, 0] = int(whole, 16) >> 1
         return out, names
 
 
