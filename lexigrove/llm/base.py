@@ -99,6 +99,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drawn(share: float, *of: Column | str) -> Column:
+    """A condition that holds for ``share`` of all values of the columns, by a 63-bit hash: of very many rows some are always drawn."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*of).bitwiseAND(F.lit(2**63 - 1)) < F.lit(int(share * 2**63))
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

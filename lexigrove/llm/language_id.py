@@ -2,12 +2,15 @@
 
 Features are hashed one- to three-grams of lower-cased characters of whole texts (what is no letter counts as a space).
 Document frequencies come from all documents of the training folds. The classifier is trained by
-follow-the-regularised-leader with elastic-net penalties on a sample bounded by ``per_language`` rows of each language
-(hashed ids decide, so reruns agree), and calibrated by a temperature on a fifth of it. Language, source and id are never
-inputs of a prediction.
+follow-the-regularised-leader with elastic-net penalties on a sample of ``per_language`` rows of each language, as a mean
+over draws (hashed ids decide, so reruns agree), and calibrated by a temperature on a fifth of it. Language, source and id
+are never inputs of a prediction. The driver holds a few numbers for each distinct language, of which there may be
+``most_languages``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything when no labelled row
-is there. Rows with a null language are never trained on. A null id hashes as an empty string.
+is there. Rows with a null language are never trained on. A null id hashes as an empty string. Very long texts are read
+whole; equal texts get equal predictions, and repeated rows are trained on once. Other columns pass through, but for
+those named like the result's, which give way.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.llm import kernels, linear
-from lexigrove.llm.base import text_or_empty
+from lexigrove.llm.base import drawn, text_or_empty
 
 DIMS = 1 << 14
 UNKNOWN = "und"
@@ -114,24 +117,26 @@ class Model:
         return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], np.where(known, p.max(axis=1), 0.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, most_languages: int = 2000) -> Model:
     """Trained on the folds that are not held out."""
     texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     df = np.zeros(DIMS)
     for r in texts.select(text_or_empty("text").alias("text")).mapInArrow(kernels.lean(document_frequencies), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
         df[r.f] = r.n
     labelled = texts.where("lang is not null and text is not null")
-    held = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(held) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     every = texts.count()
     idf = np.log((1 + every) / (1 + df)) + 1
     if not held:
         return Model([], idf, np.zeros((DIMS, 0)), 1.0)
     languages = sorted(held)
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1_000_000))
     wanted = F.lit(False)
     for lang, n in held.items():
-        wanted = wanted | ((F.col("lang") == lang) & (place < int(min(1.0, per_language / n) * 1_000_000)))
-    rows = labelled.where(wanted).select(F.xxhash64(F.col("id").cast("string")).alias("id"), "lang", "text").mapInArrow(kernels.lean(_sampled), "id bigint, lang string, f array<int>, n array<int>").toArrow().to_pylist()
+        wanted = wanted | ((F.col("lang") == lang) & drawn(per_language / n, F.col("id").cast("string"), F.lit("language sample")))
+    chosen = labelled.where(wanted).dropDuplicates(["id", "lang", "text"])  # rows that are repeated are drawn together
+    rows = chosen.select(F.xxhash64(F.col("id").cast("string")).alias("id"), "lang", "text").mapInArrow(kernels.lean(_sampled), "id bigint, lang string, f array<int>, n array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["lang"], len(r["f"])))
     at = {lang: k for k, lang in enumerate(languages)}
     examples = []

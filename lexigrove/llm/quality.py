@@ -10,7 +10,9 @@ The labelled sample holds at most ``per_label`` rows of each pair of labels and
 ids decide); document frequencies and scores cover all documents.
 
 Defined results: null texts are empty; a document without usable labels gives scores of the prior; labels that are
-null do not count; of several labels of one id, every one counts; null ids are scored like others.
+null do not count; of several labels of one id, every different one counts; null ids are scored like others. An empty
+table gives no rows; without labels every score is the prior's. Very long texts are read whole; equal pages get equal
+scores. Only the id, text, n_chars, source and lang of documents are read, and the id, quality and toxic of labels.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernels, linear
-from lexigrove.llm.base import text_or_empty
+from lexigrove.llm.base import drawn, text_or_empty
 from lexigrove.llm.fingerprints import TERM
 
 DIMS = 1 << 16
@@ -170,14 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, pool: int =
     weight = np.log((1 + every) / (1 + df)) + 1
     weight = weight / weight.max() if len(weight) else weight
     held = {(r.quality, r.toxic): r.n for r in labels.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # pairs of 0, 1 and null
-    place = F.pmod(F.xxhash64(F.col("id"), F.lit("quality sample")), F.lit(1_000_000))
     wanted = F.lit(False)
     for (q, t), n in held.items():
-        wanted = wanted | (F.col("quality").eqNullSafe(F.lit(q)) & F.col("toxic").eqNullSafe(F.lit(t)) & (place < int(min(1.0, per_label / n) * 1_000_000)))
+        wanted = wanted | (F.col("quality").eqNullSafe(F.lit(q)) & F.col("toxic").eqNullSafe(F.lit(t)) & drawn(per_label / n, "id", F.lit("quality sample")))
     chosen = labels.where(wanted & F.col("id").isNotNull())
-    share = int(min(1.0, pool / max(every, 1)) * 1_000_000)
-    few = docs.where(place < share).select("id").join(labels.select("id"), "id", "left_anti").select("id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    sample = chosen.select("id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(few)
+    few = docs.where(drawn(pool / max(every, 1), "id", F.lit("quality pool"))).select("id").distinct().join(labels.select("id"), "id", "left_anti").select("id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    sample = chosen.select("id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(few).distinct()
     rows = docs.join(F.broadcast(sample), "id").select("id", "quality", "toxic", "text", "n_chars", "source", "lang")  # bounded by per_label and pool
     found = rows.mapInArrow(kernels.lean(_examples), "id bigint, quality int, toxic int, f array<int>, m array<int>").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], str(r["quality"]), str(r["toxic"]), len(r["f"])))

@@ -130,6 +130,32 @@ def test_license_places(spark, docs):
     assert license_scan(docs).count() == len(documents())
 
 
+def test_license_places_of_odd_tables(spark):
+    """No rows; one id with two texts; a very long text, against words looked up plainly."""
+    from lexigrove.llm.license_scan import PHRASES, license_scan
+
+    kinds = "doc_id bigint, text string, labels string, score int"
+    assert license_scan(spark.createDataFrame([], kinds)).count() == 0
+    long = " ".join(f"{words(400, i)} {p} {words(7, i + 50)} {p.title()}" for i, p in enumerate(list(PHRASES) * 20))
+    rows = [(1, "cc by nc", "x", 1), (1, "under the mit license", "y", 2), (1, "cc by nc", "x", 1), (2, long, None, None)]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan(spark.createDataFrame(rows, kinds)).collect())
+    want = collections.Counter()
+    for i, text, *_ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower())
+        at = [(k, label) for phrase, label in PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        want[i, len(w), len(at), min(k for k, _ in at), max(k for k, _ in at), ",".join(sorted({x for _, x in at}))] += 1
+    assert got == want
+
+
+def test_license_notices(spark):
+    from lexigrove.llm.license_scan import NOTICES, license_scan
+
+    rows = list(enumerate(f"{words(30, i)} {text.capitalize()}. {words(30, i + 500)}" for i, text in enumerate(NOTICES)))
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(label in got[i] for i, label in enumerate(NOTICES.values()))
+    assert license_scan(spark.createDataFrame([(i, words(300, i)) for i in range(20)], "doc_id bigint, text string")).where("labels <> ''").count() == 0
+
+
 def _shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -231,18 +257,60 @@ def test_fingerprints(spark, docs):
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     prints = collections.defaultdict(set)
-    text_of = collections.defaultdict(set)
-    for i, raw in rows:
-        text_of[i].add(raw)
     for r in got:
-        if len(text_of[r.doc_id]) == 1:
-            prints[min(text_of[r.doc_id])].add(r.fingerprint)
-    assert all(len(p) == 1 for p in prints.values())
+        prints[r.doc_id].add(r.fingerprint)
+    assert all(len(prints[i]) == 1 for i, n in collections.Counter(i for i, _ in rows).items() if n == 1)
     assert neighbours(docs.limit(0)).count() == 0
     one = neighbours(frame(spark, [(5, "only one", None, None, 8, *CLASH)])).first()
     assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"onlyonly").hexdigest()
 
 
+def test_fingerprints_against_their_definition(spark):
+    """All four columns from scratch: terms by document frequency, lexicons term by term, likeness by parts."""
+    from lexigrove.llm import fingerprints, kernels
+
+    texts = [words(60 + 5 * i, i, 400) + " common " + ("Größe über" if i % 3 else "") for i in range(40)] + [None, "", "zz yy", words(60, 0, 400) + " common "]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    low, high = 0.05, 0.5
+    terms_of = lambda t: [w.lower() if w.isascii() else w for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", t)]
+    hasher = kernels.WordHasher(word=fingerprints.TERM)
+
+    def hashed(terms):
+        raw = " ".join(terms).encode()
+        return hasher.words(fingerprints.np.frombuffer(raw, fingerprints.np.uint8), fingerprints.np.array([0, len(raw)]))[0].tolist()
+
+    frequency = collections.Counter(w for _, t in rows for w in set(terms_of(t or "")))
+    lexicon = {w for w, n in frequency.items() if max(1, low * len(rows)) <= n <= high * len(rows)}
+    mixed = lambda x: int(kernels.mixed(fingerprints.np.array([x % 2**64], fingerprints.np.uint64))[0])
+
+    def parts(text):
+        have = sorted(set(terms_of(text)) & lexicon)
+        codes = dict(zip(have, hashed(have), strict=True)) if have else {}
+        out = []
+        for j in range(64):
+            rate = fingerprints.DENSEST + j % (fingerprints.SPARSEST - fingerprints.DENSEST + 1)
+            own = [h for h in codes.values() if all(mixed(h ^ mixed(k + 1)) >> j & 1 for k in range(rate))]
+            out.append(mixed(sum(mixed(h ^ 0x5851F42D4C957F2D) for h in own)) >> 1 if own else -1)
+        if max(out) < 0:
+            whole = hashlib.blake2b(b"".join(struct.pack("<Q", h) for h in hashed(terms_of(text))), digest_size=8).hexdigest()
+            return [int(whole, 16) >> 1] + out[1:], f"words:{whole}"
+        return out, "".join(f"{v >> 31:08x}" if v >= 0 else "........" for v in out)
+
+    def alike(a, b):
+        used = [(x, y) for x, y in zip(a, b, strict=True) if x >= 0 or y >= 0]
+        return sum(x == y for x, y in used) / len(used)
+
+    got = {r.doc_id: r for r in fingerprints.neighbours(spark.createDataFrame(rows, "doc_id bigint, text string"), low=low, high=high).collect()}
+    down = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for n, (i, text) in enumerate(down):
+        after = down[(n + 1) % len(down)][1]
+        half = len(text) // 2
+        (own, name), (edit, edit_name), (following, _) = parts(text), parts(text[: len(text) - half] + after[:half]), parts(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (name, edit_name)
+        assert abs(got[i].near_edited - alike(own, edit)) < 1e-9 and abs(got[i].near_next - alike(own, following)) < 1e-9
+    assert got[0].fingerprint == got[3 * (len(texts) - 1)].fingerprint
+
+
 def test_packing_is_exact_and_tight(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -310,6 +378,81 @@ def test_plans_hold_every_piece():
         assert least <= bins <= max(least * 11 / 9 + 1, least)
 
 
+def test_dominance_loses_no_sequence():
+    """What reduction fixes, with the rest packed in the fewest sequences, is as few as the fewest for all."""
+    import random
+
+    from lexigrove.llm.packing import reduce_dominated
+
+    def fewest(items, c):
+        best = [len(items)]
+
+        def go(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for room in set(bins):
+                if room + items[i] <= c:
+                    k = bins.index(room)
+                    go(i + 1, [*bins[:k], room + items[i], *bins[k + 1 :]])
+            go(i + 1, [*bins, items[i]])
+
+        go(0, [])
+        return best[0]
+
+    threes = 0
+    for seed in range(400):
+        r = random.Random(seed)
+        c = r.choice([20, 50, 100])
+        items = sorted((r.randint(r.choice([1, c // 6, c // 5]), c) for _ in range(r.randint(0, 9))), reverse=True)
+        fixed, left = reduce_dominated(collections.Counter(items), c)
+        threes += any(sum(m for _, m in own) > 2 for _, own in fixed)
+        rest = sorted((x for x, m in left.items() for _ in range(m)), reverse=True)
+        assert sum(n for n, _ in fixed) + fewest(rest, c) == fewest(items, c)
+    assert threes
+
+
+def test_regression_follows_the_regularised_leader():
+    """Against the update written out for one weight at a time."""
+    import math
+
+    from lexigrove.llm import linear
+
+    np = linear.np
+    r = np.random.default_rng(3)
+    examples = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(0, 3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.7
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+    weight = lambda i, k: 0.0 if abs(z[i][k]) <= l1 else -(z[i][k] - math.copysign(l1, z[i][k])) / ((beta + math.sqrt(n[i][k])) / alpha + l2)
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for at in order.permutation(len(examples)):
+            f, v, y = examples[at]
+            odds = [sum(x * weight(i, k) for i, x in zip(f, v, strict=True)) for k in range(3)]
+            p = [math.exp(o) / sum(map(math.exp, odds)) for o in odds]
+            now = {(i, k): weight(i, k) for i in f for k in range(3)}
+            for i, x in zip(f, v, strict=True):
+                for k in range(3):
+                    g = (p[k] - (k == y)) * x
+                    z[i][k] += g - (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / alpha * now[i, k]
+                    n[i][k] += g * g
+    got = linear.ftrl(examples, 3, 12, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got, [[weight(i, k) for k in range(3)] for i in range(12)]) and (got == 0).any()
+
+
+def test_samples_of_huge_tables_are_not_empty(spark):
+    """600 of 1e10 rows: as many of a million hashes fall under a share that is as much larger."""
+    from lexigrove.llm.base import drawn
+
+    assert spark.range(1000).where(drawn(2.0, "id")).count() == 1000
+    n = spark.range(1_000_000).where(drawn(600 / 1e6, "id", F.lit("x"))).count()
+    assert 450 < n < 750
+    plan = spark.range(5).where(drawn(600 / 1e10, "id"))._jdf.queryExecution().analyzed().toString()
+    assert str(int(600 / 1e10 * 2**63)) in plan and int(600 / 1e10 * 2**63) > 0
+
+
 def test_language_and_quality(spark):
     from lexigrove.llm import language_id, quality
 
