@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import difflib
-import html as _html
 import re
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import py_folded
@@ -27,7 +27,7 @@ def html_escape(text: Column) -> Column:
     return text
 
 
-#: Extensions that settle a document's type.
+# Fixed values, needed for equal results: what an extension says of a document's type, and the words that speak for one.
 BY_EXTENSION = {
     "email": "eml msg mbox",
     "ebook": "epub mobi azw3 fb2",
@@ -38,39 +38,59 @@ BY_EXTENSION = {
     "video": "mp4 mov mkv webm avi m4v",
     "code": "rs py js ts tsx jsx go java kt swift c cpp h hpp rb php lua sh bash zsh sql graphql svelte vue",
 }
-#: Words that speak for a type, and how many of them it takes; in this order.
-SIGNALS = (
-    ("invoice", 3, ("invoice", "rechnung", "amount due", "vat", "subtotal", "mwst", "pay by", "billing")),
-    ("contract", 4, ("agreement", "contract", "vertrag", "party", "hereby", "shall", "termination", "liability", "clause")),
-    ("letter", 2, ("dear ", "sincerely", "kind regards", "sehr geehrte", "mit freundlichen", "yours ")),
-    ("form", 2, ("signature:", "name:", "date:", "address:", "please tick", "applicant", "unterschrift")),
-    ("specification", 3, ("specification", "requirement", "revision", "appendix", "scope", "anforderung")),
+SIGNALS = {
+    "invoice": "invoice|rechnung|faktura|bill to|due date|payment|total amount|subtotal|tax|vat|invoice number|rechnungsnummer|fällig",
+    "contract": "agreement|contract|vertrag|vereinbarung|party|parties|whereas|hereby|obligations|termination|governing law|jurisdiction|shall|binding|effective date",
+    "letter": "dear |sincerely|regards|yours|to whom|re:|subject:|sehr geehrte|mit freundlichen|hochachtungsvoll",
+    "form": "please fill|check box|checkbox|signature:|date:|name:|address:|applicant|application form|formular|ausfüllen|unterschrift",
+    "specification": "specification|requirements|scope|revision|version history|table of contents|appendix|spezifikation|anforderung|lastenheft|pflichtenheft",
+    "report": "executive summary|conclusion|findings|methodology|results|analysis|recommendation|zusammenfassung|ergebnis|empfehlung",
+    "article": "abstract|introduction|references|bibliography|doi:|issn|journal|published|peer-reviewed",
+}
+
+
+@dataclass(frozen=True)
+class TypeRule:
+    """A type, the signals it takes, when else it counts (SQL over low, size and pages), and what it turns to when."""
+
+    kind: str
+    need: int
+    only: str = "true"
+    turns: str | None = None
+    when: str = "false"
+
+
+#: In this order; the first that holds settles the type.
+TYPE_RULES = (
+    TypeRule("invoice", 3, turns="receipt", when="size < 500 or contains(low, 'receipt') or contains(low, 'quittung')"),
+    TypeRule("contract", 4),
+    TypeRule("letter", 2, turns="memo", when="size < 2000 or contains(low, 'memo')"),
+    TypeRule("form", 2),
+    TypeRule("specification", 3),
+    TypeRule("report", 2, only="pages >= 5 or size > 10000"),
+    TypeRule("article", 2),
 )
-REPORT_SIGNALS = ("summary", "conclusion", "findings", "method", "results", "recommendation", "ergebnis")
-ARTICLE_SIGNALS = ("abstract", "introduction", "references", "doi:", "journal", "published")
+SHORTEST, LONG, MANY_PAGES = 50, 5000, 3
+
 
+def doctype_sql(count: str) -> str:
+    """The type as one SQL expression over ext, low (the text in lower case), size (its bytes) and pages.
 
-def _signals(text: Column, words: tuple[str, ...]) -> Column:
-    return sum((text.contains(w).cast("int") for w in words), F.lit(0))
+    count: how the dialect counts the words of a list that low contains, with {words} for a comma-joined list.
+    """
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    cases = [f"when ext in ({quoted(names.split())}) then '{kind}'" for kind, names in BY_EXTENSION.items()] + [f"when size < {SHORTEST} then 'unknown'"]
+    for r in TYPE_RULES:
+        holds = f"({r.only}) and {count.format(words=quoted(SIGNALS[r.kind].split('|')))} >= {r.need}"
+        cases += [f"when {holds} and ({r.when}) then '{r.turns}'"] if r.turns else []
+        cases.append(f"when {holds} then '{r.kind}'")
+    return f"case {' '.join(cases)} when pages >= {MANY_PAGES} or size > {LONG} then 'report' else 'unknown' end"
 
 
-def doctype(ext: Column, text: Column, pages: Column) -> Column:
-    """The document's type: by its extension, or by how many signal words its text has."""
-    low, size, ext = F.lower(text), F.octet_length(text), F.lower(ext)
-    out = None
-    for kind, names in BY_EXTENSION.items():
-        out = (F if out is None else out).when(ext.isin(names.split()), kind)
-    out = out.when(size < 50, "unknown")
-    for kind, need, words in SIGNALS:
-        hit = _signals(low, words) >= need
-        if kind == "invoice":
-            out = out.when(hit & ((size < 500) | low.contains("receipt") | low.contains("quittung")), "receipt")
-        if kind == "letter":
-            out = out.when(hit & ((size < 2000) | low.contains("memo")), "memo")
-        out = out.when(hit, kind)
-    out = out.when(((F.coalesce(pages, F.lit(0)) >= 5) | (size > 10000)) & (_signals(low, REPORT_SIGNALS) >= 2), "report")
-    out = out.when(_signals(low, ARTICLE_SIGNALS) >= 2, "article")
-    return out.when((F.coalesce(pages, F.lit(0)) >= 3) | (size > 5000), "report").otherwise("unknown")
+def doctypes(docs: DataFrame, ext: str, text: str, pages: str, *keep: str) -> DataFrame:
+    """(keep, doctype): each document's type, by its extension or by how many signal words its text has."""
+    seen = docs.select(*keep, F.lower(ext).alias("ext"), F.lower(text).alias("low"), F.octet_length(text).alias("size"), F.coalesce(pages, F.lit(0)).alias("pages"))
+    return seen.select(*keep, F.expr(doctype_sql("size(filter(array({words}), w -> contains(low, w)))")).alias("doctype"))
 
 
 def _digit_sum(word: Column, odd: int, even: int) -> Column:
@@ -126,60 +146,47 @@ def backoff(previous: Column, failed: Column, least: int = 60, most: int = 3600)
     return F.when(failed == 0, least).otherwise(F.least(F.greatest(previous, F.lit(least)) * 2, F.lit(most)))
 
 
-# Python, a batch at a time.
+#: Stand for the tags of a mark while its text is escaped; of no use in texts, which lose them.
+_ON, _OFF = "\ue000", "\ue001"
 
 
-def snippet_of(body: str, terms: list[str], window: int = WINDOW) -> str | None:
-    """The window around the first term, escaped, with all terms in it marked."""
-    if not body or body.isspace():
-        return None
-    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in body)
-    terms = sorted({t for t in terms if t}, key=len, reverse=True)
-    first = min((p for t in terms if (p := low.find(t)) >= 0), default=None)
-    begin, end = 0, min(window, len(body))
-    if first is not None:
-        begin = max(first - window // 3, 0)
-        end = min(begin + window, len(body))
-        if end == len(body):
-            begin = max(len(body) - window, 0)
-        begin, end = min(begin, first), max(end, min(first + 1, len(body)))
-    out, i = ["…"] if begin else [], begin
-    while i < end:
-        term = next((t for t in terms if i + len(t) <= end and low.startswith(t, i)), None)
-        piece = body[i : i + len(term)] if term else body[i]
-        shown = _html.escape(piece).replace("&#x27;", "&#39;")
-        out.append(f"<mark>{shown}</mark>" if term else shown)
-        i += len(piece)
-    return "".join(out) + ("…" if end < len(body) else "")
+def snippet(text: Column, query: str, window: int = WINDOW) -> Column:
+    """The window around the first of the query's words, a third of it before, escaped, with all words marked; null for blank texts."""
+    text = F.translate(text, _ON + _OFF, "")
+    terms = sorted({t for t in re.findall(r"\w+", query) if len(t) > 1}, key=lambda t: (-len(t), t))
+    pattern = "(?iu)" + "|".join(re.escape(t) for t in terms) if terms else r"(?!)"
+    size = F.length(text)
+    first = F.length(F.split(text, pattern, 2)[0])
+    around = F.greatest(first - window // 3, F.lit(0))
+    around = F.when(around + window >= size, F.greatest(size - window, F.lit(0))).otherwise(around)
+    begin = F.when(text.rlike(pattern), F.least(around, first)).otherwise(F.lit(0))
+    piece = F.substr(text, begin + 1, F.lit(window))
+    marked = html_escape(F.regexp_replace(piece, pattern, f"{_ON}$0{_OFF}"))
+    marked = F.replace(F.replace(marked, F.lit(_ON), F.lit("<mark>")), F.lit(_OFF), F.lit("</mark>"))
+    return F.when(text.rlike(r"\S"), F.concat(F.when(begin > 0, "…").otherwise(""), marked, F.when(begin + window < size, "…").otherwise("")))
+
+
+def summary(text: Column, most: int = 300, sentences: int = 3, shortest: int = 50) -> Column:
+    """The first sentences, until they have ``most`` bytes, cut at a word; null for texts that say too little."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]|[^.!?]+\z"), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parts = F.slice(F.filter(parts, lambda x: F.length(x) > 0), 1, sentences)
+    grown = F.aggregate(parts, F.lit(""), lambda out, x: F.when(F.octet_length(out) >= most, out).when(out == "", x).otherwise(F.concat_ws(" ", out, x)))
+    # Words are taken while they and the space behind them fit; a single word that does not is cut by letters.
+    none = F.struct(F.lit("").alias("out"), F.lit(True).alias("open"))
+
+    def take(state: Column, word: Column) -> Column:
+        longer = F.when(state["out"] == "", word).otherwise(F.concat_ws(" ", state["out"], word))
+        fits = state["open"] & (F.octet_length(longer) < most)
+        return F.struct(F.when(fits, longer).otherwise(state["out"]).alias("out"), fits.alias("open"))
+
+    whole = F.aggregate(F.split(grown, " "), none, take)["out"]
+    letters = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: F.octet_length(F.substr(grown, F.lit(1), k)) <= most))
+    cut = F.when(F.octet_length(whole) > 0, whole).otherwise(F.substr(grown, F.lit(1), letters))
+    out = F.when(F.octet_length(grown) <= most, grown).otherwise(F.concat(cut, F.lit("…")))
+    return F.when((F.octet_length(text) >= shortest) & (F.octet_length(grown) >= 30), out)
 
 
-def snippet(text: Column, query: str, window: int = WINDOW) -> Column:
-    terms = [t.lower() for t in re.findall(r"\w+", query) if len(t) > 1]
-    return F.pandas_udf(lambda s: s.map(lambda b: snippet_of(b or "", terms, window)), "string")(text)
-
-
-def summary_of(text: str, most: int = 300) -> str | None:
-    """The first three sentences, cut at a word; sizes are in bytes of UTF-8."""
-    if len(text.encode()) < 50:
-        return None
-    parts: list[str] = []
-    for part in re.findall(r"[^.!?]*[.!?]|[^.!?]+$", text):
-        if part.strip():
-            parts.append(part.strip())
-        if len(parts) == 3 or len(" ".join(parts).encode()) >= most:
-            break
-    out = " ".join(parts).strip()
-    raw = out.encode()
-    if len(raw) < 30:
-        return None
-    if len(raw) <= most:
-        return out
-    cut = raw[:most].decode(errors="ignore")
-    return (cut[: cut.rfind(" ")] if " " in cut else cut) + "…"
-
-
-def summary(text: Column, most: int = 300) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: summary_of(t or "", most)), "string")(text)
+# Python, a batch at a time.
 
 
 def word_diff(a: str, b: str) -> dict:
@@ -227,32 +234,6 @@ def plain(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def find_passage(document: str, passage: str, least: float = 0.82) -> tuple[int, int, float, str] | None:
-    """(start, end, score, method) of passage in document: as it is, normalised, or as the most similar window."""
-    wanted = passage.strip()
-    if not wanted or not document:
-        return None
-    if (at := document.find(wanted)) >= 0:
-        return at, at + len(wanted), 1.0, "exact"
-    (text, place), (need, _) = plain(document), plain(wanted)
-    if not need:
-        return None
-    if (at := text.find(need)) >= 0:
-        return place[at], place[at + len(need) - 1] + 1, 1.0, "normalized"
-    anchor = max((w for w in need.split(" ") if len(w) >= 5), key=len, default=None)
-    starts: list[int] = []
-    if anchor:
-        slack, lead = max(len(need) // 4, 16), need.find(anchor)
-        for hit in [m.start() for m in re.finditer(re.escape(anchor), text)][:64]:
-            starts += [max(hit - lead + d, 0) for d in (-slack, -slack // 2, 0, slack // 2, slack)]
-    starts = starts or list(range(0, max(len(text) - len(need), 0) + 1, max(len(need) // 4, 1)))
-    best = max(((difflib.SequenceMatcher(None, text[s : s + len(need)], need, autojunk=False).ratio(), -s) for s in starts), default=(0.0, 0))
-    if best[0] < least:
-        return None
-    s = -best[1]
-    return place[s], place[min(s + len(need), len(text)) - 1] + 1, best[0], "fuzzy"
-
-
 def merge_spans(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """Overlapping or touching spans as one, with the best score."""
     out: list[tuple[int, int, float]] = []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.session import checkpointed
+
 #: Sort keys of the browser; unknown values come last both ways.
 SORTS = ("filename", "title", "author", "year", "language", "indexed_at", "parent_dir")
 
@@ -82,9 +86,13 @@ def search_facets(matches: DataFrame, top: int = 25) -> DataFrame:
 
 
 def groups_of(docs: DataFrame, key: Column, member: str, least: int = 2) -> DataFrame:
-    """(key, n, members sorted) of every key that at least ``least`` documents share."""
-    rows = docs.select(key.alias("key"), member).where("key <> ''")
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(member)).alias("members")).where(F.col("n") >= least)
+    """(key, n, first, member): a row for each document of every key that at least ``least`` documents share.
+
+    Only counts and the first member are combined by key, so a key of very many documents is in no single row.
+    """
+    rows = docs.select(key.alias("key"), F.col(member).alias("member")).where("key <> ''")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("first")).where(F.col("n") >= least)
+    return rows.join(shared, "key").select("key", "n", "first", "member")
 
 
 def folder_children(docs: DataFrame, parent: str, path: str = "parent_dir") -> DataFrame:
@@ -107,21 +115,33 @@ def entity_graph(docs: DataFrame, prefixes: tuple[str, ...] = ("person:", "org:"
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
-def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int = 8, bands: int = 16) -> DataFrame:
-    """Pairs (a, b, distance) of 64-bit hashes that differ in at most ``most`` bits.
+#: Bits of the three parts of a hash.
+PARTS = ((0, 22), (22, 21), (43, 21))
+
+
+def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int = 8) -> DataFrame:
+    """Pairs (a, b, distance) of 64-bit hashes that differ in at most ``most`` bits (8 at most).
 
-    Two hashes that differ in fewer bits than there are bands agree in a band, so bands are equi-join keys and nothing is
-    missed. Equal hashes join as one row.
+    In one of three parts two such hashes differ in no more than most // 3 bits. So parts are the join keys, as they are
+    and with single bits turned on one or both sides, and nothing is missed; of random hashes one pair in some thousands
+    meets. Equal hashes join as one row.
     """
-    if most >= bands:
-        raise ValueError("needs more bands than differing bits")
-    width = 64 // bands
+    if not 0 <= most <= 8:
+        raise ValueError("at most 8 bits may differ")
     one = rows.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("k"))
-    banded = one.select("h", "k", F.posexplode(F.array(*(F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(bands)))).alias("band", "part"))
-    x, y = banded.alias("x"), banded.alias("y")
+
+    def keyed(turned: bool) -> DataFrame:
+        keys = []
+        for i, (low, width) in enumerate(PARTS):
+            part = F.shiftrightunsigned("h", low).bitwiseAND(F.lit((1 << width) - 1))
+            for mask in [0, *((1 << j) for j in range(width))] if turned else [0]:
+                keys.append(F.struct(F.lit(i).alias("i"), part.bitwiseXOR(F.lit(mask)).alias("part")))
+        return one.select("h", "k", F.inline(F.array(*keys)))
+
+    x, y = keyed(most >= 3).alias("x"), keyed(most >= 6).alias("y")
     differ = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.k") < F.col("y.k")) & (differ <= most))
-    return met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), differ.alias("distance")).distinct()
+    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.k") != F.col("y.k")) & (differ <= most))
+    return met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), differ.alias("distance")).distinct()
 
 
 def clusters(rows: DataFrame, key: str, vector: str, k: int, rounds: int = 20, seed: int = 42) -> DataFrame:
@@ -166,14 +186,32 @@ def retrieval_metrics(runs: DataFrame, judgments: DataFrame, k: int) -> DataFram
     return out.select("query_id", "relevant", "unjudged", r6(F.col("hits") / k).alias("precision"), r6(F.col("hits") / F.col("relevant")).alias("recall"), r6(F.col("dcg") / F.col("idcg")).alias("ndcg"), r6("mrr").alias("mrr"))
 
 
-def nearest_rank(rows: DataFrame, value: str, *fractions: float) -> DataFrame:
-    """Nearest-rank percentiles: (fraction, value)."""
-    out = None
-    counted = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    places = counted.select(value, upto.alias("upto"), whole.alias("total"))
+def nearest_rank(rows: DataFrame, value: str, *fractions: float, ranges: int = 1000) -> DataFrame:
+    """Nearest-rank percentiles: (fraction, value). Ranges of about equal size find the value's range, counts inside it the value."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("value"))
+    edges = known.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first().q or []
+    edges = sorted(set(edges))
+    place = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e < F.col("value"))) if edges else F.lit(0)
+    counted = checkpointed(known.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("range", place))
+    held = {r["range"]: r.n for r in counted.groupBy("range").agg(F.sum("n").alias("n")).collect()}  # ``ranges`` rows at most
+    total, out = sum(held.values()), None
     for f in fractions:
-        one = places.where(F.col("upto") >= F.greatest(F.ceil(F.col("total") * f), F.lit(1))).agg(F.min(value).alias("value")).select(F.lit(f).alias("fraction"), "value")
+        left, at = max(math.ceil(total * f), 1), None
+        for at in sorted(held):
+            if held[at] >= left:
+                break
+            left -= held[at]
+        inside = counted.where(F.col("range") == F.lit(at))
+        upto = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        one = inside.withColumn("upto", upto).where(F.col("upto") >= left).agg(F.min("value").alias("value")).select(F.lit(f).alias("fraction"), "value")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def placed(rows: DataFrame, bucket: Column, order: tuple) -> DataFrame:
+    """rows with their place in a global order; bucket must ascend along it. Only counts of buckets are in one task."""
+    keyed = rows.withColumn("_b", bucket)
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return inside.join(before, F.col("_b").eqNullSafe(F.col("_c"))).withColumn("place", F.col("_before") + F.col("_i")).drop("_b", "_c", "_i", "_before")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexigrove.session import checkpointed
 
 #: Weight of rank r in a fused list is 1 / (RRF + r).
 RRF = 60
@@ -52,7 +57,8 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int, block: int = 1024) -> D
     """(query_id, id, score, rank): for each of queries (id, vector) the n nearest of rows (id, vector) by cosine score.
 
     Vectors are packed to blocks of ``block`` rows, every block of queries meets every block of rows as two matrices, and
-    each such meeting hands on n rows a query at most. Rows with the query's own id are left out.
+    each such meeting hands on n rows a query at most. Rows with the query's own id are left out. Work is queries times
+    rows, the price of an exact answer: for large batches of queries over many rows there is ``VectorIndex``.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -105,33 +111,60 @@ def fuse(lanes: dict[str, DataFrame], key: str, n: int | None = None) -> DataFra
     return top(fused, n, F.desc("score"), F.asc(key)) if n else fused
 
 
+#: Most rows that a reranker sees at once.
+PAGE = 1000
+
+
 def rerank(rows: DataFrame, score: str, place: str) -> DataFrame:
-    """Scored rows first, by score; those without (or NaN) keep their order behind them."""
+    """Scored rows first, by score; those without (or NaN) keep their order behind them. rows: a page of results."""
+    if rows.limit(PAGE + 1).count() > PAGE:
+        raise ValueError(f"reranking takes {PAGE} rows at most")
     none = F.col(score).isNull() | F.isnan(score)
     w = Window.orderBy(none, F.when(~none, F.col(score)).desc_nulls_last(), place)
     return rows.withColumn("new_rank", F.row_number().over(w))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\f\r")] = True
+
+
 def chunks(docs: DataFrame, text: str, size: int, shared: int, *keep: str) -> DataFrame:
     """Windows of ``size`` words, each ``shared`` words into the one before: (keep, chunk_index, start_byte, end_byte, chunk).
 
-    The last windows may hold words of the ones before only, as a window begins at every step within the text.
+    The last windows may hold words of the ones before only, as a window begins at every step within the text. Words are
+    found in the bytes of a whole batch, so a document costs time in proportion to its length.
     """
     step = max(size - shared, 1)
-    word = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\f\r]+"), F.lit(0))
-    gap = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[ \t\n\f\r]+|\z"), F.lit(0))
-    base = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_t"), word.alias("_w"), gap.alias("_g")).where(F.size("_w") > 0)
-    lead = F.octet_length(F.regexp_extract("_t", r"^[ \t\n\f\r]+", 0))
-    inner = F.when(lead > 0, F.slice("_g", 2, F.greatest(F.size("_g"), F.lit(1)))).otherwise(F.col("_g"))
-    base = base.withColumn("_gap", F.transform(inner, F.octet_length)).withColumn("_len", F.transform("_w", F.octet_length)).withColumn("_lead", lead)
-    at = F.posexplode(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))).alias("chunk_index", "_first")
-    out = base.select(*keep, "_t", "_w", "_gap", "_len", "_lead", at)
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
-    last = F.least(F.col("_first") + size, F.size("_w"))
-    begin = F.col("_lead") + total("_len", F.col("_first")) + total("_gap", F.col("_first"))
-    end = F.col("_lead") + total("_len", last) + total("_gap", last - 1)
-    out = out.select(*keep, "chunk_index", begin.alias("start_byte"), end.alias("end_byte"), "_t")
-    return out.select(*keep, "chunk_index", "start_byte", "end_byte", F.decode(F.substr(F.encode("_t", "UTF-8"), F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")), "UTF-8").alias("chunk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, index, begins, ends, out, held = [], [], [], [], [], 0
+
+            def done() -> pa.RecordBatch:
+                own = [batch.column(c).take(pa.array(rows, pa.int32())) for c in range(len(keep))]  # noqa: B023  called in the same turn
+                return pa.RecordBatch.from_arrays([*own, pa.array(index, pa.int32()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(out, pa.string())], [*keep, "chunk_index", "start_byte", "end_byte", "chunk"])  # noqa: B023
+
+            for r in range(batch.num_rows):
+                raw = (batch.column(len(keep))[r].as_py() or "").encode()
+                word = ~_BLANK[np.frombuffer(raw, np.uint8)]
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+                first, last = edge[::2], edge[1::2]
+                for k, i in enumerate(range(0, len(first), step)):
+                    a, b = int(first[i]), int(last[min(i + size, len(last)) - 1])
+                    rows.append(r)
+                    index.append(k)
+                    begins.append(a)
+                    ends.append(b)
+                    out.append(raw[a:b].decode())
+                    held += b - a
+                    if held > 8 << 20:
+                        yield done()
+                        rows, index, begins, ends, out, held = [], [], [], [], [], 0
+            yield done()
+
+    base = docs.select(*keep, F.col(text).alias("_t"))
+    kinds = T.StructType([*base.schema.fields[:-1], T.StructField("chunk_index", T.IntegerType()), T.StructField("start_byte", T.IntegerType()), T.StructField("end_byte", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    return base.mapInArrow(run, kinds)
 
 
 def best_passage(passages: DataFrame, terms: list[str], text: Column, *key: str) -> DataFrame:
@@ -157,17 +190,22 @@ def windows_of_pages(docs: DataFrame, key: str, text: str, size: int = 1600, ste
     return out.where(F.length(F.trim("passage")) > 0)
 
 
-#: English and German words that carry no question.
+# Fixed values, needed for equal results: English and German words that carry no question.
 STOP = tuple("a an the is are was were what which how why where when who do does did of to in on for and or this that me my please der die das ein eine einer eines ist sind war waren was wie welche welcher welches von zu im am und oder bitte".split())
 
 
 def passage_bm25(passages: DataFrame, words: list[str], text: str, n: int, *key: str) -> DataFrame:
-    """The n passages that answer words best: (key, score, rank), score over 0. Statistics cover all passages."""
+    """The n passages that answer words best: (key, score, rank), score over 0. Statistics cover all passages.
+
+    Words are counted by regular expressions in the text itself, and the counts are written, so texts are read once.
+    """
     words = [w for w in dict.fromkeys(w.lower() for w in words) if w not in STOP]
-    toks = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0)), lambda w: ~w.isin(*STOP))
-    base = passages.select(*key, toks.alias("_t"))
-    counts = [F.size(F.filter("_t", lambda x: x == w)).alias(f"_c{i}") for i, w in enumerate(words)]
-    base = base.select(*key, F.size("_t").alias("_n"), *counts)
+    letter = r"[\p{L}\p{N}\p{M}]"
+    whole = lambda ws: F.lit(rf"(?<!{letter})(?:{'|'.join(map(re.escape, ws))})(?!{letter})")
+    low = F.lower(text)
+    counts = [F.regexp_count("_l", whole([w])).alias(f"_c{i}") for i, w in enumerate(words)]
+    base = passages.select(*key, low.alias("_l")).select(*key, (F.regexp_count("_l", F.lit(rf"{letter}+")) - F.regexp_count("_l", whole(STOP))).alias("_n"), *counts)
+    base = checkpointed(base)
     row = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("mean"), *(F.count(F.when(F.col(f"_c{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)
     for i in range(len(words)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.session import checkpointed
+
 POLICIES = ("newest_wins", "local_wins", "remote_wins", "keep_both", "manual")
 
 
@@ -84,16 +86,34 @@ def delta_summary(local: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return out.select(key, "blocks", "changed", "bytes", F.round(F.when(F.col("size") > 0, 1 - F.col("bytes") / F.col("size")).otherwise(1.0), 6).alias("savings"))
 
 
-def retention(docs: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+#: Most rules of a set.
+MOST_RULES = 1000
+
+
+def retention(docs: DataFrame, rules: list[tuple] | DataFrame, now: int) -> DataFrame:
     """(id, rule, action) of the first rule, by its number, that has one; in a rule deletion goes before archiving.
 
-    rules: (rule, match_type: folder or tag, match_value, archive_days, delete_days, enabled), a handful of rows.
+    rules: (rule, match_type: folder or tag, match_value, archive_days, delete_days, enabled). They become one column, so
+    each document is looked at once and nothing is joined.
     """
+    if isinstance(rules, DataFrame):
+        rules = [tuple(r) for r in rules.select("rule", "match_type", "match_value", "archive_days", "delete_days", "enabled").limit(MOST_RULES + 1).collect()]
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     age = F.expr(f"({now} - indexed_at) div 86400000")
-    fits = F.when(F.col("match_type") == "folder", F.col("parent_dir").contains(F.col("match_value"))).when(F.col("match_type") == "tag", F.expr("array_contains(tags, match_value)")).otherwise(False)
-    action = F.when(age >= F.col("delete_days"), "delete").when(age >= F.col("archive_days"), "archive")
-    hit = docs.join(F.broadcast(rules.where("enabled")), fits).select("owner_id", "id", "rule", action.alias("action")).where("action is not null")
-    return hit.groupBy("owner_id", "id").agg(F.min(F.struct("rule", "action")).alias("a")).select("id", "a.rule", "a.action")
+    hits = []
+    for rule, kind, value, archive, delete, enabled in sorted(rules, key=lambda r: r[0]):
+        if not enabled or kind not in ("folder", "tag"):
+            continue
+        fits = F.col("parent_dir").contains(value) if kind == "folder" else F.array_contains("tags", value)
+        action = F.when(age >= delete, "delete") if delete is not None else F
+        action = action.when(age >= archive, "archive") if archive is not None else action
+        if action is not F:
+            hits.append(F.when(fits & action.isNotNull(), F.struct(F.lit(rule).alias("rule"), action.alias("action"))))
+    if not hits:
+        return docs.select("id", F.lit(0).alias("rule"), F.lit("").alias("action")).limit(0)
+    found = docs.select("owner_id", "id", F.coalesce(*hits).alias("a")).where("a is not null")
+    return found.groupBy("owner_id", "id").agg(F.min("a").alias("a")).select("id", "a.rule", "a.action")
 
 
 def automation(files: DataFrame, rules: list[dict], match_all: bool = False) -> DataFrame:
@@ -139,31 +159,50 @@ def latest(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def running(rows: DataFrame, order: tuple[str, ...], totals: dict[str, str], group: str | None = None) -> DataFrame:
+    """rows with, for each of totals (new column: summed column), the sum over all rows before in order, or of the group's.
+
+    Rows are dealt to ranges of the order and written, so that every row's range is settled; sums of ranges come before
+    windows inside ranges, and no task sees more than a range.
+    """
+    keys = [group, *order] if group else [*order]
+    ranged = checkpointed(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    by = [group] if group else []
+    sums = ranged.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in totals.items()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select(*(F.col(c).alias("_group") for c in by), F.col("_part").alias("_range"), *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for n, c in totals.items():
+        ranged = ranged.withColumn(n, F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    on = F.col("_part") == F.col("_range")
+    on = on & F.col(group).eqNullSafe(F.col("_group")) if group else on
+    return ranged.join(sums, on).select(*rows.columns, *((F.col(n) + F.col(f"_b_{n}")).alias(n) for n in totals))
+
+
 def purge(docs: DataFrame, most: int, size: str = "size", heavy: str = "heavy") -> DataFrame:
     """(id, action): oldest documents lose their heavy columns, and if that is too little go, until the rest fits."""
-    w = Window.orderBy("indexed_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(F.lit(1))
-    over = F.greatest(F.sum(size).over(total) - most, F.lit(0))
-    freed = F.coalesce(F.sum(heavy).over(w), F.lit(0))
-    rows = docs.select("id", "indexed_at", size, heavy, over.alias("over"), freed.alias("freed"), F.sum(heavy).over(total).alias("all_heavy"))
-    light = F.col(size) - F.col(heavy)
-    rows = rows.withColumn("still", F.greatest(F.col("over") - F.col("all_heavy"), F.lit(0))).withColumn("gone", F.coalesce(F.sum(light).over(w), F.lit(0)))
-    action = F.when((F.col("still") > 0) & (F.col("gone") < F.col("still")), "delete").when(F.col("freed") < F.col("over"), "strip").otherwise("keep")
+    all_ = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("size"), F.coalesce(F.sum(heavy), F.lit(0)).alias("heavy")).first()
+    over = max(all_["size"] - most, 0)
+    still = max(over - all_["heavy"], 0)
+    rows = docs.select("id", "indexed_at", F.col(heavy).alias("h"), (F.col(size) - F.col(heavy)).alias("light"))
+    rows = running(rows, ("indexed_at", "id"), {"freed": "h", "gone": "light"})
+    action = F.when(F.col("gone") < still, "delete").when(F.col("freed") < over, "strip").otherwise("keep")
     return rows.select("id", action.alias("action"))
 
 
 def shards(files: DataFrame, n: int) -> DataFrame:
-    """(group, path, shard): each group's files in path order; on to the next shard when one holds its share, the last takes the rest."""
-    import pandas as pd
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("path")
-        share, shard, held, out = part["size"].sum() / n, 0, 0, []
-        for size in part["size"]:
-            if held >= share and shard < n - 1:
-                shard, held = shard + 1, 0
-            out.append(shard)
-            held += size
-        return pd.DataFrame({"group": part["group"], "path": part["path"], "shard": out})
-
-    return files.groupBy("group").applyInPandas(fill, "group string, path string, shard int")
+    """(group, path, shard): each group's files in path order; on to the next shard when one holds its share, the last takes the rest.
+
+    Sums over ranges tell where a file begins in its group. Where a shard ends is the first such sum that is a share
+    behind where it began: n - 1 aggregates of one row a group.
+    """
+    totals = files.groupBy(F.col("group").alias("_g")).agg((F.sum("size") / n).alias("share"), F.lit(0).cast("bigint").alias("end0"))
+    begun = checkpointed(running(files.select("group", "path", "size"), ("path",), {"begin": "size"}, "group").withColumn("upto", F.col("begin") + F.col("size")))
+    ends = totals
+    for k in range(1, n):
+        on = begun["group"].eqNullSafe(ends["_g"]) & (F.col("upto") >= F.col(f"end{k - 1}") + F.col("share"))
+        last = begun.join(ends, on).groupBy(F.col("group").alias("_h")).agg(F.min("upto").alias(f"end{k}"))
+        ends = ends.join(last, F.col("_g").eqNullSafe(F.col("_h")), "left").drop("_h")
+    passed = sum((F.coalesce((F.col("begin") >= F.col(f"end{k}")).cast("int"), F.lit(0)) for k in range(1, n)), F.lit(0))
+    shard = F.when(F.col("share") > 0, passed).otherwise(F.lit(0))
+    return begun.join(ends, F.col("group").eqNullSafe(F.col("_g"))).select("group", "path", shard.alias("shard"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrove.corpus import LIB, library, table
+from lexigrove.corpus import FIELDS, LIB, TOK, library, table, text_index
 from lexigrove.operators import browse as B
+from lexigrove.operators import complete as C
+from lexigrove.operators import records as K
 from lexigrove.operators import sync as S
 from lexigrove.registry import query
 
@@ -57,44 +59,48 @@ def keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.keyset_page(library(spark, sf_dir).select("indexed_at", "owner_id", "id"), (1620000000000, "src3", "5"), 25)
 
 
-@query("r19_complete_matches", f"with {LIB} select owner_id, id, year, row_number() over (order by year is null, year desc, owner_id, id) as place from lib where contains(lower(body), 'heon')")
+_COMPLETE = f"with {LIB}, {TOK}, m as (select * from lib where id in (select id from tok where t = 'thon') and id not in (select id from tok where t = 'was'))"
+
+
+def _complete(spark: SparkSession, sf_dir: str) -> C.Complete:
+    return C.Complete(text_index(spark, sf_dir), library(spark, sf_dir), "thon NOT was", FIELDS, ("owner_id", "id"))
+
+
+@query("r19_complete_matches", f"{_COMPLETE} select owner_id, id, year, row_number() over (order by year is null, year desc, owner_id, id) as place from m")
 def complete_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = library(spark, sf_dir).where(F.lower("body").contains("heon")).select("owner_id", "id", "year")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("year").isNull(), F.desc("year"), "owner_id", "id")))
+    return _complete(spark, sf_dir).ranked("year_desc").select("owner_id", "id", "year", "place")
 
 
-@query("r20_complete_page", f"with {LIB} select owner_id, id, filename, title from lib order by lower(filename), owner_id, id limit 40")
+@query("r20_complete_page", f"{_COMPLETE} select owner_id, id, filename, title from m where (lower(filename), owner_id, id) > ('f12.pdf', 'src0', '0') order by lower(filename), owner_id, id limit 40")
 def complete_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library(spark, sf_dir).select("owner_id", "id", "filename", "title").orderBy(F.lower("filename"), "owner_id", "id").limit(40)
+    return _complete(spark, sf_dir).page("filename", 40, ("f12.pdf", "src0", "0")).select("owner_id", "id", "filename", "title")
 
 
 @query("r15_filename_channel", f"with {LIB} select id, filename, 0.4::double as score from lib where lower(filename) like '%12%' order by filename, num limit 12")
 def filename_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library(spark, sf_dir).where(F.lower("filename").like("%12%")).orderBy("filename", "num").limit(12).select("id", "filename", F.lit(0.4).alias("score"))
+    return K.filename_hits(library(spark, sf_dir), "12", 12, "filename", "num").select("id", "filename", "score")
 
 
 @query("r16_translated_snippet", f"with {LIB} select id, case when language = 'de' then substring(body, 1, 400) else title end as snippet from lib")
 def translated_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library(spark, sf_dir).select("id", F.when(F.col("language") == "de", F.substring("body", 1, 400)).otherwise(F.col("title")).alias("snippet"))
+    return K.translated_snippets(library(spark, sf_dir), "language", "body", "title", "de").select("id", "snippet")
 
 
 @query("r30_passages_by_key", "select c.conv_id, c.turn, c.text from conversations c where c.conv_id % 7 = 0 and c.turn = 1 and trim(c.text) <> ''")
 def passages_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    keys = rows.where("conv_id % 7 = 0 and turn = 1").select("conv_id", "turn").distinct()
-    return rows.join(keys, ["conv_id", "turn"]).where("trim(text) <> ''").select("conv_id", "turn", "text")
+    return K.hydrated(rows, rows.where("conv_id % 7 = 0 and turn = 1").select("conv_id", "turn"), "text").select("conv_id", "turn", "text")
 
 
 @query("r31_occurrences", f"with {LIB} select parent_dir, id, source_hash from lib where parent_dir = '/lib/en/src0/d1' or source_hash in (select source_hash from lib where num = 3)")
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = library(spark, sf_dir)
-    same = docs.where("num = 3").select("source_hash").withColumn("same", F.lit(True))
-    return docs.join(same, "source_hash", "left").where("parent_dir = '/lib/en/src0/d1' or same").select("parent_dir", "id", "source_hash")
+    return K.at_location(docs, "/lib/en/src0/d1", docs.where("num = 3")).select("parent_dir", "id", "source_hash")
 
 
 @query("r32_vectors_since", "select vec_id, label from embeddings where 1600000000000 + vec_id * 1000 > 1600000100000 order by vec_id limit 50")
 def vectors_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.lit(1600000000000) + F.col("vec_id") * 1000 > 1600000100000).orderBy("vec_id").limit(50).select("vec_id", "label")
+    return K.newer_vectors(table(spark, sf_dir, "embeddings"), F.lit(1600000000000) + F.col("vec_id") * 1000, 1600000100000, "vec_id", 50).select("vec_id", "label")
 
 
 @query("a1_corpus_stats", f"""with {LIB} select 'documents' as kind, '' as value, count(*) as n from lib union all select 'chunks', '', count(*) from lib union all select 'bytes', '', sum(json_extract_string(metadata_json, '$.fs_size')::bigint)::bigint from lib
@@ -113,12 +119,12 @@ def _facet(kind: str, value: str, missing: str) -> str:
     return f"select '{kind}' as kind, v as value, n, row_number() over (order by n desc, v) as rank, (select count(*) from {kind}_c) as distinct, greatest((select count(*) from {kind}_c) - 25, 0) as omitted, (select count(*) from m where {missing}) as missing from {kind}_c qualify rank <= 25"
 
 
-@query("a3_search_facets", f"with {LIB}, m as (select * from lib where contains(lower(body), 'heon')), extension_c as (select lower(ext) as v, count(*) as n from m where ext <> '' group by 1), language_c as (select language as v, count(*) as n from m where language <> '' group by 1), year_c as (select year::varchar as v, count(*) as n from m where year is not null group by 1), tag_c as (select v, count(*) as n from (select unnest(tags) as v from m) group by 1) {_facet('extension', 'ext', chr(101) + 'xt = ' + repr(''))} union all {_facet('language', '', 'language is null')} union all {_facet('year', '', 'year is null')} union all {_facet('tag', '', 'false')}")
+@query("a3_search_facets", f"{_COMPLETE}, extension_c as (select lower(ext) as v, count(*) as n from m where ext <> '' group by 1), language_c as (select language as v, count(*) as n from m where language <> '' group by 1), year_c as (select year::varchar as v, count(*) as n from m where year is not null group by 1), tag_c as (select v, count(*) as n from (select unnest(tags) as v from m) group by 1) {_facet('extension', 'ext', chr(101) + 'xt = ' + repr(''))} union all {_facet('language', '', 'language is null')} union all {_facet('year', '', 'year is null')} union all {_facet('tag', '', 'false')}")
 def search_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.search_facets(library(spark, sf_dir).where(F.lower("body").contains("heon")))
+    return _complete(spark, sf_dir).facets()
 
 
-@query("a4_url_duplicates", f"with {LIB} select url as key, count(*) as n, list_sort(list(id)) as members from lib where url <> '' group by url having n > 1")
+@query("a4_url_duplicates", f"with {LIB} select url as key, count(*) over w as n, min(id) over w as first, id as member from lib where url <> '' window w as (partition by url) qualify n > 1")
 def url_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.groups_of(library(spark, sf_dir), F.col("url"), "id")
 
@@ -128,7 +134,7 @@ def folder_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.folder_children(library(spark, sf_dir), "/lib/en")
 
 
-@query("a6_exact_groups", f"with {LIB} select source_hash as key, count(*) as n, list_sort(list(id)) as members from lib group by 1 having n > 1")
+@query("a6_exact_groups", f"with {LIB} select source_hash as key, count(*) over w as n, min(id) over w as first, id as member from lib window w as (partition by source_hash) qualify n > 1")
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.groups_of(library(spark, sf_dir), F.col("source_hash"), "id")
 
@@ -149,9 +155,7 @@ def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j9_tag_pairs", f"with {LIB}, t as (select distinct owner_id, id, unnest(tags) as tag from lib) select a.tag as a, b.tag as b, count(*) as n from t a join t b on a.owner_id = b.owner_id and a.id = b.id and a.tag < b.tag group by 1, 2")
 def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = library(spark, sf_dir).select(F.sort_array(F.array_distinct("tags")).alias("ts"))
-    pairs = lists.select(F.posexplode("ts").alias("i", "a"), "ts").select("a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return K.tag_pairs(library(spark, sf_dir))
 
 
 _BITS = "((vec_id // 3) * 2654435761 * 97 + (1::bigint << (vec_id % 23)))"
@@ -186,27 +190,27 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a12_audit_counts", "select event_type as action, count(*) as n, max(event_id) as last from events where event_id >= 100 group by 1")
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id >= 100").groupBy(F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    return K.audit_counts(table(spark, sf_dir, "events"), 100, "event_type", "event_id")
 
 
 @query("a12_audit_page", "select event_id, user_id, event_type from events where event_type = 'click' order by ts desc, event_id desc offset 10 limit 25")
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'click'").orderBy(F.desc("ts"), F.desc("event_id")).offset(10).limit(25).select("event_id", "user_id", "event_type")
+    return K.audit_page(table(spark, sf_dir, "events"), "click", 25, 10, "event_type", key="event_id").select("event_id", "user_id", "event_type")
 
 
 @query("a13_author_counters", "select p_brand as author, count(*) as n from part where contains(lower(p_name), 'a') group by 1")
 def author_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.lower("p_name").contains("a")).groupBy(F.col("p_brand").alias("author")).agg(F.count(F.lit(1)).alias("n"))
+    return K.named_counts(table(spark, sf_dir, "part"), "p_brand", "a", "p_name")
 
 
 @query("a14_representatives", "select conv_id, arg_min(text, turn) as first_text, list_sort(list(distinct role)) as roles from conversations group by conv_id")
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.sort_array(F.collect_set("role")).alias("roles"))
+    return K.representatives(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role").withColumnRenamed("tags", "roles")
 
 
 @query("a15_catalogue_totals", "select lang as catalogue, count(*) as files, sum(n_chars)::bigint as size from documents group by 1")
 def catalogue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("catalogue")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+    return K.catalogue_totals(table(spark, sf_dir, "documents"), "lang", "n_chars")
 
 
 _RUNS = "r as (select doc_id % 17 as query_id, doc_id, row_number() over (partition by doc_id % 17 order by n_chars desc, doc_id) as rank from documents), j as (select doc_id % 17 as query_id, doc_id, quality * 2 + toxic as grade from labels)"
@@ -227,26 +231,40 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a18_leaderboard", "select l_returnflag as device, l_linestatus as engine_id, count(*) as units, count(*) filter (l_quantity < 40) as ok, count(*) filter (l_quantity >= 40) as failed, round(avg(l_discount) filter (l_quantity < 40), 6) as mean_cer, round(avg(case when l_quantity < 40 then l_discount else 1.0 end), 6) as penalised_cer, round(median(l_tax) filter (l_quantity < 40), 6) as median_seconds, max(l_extendedprice) as peak from lineitem group by 1, 2")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("l_quantity") < 40
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("device"), F.col("l_linestatus").alias("engine_id")).agg(
-        F.count(F.lit(1)).alias("units"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.round(F.avg(F.when(ok, F.col("l_discount"))), 6).alias("mean_cer"),
-        F.round(F.avg(F.when(ok, F.col("l_discount")).otherwise(1.0)), 6).alias("penalised_cer"), F.round(F.median(F.when(ok, F.col("l_tax"))), 6).alias("median_seconds"), F.max("l_extendedprice").alias("peak"))
+    return K.leaderboard(table(spark, sf_dir, "lineitem"), {"device": "l_returnflag", "engine_id": "l_linestatus"}, F.col("l_quantity") < 40, "l_discount", "l_tax", "l_extendedprice")
 
 
 @query("a19_job_status", "select o_orderstatus as status, count(*) as n, count(*) filter (o_orderpriority = '1-URGENT') as urgent from orders group by 1")
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return K.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus", urgent=F.col("o_orderpriority") == "1-URGENT")
 
 
 @query("a20_queue_statistics", "select count(*) as total, count(*) filter (event_type = 'click') as clicks, count(*) filter (value > 50) as large, count(*) filter (user_id % 5 = 0 and value <= 10) as purged from events")
 def queue_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(c("event_type") == "click").alias("clicks"), F.count_if(c("value") > 50).alias("large"), F.count_if((c("user_id") % 5 == 0) & (c("value") <= 10)).alias("purged"))
+    return K.queue_statistics(table(spark, sf_dir, "events"), clicks=c("event_type") == "click", large=c("value") > 50, purged=(c("user_id") % 5 == 0) & (c("value") <= 10))
 
 
 @query("a21_approved_values", "select p_brand as label, min(p_type) as value, count(distinct p_type) as different, count(distinct p_type) > 1 as conflict from part where p_size > 45 group by 1")
 def approved_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size > 45").groupBy(F.col("p_brand").alias("label")).agg(F.min("p_type").alias("value"), F.countDistinct("p_type").alias("different"), (F.countDistinct("p_type") > 1).alias("conflict"))
+    return K.approved_values(table(spark, sf_dir, "part").where("p_size > 45"), "p_brand", "p_type")
+
+
+@query("d12_jobs", "with t as (select event_id as id, event_id % 50 as priority, event_id % 900 as due, row_number() over (order by event_id % 50 desc, event_id % 900, event_id) as r from events where event_id % 3 <> 0 and event_id % 900 <= 500) select e.event_id as id, case when r is null then case when e.event_id % 3 = 0 then 'done' else 'queued' end when e.event_id % 2 = 0 then 'done' else 'queued' end as status, case when r is not null and e.event_id % 2 = 1 then 560 else e.event_id % 900 end as due, case when r is not null then 1 else 0 end as attempts from events e left join t on t.id = e.event_id and r <= 100")
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A worker claims a hundred jobs and reports that every second one failed."""
+    none = F.lit(None)
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "done").otherwise("queued").alias("status"), (F.col("event_id") % 50).alias("priority"), (F.col("event_id") % 900).alias("due"))
+    queue = events.select("*", none.cast("string").alias("worker"), none.cast("bigint").alias("leased_until"), F.lit(0).alias("attempts"))
+    taken = K.claim(queue, "w", 500, 100, 60)
+    results = taken.where("worker = 'w'").select("id", "worker", (F.col("id") % 2 == 0).alias("ok"))
+    return K.settle(taken, results, 500).select("id", "status", "due", "attempts")
+
+
+@query("x6_coalesced", "with e as (select user_id % 40 as path, case event_id % 3 when 0 then 'created' when 1 then 'modified' else 'deleted' end as event, event_id as ts from events) select path, arg_max(event, ts) as event, max(ts) as ts, count(*) as n from e group by path having not (arg_min(event, ts) = 'created' and arg_max(event, ts) = 'deleted')")
+def coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("case event_id % 3 when 0 then 'created' when 1 then 'modified' else 'deleted' end")
+    return K.coalesced(table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("path"), kind.alias("event"), F.col("event_id").alias("ts")))
 
 
 @query("w3_latest_rows", "select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by 1, 2")
@@ -261,12 +279,13 @@ def version_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w8_citation_keys", "select c_custkey, concat(split_part(c_name, '#', 1), cast(c_nationkey as varchar), case when r > 1 then '_' || r else '' end) as key from (select *, row_number() over (partition by c_nationkey order by c_custkey) as r from customer)")
 def citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    rows = table(spark, sf_dir, "customer").withColumn("r", r)
-    return rows.select("c_custkey", F.concat(F.substring_index("c_name", "#", 1), F.col("c_nationkey").cast("string"), F.when(F.col("r") > 1, F.concat(F.lit("_"), "r")).otherwise("")).alias("key"))
+    base = F.concat(F.substring_index("c_name", "#", 1), F.col("c_nationkey").cast("string"))
+    return K.citation_keys(table(spark, sf_dir, "customer"), base, "c_nationkey", "c_custkey").select("c_custkey", "key")
 
 
-@query("c8_shards")
+@query("c8_shards", """with recursive f as (select lang as g, 'f' || lpad(doc_id::varchar, 9, '0') as path, n_chars as size, row_number() over (partition by lang order by doc_id) as i, sum(n_chars) over (partition by lang) / 4.0 as share from documents),
+r as (select g, path, i, share, 0 as shard, size as held from f where i = 1 union all select f.g, f.path, f.i, f.share, case when r.held >= r.share and r.shard < 3 then r.shard + 1 else r.shard end, case when r.held >= r.share and r.shard < 3 then f.size else r.held + f.size end from r join f on f.g = r.g and f.i = r.i + 1)
+select g as "group", path, shard from r""")
 def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return S.shards(docs.select(F.col("lang").alias("group"), F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("n_chars").alias("size")), 4)
@@ -321,10 +340,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j7_catalogue_duplicates", "select a.p_partkey as source, min(b.p_partkey) as copy, count(*) as copies from part a join part b on a.p_size = b.p_size and a.p_name = b.p_name and a.p_partkey < b.p_partkey group by 1")
 def catalogue_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
-    a, b = part.alias("a"), part.alias("b")
-    met = a.join(b, (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return met.groupBy(F.col("a.p_partkey").alias("source")).agg(F.min("b.p_partkey").alias("copy"), F.count(F.lit(1)).alias("copies"))
+    return K.catalogue_duplicates(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_name")
 
 
 @query("c7_delta_summary", "with b as (select doc_id, encode(text) as d, encode(case when doc_id % 3 = 0 then concat(substring(text, 1, 100), '#', substring(text, 102)) else text end) as e, octet_length(encode(text)) as n from documents), k as (select *, unnest(range(0, greatest(ceil(n / 256.0)::bigint, 1))) as i from b), c as (select doc_id, i, least(256, n - i * 256) as length, n, sha256(substring(hex(d), i * 512 + 1, 512)) <> sha256(substring(hex(e), i * 512 + 1, 512)) as diff from k where n > 0) select doc_id, count(*) as blocks, count(*) filter (diff) as changed, coalesce(sum(length) filter (diff), 0)::bigint as bytes, round(1 - coalesce(sum(length) filter (diff), 0) / max(n)::double, 6) as savings from c group by doc_id")
@@ -341,8 +357,7 @@ _NOW = 1650000000000
 
 @query("d8_retention", f"with {LIB}, rules(rule, match_type, match_value, archive_days, delete_days, enabled) as (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in _RULES) + f"), h as (select owner_id, id, rule, case when ({_NOW} - indexed_at) // 86400000 >= delete_days then 'delete' when ({_NOW} - indexed_at) // 86400000 >= archive_days then 'archive' end as action from lib join rules on enabled and case match_type when 'folder' then contains(parent_dir, match_value) when 'tag' then list_contains(tags, match_value) else false end where indexed_at <= {_NOW}) select id, rule, action from (select *, row_number() over (partition by owner_id, id order by rule) as r from h where action is not null) where r = 1")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([r for r in _RULES], "rule int, match_type string, match_value string, archive_days int, delete_days int, enabled boolean")
-    return S.retention(library(spark, sf_dir).where(F.col("indexed_at") <= _NOW), rules, _NOW)
+    return S.retention(library(spark, sf_dir).where(F.col("indexed_at") <= _NOW), list(_RULES), _NOW)
 
 
 @query("p20_automation", f"with {LIB} select id, case when lower(ext) = 'pdf' and strlen(body) between 500 and 100000 then 1 when starts_with(parent_dir, '/lib/de') or list_contains(tags, 'org:o3') then 2 end as priority, case when lower(ext) = 'pdf' and strlen(body) between 500 and 100000 then 'large' else 'shelf' end as rule from lib where (lower(ext) = 'pdf' and strlen(body) between 500 and 100000) or starts_with(parent_dir, '/lib/de') or list_contains(tags, 'org:o3')")
@@ -358,31 +373,31 @@ def automation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d3_promote", f"with {LIB} select id, coalesce(p.title, lib.title) as title, greatest(1 + num % 3, coalesce(p.level, 0)) as level from lib left join (select item_id, substring(text, 1, 12) as title, 2 as level from benchmark) p on p.item_id = lib.num")
 def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    better = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("num"), F.substring("text", 1, 12).alias("new_title"), F.lit(2).alias("new_level"))
-    rows = library(spark, sf_dir).join(better, "num", "left")
-    return rows.select("id", F.coalesce("new_title", "title").alias("title"), F.greatest(1 + F.col("num") % 3, F.coalesce("new_level", F.lit(0))).alias("level"))
+    better = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("num"), F.substring("text", 1, 12).alias("title"), F.lit(2).cast("bigint").alias("level"))
+    rows = library(spark, sf_dir).select("id", "num", "title", (1 + F.col("num") % 3).alias("level"))
+    return K.promoted(rows, better, "num", ("title",)).select("id", "title", "level")
 
 
 @query("d4_delete", f"with {LIB} select owner_id, id from lib where num not in (select doc_id from labels where toxic = 1)")
 def delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("num"))
-    return library(spark, sf_dir).join(gone, "num", "left_anti").select("owner_id", "id")
+    return K.deleted(library(spark, sf_dir), gone, "num").select("owner_id", "id")
 
 
-@query("d6_update", f"with {LIB} select id, case when num % 10 = 0 then 'reviewed' else doc_status end as doc_status, case when starts_with(parent_dir, '/lib/en') then concat('/moved', substring(parent_dir, 5)) else parent_dir end as parent_dir from lib")
+@query("d6_update", f"with {LIB} select id, case when num % 10 = 0 then 'reviewed' else doc_status end as doc_status, case when starts_with(parent_dir, '/lib/en/') then concat('/moved', substring(parent_dir, 5)) else parent_dir end as parent_dir from lib")
 def update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    move = F.when(F.col("parent_dir").startswith("/lib/en"), F.concat(F.lit("/moved"), F.substr("parent_dir", F.lit(5)))).otherwise(F.col("parent_dir"))
-    return library(spark, sf_dir).select("id", F.when(F.col("num") % 10 == 0, "reviewed").otherwise(F.col("doc_status")).alias("doc_status"), move.alias("parent_dir"))
+    reviewed = F.when(F.col("num") % 10 == 0, "reviewed").otherwise(F.col("doc_status"))
+    return library(spark, sf_dir).select("id", reviewed.alias("doc_status"), K.moved(F.col("parent_dir"), "/lib/en", "/moved/en").alias("parent_dir"))
 
 
-@query("d7_purge", "with d as (select doc_id as id, n_chars as size, n_chars // 2 as heavy from documents), o as (select *, (select sum(size) from d) - (select sum(size) from d) * 6 // 10 as over, coalesce(sum(heavy) over (order by id rows between unbounded preceding and 1 preceding), 0) as freed from d) select id, case when freed < over then 'strip' else 'keep' end as action from o")
+@query("d7_purge", "with d as (select doc_id as id, doc_id * 7919 % 1009 as indexed_at, n_chars as size, n_chars // 2 as heavy from documents), t as (select sum(size) as s, sum(heavy) as h, sum(size) - sum(size) * 3 // 10 as over from d), o as (select *, coalesce(sum(heavy) over w, 0) as freed, coalesce(sum(size - heavy) over w, 0) as gone from d window w as (order by indexed_at, id rows between unbounded preceding and 1 preceding)) select id, case when gone < greatest(over - h, 0) then 'delete' when freed < over then 'strip' else 'keep' end as action from o, t")
 def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("indexed_at"), F.col("n_chars").alias("size"), F.expr("n_chars div 2").alias("heavy"))
-    most = docs.agg(F.expr("sum(size) * 6 div 10")).first()[0]
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 7919 % 1009).alias("indexed_at"), F.col("n_chars").alias("size"), F.expr("n_chars div 2").alias("heavy"))
+    most = docs.agg(F.expr("sum(size) * 3 div 10")).first()[0]
     return S.purge(docs, most)
 
 
 @query("d9_failed", "select event_id, json_extract_string(props, '$.k') as reason from events where json_extract_string(props, '$.k')::int % 7 = 0 and value < 20")
 def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").where((reason.cast("int") % 7 == 0) & (F.col("value") < 20)).select("event_id", reason.alias("reason"))
+    return K.failed_extractions(table(spark, sf_dir, "events"), reason, (reason.cast("int") % 7 == 0) & (F.col("value") < 20), "event_id")

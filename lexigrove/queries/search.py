@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.corpus import CHUNK_SHARED, CHUNK_WORDS, FIELDS, LIB, library, table, text_index
-from lexigrove.functions.analysis import FOLD_SQL, LONGEST, tokens
+from lexigrove.corpus import CHUNK_SHARED, CHUNK_WORDS, FIELDS, LIB, TOK, library, table, text_index
+from lexigrove.functions.analysis import tokens
 from lexigrove.operators import ranking as R
+from lexigrove.operators import records as K
 from lexigrove.operators.filters import DocumentFilter, SearchFilters
 from lexigrove.operators.postings import search_many
 from lexigrove.plans import compiler
 from lexigrove.plans.language import BOOSTS
 from lexigrove.registry import query
 
-_RAW = "unnest(regexp_extract_all({f}, '[\\p{{L}}\\p{{N}}]+')) as w, generate_subscripts(regexp_extract_all({f}, '[\\p{{L}}\\p{{N}}]+'), 1) - 1 as p"
-TOK = "tok as (select fld, owner_id, id, num, p, " + FOLD_SQL.format("w") + " as t from (" + " union all ".join(f"select '{f}' as fld, owner_id, id, num, {_RAW.format(f=f)} from lib" for f in FIELDS) + f") where strlen(w) < {LONGEST})"
 BASE = f"with {LIB}, {TOK}"
 BOOST = "case fld when 'title' then 3.0::double when 'headings' then 2.0::double else 1.0::double end"
 #: BM25 of exact terms in SQL: (fld, id, t, s).
@@ -115,8 +114,8 @@ def clause_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t29_script", "select doc_id, len(regexp_extract_all(text, '\\p{L}')) as letters, len(regexp_extract_all(text, '[^\\p{Latin}\\P{L}]')) as other, len(regexp_extract_all(text, '\\p{L}')) >= 4 and len(regexp_extract_all(text, '[^\\p{Latin}\\P{L}]')) * 4 >= len(regexp_extract_all(text, '\\p{L}')) as nonlatin from documents")
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters, other = F.regexp_count("text", F.lit(r"\p{L}")), F.regexp_count("text", F.lit(r"[\p{L}&&[^\p{IsLatin}]]"))
-    return table(spark, sf_dir, "documents").select("doc_id", letters.cast("bigint").alias("letters"), other.cast("bigint").alias("other"), ((letters >= 4) & (other * 4 >= letters)).alias("nonlatin"))
+    letters, other, foreign = K.not_latin(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", letters.alias("letters"), other.alias("other"), foreign.alias("nonlatin"))
 
 
 # Filters, one query for each predicate.

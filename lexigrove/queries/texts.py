@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lexigrove.corpus import LIB, library, table
 from lexigrove.functions import text as X
 from lexigrove.functions.analysis import FOLD_SQL, folded
+from lexigrove.operators import records as K
+from lexigrove.operators.browse import placed
+from lexigrove.operators.passages import matched
 from lexigrove.registry import query
 
 
@@ -16,31 +19,28 @@ def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 57).alias("head"), F.length(F.substring("text", 1, 57)).alias("n"))
 
 
-@query("f2_snippet")
+_SHOWN = "replace(replace(replace(replace(replace(regexp_replace(substring(text, (b + 1)::bigint, 300), '(?i)(heon|thon)', chr(57344) || '\\1' || chr(57345), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query("f2_snippet", f"with d as (select doc_id, text, length(text) as n, regexp_matches(text, '(?i)heon|thon') as has, length(regexp_extract(text, '(?is)^(.*?)(?:heon|thon)', 1)) as p from documents), e as (select *, case when greatest(p - 100, 0) + 300 >= n then greatest(n - 300, 0) else greatest(p - 100, 0) end as a from d), f as (select *, case when has then least(a, p) else 0 end as b from e) select doc_id, case when regexp_matches(text, '\\S') then case when b > 0 then '…' else '' end || replace(replace({_SHOWN}, chr(57344), '<mark>'), chr(57345), '</mark>') || case when b + 300 < n then '…' else '' end end as snippet from f")
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), "heon thon").alias("snippet"))
 
 
-@query("f3_summary")
+@query("f3_summary", r"with p as (select doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+\z'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0)[1:3] as s from documents), g as (select *, case when strlen(coalesce(s[1], '')) >= 300 then s[1] when strlen(array_to_string(s[1:2], ' ')) >= 300 then array_to_string(s[1:2], ' ') else array_to_string(s, ' ') end as grown from p), w as (select doc_id, unnest(string_split(grown, ' ')) as w, generate_subscripts(string_split(grown, ' '), 1) as i from g), c as (select *, sum(strlen(w) + 1) over (partition by doc_id order by i) as upto from w), h as (select doc_id, string_agg(w, ' ' order by i) filter (upto <= 300) as whole from c group by doc_id) select doc_id, case when strlen(text) >= 50 and strlen(grown) >= 30 then case when strlen(grown) <= 300 then grown else coalesce(nullif(whole, ''), list_last(list_filter(list_transform(range(0, 301), lambda k: substring(grown, 1, k)), lambda x: strlen(x) <= 300))) || '…' end end as summary from g left join h using (doc_id)")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.summary(F.col("text")).alias("summary"))
 
 
-_hit = lambda words: " + ".join(f"contains(l, '{w}')::int" for w in words)
-_case = " ".join(f"when ext in ({', '.join(repr(n) for n in names.split())}) then '{kind}'" for kind, names in X.BY_EXTENSION.items())
-_sig = ""
-for _kind, _need, _words in X.SIGNALS:
-    if _kind == "invoice":
-        _sig += f" when {_hit(_words)} >= {_need} and (n < 500 or contains(l, 'receipt') or contains(l, 'quittung')) then 'receipt'"
-    if _kind == "letter":
-        _sig += f" when {_hit(_words)} >= {_need} and (n < 2000 or contains(l, 'memo')) then 'memo'"
-    _sig += f" when {_hit(_words)} >= {_need} then '{_kind}'"
+_EXT = "case doc_id % 9 when 0 then 'eml' when 1 then 'py' when 2 then 'jpg' else 'pdf' end"
+_OPENINGS = ("Dear Sir, invoice with payment, vat and subtotal. Sincerely, ", "Signature: Date: applicant ", "Abstract. Introduction. ", "Specification of requirements, scope and revision. ", "This agreement: each party shall be bound, hereby and whereas. ")
+_TEXT = "case doc_id % 7 " + " ".join(f"when {i} then concat('{t}', text)" for i, t in enumerate(_OPENINGS)) + " else text end"
 
 
-@query("f6_doctype", f"with d as (select doc_id, case doc_id % 9 when 0 then 'eml' when 1 then 'py' when 2 then 'jpg' else 'pdf' end as ext, case when doc_id % 4 = 0 then concat('Dear Sir, invoice with vat and subtotal, Sincerely. ', text) else text end as t, doc_id % 8 as pages from documents), e as (select *, lower(t) as l, strlen(t) as n from d) select doc_id, case {_case} when n < 50 then 'unknown'{_sig} when (pages >= 5 or n > 10000) and {_hit(X.REPORT_SIGNALS)} >= 2 then 'report' when {_hit(X.ARTICLE_SIGNALS)} >= 2 then 'article' when pages >= 3 or n > 5000 then 'report' else 'unknown' end as doctype from e")
+@query("f6_doctype", f"with d as (select doc_id, {_EXT} as ext, {_TEXT} as t, doc_id % 8 as pages from documents), e as (select doc_id, ext, lower(t) as low, strlen(t) as size, pages from d) select doc_id, {X.doctype_sql('len(list_filter([{words}], lambda w: contains(low, w)))')} as doctype from e")
 def doctype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("case doc_id % 9 when 0 then 'eml' when 1 then 'py' when 2 then 'jpg' else 'pdf' end").alias("ext"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Dear Sir, invoice with vat and subtotal, Sincerely. "), "text")).otherwise(F.col("text")).alias("t"), (F.col("doc_id") % 8).alias("pages"))
-    return docs.select("doc_id", X.doctype(F.col("ext"), F.col("t"), F.col("pages")).alias("doctype"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EXT).alias("ext"), F.expr(_TEXT).alias("t"), (F.col("doc_id") % 8).alias("pages"))
+    return X.doctypes(docs, "ext", "t", "pages", "doc_id")
 
 
 _EAN = "list_sum([ (substring(w, i, 1))::int * case when i % 2 = 1 then 1 else 3 end for i in range(1, 14) ])"
@@ -66,38 +66,26 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f11_passage_matches", "select b.item_id, d.doc_id, position(trim(b.text) in d.text) - 1 as start from benchmark b join documents d on contains(d.text, trim(b.text))")
 def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact stage over the corpus: passages and documents meet on three inner words of the passage, then are compared.
-
-    The second to the fourth word are whole in every document that holds a passage of five words or more. Shorter
-    passages have no such words and are looked for in every document.
-    """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("passage"))
-    items = items.withColumn("_w", words("passage")).withColumn("_g", gram(F.col("_w"), F.lit(1)))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("_w"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 3, F.lit(0))), lambda i: gram(F.col("_w"), i)))).alias("_g"))
-    met = grams.join(items.where(F.size("_w") >= 5).select("item_id", "passage", "_g"), "_g").select("doc_id", "item_id", "passage")
-    at = F.instr("text", F.col("passage"))
-    texts, short = table(spark, sf_dir, "documents").select("doc_id", "text"), items.where(F.size("_w") < 5).select("item_id", "passage")
-    every = texts.join(met, "doc_id").where(at > 0).unionByName(texts.join(short, at > 0))
-    return every.select("item_id", "doc_id", (at - 1).alias("start"))
+    """The exact stage of the cascade."""
+    return matched(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")).where("method = 'exact'").select("item_id", "doc_id", "start")
+
+
+@query("f11_passage_cascade")
+def passage_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three stages, on passages in capitals with other marks and every tenth letter e changed."""
+    worn = F.regexp_replace(F.regexp_replace(F.upper("text"), r"[.,] ", " - "), r"((?:[^E]*E){9}[^E]*)E", "$1A")
+    return matched(table(spark, sf_dir, "benchmark").select("item_id", worn.alias("text")), table(spark, sf_dir, "documents"))
 
 
 @query("f13_entity_tags", "with t as (select user_id, event_type as prefix, lower(event_type || (event_id % 9)) as txt, value as score from events where value >= 5), d as (select user_id, prefix, txt, max(score) as score from t group by all), r as (select *, row_number() over (partition by user_id order by score desc, prefix, txt) as n from d) select user_id, list(prefix || ':' || txt order by n) as tags from r where n <= 6 group by user_id")
 def entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events").where("value >= 5").select("user_id", F.col("event_type").alias("prefix"), F.lower(F.concat("event_type", (F.col("event_id") % 9).cast("string"))).alias("txt"), F.col("value").alias("score"))
-    best = rows.groupBy("user_id", "prefix", "txt").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "prefix", "txt"))).where("n <= 6")
-    return ranked.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat_ws(":", "prefix", "txt").alias("t")))), lambda x: x["t"]).alias("tags"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("prefix"), F.lower(F.concat("event_type", (F.col("event_id") % 9).cast("string"))).alias("txt"), F.col("value").alias("score"))
+    return K.entity_tags(rows, "user_id", 5, 6)
 
 
 @query("f14_field_evidence", "select doc_id, sha256('title:' || substring(text, 5, 12)) as id, trim(regexp_replace(substring(text, 5, 12), '\\s+', ' ', 'g')) as value, position(substring(text, 5, 12) in text) - 1 as start, length(replace(substring(text, 1, 4), chr(12), '')) as before from documents where length(text) > 20")
 def field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.substring("text", 5, 12)
-    return table(spark, sf_dir, "documents").where(F.length("text") > 20).select("doc_id", F.sha2(F.concat(F.lit("title:"), v), 256).alias("id"), F.trim(F.regexp_replace(v, r"\s+", " ")).alias("value"), (F.instr("text", v) - 1).alias("start"), F.length(F.replace(F.substring("text", 1, 4), F.lit("\f"), F.lit(""))).alias("before"))
+    return K.field_evidence(table(spark, sf_dir, "documents").where(F.length("text") > 20), "title", F.substring("text", 5, 12), "text", 4, "doc_id")
 
 
 @query("f15_keep_reviews", "select d.doc_id, coalesce(l.quality, -1) as review from documents d left join labels l using (doc_id)")
@@ -124,8 +112,8 @@ def language_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f22_url_parts", "select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]*/?.*?([^/?#]*)(?:[?#].*)?$', 1) as name from pages")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.regexp_extract
-    return table(spark, sf_dir, "pages").select("page_id", e("url", "^([a-z]+)://", 1).alias("scheme"), e("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), e("url", "^[a-z]+://[^/?#]*/?.*?([^/?#]*)(?:[?#].*)?$", 1).alias("name"))
+    scheme, host, name = K.url_parts(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", scheme.alias("scheme"), host.alias("host"), name.alias("name"))
 
 
 @query("s18_report_cells", f"""with {LIB}, c as (select num, case num % 4 when 0 then '=' || title when 1 then ' +' || title when 2 then title || '"' else title end as cell from lib) select num, '"' || case when regexp_matches(cell, '^ *[=+\\-@]') or regexp_matches(cell, '^[\\t\\r\\n]') then '''' else '' end || replace(cell, '"', '""') || '"' as cell from c""")
@@ -178,11 +166,8 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     answer = F.concat(F.lit("see [S"), (d % 4).cast("string"), F.lit(", S9] and [s"), (d % 3).cast("string"), F.lit("]"))
-    groups = F.regexp_extract_all(answer, F.lit(r"(?i)\[(S\d+(?:\s*[,;]\s*S\d+)*)\]"), F.lit(1))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(groups, lambda g: F.split(F.upper(g), r"\s*[,;]\s*")))))
-    have = F.array(F.lit("S1"), F.lit("S2"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
-    return rows.select("doc_id", F.array_sort(F.array_intersect("ids", have)).alias("cited"), F.array_sort(F.array_except("ids", have)).alias("unknown"))
+    cited, unknown = K.citations(answer, ("S1", "S2"))
+    return table(spark, sf_dir, "documents").select("doc_id", cited.alias("cited"), unknown.alias("unknown"))
 
 
 @query("r24_display_sorts", f"with {LIB} select id, row_number() over (order by lower(title), num) as by_title, row_number() over (order by year desc nulls last, num) as by_year from lib")
@@ -194,17 +179,6 @@ def display_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title.select("id", F.col("place").alias("by_title")).join(year.select("id", F.col("place").alias("by_year")), "id")
 
 
-def placed(rows: DataFrame, bucket, order: tuple) -> DataFrame:
-    """rows with their place in a global order; bucket must ascend along it."""
-    from pyspark.sql import Window
-
-    keyed = rows.withColumn("_b", bucket)
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return inside.join(before, "_b").withColumn("place", F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
-
-
 @query("s12_html_text")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.sources.readers import html_text as read

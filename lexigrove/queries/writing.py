@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrove.corpus import LIB, library, table
 from lexigrove.functions.analysis import FOLD_SQL, LONGEST
 from lexigrove.operators import ingest as I
+from lexigrove.operators import records as K
 from lexigrove.registry import query
 
 
@@ -34,13 +35,14 @@ def push_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d11_annotations", "select user_id, event_id, value from events where event_type = 'view' and contains(props, '7') order by ts desc, event_id desc limit 60")
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where((F.col("event_type") == "view") & F.col("props").contains("7")).orderBy(F.desc("ts"), F.desc("event_id")).limit(60).select("user_id", "event_id", "value")
+    wanted = (F.col("event_type") == "view") & F.col("props").contains("7")
+    return K.annotations(table(spark, sf_dir, "events"), wanted, 60, key="event_id").select("user_id", "event_id", "value")
 
 
 @query("d13_unprocessed", "select doc_id from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 4 = 0)")
 def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.join(docs.where("doc_id % 4 = 0").select("h"), "h", "left_anti").select("doc_id")
+    return K.unprocessed(docs, docs.where("doc_id % 4 = 0"), "h").select("doc_id")
 
 
 @query("f17_adler")

@@ -86,6 +86,25 @@ def test_components_and_hamming(spark):
     assert roots[6] == 0 and roots[13] == 7 and roots[20] == 14 and roots[50] == 40
     rows = spark.createDataFrame([(1, 0), (2, 255), (3, 511), (4, -1), (5, 0)], "k bigint, h bigint")
     assert sorted((r.a, r.b, r.distance) for r in browse.hamming_pairs(rows, "k", "h", 8).collect()) == [(1, 2, 8), (2, 3, 1)]
+    import random
+
+    r = random.Random(5)
+    hashes = [r.getrandbits(64) - 2**63 for _ in range(60)]
+    hashes += [h ^ sum(1 << b for b in r.sample(range(63), r.randint(1, 9))) for h in hashes]
+    for most in (0, 2, 4, 8):
+        want = sorted((a, b, d) for a in range(120) for b in range(a + 1, 120) if (d := ((hashes[a] ^ hashes[b]) % 2**64).bit_count()) <= most and d)
+        rows = spark.createDataFrame(list(enumerate(hashes)), "k bigint, h bigint")
+        assert sorted((x.a, x.b, x.distance) for x in browse.hamming_pairs(rows, "k", "h", most).collect()) == want
+
+
+def test_percentiles_and_running_sums(spark):
+    rows = spark.createDataFrame([(float(i % 97),) for i in range(1000)] + [(None,)], "v double")
+    values = sorted(float(i % 97) for i in range(1000))
+    got = {r.fraction: r.value for r in browse.nearest_rank(rows, "v", 0.0, 0.5, 0.95, 1.0, ranges=7).collect()}
+    assert got == {0.0: values[0], 0.5: values[499], 0.95: values[949], 1.0: values[999]}
+    files = spark.createDataFrame([("a", f"{i:03}", i) for i in range(50)] + [(None, "x", 4), (None, "y", 5)], "g string, p string, size bigint").repartition(6)
+    got = {(r.g, r.p): r.before for r in sync.running(files, ("p",), {"before": "size"}, "g").collect()}
+    assert got == {("a", f"{i:03}"): i * (i - 1) // 2 for i in range(50)} | {(None, "x"): 0, (None, "y"): 4}
 
 
 def test_clusters_assign_every_row(spark):
@@ -113,23 +132,33 @@ def test_push_needs_known_times(spark):
 
 
 def test_text_functions(spark):
-    assert X.snippet_of("a <b> Foxes & fox", ["fox"], 300) == "a &lt;b&gt; <mark>Fox</mark>es &amp; <mark>fox</mark>"
-    cut = X.snippet_of("x" * 500 + "fox" + "y" * 500, ["fox"], 90)
-    assert cut.startswith("…") and cut.endswith("…") and "<mark>fox</mark>" in cut and X.snippet_of("  ", ["a"]) is None
-    assert X.summary_of("kurz.") is None
+    texts = spark.createDataFrame([("a <b> Foxes & fox",), ("x" * 500 + "fox" + "y" * 500,), ("  ",), ("no such word",), (None,)], "t string")
+    shown = [r.s for r in texts.select(X.snippet(F.col("t"), "fox", 90).alias("s")).collect()]
+    assert shown[0] == "a &lt;b&gt; <mark>Fox</mark>es &amp; <mark>fox</mark>"
+    assert shown[1] == "…" + "x" * 30 + "<mark>fox</mark>" + "y" * 57 + "…" and shown[2:] == [None, "no such word", None]
     long = "Größe zählt überall sehr viel hier. " * 20
-    assert X.summary_of(long, 60).endswith("…") and len(X.summary_of(long, 60).encode()) <= 63
+    rows = spark.createDataFrame([("kurz.",), (long,), ("é" * 200,), ("One is here for all. Two! Three? Four and so on and on.",)], "t string")
+    short = [r.s for r in rows.select(X.summary(F.col("t"), 60).alias("s")).collect()]
+    assert short[0] is None and short[1] == "Größe zählt überall sehr viel hier. Größe zählt…" and short[2] == "é" * 30 + "…" and short[3] == "One is here for all. Two! Three?"
     diff = X.word_diff("one two three", "one 2 three four")
     assert (diff["added"], diff["removed"], round(diff["ratio"], 3)) == (2, 1, round(3 / 7, 3))
     assert "".join(t for op, t in diff["segments"] if op != "added") == "one two three"
-    assert X.find_passage("He said: “Hello,  World”", 'hello world') == (10, 23, 1.0, "normalized")
-    assert X.find_passage("some long background words; the magnificent castle stood there", "the magnificient castle stood")[3] == "fuzzy"
-    assert X.find_passage("abc", "zzzz yyyyyy") is None
     assert X.merge_spans([(5, 9, 0.5), (1, 3, 0.2), (3, 6, 0.9)]) == [(1, 9, 0.9)]
     assert X.occurrence_ranges("Cat catalog cat", ["cat", "catalog"]) == [(0, 3), (4, 11), (12, 15)]
     assert X.occurrence_ranges("cat catalog", ["cat"], True) == [(0, 3)]
 
 
+def test_passages_are_found_by_the_best_method(spark):
+    from lexigrove.operators.passages import matched
+
+    kinds = "item_id int, text string"
+    items = spark.createDataFrame([(1, " magnificent castle stood there "), (2, "Hello, WORLD"), (3, "background the magnificient castle stood there"), (4, "zzzz yyyyyy xxxx"), (5, "  "), (6, "é"), (7, None)], kinds)
+    docs = spark.createDataFrame([(1, "some long background; the magnificent castle stood there"), (2, "He said: “Hello,  World”"), (3, ""), (4, None), (5, "café"), (6, "CAFÉ É")], "doc_id int, text string")
+    got = {(r.item_id, r.doc_id): (r.method, r.start) for r in matched(items, docs).collect()}
+    assert got == {(1, 1): ("exact", 26), (2, 2): ("normalized", 0), (3, 1): ("fuzzy", 2), (6, 5): ("exact", 3), (6, 6): ("normalized", 0), (6, 1): got[6, 1], (6, 2): got[6, 2]}
+    assert got[6, 1][0] == got[6, 2][0] == "normalized"  # folded to e
+
+
 def test_readers(spark, tmp_path):
     page = '<html><head><title>T</title><link rel="canonical" href="https://x.org/a"></head><body><h1>He<b>ad</b></h1><p>one</p><p style="display:none">no</p><div aria-hidden="true">no</div>two<script>no</script><img alt="pic"> &amp; three</body></html>'
     assert readers.html_parts(page) == ("Head one two pic & three", ["T", "Head"], "https://x.org/a")
