@@ -69,20 +69,21 @@ def tag_facets(docs: DataFrame, limit: int = 5000) -> DataFrame:
 
 
 def search_facets(matches: DataFrame, top: int = 25) -> DataFrame:
-    """For extension, language, year and tag: the top values, how many values there are, are left out, and documents without any."""
-    out = None
-    for kind, values in (("extension", F.array(F.lower("ext"))), ("language", F.array("language")), ("year", F.array(F.col("year").cast("string"))), ("tag", F.col("tags"))):
-        have = F.filter(F.array_distinct(values), lambda x: x.isNotNull() & (x != ""))
-        rows = matches.select(have.alias("have"))
-        counts = rows.select(F.explode("have").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        place = Window.orderBy(F.desc("n"), "value")
-        ranked = counts.orderBy(F.desc("n"), "value").limit(top).withColumn("rank", F.row_number().over(place))
-        totals = counts.agg(F.count(F.lit(1)).alias("distinct"))
-        missing = rows.agg(F.count(F.when(F.size("have") == 0, 1)).alias("missing"))
-        # One row each on the right.
-        one = ranked.join(totals, how="left").join(missing, how="left").select(F.lit(kind).alias("kind"), "value", "n", "rank", "distinct", F.greatest(F.col("distinct") - top, F.lit(0)).cast("bigint").alias("omitted"), "missing")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For extension, language, year and tag: the top values, how many values there are, are left out, and documents without any.
+
+    One pass counts all values of all kinds, a missing one as null; the rest works on these counts.
+    """
+    kinds = {"extension": F.array(F.lower("ext")), "language": F.array("language"), "year": F.array(F.col("year").cast("string")), "tag": F.col("tags")}
+    have = lambda values: F.filter(F.array_distinct(values), lambda x: x.isNotNull() & (x != ""))
+    each = matches.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), have(v).alias("have")) for k, v in kinds.items()))))
+    counts = checkpointed(each.select("kind", F.explode_outer("have").alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
+    known = counts.where("value is not null")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    ranked = known.withColumn("rank", place).where(F.col("rank") <= top)
+    totals = known.groupBy("kind").agg(F.count(F.lit(1)).alias("distinct"))
+    none = counts.where("value is null").select("kind", F.col("n").alias("missing"))
+    out = ranked.join(F.broadcast(totals), "kind").join(F.broadcast(none), "kind", "left")  # a row for each kind
+    return out.select("kind", "value", "n", "rank", "distinct", F.greatest(F.col("distinct") - top, F.lit(0)).cast("bigint").alias("omitted"), F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing"))
 
 
 def groups_of(docs: DataFrame, key: Column, member: str, least: int = 2) -> DataFrame:

@@ -201,10 +201,11 @@ def passage_bm25(passages: DataFrame, words: list[str], text: str, n: int, *key:
     """
     words = [w for w in dict.fromkeys(w.lower() for w in words) if w not in STOP]
     letter = r"[\p{L}\p{N}\p{M}]"
-    whole = lambda ws: F.lit(rf"(?<!{letter})(?:{'|'.join(map(re.escape, ws))})(?!{letter})")
     low = F.lower(text)
-    counts = [F.regexp_count("_l", whole([w])).alias(f"_c{i}") for i, w in enumerate(words)]
-    base = passages.select(*key, low.alias("_l")).select(*key, (F.regexp_count("_l", F.lit(rf"{letter}+")) - F.regexp_count("_l", whole(STOP))).alias("_n"), *counts)
+    # A word's own letters come first in its pattern: they rule out most places before what stands around is looked at.
+    counts = [F.regexp_count("_l", F.lit(rf"{re.escape(w)}(?<!{letter}{re.escape(w)})(?!{letter})")).alias(f"_c{i}") for i, w in enumerate(words)]
+    others = rf"(?<!{letter})(?!(?:{'|'.join(STOP)})(?!{letter})){letter}++"
+    base = passages.select(*key, low.alias("_l")).select(*key, F.regexp_count("_l", F.lit(others)).alias("_n"), *counts)
     base = checkpointed(base)
     row = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("mean"), *(F.count(F.when(F.col(f"_c{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)

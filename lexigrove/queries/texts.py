@@ -193,7 +193,10 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir, glob="*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
 
 
-@query("s19_bibtex")
+_TEX = "replace(replace(replace(regexp_replace(replace({0}, chr(92), chr(57344)), '([&%$#_{{}}])', '\\\\\\1', 'g'), '^', chr(92) || '^{{}}'), '~', chr(92) || '~{{}}'), chr(57344), chr(92) || 'textbackslash{{}}')"
+
+
+@query("s19_bibtex", f"with {LIB}, k as (select *, regexp_replace(owner_id, '[^A-Za-z0-9]', '', 'g') || coalesce(year::varchar, '') as base from lib), n as (select *, row_number() over (partition by base order by id) as n from k), e as (select *, base || case when n > 1 then '_' || n else '' end as key from n) select id, key, '@misc{{' || key || ',' || chr(10) || '  title = {{' || {_TEX.format('title')} || '}},' || chr(10) || '  author = {{' || {_TEX.format('owner_id')} || '}},' || chr(10) || '  year = {{' || coalesce(year::varchar, '') || '}}' || chr(10) || '}}' as entry from e")
 def bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrove.sources.sinks import bibtex as cite
 

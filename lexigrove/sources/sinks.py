@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrove.functions.analysis import FROM, TO
 from lexigrove.functions.text import csv_cell
 
 
@@ -37,32 +35,70 @@ def materialize_catalogue(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("catalog").parquet(path)
 
 
-def last_name(author: str | None) -> str:
-    author = (author or "").strip()
-    if not author or author.lower() in ("unknown", "unknown author", "n/a", "na", "-", "?"):
-        return "anon"
-    return author.partition(",")[0].strip() if author.find(",") > 0 else author.split()[-1]
+def catalogues(spark: SparkSession, path: str) -> DataFrame:
+    """(catalog, files, size) of every catalogue that is materialised at path."""
+    return spark.read.parquet(path).groupBy("catalog").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"))
+
+
+def drop_catalogue(spark: SparkSession, path: str, name: str) -> bool:
+    """Takes one catalogue away; whether there was one."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/catalog={escaped}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_catalogue(entries: DataFrame, path: str, root: str, made: str) -> None:
+    """A catalogue as one folder that can be handed on: its entries, and what they are of (root, time, files, bytes)."""
+    entries.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/entries")
+    head = entries.agg(F.lit(root).alias("root"), F.lit(made).alias("made"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"))
+    head.coalesce(1).write.mode("overwrite").json(f"{path}/head")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(head, entries); a catalogue whose entries are not what its head says is refused."""
+    entries = spark.read.parquet(f"{path}/entries")
+    head = spark.read.schema("root string, made string, files bigint, size bigint").json(f"{path}/head")
+    told, is_ = head.first(), entries.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    if told is None or (told.files, told.size) != (is_.files, is_["size"]):
+        raise ValueError(f"the catalogue at {path} is damaged")
+    return head, entries
+
+
+#: Authors that say nothing.
+NOBODY = ("unknown", "unknown author", "n/a", "na", "-", "?", "")
+
+
+def last_name(author: Column) -> Column:
+    """What stands before a comma, else the last word; anon for nobody."""
+    name = F.regexp_replace(F.coalesce(author, F.lit("")), r"^\s+|\s+$", "")
+    before = F.regexp_replace(F.substring_index(name, ",", 1), r"\s+$", "")
+    last = F.element_at(F.split(name, r"\s+"), -1)
+    return F.when(F.lower(name).isin(*NOBODY), "anon").when(F.instr(name, ",") > 1, before).otherwise(last)
 
 
-def latex(text: str) -> str:
-    text = text.replace("\\", "\x00")
-    text = re.sub(r"([&%$#_{}])", r"\\\1", text).replace("^", r"\^{}").replace("~", r"\~{}")
-    return text.replace("\x00", r"\textbackslash{}")
+def latex(text: Column) -> Column:
+    """Text with LaTeX's own characters escaped."""
+    text = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\ue000")), r"([&%$#_{}])", r"\\$1")
+    for a, b in (("^", r"\^{}"), ("~", r"\~{}"), ("\ue000", r"\textbackslash{}")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
-def citation_key(author: str | None, year: str | None) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", last_name(author)) if not unicodedata.combining(c))
-    return (re.sub(r"[^A-Za-z0-9]", "", plain) or "item") + (year or "")
+def citation_key(author: Column, year: Column) -> Column:
+    """Last name in ASCII letters and digits, accents taken off, and the year."""
+    # Accents come off letter by letter, in either case; what is left of other scripts goes.
+    both = [(a, b) for a, b in zip(FROM, TO, strict=True)] + [(a.upper(), b.upper()) for a, b in zip(FROM, TO, strict=True) if len(a.upper()) == 1]
+    plain = F.translate(last_name(author), "".join(a for a, _ in both), "".join(b for _, b in both))
+    plain = F.regexp_replace(plain, "[^A-Za-z0-9]", "")
+    return F.concat(F.when(plain == "", "item").otherwise(plain), F.coalesce(year.cast("string"), F.lit("")))
 
 
 def bibtex(rows: DataFrame) -> DataFrame:
     """(id, key, entry) for rows (id, title, author, year); keys that repeat get _2, _3 and so on."""
-    key_of = F.pandas_udf(lambda a, y: a.combine(y, lambda p, q: citation_key(p, q)), "string")
-    keyed = rows.withColumn("base", key_of(F.col("author"), F.col("year").cast("string")))
+    keyed = rows.withColumn("base", citation_key(F.col("author"), F.col("year")))
     n = F.row_number().over(Window.partitionBy("base").orderBy("id"))
     keyed = keyed.withColumn("n", n).withColumn("key", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("_"), "n")).otherwise("")))
-    escape = F.pandas_udf(lambda s: s.fillna("").map(latex), "string")
-    entry = F.concat(F.lit("@misc{"), "key", F.lit(",\n  title = {"), escape(F.col("title")), F.lit("},\n  author = {"), escape(F.col("author")), F.lit("},\n  year = {"), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit("}\n}"))
+    entry = F.concat(F.lit("@misc{"), "key", F.lit(",\n  title = {"), latex(F.col("title")), F.lit("},\n  author = {"), latex(F.col("author")), F.lit("},\n  year = {"), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit("}\n}"))
     return keyed.select("id", "key", entry.alias("entry"))
 
 

@@ -237,3 +237,86 @@ def test_short_passages_are_found(spark, tmp_path):
     want = con.sql(catalog.oracle_sql()["f11_passage_matches"]).fetchall()
     got = [tuple(r) for r in catalog.queries()["f11_passage_matches"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) == 9
+
+
+def test_citations_for_latex(spark):
+    from lexigrove.sources import sinks
+
+    rows = [(1, "A_b & {c}~^\\", "Müller-Lüdenscheidt, Ärna", 1999), (2, None, " Jane  Østby ", 1999), (3, "x", "n/a", None), (4, "x", "文", 1), (5, "y", "Østby", 1999), (6, "z", None, None)]
+    got = {r.id: (r.key, r.entry) for r in sinks.bibtex(spark.createDataFrame(rows, "id int, title string, author string, year int")).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {1: "MullerLudenscheidt1999", 2: "Ostby1999", 3: "anon", 4: "item1", 5: "Ostby1999_2", 6: "anon_2"}
+    assert r"title = {A\_b \& \{c\}\~{}\^{}\textbackslash{}}" in got[1][1]
+
+
+def test_catalogues_come_and_go(spark, tmp_path):
+    from lexigrove.sources import sinks
+
+    entries = spark.createDataFrame([("a b/c", "x", 3), ("d", "y", 4), ("d", "z", 5)], "catalog string, path string, size bigint")
+    sinks.materialize_catalogue(entries, f"{tmp_path}/all")
+    assert {(r.catalog, r.files, r.size) for r in sinks.catalogues(spark, f"{tmp_path}/all").collect()} == {("a b/c", 1, 3), ("d", 2, 9)}
+    assert sinks.drop_catalogue(spark, f"{tmp_path}/all", "a b/c") and not sinks.drop_catalogue(spark, f"{tmp_path}/all", "none")
+    assert {r.catalog for r in sinks.catalogues(spark, f"{tmp_path}/all").collect()} == {"d"}
+    sinks.write_catalogue(entries, f"{tmp_path}/one", "/root", "2024")
+    head, back = sinks.read_catalogue(spark, f"{tmp_path}/one")
+    assert head.first().files == 3 and sorted(map(tuple, back.collect())) == sorted(map(tuple, entries.collect()))
+    entries.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/one/entries")
+    with pytest.raises(ValueError):
+        sinks.read_catalogue(spark, f"{tmp_path}/one")
+
+
+def test_jobs_are_claimed_once_and_die_in_the_end(spark):
+    from lexigrove.operators import records as K
+
+    kinds = "id int, status string, priority int, due bigint, worker string, leased_until bigint, attempts int"
+    jobs = spark.createDataFrame([(1, "queued", 1, 0, None, None, 0), (2, "queued", 9, 0, None, None, 4), (3, "queued", 9, 50, None, None, 0), (4, "taken", 5, 0, "w0", 5, 1), (5, "taken", 5, 0, "w0", 99, 1)], kinds)
+    taken = K.claim(jobs, "w1", 10, 2, 60)
+    assert {r.id: (r.status, r.worker, r.attempts) for r in taken.collect()} == {1: ("queued", None, 0), 2: ("taken", "w1", 5), 3: ("queued", None, 0), 4: ("taken", "w1", 2), 5: ("taken", "w0", 1)}
+    results = spark.createDataFrame([(2, "w1", False), (4, "w1", False), (4, "w0", True), (5, "w0", True), (5, "w0", False)], "id int, worker string, ok boolean")
+    told = K.settle(taken, results, 20)
+    assert {r.id: (r.status, r.due, r.worker) for r in told.collect() if r.id in (2, 4, 5)} == {2: ("dead", 0, None), 4: ("queued", 140, None), 5: ("done", 0, None)}
+    assert [r.id for r in K.dead_letters(told).collect()] == [2]
+    assert {r.id: r.status for r in K.revive(told, [2], 30).collect()}[2] == "queued"
+    queue = spark.createDataFrame([("a", "created", 1), ("a", "deleted", 2), ("b", "created", 1), ("b", "modified", 8), ("c", "deleted", 3)], "path string, event string, ts int")
+    assert sorted(map(tuple, K.coalesced(queue).collect())) == [("b", "modified", 8, 2), ("c", "deleted", 3, 1)] and K.coalesced(queue, paused=True).count() == 0
+    assert [r.path for r in K.due_for_dispatch(queue, 10).collect()] == ["c"]
+    docs = spark.createDataFrame([(1, "failed", "x"), (2, "failed", "y"), (3, "done", None)], "id int, extraction string, error string")
+    assert {r.id: (r.extraction, r.error) for r in K.retry_failed(docs, [1, 3]).collect()} == {1: ("pending", None), 2: ("failed", "y"), 3: ("done", None)}
+    assert {r.id: (r.extraction, r.error) for r in K.retry_failed(docs, [1], skip=True).collect()}[1] == ("skipped", "x")
+
+
+def test_results_are_kept_for_a_version(spark):
+    from lexigrove.operators.cache import ResultCache
+
+    cache, asked = ResultCache(spark, 2), []
+
+    def run(n):
+        def found():
+            asked.append(n)
+            return spark.range(n)
+
+        return found
+
+    for query, version in (("a", "1"), ("a", "1"), ("b", "1"), ("a", "1"), ("c", "1"), ("b", "1"), ("c", "2")):
+        assert cache.get(query, "text", {"year": 1}, version, run(ord(query) - 94)).count() == ord(query) - 94
+    assert asked == [3, 4, 5, 4, 5] and len(cache) == 1
+
+
+def test_index_agrees_with_tokenising(spark, corpus, tmp_path):
+    """Every kind of query over the index against the same query over plain rows, scores included; a changed source gets a new index."""
+    from lexigrove.operators import postings
+
+    index = postings.build(corpus, ("id",), FIELDS, f"{tmp_path}/index")
+    for query in ("fox", "title:fox", "*", "NOT fox", '"quick the fox"', "quick w/1 brown", "quick pre/1 brown", "strasse", "f?x", "bro*", "qiuck~", "(red OR blue) fox", '"brown quick" w/1 fox', "fox NOT brown"):
+        want = {r.id: round(r.score, 9) for r in compiler.search(corpus, query, FIELDS, ("id",)).collect()}
+        assert {r.id: round(r.score, 9) for r in compiler.search(index, query, FIELDS, ("id",)).collect()} == want, query
+    asked = spark.createDataFrame([(1, "fox"), (1, "quick"), (2, "strasse"), (3, "none")], "query_id int, term string")
+    from lexigrove.plans.language import BOOSTS
+
+    many = {(r.query_id, r.id): r.score for r in postings.search_many(index, asked, 10, BOOSTS).collect()}
+    one = {(1, r.id): round(r.score, 6) for r in compiler.search(corpus, "fox OR quick", FIELDS, ("id",)).collect()}
+    assert {k: v for k, v in many.items() if k[0] == 1} == one and {k[0] for k in many} == {1, 2}
+    for n in (1, 2):
+        spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/source")
+        source = spark.read.parquet(f"{tmp_path}/source")
+        made = postings.opened(source, source.selectExpr("id", "concat('w', id) as body"), ("id",), {"body": "body"}, str(tmp_path))
+        assert made.rows().count() == n
