@@ -22,6 +22,31 @@ select c.doc_id, c.size, c.source_size, c.target, coalesce(t.taken, 0) as taken
 from c left join t on c.doc_id is not distinct from t.doc_id and c.size = t.size
 """
 
+OP4 = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+k as (select doc_id, n, k, substring(x, 2000 * k + 1, 2098) as piece from (select doc_id, x, n, unnest(range(0, (n + 999) // 1000)) as k from d)),
+b as (select doc_id, n, 1000 * k + j as i, j, piece from (select *, unnest(range(0, least(1000, n - 1000 * k))) as j from k)),
+w as (select doc_id, i, substring(piece, 2 * j + 1, 2) as byte, case when i <= n - 50 then substring(piece, 2 * j + 1, 100) end as win from b),
+m as (select doc_id, i, byte, win is not null and min(doc_id) over (partition by win) < doc_id as again from w),
+g as (select doc_id, i, byte, bool_or(again) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from m),
+s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as begins from g),
+a as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (begins) as n_spans, coalesce(string_agg(byte, '' order by i) filter (not gone), '') as kept from s group by doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join a using (doc_id)
+"""
+
+OP7 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+both_ as (select x, y from e union all select y, x from e),
+r as (select x, y from both_ union select r.x, b.y from r join both_ b on r.y = b.x),
+c as (select x, min(y) as least_ from r group by x)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(least_, w.doc_id)) as component_id, least(w.doc_id, coalesce(least_, w.doc_id)) = w.doc_id as kept
+from w left join n using (doc_id) left join c on c.x = w.doc_id
+"""
+
 OP6 = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -76,4 +101,4 @@ from w left join f using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _op3(), "op2_source_mix": OP2, "op6_chat_format": OP6, "op10_exact_dedup": OP10}
+    return {"op3_license_scan": _op3(), "op2_source_mix": OP2, "op4_substring_dedup": OP4, "op6_chat_format": OP6, "op7_near_dedup": OP7, "op10_exact_dedup": OP10}
