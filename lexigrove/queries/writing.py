@@ -45,12 +45,12 @@ def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.unprocessed(docs, docs.where("doc_id % 4 = 0"), "h").select("doc_id")
 
 
-@query("f17_adler")
+@query("f17_adler", "with h as (select doc_id, hex(encode(text)) as x, strlen(text) as n from documents), b as (select doc_id, n, i, ('0x' || byte)::bigint as d from (select doc_id, n, unnest(regexp_extract_all(x, '..')) as byte, generate_subscripts(regexp_extract_all(x, '..'), 1) - 1 as i from h)) select h.doc_id, (((h.n + coalesce(sum((b.n - i) * d), 0)) % 65521) * 65536 + (1 + coalesce(sum(d), 0)) % 65521)::bigint as checksum from h left join b using (doc_id) group by h.doc_id, h.n")
 def adler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", I.adler32(F.col("text")).alias("checksum"))
 
 
-@query("r13_scorer")
+@query("r13_scorer", "with w as (select doc_id, list_distinct(string_split_regex(lower(coalesce(text, '')), '\\s+')) as ws from documents) select doc_id, round((list_contains(ws, 'the')::int + list_contains(ws, 'heon')::int + list_contains(ws, 'thon')::int) / 3.0::double, 6) as score from w")
 def scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "the heon thon", "text").select("doc_id", F.round("score", 6).alias("score"))
 
