@@ -223,8 +223,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, permutations: int,
             continue
         step = F.greatest(F.floor(F.col("members") / share), F.lit(1))
         leads = left.where(F.pmod(F.xxhash64("rep", "key"), step) == 0)
-        x, y = leads.alias("x"), left.alias("y")
-        new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
+        # A bucket's members are dealt by salts, and its leaders go to each.
+        salts = F.ceil(F.col("members") / PER_SALT).cast("int")
+        x = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("x")
+        y = left.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).alias("y")
+        new = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y"))
         new = new.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"))
         if new.head(1):

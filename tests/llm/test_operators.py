@@ -188,10 +188,14 @@ def test_near_components(spark, docs):
     assert near_components(docs.limit(0)).count() == 0
 
 
-def test_near_components_of_a_large_group(spark):
-    """A chain of edits, and many edited copies whose origin is not the smallest id."""
+@pytest.mark.parametrize("salt", [256, 3])
+def test_near_components_of_a_large_group(spark, salt, monkeypatch):
+    """A chain of edits, and many edited copies whose origin is not the smallest id; buckets whole and dealt by salts."""
+    from lexigrove.llm import near_dedup
     from lexigrove.llm.near_dedup import near_components
 
+    monkeypatch.setattr(near_dedup, "PER_SALT", salt)
+
     base = words(150, 9)
     rows = [(1000, base)] + [(i, edited(base, i, 0.01 + 0.002 * (i % 30))) for i in range(150)]
     chain = words(200, 77).split()
