@@ -196,7 +196,8 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/r").collect()] == ['"1","a""b","q"', '"2","\'=1+1","q"']
     cited = sinks.bibtex(spark.createDataFrame([(1, "A & B", "Ann Müller", 2020), (2, "C", "Müller, Bo", 2020), (3, None, None, None)], "id int, title string, author string, year int")).collect()
     assert {r.id: r.key for r in cited} == {1: "Muller2020", 2: "Muller2020_2", 3: "anon"}
-    assert sinks.latex("50% \\ {x}_~") == r"50\% \textbackslash{} \{x\}\_\~{}"
+    tex = spark.createDataFrame([("50% \\ {x}_~",)], "t string").select(sinks.latex(F.col("t")).alias("t"))
+    assert tex.first().t == r"50\% \textbackslash{} \{x\}\_\~{}"
     one = spark.createDataFrame([("c1", "a"), ("c2", "b")], "catalog string, path string")
     sinks.materialize_catalogue(one, f"{tmp_path}/cat")
     sinks.materialize_catalogue(spark.createDataFrame([("c1", "z")], "catalog string, path string"), f"{tmp_path}/cat")
