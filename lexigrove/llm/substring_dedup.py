@@ -12,7 +12,8 @@ that is in one document is dropped after each pass, and the groups left at full
 Records travel in packed, compressed arrays, a row for each radix bucket and flush. Mappers keep the earliest document
 of each equal (digit 1, digit 2) before they send it. A first digit with very many different second digits in one task
 (the border of a passage that very many documents share) is dealt by its second and third digits instead of by itself,
-and a marker tells the bucket of that first digit; so no bucket holds an unbounded group.
+and a marker tells the bucket of that first digit; so no bucket holds an unbounded group. The number of buckets follows
+the bytes of the input, and a bucket that is large all the same is worked through in pieces, by further bits of its digits.
 
 Defined results: null texts are empty; a window counts as repeated only if a document with a smaller id has it; rows of
 one id never match each other; rows with a null id lose nothing and are no source; texts shorter than ``depth`` stay.
@@ -23,7 +24,7 @@ bits and those of the bucket for runs, 64 bits more for windows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ U = np.uint64
 DIGIT = 16
 #: Records that a task holds before it sends them, and different second digits from which a first one is dealt by them.
 FLUSH, HOT = 1_500_000, 64
+#: Bytes of text that a bucket is made for, most buckets (a flush still gives each some 20 records), and packed bytes that are laid out at a time.
+BUCKET, MOST_BUCKETS, PIECE = 16 << 20, 1 << 16, 24 << 20
 #: Longer texts are read in overlapping parts of so many bytes.
 PART = 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -72,6 +75,26 @@ RUN = (np.uint32, np.int64, np.uint16, np.uint32, np.uint8, np.uint8)  # digit 1
 WINDOW = (np.uint64, np.int64, np.uint16, np.uint32)  # digits, id, tag, window
 
 
+def pieces(blobs: list[bytes], read: Callable[[bytes], list[np.ndarray]], digit: int, wide: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> Iterator[list[np.ndarray]]:
+    """The records of all blobs, column by column; of large ones in several pieces, each with all records of its values in column ``digit``.
+
+    ``wide`` gives how many entries of the last column each record has, where that is not one.
+    """
+    n = -(-sum(map(len, blobs)) // PIECE)
+    for k in range(n):
+        out = []
+        for blob in blobs:
+            columns = read(blob)
+            if n > 1:
+                own = columns[digit] % columns[digit].dtype.type(n) == k
+                long = np.repeat(own, wide(columns)) if wide else own
+                columns = [c[own] for c in columns[:-1]] + [columns[-1][long]]
+            out.append(columns)
+        found = [np.concatenate(x) for x in zip(*out, strict=True)]
+        if len(found[digit]):
+            yield found
+
+
 class Rolling:
     """Hashes of substrings of one byte array."""
 
@@ -231,10 +254,11 @@ def scanned(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
 def ordered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Second pass, over records sorted by bucket: replies by bucket of the id."""
 
-    def answer(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        parts = [unpack(b, *RECORD) for b in blobs]
-        ids = np.concatenate([np.cumsum(p[3]) for p in parts])
-        d1, low, tag, _, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def read(blob: bytes) -> list[np.ndarray]:
+        d1, low, tag, step, lo, n = unpack(blob, *RECORD)
+        return [d1, low, tag, np.cumsum(step), lo, n]
+
+    def answer(d1: np.ndarray, low: np.ndarray, tag: np.ndarray, ids: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         d2 = low.astype(U) | tag.astype(U) << U(32)
         order = np.lexsort((ids, d2, d1, n > 128))
         d1, d2, ids, tag, lo, n = (x[order] for x in (d1, d2, ids, tag, lo, n))
@@ -257,12 +281,13 @@ def ordered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                 yield bucket, 0, blob
                 continue
             if bucket != now and held:
-                yield from answer(held)
+                for piece in pieces(held, read, 0):
+                    yield from answer(*piece)
                 held = []
             now = bucket
             held.append(blob)
-        if held:
-            yield from answer(held)
+        for piece in pieces(held, read, 0):
+            yield from answer(*piece)
 
     return _rows(every())
 
@@ -440,8 +465,7 @@ def settled(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, last: b
 def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Third digit, over runs (kind 1) and windows (kind 2) sorted by (bucket, kind): replies by bucket of the id."""
 
-    def by_run(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        d1, ids, tag, lo, n, data = (np.concatenate(x) for x in zip(*(unpack(b, *RUN) for b in blobs), strict=True))
+    def by_run(d1: np.ndarray, ids: np.ndarray, tag: np.ndarray, lo: np.ndarray, n: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         count = n.astype(np.int64)
         begin = np.cumsum(count + depth - 1) - (count + depth - 1)
         run = np.repeat(np.arange(len(n)), count)
@@ -462,8 +486,7 @@ def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
         r = run[at]
         yield from _dealt(_of_id(ids[r], buckets), 0, (ids[r], tag[r], (lo[r] + step[at]).astype(np.uint32), length, length * 0, length.astype(np.uint32)))
 
-    def by_window(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        h, ids, tag, p = (np.concatenate(x) for x in zip(*(unpack(b, *WINDOW) for b in blobs), strict=True))
+    def by_window(h: np.ndarray, ids: np.ndarray, tag: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         order = np.lexsort((ids, h))
         h, ids, tag, p = (x[order] for x in (h, ids, tag, p))
         heads = _heads(h)
@@ -471,6 +494,14 @@ def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
         one = np.ones(int(dup.sum()), np.uint8)
         yield from _dealt(_of_id(ids[dup], buckets), 0, (ids[dup], tag[dup], p[dup], one, one * 0, one.astype(np.uint32)))
 
+    def replies(kind: int, blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        if kind == 1:
+            for piece in pieces(blobs, lambda b: unpack(b, *RUN), 0, lambda c: c[4].astype(np.int64) + depth - 1):
+                yield from by_run(*piece)
+        else:
+            for piece in pieces(blobs, lambda b: unpack(b, *WINDOW), 0):
+                yield from by_window(*piece)
+
     def every() -> Iterator[tuple[int, int, bytes]]:
         now, held = None, []
         for bucket, kind, blob in _each(batches):
@@ -478,12 +509,12 @@ def deepest(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iter
                 yield bucket, 0, blob
                 continue
             if (bucket, kind) != now and held:
-                yield from (by_run if now[1] == 1 else by_window)(held)
+                yield from replies(now[1], held)
                 held = []
             now = bucket, kind
             held.append(blob)
         if held:
-            yield from (by_run if now[1] == 1 else by_window)(held)
+            yield from replies(now[1], held)
 
     return _rows(every())
 
@@ -492,9 +523,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs."""
     if depth < 2 * DIGIT or depth > 100:
         raise ValueError(f"depth must be from {2 * DIGIT} to 100")
-    buckets = shuffle_partitions(docs.sparkSession) * 3 // 2  # few, so that packed rows stay large
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    own = shuffle_partitions(docs.sparkSession)
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(own * 3 // 2, min(held // BUCKET, MOST_BUCKETS))  # few, so that packed rows stay large
+    tasks = max(own, buckets * 2 // 3)
+    dealt = lambda df: (df.repartition(tasks, "bucket") if tasks > own else df.repartition("bucket")).sortWithinPartitions("bucket", "kind")
     replies = written(dealt(texts.mapInArrow(kernels.lean(lambda x: scanned(x, depth, buckets)), ROW)).mapInArrow(kernels.lean(lambda x: ordered(x, buckets)), ROW))
     bodies = texts.mapInArrow(kernels.lean(lambda x: packed_texts(x, buckets)), ROW)
     first = written(dealt(replies.unionByName(bodies)).mapInArrow(kernels.lean(lambda x: settled(x, depth, buckets, False)), FINAL), "kind")

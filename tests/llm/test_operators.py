@@ -4,6 +4,7 @@ import re
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,12 +231,29 @@ def _removed(rows, depth=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_repeated_bytes_go(spark, docs, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "PART", 5000)
-    rows = [(r[0], r[1]) for r in documents()]
+def test_repeated_bytes_go(spark, docs):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == _removed([(r[0], r[1]) for r in documents()])
+
+
+@pytest.mark.parametrize(("hot", "piece", "flush"), [(64, 24 << 20, 1_500_000), (1, 24 << 20, 2000), (64, 500, 5000), (1, 500, 2000)])
+def test_repeated_bytes_in_small_pieces(hot, piece, flush, monkeypatch):
+    """The passes by themselves, as workers would not see the changed bounds: hot digits, long texts in parts, large buckets in pieces."""
+    for name, value in (("HOT", hot), ("PIECE", piece), ("FLUSH", flush), ("PART", 5000)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows, buckets = [(r[0], r[1]) for r in documents()], 3
+
+    def dealt(*parts):
+        found = [(r["bucket"], r["kind"], r["blob"]) for part in parts for r in part]
+        return [pa.RecordBatch.from_pylist([{"bucket": b, "kind": k, "blob": x}], pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])) for b, k, x in sorted(found, key=lambda r: r[:2])]
+
+    flat = lambda batches: [r for b in batches for r in b.to_pylist()]
+    texts = [pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t or "" for _, t in rows])})]
+    replies = flat(substring_dedup.ordered(iter(dealt(flat(substring_dedup.scanned(iter(texts), 50, buckets)))), buckets))
+    first = flat(substring_dedup.settled(iter(dealt(replies, flat(substring_dedup.packed_texts(iter(texts), buckets)))), 50, buckets, False))
+    deep = flat(substring_dedup.deepest(iter(dealt([r for r in first if r["kind"] in (1, 2, 4)])), 50, buckets))
+    rest = flat(substring_dedup.settled(iter(dealt(deep, [r | {"kind": 1} for r in first if r["kind"] == 3])), 50, buckets, True))
+    got = sorted((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in first + rest if r["kind"] == 0)
     assert got == _removed(rows)
 
 
