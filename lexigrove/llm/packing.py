@@ -53,30 +53,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        model, find = self.tokenizer.model, regex.compile(SPLIT).findall
+        common = sorted(set.intersection(*map(set, added)), key=str.isalnum) if added else []
+        mark, letters_safe = common[0] if common else "", not any(t.isalpha() for t in added)  # most chunks lack the character that all added tokens have
+        tokenize, find = self.tokenizer.model.tokenize, regex.compile(SPLIT).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        shown = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        packs = [struct.Struct(f"<{n}I").pack for n in range(LONGEST + 1)]
         whole = lambda chunk: np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-        class Words(dict):
+        def tokens(word: str) -> bytes:
+            # The vocabulary is over characters that stand for bytes; printable ASCII stands for itself.
+            ids = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(shown))]
+            return packs[len(ids)](*ids) if len(ids) <= LONGEST else struct.pack(f"<{len(ids)}I", *ids)
+
+        class Marks(dict):
+            """Numbers, punctuation and endings after an apostrophe."""
+
             def __missing__(self, word: str) -> bytes:
-                ids = [t.id for t in model.tokenize("".join([shown[b] for b in word.encode()]))]
-                out = struct.pack(f"<{len(ids)}I", *ids)
+                out = tokens(word)
                 if len(self) >= CACHE:
                     self.clear()
                 if len(word) <= LONGEST:
                     self[word] = out
                 return out
 
-        words = Words()
+        marks = Marks()
 
         class Chunks(dict):
+            """Chunks, and the words of letters in them."""
+
             def __missing__(self, chunk: str) -> bytes:
                 low = chunk.lower()
-                if chunk.isprintable() and (chunk.isascii() or max(chunk) < "ɐ") and not any(t in low for t in added):
-                    out = b"".join([words[w] for w in find(low)])
-                else:
+                if not chunk.isprintable() or not (chunk.isascii() or max(chunk) < "ɐ"):
+                    out = whole(chunk)
+                elif letters_safe and low.isalpha():
+                    out = tokens(low) if low == chunk else self[low]
+                elif mark in low and any(t in low for t in added):
                     out = whole(chunk)
+                else:
+                    out = b"".join([self[w] if w.isalpha() and w != chunk else marks[w] for w in find(low)])
                 if len(self) >= CACHE:
                     self.clear()
                 if len(chunk) <= LONGEST:
