@@ -67,11 +67,27 @@ def generation(inputs: list[str], plan: dict) -> str:
 # Positions over stitched parts.
 
 
-def stitched_tokens(parts: DataFrame, key: str, place: str, text: str, gap: int = 2048) -> DataFrame:
-    """(key, term, position) over a document's parts in order; each part begins ``gap`` places behind the last, so no phrase or proximity crosses."""
-    counted = parts.select(key, place, tokens(F.col(text)).alias("_t"), F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("_n"))
-    before = F.coalesce(F.sum(F.col("_n") + gap).over(Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("_b", before).select(key, "_b", F.explode("_t").alias("x")).select(key, F.col("x.t").alias("term"), (F.col("_b") + F.col("x.p")).alias("position"))
+def stitched_tokens(parts: DataFrame, key: str, place: str, text: str, gap: int = 2048, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """(key, term, position) over a document's parts in order.
+
+    A part begins ``gap`` places behind the last one, so no phrase or proximity crosses. Where the columns ``begin`` and
+    ``end`` tell a part's first character in the document and the one behind its last, parts that touch or overlap are
+    one text instead, in which what they share counts once; parts that differ there are an error. A null is unknown.
+    """
+    w = Window.partitionBy(key).orderBy(place)
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = parts.select(key, place, body.alias("_s"), F.lit(True).alias("_new"))
+    if begin and end:
+        shared = F.lag(F.col(end)).over(w) - F.col(begin)
+        own = parts.select(key, place, body.alias("_s"), shared.alias("_o"), F.lag(body).over(w).alias("_p"))
+        touch = F.coalesce(F.col("_o") >= 0, F.lit(False))
+        differ = touch & (F.col("_o") > 0) & ((F.col("_o") > F.length("_p")) | ~F.col("_p").endswith(F.expr("substr(_s, 1, _o)")))
+        rest = F.when(differ, F.raise_error(F.lit("parts differ where they overlap"))).when(touch, F.expr("substr(_s, int(_o) + 1)")).otherwise(F.col("_s"))
+        own = own.select(key, place, rest.alias("_s"), (~touch).alias("_new"))
+    counted = own.select(key, place, "_new", tokens(F.col("_s")).alias("_t"), F.size(F.regexp_extract_all("_s", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("_n"))
+    words = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    breaks = F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1  # the first part is new
+    return counted.select(key, (words + breaks * gap).alias("_b"), "_t").select(key, "_b", F.explode("_t").alias("x")).select(key, F.col("x.t").alias("term"), (F.col("_b") + F.col("x.p")).alias("position"))
 
 
 def whole_times(rows: DataFrame, limit: int, time: str) -> DataFrame:

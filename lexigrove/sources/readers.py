@@ -8,7 +8,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -266,3 +266,58 @@ def distinct_clippings(items: list[dict]) -> list[dict]:
         else:
             kept.append(c)
     return kept
+
+
+# The parsers over rows of files. A file that cannot be read gives one row that says so in ``problem``; the others go on.
+
+
+def parsed(rows: DataFrame, columns: list[str], parse: Callable[..., list[dict]], fields: str, *keep: str) -> DataFrame:
+    """The columns of ``keep``, ``fields`` and ``problem``: a row for each record that ``parse`` finds in the ``columns`` of a row."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):  # a file at a time, as its members can be many times its size
+                try:
+                    found, problem = parse(*(row[c] for c in columns)), None
+                except Exception as e:  # noqa: BLE001 whatever a damaged file does to its parser
+                    found, problem = [{}], f"{type(e).__name__}: {e}"
+                if found:
+                    yield pd.DataFrame([{**{k: row[k] for k in keep}, **{n: f.get(n) for n in names}, "problem": problem} for f in found], columns=[*keep, *names, "problem"], dtype=object)
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return rows.select(*dict.fromkeys([*keep, *columns])).mapInPandas(run, f"{kinds}{fields}, problem string")
+
+
+def mails(rows: DataFrame, content: str, *keep: str) -> DataFrame:
+    """A row for each message of EML and MBOX files (binary)."""
+
+    def parse(raw: bytes | None) -> list[dict]:
+        raw = bytes(raw or b"")
+        return [mail_parts(m) for m in (mailbox_messages(raw) if raw.startswith(b"From ") else [raw] if raw else [])]
+
+    return parsed(rows, [content], parse, "subject string, sender string, text string", *keep)
+
+
+def feeds(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """A row for each entry of RSS, Atom and JSON feeds."""
+    return parsed(rows, [text], lambda t: feed_entries(t) if t else [], "title string, author string, year string, url string, text string", *keep)
+
+
+def archive_members(rows: DataFrame, name: str, content: str, *keep: str, depth: int = 4, count: int = 10_000, size: int = 256 << 20) -> DataFrame:
+    """A row for each leaf member of ZIP, TAR and GZIP files (binary); one beyond its budgets gives a problem and no member."""
+    parse = lambda n, raw: [{"member": path, "occurrence": k, "body": body} for path, k, body in members(n or "", bytes(raw or b""), depth, count, size)]
+    return parsed(rows, [name, content], parse, "member string, occurrence int, body binary", *keep)
+
+
+def clipping_rows(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """A row for each record of clippings files, without those whose text another one of the file holds."""
+    parse = lambda t: distinct_clippings(clippings(t or ""))
+    return parsed(rows, [text], parse, "title string, author string, kind string, page int, start int, end int, text string", *keep)
+
+
+def office_texts(rows: DataFrame, name: str, content: str, *keep: str) -> DataFrame:
+    """The text of EPUB and PPTX files (binary)."""
+    from lexigrove.operators.ingest import zipped_text
+
+    return parsed(rows, [name, content], lambda n, raw: [{"text": zipped_text(n or "", bytes(raw))}] if raw else [], "text string", *keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,23 +16,24 @@ def debounced(events: DataFrame, quiet: str = "2 seconds", late: str = "1 minute
     return events.withWatermark("ts", late).groupBy(w, "path").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).select("path", "last", "n")
 
 
-def limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """(key, ts, admitted): at most ``most`` events of a key in a period that begins with its first event. events: (key, ts)."""
+def limited(events: DataFrame, most: int, seconds: int, cost: str | None = None, budget: float = float("inf")) -> DataFrame:
+    """(key, ts, admitted): at most ``most`` events of a key, and ``budget`` of their ``cost``, in a period that begins with its first event. events: (key, ts)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        begin, used = state.get if state.exists else (None, 0)
+        begin, used, spent = state.get if state.exists else (None, 0, 0.0)
         rows = pd.concat(list(batches)).sort_values("ts")
         admitted = []
-        for ts in rows["ts"]:
+        for ts, price in zip(rows["ts"], rows["price"], strict=True):
             at = ts.timestamp()
             if begin is None or at - begin >= seconds:
-                begin, used = at, 0
-            admitted.append(used < most)
-            used += used < most
-        state.update((begin, used))
+                begin, used, spent = at, 0, 0.0
+            admitted.append(used < most and spent + price <= budget)
+            used, spent = used + admitted[-1], spent + price * admitted[-1]
+        state.update((begin, used, spent))
         yield pd.DataFrame({"key": rows["key"], "ts": rows["ts"], "admitted": admitted})
 
-    return events.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, admitted boolean", "begin double, used int", "append", "NoTimeout")
+    price = F.coalesce(F.col(cost).cast("double"), F.lit(0.0)) if cost else F.lit(0.0)
+    return events.select("key", "ts", price.alias("price")).groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, admitted boolean", "begin double, used int, spent double", "append", "NoTimeout")
 
 
 def unchanged_skipped(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -40,19 +42,32 @@ def unchanged_skipped(batch: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def upsert(path: str, keys: tuple[str, ...], order: tuple[str, ...]):
-    """For foreachBatch: keeps the latest row of each key in a table at path. A batch that comes again changes nothing."""
+    """For foreachBatch: keeps the latest row of each key in a table at path. A batch that comes again writes nothing."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-        versions = sorted(int(s.getPath().getName().removeprefix("v")) for s in fs.listStatus(at(path))) if fs.exists(at(path)) else []
-        rows = batch.unionByName(spark.read.parquet(f"{path}/v{versions[-1]}")) if versions else batch
-        rest = [c for c in rows.columns if c not in keys]
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
-        new = versions[-1] + 1 if versions else 0
-        latest.select(*batch.columns).write.parquet(f"{path}/v{new}")
-        for old in versions[:-1]:
-            fs.delete(at(f"{path}/v{old}"), True)
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+        done = sorted(int(p.getName().removeprefix("v")) for p in found if fs.exists(at(p, "_SUCCESS")))
+        rest = [c for c in batch.columns if c not in keys]
+        rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+        if done:
+            held = spark.read.parquet(f"{path}/v{done[-1]}")
+            same = lambda left, right: functools.reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+            old = held.select(*keys, F.struct(*order).alias("_old"))
+            known = same(rows, old) & (F.struct(*(rows[c] for c in order)) <= old["_old"])
+            rows = rows.join(old, known, "left_anti").select(*batch.columns).persist()
+            if rows.isEmpty():
+                rows.unpersist()
+                return
+            latest = held.join(rows.select(*keys), same(held, rows), "left_anti").unionByName(rows)
+        else:
+            latest = rows
+        new = done[-1] + 1 if done else 0
+        latest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{new}")  # over what a lost attempt left
+        rows.unpersist()
+        for old_version in done[:-1]:
+            fs.delete(at(f"{path}/v{old_version}"), True)
 
     return apply

@@ -88,3 +88,54 @@ def test_index_query(spark):
         pytest.skip("no test tables")
     exact, found = ({(x.query_id, x.id) for x in catalog.queries()[q](spark, data).collect()} for q in ("r3_vector_batch", "r5_vector_index"))
     assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_positions_of_parts_that_overlap(spark):
+    rows = [("d", 1, "one two three", 0, 13), ("d", 2, "three four", 8, 18), ("d", 3, " five", 18, 23), ("d", 4, "six", 40, 43), ("d", 5, "seven", None, None), ("e", 1, "one", 7, 10), ("n", 1, None, 0, 0)]
+    parts = spark.createDataFrame(rows, "k string, p int, t string, b int, e int")
+    got = {(r.k, r.term): r.position for r in I.stitched_tokens(parts, "k", "p", "t", 100, "b", "e").collect()}
+    assert got == {("d", "one"): 0, ("d", "two"): 1, ("d", "three"): 2, ("d", "four"): 3, ("d", "five"): 4, ("d", "six"): 105, ("d", "seven"): 206, ("e", "one"): 0}
+    wrong = spark.createDataFrame([("d", 1, "one two", 0, 7), ("d", 2, "too three", 4, 13)], parts.schema)
+    with pytest.raises(Exception, match="differ"):
+        I.stitched_tokens(wrong, "k", "p", "t", 100, "b", "e").collect()
+
+
+def test_files_parsed_in_rows(spark):
+    from lexigrove.sources import readers as R
+
+    box = b"From a\nSubject: One\nFrom: a@b.c\n\nfirst\n\nFrom b\nSubject: Two\n\nsecond\n"
+    mail = spark.createDataFrame([(1, bytearray(box)), (2, bytearray(b"Subject: Three\n\nthird")), (3, None)], "id int, content binary")
+    got = R.mails(mail, "content", "id").collect()
+    assert sorted((r.id, r.subject, r.text, r.problem) for r in got) == [(1, "One", "first", None), (1, "Two", "second", None), (2, "Three", "third", None)]
+    feed = "<rss><channel><item><title>T</title><link>u</link><pubDate>1 May 2020</pubDate><description>body</description></item></channel></rss>"
+    got = {r.id: r for r in R.feeds(spark.createDataFrame([(1, feed), (2, "<rss"), (3, "")], "id int, raw string"), "raw", "id").collect()}
+    assert set(got) == {1, 2} and (got[1].title, got[1].year, got[1].url, got[1].text) == ("T", "2020", "u", "body") and got[2].title is None and "ParseError" in got[2].problem
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a.txt", "x")
+        z.writestr("ch1.xhtml", "<p>page</p>")
+    files = spark.createDataFrame([("f.zip", bytearray(data.getvalue()))], "name string, content binary")
+    assert sorted((r.name, r.member, r.occurrence, bytes(r.body)) for r in R.archive_members(files, "name", "content", "name").collect()) == [("f.zip", "f.zip/a.txt", 0, b"x"), ("f.zip", "f.zip/ch1.xhtml", 0, b"<p>page</p>")]
+    assert ["budget" in r.problem for r in R.archive_members(files, "name", "content", count=1).collect()] == [True]
+    assert [r.text.strip() for r in R.office_texts(files, "name", "content").collect()] == ["page"]
+    notes = "B (A)\n- Your Highlight on page 3 | location 10-12\n\nshort\n==========\nB (A)\n- Your Highlight on page 3 | location 10-13\n\nshort and long\n==========\n"
+    got = R.clipping_rows(spark.createDataFrame([(1, notes), (2, None)], "id int, raw string"), "raw", "id").collect()
+    assert [(r.id, r.title, r.author, r.page, r.start, r.end, r.text) for r in got] == [(1, "B", "A", 3, 10, 13, "short and long")]
+
+
+def test_upsert_and_costs(spark, tmp_path):
+    from lexigrove.streaming import feeds
+
+    path = f"{tmp_path}/up"
+    apply = feeds.upsert(path, ("k",), ("ts",))
+    batch = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), (None, 1, "z")], "k string, ts int, v string")
+    apply(batch, 0)
+    apply(batch, 0)
+    assert sorted(p.name for p in (tmp_path / "up").iterdir()) == ["v0"]
+    apply(spark.createDataFrame([("a", 2, "new"), ("b", 0, "old"), (None, 3, "n")], batch.schema), 1)
+    assert sorted(((r.k or "", r.ts, r.v) for r in spark.read.parquet(f"{path}/v1").collect())) == [("", 3, "n"), ("a", 2, "new"), ("b", 1, "y")]
+    spark.createDataFrame([("a", f"2024-01-01 00:00:0{i}", c) for i, c in enumerate((5, 4, 1, 9))], "key string, ts string, cost int").selectExpr("key", "timestamp(ts) ts", "cost").write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema("key string, ts timestamp, cost int").parquet(f"{tmp_path}/events")
+    q = feeds.limited(stream, 10, 86400, "cost", 8).writeStream.format("memory").queryName("costs").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.admitted for r in spark.table("costs").orderBy("ts").collect()] == [True, False, True, False]
