@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -273,20 +274,24 @@ def distinct_clippings(items: list[dict]) -> list[dict]:
 
 def parsed(rows: DataFrame, columns: list[str], parse: Callable[..., list[dict]], fields: str, *keep: str) -> DataFrame:
     """The columns of ``keep``, ``fields`` and ``problem``: a row for each record that ``parse`` finds in the ``columns`` of a row."""
-    names = [f.split()[0] for f in fields.split(", ")]
+    names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    arrow = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):  # a file at a time, as its members can be many times its size
+            inputs = [batch.column(len(keep) + i) for i in range(len(columns))]
+            for r in range(batch.num_rows):  # a file at a time, as its members can be many times its size
                 try:
-                    found, problem = parse(*(row[c] for c in columns)), None
+                    found, problem = parse(*(c[r].as_py() for c in inputs)), None
                 except Exception as e:  # noqa: BLE001 whatever a damaged file does to its parser
                     found, problem = [{}], f"{type(e).__name__}: {e}"
                 if found:
-                    yield pd.DataFrame([{**{k: row[k] for k in keep}, **{n: f.get(n) for n in names}, "problem": problem} for f in found], columns=[*keep, *names, "problem"], dtype=object)
+                    own = [batch.column(i).take(pa.array([r] * len(found))) for i in range(len(keep))]
+                    read = [pa.array([f.get(n) for f in found], arrow[k]) for n, k in zip(names, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*own, *read, pa.array([problem] * len(found), pa.string())], [*keep, *names, "problem"])
 
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
-    return rows.select(*dict.fromkeys([*keep, *columns])).mapInPandas(run, f"{kinds}{fields}, problem string")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return rows.select(*keep, *(F.col(c).alias(f"_in{i}") for i, c in enumerate(columns))).mapInArrow(run, f"{kept}{fields}, problem string")
 
 
 def mails(rows: DataFrame, content: str, *keep: str) -> DataFrame:

@@ -107,6 +107,8 @@ def test_files_parsed_in_rows(spark):
     mail = spark.createDataFrame([(1, bytearray(box)), (2, bytearray(b"Subject: Three\n\nthird")), (3, None)], "id int, content binary")
     got = R.mails(mail, "content", "id").collect()
     assert sorted((r.id, r.subject, r.text, r.problem) for r in got) == [(1, "One", "first", None), (1, "Two", "second", None), (2, "Three", "third", None)]
+    keys = R.mails(spark.createDataFrame([(2**60 + 1, bytearray(b"Subject: a\n\nx")), (None, bytearray(b"Subject: b\n\ny"))], "id bigint, content binary").coalesce(1), "content", "id").collect()
+    assert [r.id for r in keys] == [2**60 + 1, None]
     feed = "<rss><channel><item><title>T</title><link>u</link><pubDate>1 May 2020</pubDate><description>body</description></item></channel></rss>"
     got = {r.id: r for r in R.feeds(spark.createDataFrame([(1, feed), (2, "<rss"), (3, "")], "id int, raw string"), "raw", "id").collect()}
     assert set(got) == {1, 2} and (got[1].title, got[1].year, got[1].url, got[1].text) == ("T", "2020", "u", "body") and got[2].title is None and "ParseError" in got[2].problem
