@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,15 +32,25 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: How many tidy() blocks of all threads are open, and what the setting was before the first.
+_TIDY, _TIDY_LOCK = {"open": 0, "before": "false"}, threading.Lock()
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in here leave no shuffle files."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Queries that end in here leave no shuffle files. The setting is the session's: it holds until the last thread is out."""
+    with _TIDY_LOCK:
+        if not _TIDY["open"]:
+            _TIDY["before"] = spark.conf.get(CLEANUP, "false")
+        _TIDY["open"] += 1
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _TIDY_LOCK:
+            _TIDY["open"] -= 1
+            if not _TIDY["open"]:
+                spark.conf.set(CLEANUP, _TIDY["before"])
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -50,13 +62,13 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lexigrove_path = path  # for drop()
-    for made in _OPEN:
+    for made in _OPEN.get():
         made.append(back)
     return back
 
 
-#: The lists of the scratch() blocks that are open.
-_OPEN: list[list[DataFrame]] = []
+#: The lists of the scratch() blocks that are open in this thread.
+_OPEN: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("lexigrove_scratch", default=())
 
 
 @contextlib.contextmanager
@@ -69,11 +81,11 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(getattr(table, "_lexigrove_path", ""))
         return table
 
-    _OPEN.append(made)
+    before = _OPEN.set((*_OPEN.get(), made))
     try:
         yield keep
     finally:
-        _OPEN.pop()
+        _OPEN.reset(before)
         for table in made:
             if table._lexigrove_path not in kept:
                 drop(table)

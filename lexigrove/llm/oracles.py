@@ -76,6 +76,35 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id is not distinct from g.keep_i
 from d join g using (body)
 """
 
+OP12 = r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, r.label = a.label as alike, cast(list_inner_product(a.v, r.v) as bigint) as score
+      from e a join e r on a.vec_id % 100 = 0 and r.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where alike
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10
+"""
+
+OP13 = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+x as (select *, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from x),
+c as (select *, substring(t, 1, a) as p, substring(t, a + 1, b - a) as m, substring(t, b + 1) as s from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from c
+"""
+
 
 def _op3() -> str:
     from lexigrove.llm.license_scan import LOWER, NOTICES, PHRASES, UPPER
@@ -101,4 +130,4 @@ from w left join f using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _op3(), "op2_source_mix": OP2, "op4_substring_dedup": OP4, "op6_chat_format": OP6, "op7_near_dedup": OP7, "op10_exact_dedup": OP10}
+    return {"op3_license_scan": _op3(), "op2_source_mix": OP2, "op4_substring_dedup": OP4, "op6_chat_format": OP6, "op7_near_dedup": OP7, "op10_exact_dedup": OP10, "op12_hard_negatives": OP12, "op13_fill_middle": OP13}

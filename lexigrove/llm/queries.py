@@ -85,6 +85,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_concatenate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.token_stream import pack_stream
+
+    return pack_stream(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label), F.col("id") % 100 == 0)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrove.llm.fill_middle import fill_middle, restored
+
+    texts = fill_middle(_table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return texts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
