@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import tokens
+from lexigrove.operators.tables import commit, snapshot, version  # noqa: F401 - snapshots are written and read with these
 from lexigrove.session import checkpointed
 
 
@@ -29,34 +30,6 @@ def replaced(table: DataFrame, batch: DataFrame, key: tuple[str, ...]) -> DataFr
     return table.join(batch.select(*key).distinct(), list(key), "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
-# Snapshots: each version is a folder, and a manifest names the folder of each version.
-
-
-def commit(rows: DataFrame, path: str, expected: int | None = None) -> int:
-    """Writes rows as the next version. With ``expected``, only if that is the current one."""
-    spark = rows.sparkSession
-    now = version(spark, path)
-    if expected is not None and expected != now:
-        raise ValueError(f"the table is at version {now}, not {expected}")
-    rows.write.mode("errorifexists").parquet(f"{path}/v={now + 1}")
-    return now + 1
-
-
-def version(spark: SparkSession, path: str) -> int:
-    """The current version; 0 if there is none. A folder counts once its write has ended."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return 0
-    found = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("v=")]
-    done = [int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=0)
-
-
-def snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={number or version(spark, path)}")
-
-
 def generation(inputs: list[str], plan: dict) -> str:
     """A token that changes with the input files or the plan's parameters."""
     import hashlib

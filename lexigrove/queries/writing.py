@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,57 @@ from lexigrove.corpus import LIB, library, table
 from lexigrove.functions.analysis import FOLD_SQL, LONGEST
 from lexigrove.operators import ingest as I
 from lexigrove.operators import records as K
+from lexigrove.operators.tables import Conflict, KeyedTable, commit, snapshot
 from lexigrove.registry import query
+from lexigrove.session import shared_folder
+
+
+def _fresh(spark: SparkSession) -> str:
+    """A place for a table in the shared folder."""
+    return f"{shared_folder(spark)}/lexigrove-tables/{uuid.uuid4().hex}"
+
+
+@query("s4_snapshots", "select doc_id, lang, doc_id % 3 = 0 as in_second, doc_id % 3 = 0 or doc_id % 7 = 0 as in_third from documents")
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of one table, each read as it was."""
+    path, docs = _fresh(spark), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    commit(docs, path, expected=0)
+    commit(docs.where("doc_id % 3 = 0"), path, expected=1)
+    commit(docs.where("doc_id % 7 = 0 and doc_id % 3 <> 0"), path, append=True)
+    mark = lambda n, c: snapshot(spark, path, n).select("doc_id", F.lit(True).alias(c))
+    out = snapshot(spark, path, 1).join(mark(2, "a"), "doc_id", "left").join(mark(None, "b"), "doc_id", "left")
+    return out.select("doc_id", "lang", F.coalesce("a", F.lit(False)).alias("in_second"), F.coalesce("b", F.lit(False)).alias("in_third"))
+
+
+@query("d5_conditional_delete", "select doc_id, lang, true as refused from documents where doc_id % 5 <> 0")
+def conditional_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows go if the table is at the version that was read; a second delete from the same version is refused."""
+    docs = table(spark, sf_dir, "documents")
+    held = KeyedTable(spark, _fresh(spark), ("doc_id",), ("n_chars",))
+    read = held.upsert(docs.select("doc_id", "lang", F.coalesce("n_chars", F.lit(0)).alias("n_chars")))
+    held.delete(docs.where("doc_id % 5 = 0"), expected=read)
+    try:
+        held.delete(docs.where("doc_id % 5 = 1"), expected=read)
+        refused = False
+    except Conflict:
+        refused = True
+    return held.rows().select("doc_id", "lang", F.lit(refused).alias("refused"))
+
+
+@query("x7_merged", "select doc_id, case when doc_id % 100 = 1 then 'new' else lang end as lang, cast(case when doc_id % 100 = 1 then 2 else 1 end as int) as rev from documents where doc_id % 100 <> 3 union all select doc_id - 1000000000, 'more', 2 from documents where doc_id % 100 = 1")
+def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by key after three batches of a feed: later rows, new keys, rows that are too old, a deletion, and a batch that comes again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    held = KeyedTable(spark, _fresh(spark), ("doc_id",), ("rev",))
+    rev = lambda rows, n: rows.withColumn("rev", F.lit(n))
+    held.upsert(rev(docs, 1), applied=("feed", 0))
+    some = docs.where("doc_id % 100 = 1")
+    batch = rev(some.withColumn("lang", F.lit("new")).unionByName(some.select((F.col("doc_id") - 1000000000).alias("doc_id"), F.lit("more").alias("lang"))), 2)
+    held.upsert(batch, applied=("feed", 1))
+    held.upsert(batch, applied=("feed", 1))
+    held.delete(docs.where("doc_id % 100 = 3"))
+    held.upsert(rev(docs.where("doc_id % 100 in (1, 2, 3)").withColumn("lang", F.lit("old")), 0), applied=("feed", 2))
+    return held.rows()
 
 
 @query("d1_ingest_batch", "with r as (select conv_id, role, text, turn, row_number() over (partition by conv_id, role order by turn desc, text desc) as n from conversations) select conv_id, role, turn, text from r where n = 1 and trim(coalesce(text, '')) <> ''")

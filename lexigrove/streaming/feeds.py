@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.operators.tables import KeyedTable
+
 
 def debounced(events: DataFrame, quiet: str = "2 seconds", late: str = "1 minute") -> DataFrame:
     """(path, last, n): one row for each burst of events of a path that are less than ``quiet`` apart. events: (ts, path)."""
@@ -41,8 +43,17 @@ def unchanged_skipped(batch: DataFrame, known: DataFrame) -> DataFrame:
     return batch.join(known.select("path", "mtime", "hash"), ["path", "mtime", "hash"], "left_anti")
 
 
+def merged(table: KeyedTable, application: str):
+    """For foreachBatch: sets each batch's later rows in a table by key. A batch writes its own rows only, a batch that comes again nothing, and the stream's progress is in the version that holds the rows."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        table.upsert(batch, applied=(application, epoch))
+
+    return apply
+
+
 def upsert(path: str, keys: tuple[str, ...], order: tuple[str, ...]):
-    """For foreachBatch: keeps the latest row of each key in a table at path. A batch that comes again writes nothing."""
+    """For foreachBatch: keeps the latest row of each key in a small table at path, written whole. A batch that comes again writes nothing. One writer only; ``merged`` is for large tables and several writers."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
