@@ -55,6 +55,11 @@ def py_folded(text: str) -> str:
     return out.translate(_PY_FOLD)
 
 
+def py_words(text: str) -> list[str]:
+    """The words of a text as they stand, long ones too."""
+    return _PY_WORD.findall(text)
+
+
 def py_tokens(text: str) -> list[tuple[int, str]]:
     """The analyzer on the driver, for query texts: (position, term)."""
-    return [(i, py_folded(w)) for i, w in enumerate(_PY_WORD.findall(text)) if len(w.encode()) < LONGEST]
+    return [(i, py_folded(w)) for i, w in enumerate(py_words(text)) if len(w.encode()) < LONGEST]

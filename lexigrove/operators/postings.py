@@ -1,131 +1,447 @@
-"""An inverted index over the text fields of documents, as Parquet tables that are built once and read by every query.
+"""An inverted index over the text fields of documents, as Parquet tables that grow by segments.
+
+A segment holds, for the documents it was made from and for good,
 
 * ``postings``: a row for each (term, field, document): how often and where the term stands, and how long the field is.
-  Rows lie in folders by a checksum of the term and are sorted by it, so a query reads the row groups of its own terms.
-  A term that very many documents share is split over files by size.
-* ``words``: the vocabulary, (field, term, documents, tokens).
-* ``keys``: the columns that name a document. ``totals``: documents and tokens of each field.
+  Rows lie in folders by a checksum of the term and are sorted by it, so a query opens the folders of its own terms and
+  reads their pages. Folders follow the bytes of text; one that a very common term makes large is split over files.
+* ``words``: the vocabulary, (field, term, documents, tokens), sorted by term.
+* ``keys``: the columns that name a document, and the file it came from.
+
+New documents make a new segment, and no old one is touched. Deleted and replaced documents are named by key and taken
+off what older segments give, and what they had in the vocabulary is taken off its counts, so all statistics are those
+of the documents that are left. Four segments of about one size are merged, from their postings and without their texts.
+Which segments and deletions are valid is one version of a commit log (``tables.TableLog``).
 
-A build is written under a name that stands for the files it was made from, so a changed source gets a new index.
+Wildcards and fuzzy words are looked up in the vocabulary, never in the postings: by the letters before the first
+wildcard, by groups of three letters, or by what is left of a word when letters are taken out. The last two tables are
+made by the first query that needs them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import json
+import math
+import uuid
 import zlib
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from lexigrove.functions.analysis import tokens
+from lexigrove.functions.analysis import LONGEST, py_folded, py_words
+from lexigrove.operators.tables import State, TableLog, _files, _path, put_new
 from lexigrove.session import shared_folder
 
-BUCKETS = 16
-#: Queries with more terms read all buckets.
+#: Bytes of text for a folder of postings, and the fewest and most folders of a segment (6 GB of text each at 100 TB).
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 32, 1 << 14
+#: Queries with more terms read all folders.
 MOST_PRUNED = 1000
+#: Segments of one size that are merged, and how much larger the next size is.
+TIER = 4
+#: Text of fewer bytes a core is dealt out before it is analysed.
+SPREAD = 64 << 20
+#: Raw words whose terms a task remembers.
+CACHE = 500_000
+
+
+def tokenised(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fields: tuple[str, ...], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a batch of documents, whose columns are keys, then fields."""
+
+    class Terms(dict):
+        def __missing__(self, word: str) -> str:
+            out = py_folded(word) if len(word.encode()) < LONGEST else ""
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = out
+            return out
+
+    terms_of = Terms()
+    for batch in batches:
+        rows, names, terms, counts, lengths, places = [], [], [], [], [], []
+        for i, name in enumerate(fields):
+            for row, text in enumerate(batch.column(len(keys) + i).to_pylist()):
+                found: dict[str, list[int]] = {}
+                for at, term in enumerate(map(terms_of.__getitem__, py_words(text or ""))):
+                    if term in found:
+                        found[term].append(at)
+                    else:
+                        found[term] = [at]
+                found.pop("", None)
+                n = [len(x) for x in found.values()]
+                rows += [row] * len(n)
+                names += [i] * len(n)
+                terms += found
+                counts += n
+                lengths += [sum(n)] * len(n)
+                places.append(list(itertools.chain.from_iterable(found.values())))
+                if len(terms) > 200_000 or (i + 1 == len(fields) and row + 1 == batch.num_rows):
+                    yield _posted(batch, keys, fields, buckets, rows, names, terms, counts, lengths, places)
+                    rows, names, terms, counts, lengths, places = [], [], [], [], [], []
+        if terms:
+            yield _posted(batch, keys, fields, buckets, rows, names, terms, counts, lengths, places)
+
+
+def _posted(batch: pa.RecordBatch, keys: tuple, fields: tuple, buckets: int, rows: list, names: list, terms: list, counts: list, lengths: list, places: list) -> pa.RecordBatch:
+    n = np.array(counts, np.int32)
+    flat = np.fromiter(itertools.chain.from_iterable(places), np.int32, int(n.sum()))
+    at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+    taken, crc = pa.array(np.array(rows, np.int64)), zlib.crc32
+    cols = [*(batch.column(i).take(taken) for i in range(len(keys))), pa.array(fields, pa.string()).take(pa.array(np.array(names, np.int64))), pa.array(terms, pa.string())]
+    bucket = pa.array([crc(t.encode()) % buckets for t in terms], pa.int32())
+    return pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(np.array(lengths, np.int32)), at, bucket], [*keys, "field", "term", "n", "length", "places", "bucket"])
+
+
+def left_out(term: str, most: int) -> set[str]:
+    """The term, and what is left when up to ``most`` of its letters are taken out."""
+    out = last = {term}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
+def grams(padded: str) -> list[str]:
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
 
+def _left_out_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(v, t) for t in batch.column(0).to_pylist() for v in left_out(t, most)]
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in rows], pa.string()) for i in (0, 1)], ["part", "term"])
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(g, t) for t in batch.column(0).to_pylist() for g in set(grams(f"^{t}$"))]
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in rows], pa.string()) for i in (0, 1)], ["part", "term"])
 
 
 @dataclass
 class TextIndex:
-    """keys: the columns that name a row of the documents; fields: the search fields."""
+    """One version of an index. keys: the columns that name a document; fields: the search fields."""
 
     spark: SparkSession
     path: str
     keys: tuple[str, ...]
     fields: tuple[str, ...]
     schema: T.StructType
-    _totals: dict[str, tuple[int, int]] = field(default_factory=dict)
+    state: State
+
+    @property
+    def log(self) -> TableLog:
+        return TableLog(self.spark, self.path)
+
+    def current(self) -> TextIndex:
+        return TextIndex(self.spark, self.path, self.keys, self.fields, self.schema, self.log.state())
+
+    # Reading.
+
+    def _live(self, kind: str) -> dict[str, dict]:
+        return {name: about for name, about in self.state.live.items() if about["kind"] == kind}
+
+    def _read(self, name: str, what: str, kinds: str | T.StructType) -> DataFrame:
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/data/{name}/{what}")
 
-    def _table(self, name: str, kinds: str | T.StructType) -> DataFrame:
-        return self.spark.read.schema(kinds).parquet(f"{self.path}/{name}")
+    def _union(self, parts: Iterable[DataFrame], kinds: str | T.StructType) -> DataFrame:
+        parts = list(parts)
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], kinds)
 
-    def postings(self) -> DataFrame:
+    def _left(self, rows: DataFrame, version: int) -> DataFrame:
+        """Rows of a segment of some version without those of documents that went later."""
+        gone = [name for name, about in self._live("gone").items() if about["version"] > version]
+        if not gone:
+            return rows
+        keys = self._union((self._read(name, "keys", self.schema) for name in gone), self.schema).distinct()
+        return rows.join(keys, functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(keys[k]) for k in self.keys)), "left_anti")
+
+    @property
+    def _posting_kinds(self) -> T.StructType:
         word, number = T.StringType(), T.IntegerType()
-        more = [("field", word), ("term", word), ("n", number), ("length", number), ("places", T.ArrayType(number)), ("bucket", number)]
-        return self._table("postings", T.StructType([*self.schema.fields, *(T.StructField(c, kind) for c, kind in more)]))
+        more = [("field", word), ("term", word), ("n", number), ("length", number), ("places", T.ArrayType(number))]
+        return T.StructType([*self.schema.fields, *(T.StructField(c, kind) for c, kind in more)])
+
+    def postings(self, terms: Iterable[str] | None = None) -> DataFrame:
+        """All postings, or those of some terms, from the folders that these are in."""
+        kinds, parts = self._posting_kinds, []
+        wanted = None if terms is None else sorted(set(terms))
+        for name, about in self._live("segment").items():
+            folder = f"{self.path}/data/{name}/postings"
+            if wanted is not None and len(wanted) <= MOST_PRUNED:
+                own = {f"{folder}/bucket={zlib.crc32(t.encode()) % about['buckets']}" for t in wanted}
+                fs = _files(self.spark, self.path)
+                own = sorted(p for p in own if fs.exists(_path(self.spark, p)))
+                if not own:
+                    continue
+                rows = self.spark.read.schema(kinds).option("basePath", folder).parquet(*own).drop("bucket")
+            else:
+                rows = self.spark.read.schema(kinds).parquet(folder).drop("bucket")
+            parts.append(self._left(rows if wanted is None else rows.where(F.col("term").isin(wanted)), about["version"]))
+        return self._union(parts, kinds)
+
+    def with_terms(self, terms: Iterable[str]) -> DataFrame:
+        return self.postings(terms)
 
     def words(self) -> DataFrame:
-        return self._table("words", "field string, term string, documents bigint, tokens bigint")
+        """(field, term, documents, tokens) over the documents that are left."""
+        kinds = "field string, term string, documents bigint, tokens bigint"
+        segments, gone = self._live("segment"), self._live("gone")
+        parts = [self._read(name, "words", kinds) for name in segments]
+        if len(parts) == 1 and not gone:
+            return parts[0]
+        for name in gone:
+            off = self._read(name, "words", f"segment string, {kinds}").where(F.col("segment").isin(list(segments)))
+            parts.append(off.select("field", "term", (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
+        found = self._union(parts, kinds).groupBy("field", "term").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        return found.where("documents > 0")
 
     def rows(self) -> DataFrame:
-        return self._table("keys", self.schema)
+        """The keys of all documents."""
+        return self._union((self._left(self._read(name, "keys", self.schema), about["version"]) for name, about in self._live("segment").items()), self.schema)
+
+    def of_files(self, files: list[str]) -> DataFrame:
+        """The keys of the documents that came from some files."""
+        with_file = T.StructType([*self.schema.fields, T.StructField("_file", T.StringType())])
+        return self._union((self._read(name, "keys", with_file).where(F.col("_file").isin(files)) for name in self._live("segment")), with_file).select(*self.keys)
 
     def totals(self) -> dict[str, tuple[int, int]]:
         """(documents, tokens) by field."""
-        if not self._totals:
-            self._totals.update({r.field: (r.documents, r.tokens) for r in self._table("totals", "field string, documents bigint, tokens bigint").collect()})  # a row for each field
-        return self._totals
-
-    def with_terms(self, terms: Iterable[str], patterns: Iterable[str] = ()) -> DataFrame:
-        """The postings of some terms and of those that match patterns."""
-        terms, patterns = sorted(set(terms)), sorted(set(patterns))
-        found = self.postings()
-        if not patterns and len(terms) <= MOST_PRUNED:
-            found = found.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})))
-        wanted = F.col("term").isin(terms)
-        for p in patterns:
-            wanted = wanted | F.col("term").rlike(p)
-        return found.where(wanted)
+        own = {f: [0, 0] for f in self.fields}
+        segments = self._live("segment")
+        for sign, about in [*((1, a) for a in segments.values()), *((-1, a) for g in self._live("gone").values() for s, a in g["of"].items() if s in segments)]:
+            for f in self.fields:
+                own[f][0] += sign * about["documents"]
+                own[f][1] += sign * about["tokens"].get(f, 0)
+        return {f: (d, t) for f, (d, t) in own.items()}
+
+    # Words that a pattern stands for.
+
+    def _part_table(self, segment: str, what: str) -> DataFrame:
+        """(part, term) of a segment's vocabulary, sorted by part; made once, by whoever is first."""
+        note = f"{self.path}/data/{segment}/{what}.json"
+        fs = _files(self.spark, note)
+        if not fs.exists(_path(self.spark, note)):
+            terms = self._read(segment, "words", "field string, term string").select("term").distinct()
+            make = _gram_rows if what == "grams" else functools.partial(_left_out_rows, most=int(what[-1]))
+            made = f"{what}-{uuid.uuid4().hex}"
+            terms.mapInArrow(make, "part string, term string").repartition("part").sortWithinPartitions("part").write.option("compression", "zstd").parquet(f"{self.path}/data/{segment}/{made}")
+            put_new(self.spark, note, json.dumps(made))
+        stream = fs.open(_path(self.spark, note))
+        try:
+            made = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return self._read(segment, made, "part string, term string")
+
+    def prepare(self) -> None:
+        """Makes the tables for wildcards without a beginning and for fuzzy words ahead of the queries."""
+        for name, what in itertools.product(self._live("segment"), ("grams", "near1")):
+            self._part_table(name, what)
+
+    def _found(self, candidates: DataFrame, matches: Column, most: int) -> tuple[list[str], int]:
+        """The matching terms of some candidates, and how many candidates there are, ``most`` and one at most."""
+        if self._live("gone"):  # a term that no document has any more is none
+            candidates = candidates.join(self.words().select("term").distinct(), "term", "left_semi")
+        row = candidates.select("term").distinct().limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(matches, F.col("term")))).alias("terms")).first()
+        return list(row.terms), row.n
+
+    def like(self, pattern: str, most: int) -> tuple[list[str], int]:
+        """The terms that a pattern of letters, ``*`` and ``?`` matches whole, and how many were looked at."""
+        head = next((pattern[:i] for i, c in enumerate(pattern) if c in "*?"), pattern)
+        regex = "^" + "".join({"*": ".*", "?": "."}.get(c, c) for c in pattern) + "$"
+        segments = self._live("segment")
+        parts = sorted({g for run in f"^{pattern}$".replace("?", "*").split("*") for g in grams(run)})
+        if head or not parts:
+            rows = (self._read(name, "words", "field string, term string").select("term") for name in segments)
+            if head:
+                rows = (r.where(F.col("term").startswith(head)) for r in rows)
+        else:
+            rows = (self._part_table(name, "grams").where(F.col("part").isin(parts)).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(parts)).select("term") for name in segments)
+        return self._found(self._union(rows, "term string"), F.col("term").rlike(regex), most)
+
+    def near(self, term: str, distance: int, most: int) -> tuple[list[str], int]:
+        """Terms that may be within a distance of letters put in, left out, changed, or swapped with the next: all that are, and others; and how many."""
+        parts = sorted(left_out(term, distance))
+        rows = (self._part_table(name, f"near{distance}").where(F.col("part").isin(parts)).select("term") for name in self._live("segment"))
+        return self._found(self._union(rows, "term string"), F.lit(True), most)
+
+    # Writing.
+
+    def _segment(self, docs: DataFrame, fields: dict[str, str]) -> tuple[str, dict]:
+        """Writes a segment of docs; its name and what an entry tells about it."""
+        name = uuid.uuid4().hex
+        size = docs.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in fields.values()), F.lit(0))).alias("n")).first().n or 0
+        buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET))
+        keys, own = self.keys, self.fields
+        texts = docs.select(*keys, *(F.col(fields[f]).cast("string").alias(f"_text_{i}") for i, f in enumerate(own)))
+        cores = self.spark.sparkContext.defaultParallelism
+        if size < cores * SPREAD:  # few files or row groups would leave most cores idle
+            texts = texts.repartition(cores)
+        kinds = T.StructType([*self._posting_kinds.fields, T.StructField("bucket", T.IntegerType())])
+        rows = texts.mapInArrow(lambda x: tokenised(x, keys, own, buckets), kinds)
+        file = [F.col("_file").cast("string").alias("_file")] if "_file" in docs.columns else [F.lit(None).cast("string").alias("_file")]
+        docs.select(*keys, *file).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/keys")
+        return name, self._finish(name, rows, buckets, size)
+
+    def _finish(self, name: str, rows: DataFrame, buckets: int, size: int) -> dict:
+        """Writes postings and the vocabulary of a segment whose keys are written."""
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{name}/postings")
+        kept = self.spark.read.schema("field string, term string, n int").parquet(f"{self.path}/data/{name}/postings")
+        words = kept.groupBy("field", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+        words.sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/words")
+        tokens = {r.field: r.tokens for r in self._read(name, "words", "field string, tokens bigint").groupBy("field").agg(F.sum("tokens").alias("tokens")).collect()}  # a row for each field
+        return {"kind": "segment", "buckets": buckets, "bytes": size, "documents": self._read(name, "keys", self.schema).count(), "tokens": tokens}
+
+    def _gone(self, keys: DataFrame) -> tuple[str, dict] | None:
+        """Writes which documents go, and what each segment's counts lose by it; None where the index has none of them."""
+        own = keys.select(*self.keys).distinct()
+        on = lambda rows: functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(own[k]) for k in self.keys))
+        name, of, segments = uuid.uuid4().hex, {}, self._live("segment")
+        held = [self._left(self._read(s, "keys", self.schema), about["version"]).withColumn("segment", F.lit(s)) for s, about in segments.items()]
+        if not held:
+            return None
+        every = functools.reduce(DataFrame.unionByName, held)
+        every.join(own, on(every), "left_semi").write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/keys")
+        counts = {r.segment: r.n for r in self._read(name, "keys", "segment string").groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a segment
+        if not counts:
+            self.log.discard(name)
+            return None
+        own = self._read(name, "keys", self.schema).distinct()
+        parts = []
+        for s in counts:
+            rows = self._left(self._read(s, "postings", self._posting_kinds).select(*self.keys, "field", "term", "n"), segments[s]["version"])
+            parts.append(rows.join(own, on(rows), "left_semi").groupBy("field", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens")).withColumn("segment", F.lit(s)))
+        functools.reduce(DataFrame.unionByName, parts).sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/words")
+        for r in self._read(name, "words", "segment string, field string, tokens bigint").groupBy("segment", "field").agg(F.sum("tokens").alias("tokens")).collect():  # segments times fields
+            of.setdefault(r.segment, {"documents": counts[r.segment], "tokens": {}})["tokens"][r.field] = r.tokens
+        for s, n in counts.items():
+            of.setdefault(s, {"documents": n, "tokens": {}})
+        return name, {"kind": "gone", "of": of}
+
+    def _commit(self, make) -> TextIndex:
+        """make: from the current index, what to add and what to take out of an entry; None for nothing."""
+        while True:
+            now = self.current()
+            change = make(now)
+            if change is None:
+                return now
+            added, dropped, files = change
+            number = now.state.version + 1
+            live = {n: a for n, a in now.state.live.items() if n not in dropped}
+            live |= {n: about | {"version": number} for n, about in added}
+            oldest = min((a["version"] for a in live.values() if a["kind"] == "segment"), default=number)
+            live = {n: a for n, a in live.items() if a["kind"] == "segment" or a["version"] > oldest}  # deletions that touch nothing any more go
+            if self.log.put(State(number, live, about={"files": files} if files is not None else now.state.about)):
+                return self.current()
+            for n, _ in added:
+                self.log.discard(n)
+
+    def add(self, docs: DataFrame, fields: dict[str, str], replace: bool = True) -> TextIndex:
+        """The index with docs as a new segment; documents of the same keys go, unless ``replace`` is off because there are none."""
+
+        def make(now: TextIndex):
+            made = now._segment(docs, fields)
+            gone = now._gone(docs) if replace else None
+            return [made, *([gone] if gone else [])], (), None
+
+        return self._commit(make).merge()
+
+    def delete(self, keys: DataFrame) -> TextIndex:
+        def make(now: TextIndex):
+            gone = now._gone(keys)
+            return ([gone], (), None) if gone else None
+
+        return self._commit(make)
+
+    def merge(self, every: bool = False) -> TextIndex:
+        """Merges segments of one size, where there are enough of them; all, with ``every``."""
+
+        def make(now: TextIndex):
+            tiers: dict[int, list[str]] = {}
+            segments = now._live("segment")
+            for name, about in segments.items():
+                tiers.setdefault(0 if every else int(math.log(max(about["bytes"], 1), TIER)), []).append(name)
+            full = next((own for own in tiers.values() if len(own) >= (1 if every else TIER)), None)
+            if full is None or (every and len(full) < 2 and not now._live("gone")):
+                return None
+            name, size = uuid.uuid4().hex, sum(segments[s]["bytes"] for s in full)
+            buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET))
+            with_file = T.StructType([*now.schema.fields, T.StructField("_file", T.StringType())])
+            functools.reduce(DataFrame.unionByName, (now._left(now._read(s, "keys", with_file), segments[s]["version"]) for s in full)).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/keys")
+            rows = functools.reduce(DataFrame.unionByName, (now._left(now._read(s, "postings", now._posting_kinds), segments[s]["version"]) for s in full))
+            rows = rows.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int"))
+            return [(name, now._finish(name, rows, buckets, size))], tuple(full), None
+
+        before = self.state.version
+        done = self._commit(make)
+        return done.merge() if done.state.version > before and not every else done
 
 
 def build(docs: DataFrame, keys: tuple[str, ...], fields: dict[str, str], path: str) -> TextIndex:
-    """Writes the index of docs (a row for each document) to path. fields: text columns by search field."""
-    spark = docs.sparkSession
-    index = TextIndex(spark, path, keys, tuple(fields), docs.select(*keys).schema)
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(c)).alias("tok")) for f, c in fields.items())))
-    long = docs.select(*keys, each.alias("x")).select(*keys, "x.field", F.size("x.tok").alias("length"), F.explode("x.tok").alias("t"))
-    grouped = long.groupBy(*keys, "field", "length", F.col("t.t").alias("term")).agg(F.sort_array(F.collect_list("t.p")).alias("places"))
-    rows = grouped.select(*keys, "field", "term", F.size("places").alias("n"), "length", "places", _bucket(F.col("term")).alias("bucket"))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    words = index.postings().groupBy("field", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
-    words.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words")
-    docs.select(*keys).write.mode("overwrite").parquet(f"{path}/keys")
-    every = spark.createDataFrame([(f,) for f in fields], "field string").join(index.words().groupBy("field").agg(F.sum("tokens").alias("tokens")), "field", "left")
-    every = every.crossJoin(index.rows().agg(F.count(F.lit(1)).alias("documents")))  # one row
-    every.select("field", "documents", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    return index
-
-
-_MADE: dict[str, TextIndex] = {}
-
-
-def signature(source: DataFrame, *more: object) -> str:
-    """A name for what the files of source hold now, and for what is made of them."""
-    spark = source.sparkSession
-    digest = hashlib.sha256(repr(more).encode())
-    for name in sorted(source.inputFiles()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
-    return digest.hexdigest()[:32]
+    """Writes the index of docs (a row for each document) to path, in place of what is there."""
+    index = TextIndex(docs.sparkSession, path, keys, tuple(fields), docs.select(*keys).schema, State())
+    return index._commit(lambda now: ([now._segment(docs, fields)], tuple(now.state.live), {}))
+
+
+def _listed(source: DataFrame) -> dict[str, str]:
+    """Length and time of each file of source, one listing a folder."""
+    spark, found = source.sparkSession, {}
+    names = set(source.inputFiles())
+    for folder in sorted({n.rpartition("/")[0] for n in names}):
+        for s in _files(spark, folder).listStatus(_path(spark, folder)):
+            found[f"{folder}/{s.getPath().getName()}"] = f"{s.getLen()} {s.getModificationTime()}"
+    decoded = lambda n: _path(spark, n).toUri().getPath()
+    by_path = {decoded(n): about for n, about in found.items()}
+    return {n: by_path.get(decoded(n), "") for n in names}
 
 
 def opened(source: DataFrame, docs: DataFrame, keys: tuple[str, ...], fields: dict[str, str], folder: str | None = None) -> TextIndex:
-    """The index of docs, which are derived row by row from the files of source; built where there is none of these files."""
-    spark = docs.sparkSession
-    path = f"{folder or shared_folder(spark)}/lexigrove-index/{signature(source, keys, sorted(fields.items()))}"
-    if path not in _MADE or _MADE[path].spark is not spark:
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
-        ready = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
-        _MADE[path] = TextIndex(spark, path, keys, tuple(fields), docs.select(*keys).schema) if ready else build(docs, keys, fields, path)
-    return _MADE[path]
+    """The index of docs, which are derived row by row from the files of source, brought up to date with these files.
+
+    New files make a segment; the documents of files that went or changed are deleted. An index belongs to the folders
+    that the files are in.
+    """
+    spark, files = docs.sparkSession, _listed(source)
+    roots = sorted({n.rpartition("/")[0] for n in files})
+    name = hashlib.sha256(repr((roots, keys, sorted(fields.items()), docs.select(*keys, *fields.values()).columns)).encode()).hexdigest()[:32]
+    path = f"{folder or shared_folder(spark)}/lexigrove-index/{name}"
+    index = TextIndex(spark, path, keys, tuple(fields), docs.select(*keys).schema, State()).current()
+
+    def make(now: TextIndex):
+        known = now.state.about.get("files", {})
+        if known == files and now.state.version:
+            return None
+        new = [n for n in files if known.get(n) != files[n]]
+        old = [n for n in known if known[n] != files.get(n)]
+        added = []
+        own = docs.withColumn("_file", F.input_file_name())
+        if not known:
+            added.append(now._segment(own, fields))
+        elif new:
+            added.append(now._segment(own.where(F.col("_file").isin(new)), fields))
+        if old:
+            gone = now._gone(now.of_files(old))
+            added += [gone] if gone else []
+        return added, (), files
+
+    done = index._commit(make)
+    return done.merge() if done.state.version > index.state.version else done
 
 
 def search_many(index: TextIndex, queries: DataFrame, n: int, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75, key: str | None = None) -> DataFrame:
     """(query_id, key columns, score, rank): the n best documents by BM25 for any of a query's terms, for all queries in one plan.
 
     queries: (query_id, term), terms as the analyzer gives them. A posting meets the queries that name its term, and
-    only its score goes on.
+    only its score goes on. Ties go by ``key`` and then by all keys.
     """
-    from pyspark.sql import Window
-
     totals = index.totals()
     pick = lambda values: F.coalesce(*(F.when(F.col("field") == f, F.lit(v)) for f, v in values.items()))
     mean = {f: (t / d if d and t else 1.0) for f, (d, t) in totals.items()}
@@ -138,5 +454,6 @@ def search_many(index: TextIndex, queries: DataFrame, n: int, boosts: dict[str,
     part = F.col("w") * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("length") / pick(mean)))
     met = index.postings().select(*index.keys, "term", "field", "n", "length").join(terms, ["term", "field"])
     scored = met.groupBy("query_id", *index.keys).agg(F.round(F.sum(part), 6).alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), *(F.asc(k) for k in ([key] if key else index.keys)))
+    ties = [*([key] if key else []), *(k for k in index.keys if k != key)]
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), *(F.asc(k) for k in ties))
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)

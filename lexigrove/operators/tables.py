@@ -80,6 +80,8 @@ class State:
     buckets: int = 0
     #: The buckets that this version wrote, None for all.
     wrote: list[int] | None = None
+    #: What a table keeps besides.
+    about: dict = field(default_factory=dict)
     at: float = 0.0
 
     def kind(self) -> T.StructType:

@@ -3,8 +3,10 @@
 What a query needs of a document, the places of the query's own terms, is in one row, so matching and scoring are
 row-local. Over an index, that row is made of the postings of these terms alone, and what a score needs of the corpus
 (documents, mean lengths, document frequencies) is looked up in the vocabulary. Over plain documents, the row is made by
-tokenising, and the statistics are one aggregate; that is for streams and small sets. Fuzzy words are looked up in the
-vocabulary first: the JVM's edit distance narrows it, the exact distance decides on the driver, within a checked bound.
+tokenising, and the statistics are one aggregate; that is for streams and small sets. Wildcards and fuzzy words are looked
+up in the vocabulary first and become words. How many they may stand for in one query, and how many words may be looked
+at for them, is bounded; what is beyond is an error. Over a stream there is no vocabulary, and wildcards are held against
+each row's words.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from lexigrove.operators.postings import TextIndex
 from lexigrove.plans import language as q
 
 K1, B = 1.2, 0.75
-#: Most words that one fuzzy word may stand for.
-MOST_FUZZY = 10_000
 
 
 @dataclass
@@ -45,12 +45,14 @@ def holds_without_words(expr: object, scope: str | None = None) -> bool:
 
 @dataclass
 class Compiler:
-    """fields: names of text columns of docs by search field."""
+    """fields: names of text columns of docs by search field. expanded, visited: the bounds of a query's expansion."""
 
     docs: DataFrame | TextIndex
     fields: dict[str, str]
-    fuzzy: dict[q.Fuzzy, list[str]] = field(default_factory=dict)
+    words: dict[q.Fuzzy | q.Wildcard, list[str]] = field(default_factory=dict)
     stats: Stats | None = None
+    expanded: int = q.MAX_EXPANDED
+    visited: int = q.MAX_VISITED
 
     def __post_init__(self):
         self.index = self.docs if isinstance(self.docs, TextIndex) else None
@@ -76,8 +78,8 @@ class Compiler:
         kinds = [q.pattern(x.text) for x in leaves if isinstance(x, q.Word) and x.text != "*"]
         terms = {t for k in kinds if isinstance(k, q.Exact) for _, t in k.tokens} | {t for x in leaves if isinstance(x, q.Phrase) for _, t in py_tokens(x.text)}
         for k in kinds:
-            if isinstance(k, q.Fuzzy) and k not in self.fuzzy:
-                self.fuzzy[k] = self._near_words(k)
+            if isinstance(k, (q.Fuzzy, q.Wildcard)) and k not in self.words and not (self.base is not None and self.base.isStreaming and isinstance(k, q.Wildcard)):
+                self.words[k] = self._stands_for(k)
         if self.index:
             self._from_index(terms, kinds, every or any(holds_without_words(e) for e in exprs))
             return
@@ -97,8 +99,7 @@ class Compiler:
         totals = index.totals()
         frequency = {(f, t): 0 for f in self.fields for t in terms} | {(r.field, r.term): r.documents for r in known}
         self.stats = Stats(max((d for d, _ in totals.values()), default=0), {f: totals[f][1] / max(totals[f][0], 1) for f in self.fields}, frequency)
-        likely = terms | {w for k in kinds if isinstance(k, q.Fuzzy) for w in self.fuzzy[k]}
-        found = index.with_terms(likely, [k.regex for k in kinds if isinstance(k, q.Wildcard)])
+        found = index.with_terms(terms | {w for k in kinds if not isinstance(k, q.Exact) for w in self.words[k]})
         at = F.transform("places", lambda p: F.struct(F.col("term").alias("t"), p.alias("p")))
         of = lambda f, x: F.when(F.col("field") == f, x)
         rows = found.groupBy(*index.keys).agg(
@@ -111,16 +112,28 @@ class Compiler:
             rows = all_.join(own, on, "left").select(*(f"k.{c}" for c in index.keys), *(F.coalesce(f"_tok_{f}", none).alias(f"_tok_{f}") for f in self.fields), *(f"_len_{f}" for f in self.fields))
         self.base = rows
 
-    def _near_words(self, k: q.Fuzzy) -> list[str]:
+    def _stands_for(self, k: q.Fuzzy | q.Wildcard) -> list[str]:
+        """The words that a wildcard or a fuzzy word stands for, counted against the query's bounds."""
         if self.index:
-            words = self.index.words().select(F.col("term").alias("t"))
+            found, seen = self.index.near(k.term, k.distance, self.visited) if isinstance(k, q.Fuzzy) else self.index.like(k.pattern, self.visited)
         else:
-            words = self.base.select(F.explode(F.array_distinct(F.transform(F.concat(*(F.col(f"_tok_{f}") for f in self.fields)), lambda x: x["t"]))).alias("t"))
-        near = words.where(F.abs(F.length("t") - len(k.term)) <= k.distance)
-        near = near.where(F.levenshtein("t", F.lit(k.term)) <= 2 * k.distance).distinct().limit(MOST_FUZZY + 1).collect()
-        if len(near) > MOST_FUZZY:
-            raise q.QueryError(f"{k.term}~{k.distance} is near more than {MOST_FUZZY} words")
-        return sorted(r.t for r in near if q.osa(k.term, r.t, k.distance) <= k.distance)
+            each = F.explode(F.array_distinct(F.transform(F.concat(*(F.col(f"_tok_{f}") for f in self.fields)), lambda x: x["t"])))
+            words = self.base.select(each.alias("t")).distinct()
+            if isinstance(k, q.Fuzzy):  # a swap of neighbours is two changes there
+                words = words.where((F.abs(F.length("t") - len(k.term)) <= k.distance) & (F.levenshtein("t", F.lit(k.term)) <= 2 * k.distance))
+            else:
+                words = words.where(F.col("t").rlike(k.regex))
+            found = [r.t for r in words.limit(self.visited + 1).collect()]
+            seen = len(found)
+        self.visited -= seen
+        if self.visited < 0:
+            raise q.QueryError(f"a query looks at no more than {q.MAX_VISITED} words of the vocabulary; narrow the pattern")
+        if isinstance(k, q.Fuzzy):
+            found = [t for t in found if q.osa(k.term, t, k.distance) <= k.distance]
+        self.expanded -= len(found)
+        if self.expanded < 0:
+            raise q.QueryError(f"wildcards and fuzzy words of a query stand for no more than {q.MAX_EXPANDED} words; narrow the pattern")
+        return sorted(found)
 
     # Clauses.
 
@@ -163,9 +176,9 @@ class Compiler:
         return match, score
 
     def _in_words(self, f: str, kind: q.Wildcard | q.Fuzzy) -> Column:
-        if isinstance(kind, q.Wildcard):
+        if kind not in self.words:
             return F.filter(f"_tok_{f}", lambda x: x["t"].rlike(kind.regex))
-        return F.filter(f"_tok_{f}", lambda x: x["t"].isin(self.fuzzy[kind]) if self.fuzzy[kind] else F.lit(False))
+        return F.filter(f"_tok_{f}", lambda x: x["t"].isin(self.words[kind]) if self.words[kind] else F.lit(False))
 
     def compile(self, expr: object, scope: str | None = None) -> tuple[Column, Column]:
         """(matches, score); the score counts where it matches."""
