@@ -11,9 +11,10 @@ each row's words.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import py_tokens, tokens
@@ -88,7 +89,7 @@ class Compiler:
         for f in self.fields:
             aggs.append(F.coalesce(F.avg(f"_len_{f}"), F.lit(0.0)).alias(f"len_{f}"))
             for i, t in enumerate(ordered):
-                aggs.append(F.count(F.when(F.size(self._places(f, t)) > 0, 1)).alias(f"df_{f}_{i}"))
+                aggs.append(F.count(F.when(F.expr(f"size({self._places(f, t)}) > 0"), 1)).alias(f"df_{f}_{i}"))
         row = self.base.agg(*aggs).first()
         self.stats = Stats(row["n"], {f: row[f"len_{f}"] for f in self.fields}, {(f, t): row[f"df_{f}_{i}"] for f in self.fields for i, t in enumerate(ordered)})
 
@@ -135,75 +136,72 @@ class Compiler:
             raise q.QueryError(f"wildcards and fuzzy words of a query stand for no more than {q.MAX_EXPANDED} words; narrow the pattern")
         return sorted(found)
 
-    # Clauses.
+    # Clauses, as SQL of Spark: a query becomes one expression, which is parsed once.
 
     def _targets(self, scope: str | None) -> list[tuple[str, float]]:
         return [(scope, 1.0)] if scope else [(f, w) for f, w in q.BOOSTS.items() if f in self.fields]
 
-    def _places(self, f: str, term: str) -> Column:
-        return F.transform(F.filter(f"_tok_{f}", lambda x: x["t"] == term), lambda x: x["p"])
+    def _places(self, f: str, term: str) -> str:
+        return f"transform(filter(_tok_{f}, x -> x.t = {_text(term)}), x -> x.p)"
 
-    def _bm25(self, f: str, terms: list[str], count: Column) -> Column:
+    def _bm25(self, f: str, terms: list[str], count: str) -> str:
         s = self.stats
-        idf = sum((F.log1p(F.lit((s.documents - s.frequency[f, t] + 0.5) / (s.frequency[f, t] + 0.5))) for t in terms), F.lit(0.0))
-        length = F.coalesce(f"_len_{f}", F.lit(0)) / F.lit(s.mean_length[f] or 1.0)
-        c = count.cast("double")
-        return idf * c * (K1 + 1) / (c + K1 * (1 - B + B * length))
+        idf = sum((math.log1p((s.documents - s.frequency[f, t] + 0.5) / (s.frequency[f, t] + 0.5)) for t in terms), 0.0)
+        length = f"coalesce(_len_{f}, 0) / {_number(s.mean_length[f] or 1.0)}"
+        return f"({_number(idf)} * ({count}) * {_number(K1 + 1)} / (({count}) + {_number(K1)} * ({_number(1 - B)} + {_number(B)} * {length})))"
 
-    def _starts(self, f: str, sequence: tuple[tuple[int, str], ...]) -> Column:
+    def _starts(self, f: str, sequence: tuple[tuple[int, str], ...]) -> str:
         """Where the words of a sequence stand at their distances."""
         first = sequence[0][0]
         out = self._places(f, sequence[0][1])
         for place, term in sequence[1:]:
-            back = place - first
-            out = F.array_intersect(out, F.transform(self._places(f, term), lambda p: p - back))  # noqa: B023  used at once
+            out = f"array_intersect({out}, transform({self._places(f, term)}, p -> p - {place - first}))"
         return out
 
-    def _sequence(self, f: str, sequence: tuple[tuple[int, str], ...]) -> tuple[Column, Column]:
-        n = F.size(self._starts(f, sequence))
-        return n > 0, self._bm25(f, [t for _, t in sequence], n)
+    def _sequence(self, f: str, sequence: tuple[tuple[int, str], ...]) -> tuple[str, str]:
+        n = f"size({self._starts(f, sequence)})"
+        return f"({n} > 0)", self._bm25(f, [t for _, t in sequence], f"cast({n} as double)")
 
-    def _any_of(self, parts: list[tuple[Column, Column]]) -> tuple[Column, Column]:
-        match, score = F.lit(False), F.lit(0.0)
-        for m, s in parts:
-            match, score = match | m, score + F.when(m, s).otherwise(0.0)
-        return match, score
+    @staticmethod
+    def _any_of(parts: list[tuple[str, str]]) -> tuple[str, str]:
+        if not parts:
+            return "false", "0D"
+        return "(" + " or ".join(m for m, _ in parts) + ")", "(" + " + ".join(f"if({m}, {s}, 0D)" for m, s in parts) + ")"
 
-    def _all_of(self, parts: list[tuple[Column, Column]]) -> tuple[Column, Column]:
-        match, score = F.lit(True), F.lit(0.0)
-        for m, s in parts:
-            match, score = match & m, score + s
-        return match, score
+    @staticmethod
+    def _all_of(parts: list[tuple[str, str]]) -> tuple[str, str]:
+        return "(" + " and ".join(m for m, _ in parts) + ")", "(" + " + ".join(s for _, s in parts) + ")"
 
-    def _in_words(self, f: str, kind: q.Wildcard | q.Fuzzy) -> Column:
+    def _in_words(self, f: str, kind: q.Wildcard | q.Fuzzy) -> str:
         if kind not in self.words:
-            return F.filter(f"_tok_{f}", lambda x: x["t"].rlike(kind.regex))
-        return F.filter(f"_tok_{f}", lambda x: x["t"].isin(self.words[kind]) if self.words[kind] else F.lit(False))
+            return f"filter(_tok_{f}, x -> x.t rlike {_text(kind.regex)})"
+        held = f"x.t in ({', '.join(map(_text, self.words[kind]))})" if self.words[kind] else "false"
+        return f"filter(_tok_{f}, x -> {held})"
 
-    def compile(self, expr: object, scope: str | None = None) -> tuple[Column, Column]:
+    def compile(self, expr: object, scope: str | None = None) -> tuple[str, str]:
         """(matches, score); the score counts where it matches."""
         if isinstance(expr, q.And):
             return self._all_of([self.compile(p, scope) for p in expr.parts])
         if isinstance(expr, q.Or):
             return self._any_of([self.compile(p, scope) for p in expr.parts])
         if isinstance(expr, q.Not):
-            return ~self.compile(expr.inner, scope)[0], F.lit(1.0)
+            return f"(not {self.compile(expr.inner, scope)[0]})", "1D"
         if isinstance(expr, q.Scope):
             return self.compile(expr.inner, expr.field)
         if isinstance(expr, q.Word):
             if expr.text == "*" and scope is None:
-                return F.lit(True), F.lit(1.0)
+                return "true", "1D"
             kind, parts = q.pattern(expr.text), []
             for f, w in self._targets(scope):
                 if isinstance(kind, q.Exact):
                     m, s = self._all_of([self._sequence(f, ((0, t),)) for _, t in kind.tokens])
-                    parts.append((m, s * w))
+                    parts.append((m, f"{s} * {_number(w)}"))
                 else:
-                    parts.append((F.size(self._in_words(f, kind)) > 0, F.lit(w)))
+                    parts.append((f"(size({self._in_words(f, kind)}) > 0)", _number(w)))
             return self._any_of(parts)
         if isinstance(expr, q.Phrase):
             found = [(w, *self._sequence(f, tuple(py_tokens(expr.text)))) for f, w in self._targets(scope)]
-            return self._any_of([(m, s * w) for w, m, s in found])
+            return self._any_of([(m, f"{s} * {_number(w)}") for w, m, s in found])
         parts = []
         for f, w in self._targets(scope):
             left, right = self._spans(expr.left, f), self._spans(expr.right, f)
@@ -211,38 +209,40 @@ class Compiler:
                 continue
             near = self._before(left[0], right[0], expr.distance)
             if not expr.ordered:
-                near = near | self._before(right[0], left[0], expr.distance)
-            parts.append((near, (left[1] + right[1]) * w))
+                near = f"({near} or {self._before(right[0], left[0], expr.distance)})"
+            parts.append((near, f"({left[1]} + {right[1]}) * {_number(w)}"))
         return self._any_of(parts)
 
-    def _spans(self, expr: object, f: str) -> tuple[Column, Column] | None:
+    def _spans(self, expr: object, f: str) -> tuple[str, str] | None:
         """Spans (s, e) of a proximity operand in one field, and the score of its words."""
         if isinstance(expr, q.Scope):
             return self._spans(expr.inner, f) if expr.field == f else None
         if isinstance(expr, q.Or):
             parts = [x for x in (self._spans(p, f) for p in expr.parts) if x is not None]
-            return (F.concat(*(s for s, _ in parts)), sum((x for _, x in parts), F.lit(0.0))) if parts else None
-        span = lambda p, e: F.struct(p.alias("s"), e.alias("e"))
+            return (f"concat({', '.join(s for s, _ in parts)})", "(" + " + ".join(x for _, x in parts) + ")") if parts else None
         if isinstance(expr, q.Word) and not isinstance(kind := q.pattern(expr.text), q.Exact):
             found = self._in_words(f, kind)
-            return F.transform(found, lambda x: span(x["p"], x["p"])), F.when(F.size(found) > 0, 1.0).otherwise(0.0)
+            return f"transform({found}, x -> struct(x.p as s, x.p as e))", f"if(size({found}) > 0, 1D, 0D)"
         sequence = tuple(py_tokens(expr.text))
         wide = sequence[-1][0] - sequence[0][0]
         m, s = self._sequence(f, sequence)
-        return F.transform(self._starts(f, sequence), lambda p: span(p, p + wide)), F.when(m, s).otherwise(0.0)
+        return f"transform({self._starts(f, sequence)}, p -> struct(p as s, p + {wide} as e))", f"if({m}, {s}, 0D)"
 
     @staticmethod
-    def _before(left: Column, right: Column, distance: int) -> Column:
+    def _before(left: str, right: str, distance: int) -> str:
         """Whether some right span begins behind a left one with at most distance words between, in one walk over both."""
-        ends = F.transform(left, lambda x: F.struct(x["e"].alias("p"), F.lit(1).alias("k")))
-        starts = F.transform(right, lambda y: F.struct(y["s"].alias("p"), F.lit(0).alias("k")))  # before an end at the same place
-        none = F.struct(F.lit(-1).alias("end"), F.lit(False).alias("hit"))
+        ends, starts = f"transform({left}, x -> struct(x.e as p, 1 as k))", f"transform({right}, y -> struct(y.s as p, 0 as k))"  # a start before an end at the same place
+        near = f"x.k = 0 and a.end >= 0 and x.p - a.end - 1 <= {distance}"
+        step = f"struct(if(x.k = 1, x.p, a.end) as end, a.hit or ({near}) as hit)"
+        return f"aggregate(array_sort(concat({ends}, {starts})), struct(-1 as end, false as hit), (a, x) -> {step}).hit"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-        def step(state: Column, x: Column) -> Column:
-            near = (x["k"] == 0) & (state["end"] >= 0) & (x["p"] - state["end"] - 1 <= distance)
-            return F.struct(F.when(x["k"] == 1, x["p"]).otherwise(state["end"]).alias("end"), (state["hit"] | near).alias("hit"))
 
-        return F.aggregate(F.array_sort(F.concat(ends, starts)), none, step)["hit"]
+def _number(value: float) -> str:
+    return f"{value!r}D"
 
 
 def search(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
@@ -251,7 +251,7 @@ def search(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep
     compiler = Compiler(docs, fields)
     compiler.prepare(expr)
     match, score = compiler.compile(expr)
-    return compiler.base.where(match).select(*keep, score.alias("score"))
+    return compiler.base.where(match).select(*keep, F.expr(score).alias("score"))
 
 
 def explain_clauses(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
@@ -259,10 +259,11 @@ def explain_clauses(docs: DataFrame | TextIndex, query: str, fields: dict[str, s
     expr = q.parse(query, tuple(fields))
     compiler = Compiler(docs, fields)
     compiler.prepare(expr, every=True)
-    rows: list[Column] = []
+    rows: list[str] = []
 
     def walk(e: object, scope: str | None, positive: bool) -> None:
-        rows.append(F.struct(F.lit(len(rows)).alias("clause"), F.lit(type(e).__name__.lower()).alias("kind"), F.lit(getattr(e, "text", "") or "").alias("text"), F.lit(positive).alias("positive"), compiler.compile(e, scope)[0].alias("holds")))
+        said = f"{len(rows)} as clause, {_text(type(e).__name__.lower())} as kind, {_text(getattr(e, 'text', '') or '')} as text, {str(positive).lower()} as positive"
+        rows.append(f"struct({said}, {compiler.compile(e, scope)[0]} as holds)")
         if isinstance(e, q.Scope):
             walk(e.inner, e.field, positive)
         elif isinstance(e, q.Not):
@@ -272,4 +273,4 @@ def explain_clauses(docs: DataFrame | TextIndex, query: str, fields: dict[str, s
                 walk(part, scope, positive)
 
     walk(expr, None, True)
-    return compiler.base.select(*keep, F.inline(F.array(*rows)))
+    return compiler.base.select(*keep, F.expr(f"inline(array({', '.join(rows)}))"))
