@@ -1,18 +1,30 @@
-"""Where known passages stand in documents: as they are, normalised, or as a window that differs a little.
+"""Where known passages stand in documents: as they are, normalised, or as a run of words that differs a little.
 
-Passages and documents meet on word groups, so no passage is held against a document that shares none with it. The words
-at a passage's ends may be parts of a document's words, so passages of few words, whose inner ones make no group, are
-looked for in every document as they are and normalised.
+Documents are read once for each block of passages, and nothing of them is shuffled. A passage is looked for where a
+document has one of its anchors, that is a word of five letters or more, or two words that stand together (any word, in a
+passage of less than eight). An anchor tells where the passage would begin; edits before it can have
+moved that by as many letters as there may be edits at all, and every run of words that begins in between is compared.
+So a run is found if it is near enough and one anchor of the passage is unchanged in it, wherever that is. Passages of one
+or two words, which have no inner word, are also looked for in every document as they are and normalised.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import folded
 
-GRAM = 3
+#: Letters of a word that is an anchor, and words of a passage in which all are.
+LONG, FEW = 5, 8
+#: Passages, and letters of passages, that are looked for in one reading of the documents.
+MOST, LETTERS = 2000, 1 << 20
 
 
 def plain(text: Column) -> Column:
@@ -20,40 +32,116 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(folded(text), r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "))
 
 
-def _grams(words: str) -> Column:
-    """(place, hash) of every group of words."""
-    places = F.when(F.size(words) >= GRAM, F.sequence(F.lit(0), F.size(words) - GRAM)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(F.col(words), i + k) for k in range(GRAM))).alias("g")))
+@dataclass
+class Passages:
+    """One block of passages, and their anchors."""
+
+    need: list[str]
+    plain: list[str]
+    least: float
+
+    def __post_init__(self):
+        # A run that is near has at most L / least letters, and differs from the passage in at most this many.
+        self.edits = [math.floor(len(p) / self.least * (1 - self.least) + 1e-9) for p in self.plain]
+        self.words = [p.count(" ") + 1 for p in self.plain]
+        self.anchors: dict[str, list[tuple[int, int]]] = {}
+        self.direct = []
+        for i, p in enumerate(self.plain):
+            words = p.split(" ")
+            at = 0
+            for w, after in zip(words, [*words[1:], None], strict=True):
+                if w and (len(words) < FEW or len(w) >= LONG):
+                    self.anchors.setdefault(w, []).append((i, at))
+                if after:
+                    self.anchors.setdefault(f"{w} {after}", []).append((i, at))
+                at += len(w) + 1
+            if len(words) < 3:
+                self.direct.append(i)
+
+    def near(self, words: list[str], starts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By passage, the letters (from, to) between which a run may begin; words with their first letters."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for k, (w, after) in enumerate(zip(words, [*words[1:], ""], strict=True)):
+            for anchor in (w, f"{w} {after}"):
+                for i, at in self.anchors.get(anchor, ()):
+                    begin = int(starts[k]) - at
+                    found.setdefault(i, []).append((begin - self.edits[i], begin + self.edits[i] + 1))
+        return found
+
+
+def _found(batches: Iterator[pa.RecordBatch], block: Passages) -> Iterator[pa.RecordBatch]:
+    """(row, item, method, start, run) of exact and normalised places, and of runs that may be near."""
+    for batch in batches:
+        rows = []
+        for row, (text, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            words = low.split(" ")
+            ends = np.cumsum([len(w) + 1 for w in words])  # a space behind each
+            starts = np.r_[0, ends[:-1]]
+            near = block.near(words, starts)
+            for i in {**near, **dict.fromkeys(block.direct)}:
+                at = text.find(block.need[i])
+                if at >= 0:
+                    rows.append((row, i, "exact", at, None))
+                    continue
+                at = low.find(block.plain[i]) if block.plain[i] else -1
+                if at >= 0:
+                    rows.append((row, i, "normalized", low.count(" ", 0, at), None))
+                    continue
+                places = [np.arange(*np.searchsorted(starts, stretch)) for stretch in near.get(i, ())]
+                for k in np.unique(np.concatenate(places)) if places else ():
+                    run = low[starts[k] : ends[min(k + block.words[i], len(words)) - 1] - 1]
+                    if abs(len(run) - len(block.plain[i])) <= block.edits[i]:
+                        rows.append((row, i, "fuzzy", int(k), run))
+            if len(rows) > 50_000:
+                yield _as_batch(batch, rows, block)
+                rows = []
+        yield _as_batch(batch, rows, block)
+
+
+def _as_batch(batch: pa.RecordBatch, rows: list[tuple], block: Passages) -> pa.RecordBatch:
+    row, item, method, start, run = zip(*rows, strict=True) if rows else ((),) * 5
+    need = [block.plain[i] if r is not None else None for i, r in zip(item, run, strict=True)]
+    cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int32()), pa.array(method, pa.string()), pa.array(start, pa.int64()), pa.array(run, pa.string()), pa.array(need, pa.string())]
+    return pa.RecordBatch.from_arrays(cols, ["doc", "place", "method", "start", "run", "need"])
+
+
+def _blocks(items: DataFrame) -> Iterator[list]:
+    """The passages in blocks, as the driver reads them."""
+    block, letters = [], 0
+    for r in items.toLocalIterator():
+        if block and (len(block) == MOST or letters + len(r.need) > LETTERS):
+            yield block
+            block, letters = [], 0
+        block.append(r)
+        letters += len(r.need)
+    yield block
 
 
 def matched(passages: DataFrame, docs: DataFrame, least: float = 0.82, item: str = "item_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(item, doc, method, score, start): the best method of each pair that has one.
 
-    ``exact`` and ``normalized`` score 1; ``fuzzy`` has 1 less the edit distance per letter, between the passage and the
-    words on the diagonal that most of their common groups lie on. start is the character of an exact match, else the word.
+    ``exact`` and ``normalized`` score 1. ``fuzzy`` has the best score of all runs of as many words as the passage has: 1
+    less the edit distance, by the letters of the longer one, among those with an unchanged anchor. start is the character of an exact match, else the word; of
+    equal runs the first. Passages are the queries and are read in blocks of bounded size, one reading of docs each.
     """
-    items = passages.select(F.col(item).alias("item"), F.trim(F.col(text)).alias("need")).where("need <> ''").withColumn("need_plain", plain(F.col("need"))).withColumn("iw", F.split("need_plain", " "))
-    have = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text is not null")
-    words = have.select("doc", F.split(plain(F.col("text")), " ").alias("dw"))
-    of_items = items.select("item", F.inline(_grams("iw"))).withColumnRenamed("at", "i")
-    of_docs = words.select("doc", F.inline(_grams("dw"))).withColumnRenamed("at", "d")
-    # Votes by diagonal; of a pair's diagonals the one with most, the first of equals.
-    votes = of_docs.join(of_items, "g").groupBy("item", "doc", (F.col("d") - F.col("i")).alias("at")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("item", "doc").agg(F.max_by("at", F.struct("votes", -F.col("at"))).alias("at"))
-    short = items.where(F.size("iw") < GRAM + 2).select("item", "need", "need_plain")
-    low = have.select("doc", "text", plain(F.col("text")).alias("p"))
-    held = low.join(short, F.expr("contains(text, need) or (need_plain <> '' and contains(p, need_plain))")).select("item", "doc", F.lit(0).alias("at"))
-    met = best.unionByName(held).groupBy("item", "doc").agg(F.max("at").alias("at"))
-    both = have.join(met, "doc").join(items, "item").withColumn("p", plain(F.col("text")))
-    exact = F.instr("text", F.col("need"))
-    window = F.array_join(F.slice(F.split("p", " "), F.greatest(F.col("at"), F.lit(0)) + 1, F.size("iw")), " ")
-    longest = F.greatest(F.length(window), F.length("need_plain"))
-    most = F.floor(longest * (1 - least)).cast("int")
-    away = F.levenshtein(window, F.col("need_plain"))
-    inside = (F.length("need_plain") > 0) & F.expr("contains(p, need_plain)")
-    fuzzy = (F.length("need_plain") > 0) & (F.abs(F.length(window) - F.length("need_plain")) <= most) & (away <= most)
-    method = F.when(exact > 0, "exact").when(inside, "normalized").when(fuzzy, "fuzzy")
-    score = F.when(F.col("method") == "fuzzy", F.round(1 - away / longest, 6)).otherwise(F.lit(1.0))
-    start = F.when(F.col("method") == "exact", exact - 1).otherwise(F.greatest(F.col("at"), F.lit(0)))
-    found = both.withColumn("method", method).where("method is not null")
-    return found.select(F.col("item").alias(item), F.col("doc").alias(doc), "method", score.alias("score"), start.cast("bigint").alias("start"))
+    items = passages.select(F.col(item).alias("item"), F.trim(F.col(text)).alias("need")).where("need <> ''").withColumn("plain", plain(F.col("need")))
+    have = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).where("text is not null").withColumn("plain", plain(F.col("text")))
+    kinds = f"doc {have.schema['doc'].dataType.simpleString()}, place int, method string, start bigint, run string, need string"
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if have.rdd.getNumPartitions() < cores:  # few files or row groups would leave most cores idle
+        have = have.repartition(cores)
+    out = None
+    for rows in _blocks(items):
+        block = Passages([r.need for r in rows], [r.plain for r in rows], least)
+        found = have.mapInArrow(lambda x: _found(x, block), kinds)  # noqa: B023 - each block has a plan of its own
+        longest = F.greatest(F.length("run"), F.length("need"))
+        most = F.floor(longest * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+        found = found.withColumn("most", most).withColumn("away", F.expr("if(method = 'fuzzy', levenshtein(run, need, most), 0)")).where("away >= 0")
+        score = F.when(F.col("method") == "fuzzy", F.round(1 - F.col("away") / longest, 6)).otherwise(F.lit(1.0))
+        found = found.withColumn("score", score)
+        names = passages.sparkSession.createDataFrame([(k, r.item) for k, r in enumerate(rows)], f"place int, item {items.schema['item'].dataType.simpleString()}")  # a block at most
+        found = found.join(names, "place").select("item", "doc", "method", "score", "start")
+        out = found if out is None else out.unionByName(found)
+    rank = F.when(F.col("method") == "exact", 2).when(F.col("method") == "normalized", 1).otherwise(0)
+    best = out.groupBy("item", "doc").agg(F.max_by(F.struct("method", "score", "start"), F.struct(rank, "score", -F.col("start"))).alias("b"))
+    return best.select(F.col("item").alias(item), F.col("doc").alias(doc), "b.method", "b.score", "b.start")
