@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.llm import kernels, linear
-from lexigrove.llm.base import drawn, text_or_empty
+from lexigrove.llm.base import text_or_empty
 
 DIMS = 1 << 14
 UNKNOWN = "und"
@@ -117,8 +117,11 @@ class Model:
         return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], np.where(known, p.max(axis=1), 0.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, most_languages: int = 2000) -> Model:
-    """Trained on the folds that are not held out."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, most_languages: int = 2000, most_rows: int = 60_000) -> Model:
+    """Trained on the folds that are not held out, on a sample of ``per_language`` rows a language and ``most_rows`` in all (as means over draws).
+
+    The weights are a table of features times languages, so more than ``most_languages`` of them are an error.
+    """
     texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     df = np.zeros(DIMS)
     for r in texts.select(text_or_empty("text").alias("text")).mapInArrow(kernels.lean(document_frequencies), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
@@ -132,10 +135,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not held:
         return Model([], idf, np.zeros((DIMS, 0)), 1.0)
     languages = sorted(held)
-    wanted = F.lit(False)
-    for lang, n in held.items():
-        wanted = wanted | ((F.col("lang") == lang) & drawn(per_language / n, F.col("id").cast("string"), F.lit("language sample")))
-    chosen = labelled.where(wanted).dropDuplicates(["id", "lang", "text"])  # rows that are repeated are drawn together
+    each = max(1, min(per_language, most_rows // len(held)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(each / n, 1.0)) for lang, n in held.items()], "lang string, share double")  # a row a language
+    draw = F.xxhash64(F.col("id").cast("string"), F.lit("language sample")).bitwiseAND(F.lit(2**63 - 1))
+    chosen = labelled.join(F.broadcast(shares), "lang").where((F.col("share") >= 1) | (draw < (F.col("share") * F.lit(float(2**63))).cast("bigint")))
+    chosen = chosen.drop("share").dropDuplicates(["id", "lang", "text"])  # rows that are repeated are drawn together
     rows = chosen.select(F.xxhash64(F.col("id").cast("string")).alias("id"), "lang", "text").mapInArrow(kernels.lean(_sampled), "id bigint, lang string, f array<int>, n array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["lang"], len(r["f"])))
     at = {lang: k for k, lang in enumerate(languages)}

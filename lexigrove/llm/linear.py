@@ -1,7 +1,9 @@
-"""Sparse multinomial logistic regression, trained on the driver over a bounded sample."""
+"""Sparse logistic regression, trained on the driver over a bounded sample: multinomial row by row, binary in small batches."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 Example = tuple[np.ndarray, np.ndarray, int]
@@ -34,6 +36,54 @@ def ftrl(examples: list[Example], classes: int, dims: int, epochs: int = 3, alph
     return weights(z, n)
 
 
+@dataclass
+class Rows:
+    """Sparse rows end to end: features, values, and where each row begins (one more than there are)."""
+
+    f: np.ndarray
+    v: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, features: list[np.ndarray], weight: np.ndarray | None = None) -> Rows:
+        f = np.concatenate([np.empty(0, np.int64), *features]).astype(np.int64)
+        return cls(f, np.ones(len(f)) if weight is None else weight[f], np.cumsum([0, *(len(x) for x in features)]))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = self.at[rows + 1] - self.at[rows]
+        ends = np.cumsum(size)
+        pick = np.repeat(self.at[rows] - (ends - size), size) + np.arange(int(size.sum()))
+        return Rows(self.f[pick], self.v[pick], np.concatenate([[0], ends]))
+
+    def marks(self, w: np.ndarray) -> np.ndarray:
+        n = len(self.at) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(self.at)), self.v * w[self.f], n)
+
+
+def binary(rows: Rows, y: np.ndarray, dims: int, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, batch: int = 32, seed: int = 0) -> np.ndarray:
+    """Weights (dims) of the log odds by follow-the-regularised-leader, a step for each small batch."""
+    z, n = np.zeros(dims), np.zeros(dims)
+
+    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        perm = order.permutation(len(y))
+        mixed, target = rows.take(perm), y[perm]
+        for i in range(0, len(y), batch):
+            j = min(i + batch, len(y))
+            a, b = mixed.at[i], mixed.at[j]
+            u, place = np.unique(mixed.f[a:b], return_inverse=True)
+            r, v = np.repeat(np.arange(j - i), np.diff(mixed.at[i : j + 1])), mixed.v[a:b]
+            zi, ni = z[u], n[u]
+            w = weights(zi, ni)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[place] * v, j - i), -30, 30)))
+            g = np.bincount(place, (p - target[i:j])[r] * v, len(u))
+            z[u], n[u] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w, ni + g * g
+    return weights(z, n)
+
+
 def logits(examples: list[Example], w: np.ndarray) -> np.ndarray:
     return np.array([v @ w[f] for f, v, _ in examples]).reshape(len(examples), w.shape[1])
 
