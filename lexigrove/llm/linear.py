@@ -61,8 +61,8 @@ class Rows:
 
 
 def binary(rows: Rows, y: np.ndarray, dims: int, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, batch: int = 32, seed: int = 0) -> np.ndarray:
-    """Weights (dims) of the log odds by follow-the-regularised-leader, a step for each small batch."""
-    z, n = np.zeros(dims), np.zeros(dims)
+    """Weights (dims) of the log odds by follow-the-regularised-leader, a step for each small batch; an epoch has 64 steps at least where there are as many rows."""
+    z, n, batch = np.zeros(dims), np.zeros(dims), max(1, min(batch, len(y) // 64))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
