@@ -9,12 +9,15 @@ mixed). A fingerprint shows 32 bits of each part's hash, and two are alike by th
 hashes agree.
 
 ``neighbours`` also fingerprints an edited text (its second half replaced by the start of the next document, ids
-descending). Ids are dealt to ranges, each a few of all partitions' sizes; the first document of each range goes to the range
+descending). Ids are dealt to ranges by the bytes of their texts, 64 MB each, however many that makes; the first document of each range goes to the range
 above as a guest, so no global window is needed and each text moves once, in compressed blocks.
 
 Defined results: null texts are empty; a text without lexicon terms is fingerprinted by all its words; equal texts have
 equal fingerprints; rows of one id follow each other in the order of their bytes; null ids come last; a table of one row
-follows itself. Other columns are not read.
+follows itself. Ids are integers (what is none raises an error). Other columns are not read.
+
+Bounds: a worker holds one range; all rows of one id, or without one, are in one range, as they follow each other. The
+driver holds the ranges' bounds and a sample of 8 to 100 ids for each.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import kernels
-from lexigrove.llm.base import shuffle_partitions, text_or_empty, tidy
+from lexigrove.llm.base import drawn, shuffle_partitions, text_or_empty, tidy
 from lexigrove.llm.substring_dedup import _heads, _rows, pack, unpack
 
 U = np.uint64
@@ -37,6 +40,8 @@ NO_ID = np.iinfo(np.int64).min
 #: The random lexicons keep from one in 2**DENSEST to one in 2**SPARSEST of the lexicon's terms.
 DENSEST, SPARSEST = 3, 8
 ROW = "bucket int, kind int, blob binary"
+#: Bytes of text that a range of ids is made for; a worker holds one at a time.
+RANGE = 64 << 20
 
 
 def counted(batches: Iterator[pa.RecordBatch], flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -227,12 +232,10 @@ def matched(batches: Iterator[pa.RecordBatch], terms: np.ndarray, parts: int) ->
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = 0.002, high: float = 0.25, parts: int = 64) -> DataFrame:
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs."""
     terms = lexicon(docs, text_col, low, high)
-    ids = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"))
-    n = 4 * shuffle_partitions(docs.sparkSession)
-    quantiles = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n).alias("q")).first().q or []
-    edges = np.unique(np.array(quantiles, np.int64))
+    ids = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.octet_length(text_or_empty(text_col)).cast("bigint").alias("size"))
+    edges = range_edges(ids, 4 * shuffle_partitions(docs.sparkSession))
     # A range is (edge, next edge]; its largest id is the first of the range, ids descending.
-    tops = _tops(ids, edges)
+    tops = _tops(ids.select("id"), edges)
     heads = np.array(sorted(tops.values()), np.int64)
     of = {v: k for k, v in tops.items()}
     order = [of[h] for h in heads.tolist()]
@@ -244,6 +247,22 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(kernels.lean(lambda x: matched(x, terms, parts)), OUT).withColumnRenamed("id", id_col)
 
 
+def range_edges(ids: DataFrame, least: int) -> np.ndarray:
+    """Ids that part all of them, (id, size), into ranges of about RANGE bytes, ``least`` at least; from a sample of a few ids a range."""
+    held = ids.agg(F.sum(F.col("size") + 1).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    if not held.rows:
+        return np.empty(0, np.int64)
+    n = max(least, held.bytes // RANGE)
+    share = min(100, max(8, 3_000_000 // n)) * n / held.rows
+    some = ids.where(drawn(share, "id", "size", F.lit("ranges"))).toArrow()
+    own, size = (some.column(c).to_numpy().astype(np.int64) for c in ("id", "size"))
+    order = np.argsort(own, kind="stable")
+    upto = np.cumsum(size[order] + 1)
+    if not len(upto):
+        return np.empty(0, np.int64)
+    return np.unique(own[order][np.searchsorted(upto, upto[-1] * np.arange(1, n) / n)])
+
+
 def _tops(ids: DataFrame, edges: np.ndarray) -> dict[int, int]:
     """The largest id of each range that has any; as many rows as there are ranges."""
 
@@ -256,5 +275,5 @@ def _tops(ids: DataFrame, edges: np.ndarray) -> dict[int, int]:
                     best[r] = v
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], ["range", "id"])
 
-    found = ids.mapInArrow(kernels.lean(largest), "range int, id bigint").groupBy("range").agg(F.max("id").alias("id")).collect()
-    return {r.range: r.id for r in found}
+    found = ids.mapInArrow(kernels.lean(largest), "range int, id bigint").groupBy("range").agg(F.max("id").alias("id")).toArrow()
+    return dict(zip(found.column("range").to_pylist(), found.column("id").to_pylist(), strict=True))
