@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.operators import browse
+from lexigrove.operators import browse, sync
 from lexigrove.operators.postings import TextIndex
 from lexigrove.plans import compiler
 
@@ -66,10 +66,7 @@ class Complete:
         return rows.orderBy(key.desc_nulls_last() if down else key.asc_nulls_last(), *self.keys).limit(limit)
 
     def ranked(self, sort: str) -> DataFrame:
-        """All matches with their place in the sort, from counts of ranges of the sort key."""
+        """All matches with their place in the sort, from sums of ranges of it, however many share a value."""
         key, down = self._key(sort)
-        if SORTS[sort][0] == "year":
-            bucket = F.coalesce(-key if down else key, F.lit(2**31 - 1))
-        else:
-            bucket = F.coalesce(F.substring(key, 1, 4), F.lit("\U0010ffff"))
-        return browse.placed(self.matches, bucket, (key.desc_nulls_last() if down else key.asc_nulls_last(), *self.keys))
+        rows = self.matches.withColumns({"_none": key.isNull(), "_key": -key if down else key, "_one": F.lit(1)})
+        return sync.running(rows, ("_none", "_key", *self.keys), {"_before": "_one"}).withColumn("place", F.col("_before") + 1).drop("_none", "_key", "_one", "_before")

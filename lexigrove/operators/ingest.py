@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -124,6 +125,10 @@ def _units(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
+#: Rows of a packed block of vectors.
+BLOCK = 1024
+
+
 class VectorIndex:
     """A coarse partition of all rows by k-means (fitted on at most ``sample`` rows); a query probes the nearest lists.
 
@@ -138,7 +143,8 @@ class VectorIndex:
 
         n = rows.count()
         self.lists = lists or min(max(int(math.sqrt(n)), 2), 65536)
-        data = rows.withColumn("_f", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
+        zero = ~F.exists("vector", lambda x: x != 0)  # has no direction; any list will do
+        data = rows.withColumn("_f", array_to_vector(F.transform("vector", lambda x, i: F.when(zero & (i == 0), 1.0).otherwise(x.cast("double")))))
         few = data if n <= sample else data.orderBy(F.xxhash64("id")).limit(sample)
         model = KMeans(k=self.lists, seed=seed, featuresCol="_f", predictionCol="list", distanceMeasure="cosine").fit(few)
         self.centres = [c.tolist() for c in model.clusterCenters()]
@@ -170,62 +176,123 @@ class VectorIndex:
         rows = self.rows.where(F.col("list").isin(near)).select("id", F.round(vector_score(F.col("vector"), F.array(*(F.lit(float(x)) for x in query))), 6).alias("score"))
         return top(rows, n, F.desc("score"), F.asc("id"))
 
-    def search_all(self, queries: DataFrame, n: int, probes: int | None = None, block: int = 1024) -> DataFrame:
-        """(query_id, id, score, rank) as nearest() has it, from the lists that each of queries (id, vector) probes.
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """(list, k_ids, k_m, wide): the rows of a list in packed blocks, and the largest angle of a block's rows to the centre."""
+        centres = _units(np.array(self.centres))
 
-        Blocks of rows in the order of their lists meet blocks of queries; only what a query probes is multiplied.
-        """
-        from lexigrove.operators.ranking import top
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for number, part in _runs(batches, "list", BLOCK):
+                m = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
+                wide = float(np.arccos(np.clip(m @ centres[number], -1, 1)).max())
+                yield pd.DataFrame({"list": [number], "k_ids": [part["id"].to_numpy(np.int64).tobytes()], "k_m": [m.tobytes()], "wide": [wide]})
 
-        centres, most = _units(np.array(self.centres)), probes or self.probes(n)
+        near = self.rows.select("id", "vector", "list").repartition("list").sortWithinPartitions("list")
+        return checkpointed(near.mapInPandas(packed, "list int, k_ids binary, k_m binary, wide double"))
 
-        def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for i in range(0, len(b), block // 4):
-                    part = b.iloc[i : i + block // 4]
-                    m = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
-                    near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :most].astype(np.int32)
-                    yield pd.DataFrame({"q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_m": [m.tobytes()], "q_lists": [near.tobytes()]})
+    def _met(self, asked: DataFrame, n: int) -> DataFrame:
+        """(query_id, id, score) of the n best rows of each meeting of a list's block and the queries that read the list. asked: (query_id, vector, list)."""
 
         def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for i in range(0, len(b), block):
-                    part = b.iloc[i : i + block]
-                    m = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
-                    yield pd.DataFrame({"k_ids": [part["id"].to_numpy(np.int64).tobytes()], "k_m": [m.tobytes()], "k_lists": [part["list"].to_numpy(np.int32).tobytes()]})
+            for number, part in _runs(batches, "list", BLOCK // 4):
+                m = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
+                yield pd.DataFrame({"list": [number], "q_ids": [part["query_id"].to_numpy(np.int64).tobytes()], "q_m": [m.tobytes()]})
 
         def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # by block of queries: its n best rows of this task
-
-            def told() -> Iterator[pd.DataFrame]:
-                for ids, (k, s) in best.items():
-                    got = pd.DataFrame({"query_id": np.repeat(np.frombuffer(ids, np.int64), k.shape[1]), "id": k.ravel(), "score": s.ravel()})
-                    yield got[got["score"] >= 0]
-                best.clear()
-
             for b in batches:
                 for r in b.itertuples():
-                    q, k, held = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.k_ids, np.int64), np.frombuffer(r.k_lists, np.int32)
-                    qm, km, near = np.frombuffer(r.q_m).reshape(len(q), -1), np.frombuffer(r.k_m).reshape(len(k), -1), np.frombuffer(r.q_lists, np.int32).reshape(len(q), -1)
-                    s = np.full((len(q), len(k)), -1.0)
-                    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(k)]
-                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                        hit = np.flatnonzero((near == held[i]).any(axis=1))
-                        s[hit, i:j] = np.round(1 - np.clip(1 - qm[hit] @ km[i:j].T, 0, 2) / 2, 6)
+                    q, k = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.k_ids, np.int64)
+                    s = np.frombuffer(r.q_m).reshape(len(q), -1) @ np.frombuffer(r.k_m).reshape(len(k), -1).T
+                    s = np.round(1 - np.clip(1 - s, 0, 2) / 2, 6)
                     s[q[:, None] == k[None, :]] = -1
-                    k = np.broadcast_to(k, s.shape)
-                    if r.q_ids in best:
-                        k, s = np.concatenate([best[r.q_ids][0], k], axis=1), np.concatenate([best[r.q_ids][1], s], axis=1)
-                    elif len(best) == 256:
-                        yield from told()
-                    order = np.lexsort((k, -s), axis=1)[:, :n]
-                    best[r.q_ids] = np.take_along_axis(k, order, 1), np.take_along_axis(s, order, 1)
-            yield from told()
-
-        asking = queries.select("id", "vector").mapInPandas(asked, "q_ids binary, q_m binary, q_lists binary")
-        ordered = self.rows.select("id", "vector", "list").repartitionByRange("list", F.xxhash64("id")).sortWithinPartitions("list")
-        met = asking.crossJoin(ordered.mapInPandas(packed, "k_ids binary, k_m binary, k_lists binary")).mapInPandas(meet, "query_id bigint, id bigint, score double")
-        return top(met, n, F.desc("score"), F.asc("id"), by=("query_id",))
+                    order = np.lexsort((np.broadcast_to(k, s.shape), -s), axis=1)[:, :n]
+                    got = pd.DataFrame({"query_id": np.repeat(q, order.shape[1]), "id": k[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                    yield got[got["score"] >= 0]
+
+        readers = asked.repartition("list").sortWithinPartitions("list").mapInPandas(packed, "list int, q_ids binary, q_m binary")
+        return self.blocks.drop("wide").join(readers, "list").mapInPandas(meet, "query_id bigint, id bigint, score double")
+
+    def _ordered(self, queries: DataFrame, first: int, last: int, radius: np.ndarray | None = None) -> DataFrame:
+        """(query_id, vector, list, bound): the lists from place ``first`` to ``last`` in the order of each query; bound is the best score that the lists behind may have."""
+        centres = _units(np.array(self.centres))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i in range(0, len(b), BLOCK):
+                    part = b.iloc[i : i + BLOCK]
+                    s = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]])) @ centres.T
+                    if radius is None:
+                        order, bound = np.argsort(-s, axis=1, kind="stable"), np.zeros(len(part))
+                    else:  # by what a list may hold at best: no row is nearer than the centre's angle less the list's radius
+                        best = np.nan_to_num(np.cos(np.maximum(np.arccos(np.clip(s, -1, 1)) - radius, 0)), nan=-1.0)
+                        order = np.argsort(-best, axis=1, kind="stable")
+                        behind = np.take_along_axis(best, order, 1)[:, last] if last < len(centres) else np.full(len(part), -1.0)
+                        bound = 1 - np.clip(1 - behind, 0, 2) / 2 + 1e-6
+                    lists = order[:, first:last]
+                    yield pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(np.int64), lists.shape[1]), "vector": part["vector"].repeat(lists.shape[1]).to_numpy(), "list": lists.ravel().astype(np.int32), "bound": np.repeat(bound, lists.shape[1])})
+
+        return queries.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, "query_id bigint, vector array<double>, list int, bound double")
+
+    def search_all(self, queries: DataFrame, n: int, probes: int | None = None) -> DataFrame:
+        """(query_id, id, score, rank) as nearest() has it, from the lists that each of queries (id, vector) probes.
+
+        Queries meet the blocks of the lists that they read, on the list, and no others.
+        """
+        from lexigrove.operators.ranking import top
+
+        asked = self._ordered(queries, 0, min(probes or self.probes(n), len(self.centres))).drop("bound")
+        return top(self._met(asked, n), n, F.desc("score"), F.asc("id"), by=("query_id",))
+
+    def widened(self, queries: DataFrame, n: int, first: int = 1) -> DataFrame:
+        """(query_id, id, score, rank, lists) equal to nearest(): exact, with the number of lists that each query read.
+
+        A query reads lists in the order of the best score that they may hold, four times as many each round, until its
+        n-th score is better than all others may have.
+        """
+        from lexigrove.operators.ranking import top
+
+        radius = np.full(len(self.centres), np.nan)  # a list without rows is never near
+        for r in self.blocks.groupBy("list").agg(F.max("wide").alias("wide")).collect():  # a row a list
+            radius[r["list"]] = r.wide
+        left, best, done, low, high = queries.select("id", "vector"), None, None, 0, max(first, 1)
+        while True:
+            high = min(high, len(self.centres))
+            asked = checkpointed(self._ordered(left, low, high, radius))
+            met = self._met(asked.drop("bound"), n)
+            best = checkpointed(top(met if best is None else met.unionByName(best.select("query_id", "id", "score")), n, F.desc("score"), F.asc("id"), by=("query_id",)))
+            bounds = asked.groupBy("query_id").agg(F.max("bound").alias("bound"))
+            worst = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"), F.min("score").alias("worst"))
+            state = bounds.join(worst, "query_id", "left").withColumn("over", (F.coalesce("held", F.lit(0)) >= n) & (F.col("worst") > F.col("bound")) | F.lit(high == len(self.centres)))
+            state = checkpointed(state.select("query_id", "over"))
+            ready = best.join(state.where("over"), "query_id", "left_semi").withColumn("lists", F.lit(high))
+            done = ready if done is None else done.unionByName(ready)
+            if high == len(self.centres) or state.where("not over").isEmpty():
+                return done
+            left = checkpointed(left.join(state.where("not over").select(F.col("query_id").alias("id")), "id", "left_semi"))
+            best = best.join(state.where("not over"), "query_id", "left_semi")
+            low, high = high, high * 4
+
+
+def _runs(batches: Iterator[pd.DataFrame], by: str, most: int) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Rows that follow each other with one value of a column, at most ``most`` at a time."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        cuts = [0, *(np.flatnonzero(np.diff(b[by].to_numpy())) + 1).tolist(), len(b)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            part = b.iloc[i:j]
+            if held and (held[0][by].iloc[0] != part[by].iloc[0] or sum(map(len, held)) + len(part) > most):
+                yield int(held[0][by].iloc[0]), pd.concat(held)
+                held = []
+            for k in range(0, len(part), most):
+                piece = part.iloc[k : k + most]
+                if len(piece) == most:
+                    yield int(piece[by].iloc[0]), piece
+                else:
+                    held.append(piece)
+    if held:
+        yield int(held[0][by].iloc[0]), pd.concat(held)
 
 
 # Small pieces.

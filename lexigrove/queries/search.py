@@ -10,6 +10,7 @@ from lexigrove.functions.analysis import tokens
 from lexigrove.operators import ranking as R
 from lexigrove.operators import records as K
 from lexigrove.operators.filters import DocumentFilter, SearchFilters
+from lexigrove.operators.ingest import VectorIndex
 from lexigrove.operators.postings import search_many
 from lexigrove.plans import compiler
 from lexigrove.plans.language import BOOSTS
@@ -176,12 +177,22 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_search(vectors(spark, sf_dir), _vector(spark, sf_dir, 7), 20)
 
 
-@query("r3_vector_batch", f"with {VEC}, s as (select a.vec_id as query_id, b.vec_id as id, {_SIM} as score from vec a join vec b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0), o as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select * from o where rank <= 10")
+NEAREST = f"with {VEC}, s as (select a.vec_id as query_id, b.vec_id as id, {_SIM} as score from vec a join vec b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0), o as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select * from o where rank <= 10"
+
+
+@query("r3_vector_batch", NEAREST)
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return R.nearest(rows.where("id % 20 = 0"), rows, 10)
 
 
+@query("r4_widened", NEAREST)
+def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbours from an index, in rounds that read more lists until no other can hold a nearer row."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return VectorIndex(rows).widened(rows.where("id % 20 = 0"), 10).drop("lists")
+
+
 @query("r6_similar", f"with {VEC} select b.doc, b.vec_id, {_SIM} as score, row_number() over (order by {_SIM} desc, b.vec_id) as rank from vec a, vec b where a.vec_id = 12 and b.vec_id <> 12 order by rank limit 15")
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     query_vector = F.array(*(F.lit(x) for x in _vector(spark, sf_dir, 12)))

@@ -77,6 +77,24 @@ def test_index_recall_without_clusters(spark):
     assert sum(len(a & b) for a, b in alone) >= 0.85 * 80  # few queries
 
 
+def test_widening_stops_early_and_is_exact(spark):
+    """Vectors in clusters are found in few lists, others in as many as it takes; ties, repeated vectors and few rows too."""
+    import random
+
+    from lexigrove.operators.ranking import nearest
+
+    r = random.Random(6)
+    rows = [(i, [r.gauss(6 * (j == i % 16), 0.2) for j in range(16)]) for i in range(640)] + [(1000 + i, [1.0] * 16) for i in range(30)] + [(2000, [0.0] * 16)]
+    data = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(3)
+    some = data.where("id % 20 = 0 or id in (7, 1001)")
+    index = I.VectorIndex(data, lists=20)
+    got = index.widened(some, 5).collect()
+    assert {(x.query_id, x.id): (x.score, x.rank) for x in got} == {(x.query_id, x.id): (x.score, x["rank"]) for x in nearest(some, data, 5).collect()}
+    assert sum(x.lists <= 4 for x in got) >= 0.8 * len(got)
+    few = data.where("id < 4")
+    assert {(x.query_id, x.id) for x in I.VectorIndex(few, lists=2).widened(few, 10).collect()} == {(i, j) for i in range(4) for j in range(4) if i != j}
+
+
 def test_index_query(spark):
     """All queries of the registered query, against the exact ones."""
     import os
