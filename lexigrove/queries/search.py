@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.corpus import CHUNK_SHARED, CHUNK_WORDS, FIELDS, LIB, TOK, library, table, text_index
-from lexigrove.functions.analysis import tokens
+from lexigrove.functions.analysis import FOLD_SQL, LONGEST, tokens
+from lexigrove.operators import evidence as V
 from lexigrove.operators import ranking as R
 from lexigrove.operators import records as K
 from lexigrove.operators.filters import DocumentFilter, SearchFilters
@@ -113,6 +114,33 @@ def clause_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.explain_clauses(text_index(spark, sf_dir), "thon NOT heon", FIELDS, ("id",)).drop("clause")
 
 
+SPANS = f"""spans as (select doc_id, i - 1 as position, {FOLD_SQL.format('w')} as t, cast(e - strlen(w) as bigint) as s, cast(e as bigint) as e, w from (
+  select doc_id, i, w, sum(strlen(g) + coalesce(strlen(w), 0)) over (partition by doc_id order by i) as e from (
+    select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+')) as g, unnest(list_concat(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+'), [null])) as w,
+           generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+'), 1) as i from documents)) where w is not null and strlen(w) < {LONGEST}),
+merged as (select doc_id, min(s) as s, max(e) as e, count(*) as n from (select *, sum(fresh) over (partition by doc_id order by s, e) as run from (
+  select *, case when s <= max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) + GAP then 0 else 1 end as fresh from hits)) group by doc_id, run)
+select doc_id, s as start, e as "end", n from merged qualify row_number() over (partition by doc_id order by s) <= 256"""
+
+
+@query("t25_evidence", "with " + SPANS.replace("merged as (", """hits as (select distinct doc_id, s, e from (
+  select doc_id, s, e from spans where t in ('thon', 'heon') union all
+  select a.doc_id, a.s, b.e from spans a join spans b on a.doc_id = b.doc_id and b.position = a.position + 1 where a.t = 'of' and b.t = 'the')),
+merged as (""").replace("GAP", "0"))
+def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes that speak for each document; what is under NOT does not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    return V.evidence(docs, '(thon OR "of the" OR heon) NOT was', {"body": "body"}, "doc_id")
+
+
+@query("w7_merged_spans", "with " + SPANS.replace("merged as (", "hits as (select doc_id, s, e from spans where t like 'the%'),\nmerged as (").replace("GAP", "12"))
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that begin with the, a dozen bytes apart at most, as one span; the first 256 of each text."""
+    rows = V.word_spans(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("term").startswith("the"))
+    spans = V.merged_spans(rows, ("doc_id",), gap=12)
+    return spans.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))).where("i <= 256").drop("i")
+
+
 @query("t29_script", "select doc_id, len(regexp_extract_all(text, '\\p{L}')) as letters, len(regexp_extract_all(text, '[^\\p{Latin}\\P{L}]')) as other, len(regexp_extract_all(text, '\\p{L}')) >= 4 and len(regexp_extract_all(text, '[^\\p{Latin}\\P{L}]')) * 4 >= len(regexp_extract_all(text, '\\p{L}')) as nonlatin from documents")
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters, other, foreign = K.not_latin(F.col("text"))
