@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from lexigrove.operators import ranking as R
 from lexigrove.operators import records as K
 from lexigrove.operators.filters import DocumentFilter, SearchFilters
 from lexigrove.operators.ingest import VectorIndex
+from lexigrove.operators.library import Library
 from lexigrove.operators.postings import search_many
 from lexigrove.plans import compiler
 from lexigrove.plans.language import BOOSTS
 from lexigrove.registry import query
+from lexigrove.session import shared_folder
 
 BASE = f"with {LIB}, {TOK}"
 BOOST = "case fld when 'title' then 3.0::double when 'headings' then 2.0::double else 1.0::double end"
@@ -308,6 +312,25 @@ def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.size(words).cast("bigint").alias("words"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
+_INGESTED = "src as (select doc_id, case when doc_id % 10 = 0 then substring(text, 1, 600) else text end as text, case when doc_id % 10 = 0 then 2 else 1 end as rev, case when doc_id % 10 = 0 then ['new'] else list_sort(list_distinct(list_filter([lang, source], lambda t: t is not null and t <> ''))) end as tags from documents where doc_id % 35 <> 1)"
+
+
+@query("d1_library", f"with {_INGESTED}, {CHUNKS_SQL.replace('documents', 'src')}, c as (select doc_id, count(*) as chunks, sum(len(ws)) as words from ch group by doc_id) select s.doc_id, s.rev, array_to_string(s.tags, ',') as tags, coalesce(chunks, 0) as chunks, coalesce(words, 0) as embedded_words from src s left join c using (doc_id) where trim(coalesce(s.text, '')) <> ''")
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tags and embedded chunks after two batches, the second of which comes twice, and a deletion."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("lang", "source").alias("tags"), F.lit(1).alias("rev"))
+    words = lambda texts: texts.map(lambda t: [float(len(t.split()))])  # noqa: E731 - stands for a model
+    held = Library(spark, f"{shared_folder(spark)}/lexigrove-tables/{uuid.uuid4().hex}", ("doc_id",), ("rev",), size=CHUNK_WORDS, shared=CHUNK_SHARED, embed=words)
+    held.ingest(docs, applied=("batches", 0))
+    new = docs.where("doc_id % 10 = 0").select("doc_id", F.substring("text", 1, 600).alias("text"), F.array(F.lit("new"), F.lit(" "), F.lit("new")).alias("tags"), F.lit(2).alias("rev"))
+    held.ingest(new, applied=("batches", 1))
+    held.ingest(new, applied=("batches", 1))
+    held.delete(docs.where("doc_id % 35 = 1"))
+    size = F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint")
+    total = F.aggregate(F.coalesce("chunks", F.array().cast(held.documents().schema["chunks"].dataType)), F.lit(0.0), lambda a, c: a + c["vector"][0]).cast("bigint")
+    return held.documents().select("doc_id", "rev", F.array_join("tags", ",").alias("tags"), size.alias("chunks"), total.alias("embedded_words"))
+
+
 @query("r10_best_passage", f"with {CHUNKS_SQL}, s as (select doc_id, chunk_index, (contains(array_to_string(ws, ' '), 'heon'))::int + (contains(array_to_string(ws, ' '), 'thon'))::int as hits from ch), o as (select *, row_number() over (partition by doc_id order by hits desc, chunk_index) as r from s) select doc_id, chunk_index, hits from o where r = 1")
 def best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.best_passage(passages(spark, sf_dir).select("doc_id", "chunk_index", "chunk"), ["heon", "thon"], F.col("chunk"), "doc_id")
