@@ -97,6 +97,21 @@ def pack_evidence(passages: list[tuple[str, str]], question: str, window: int, c
     return out, answer
 
 
+def packed_evidence(passages: DataFrame, questions: DataFrame, window: int) -> DataFrame:
+    """(question_id, label, rank, text, tokens): ``pack_evidence`` for many questions at once, four characters a token.
+
+    passages: (question_id, rank, label, text), questions: (question_id, question). A passage is whole while there is
+    room, the first that is too long is cut, and none is begun with room for less than 64 tokens.
+    """
+    tokens = lambda c: F.ceil(F.length(c) / 4).cast("bigint")
+    room = F.floor(F.lit(window - max(128, window // 4)) * F.lit(0.8)).cast("bigint") - tokens(F.coalesce("question", F.lit("")))
+    rows = passages.withColumn("text", F.coalesce("text", F.lit(""))).join(questions.select("question_id", room.alias("_room")), "question_id")
+    before = F.sum(tokens(F.col("text"))).over(Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_left", F.col("_room") - F.coalesce(before, F.lit(0))).where("_left >= 64")
+    kept = rows.withColumn("text", F.expr("substring(text, 1, int(4 * _left))"))
+    return kept.select("question_id", "label", "rank", "text", tokens(F.col("text")).alias("tokens"))
+
+
 def highlighted(terms: list[tuple[int, int, float]], least: float = 0.65) -> list[tuple[int, int, float]]:
     """Spans of similar enough tokens, touching ones merged."""
     from lexigrove.functions.text import merge_spans
@@ -308,6 +323,26 @@ def path_from_template(template: str, fields: dict[str, str]) -> str:
     return re.sub(r"\{Field:([^}]+)\}", lambda m: safe(fields.get(m[1], "")), template)
 
 
+def template_path(template: str, fields: dict[str, Column]) -> Column:
+    """``path_from_template`` as a column."""
+    parts: list[Column] = []
+    for k, part in enumerate(re.split(r"\{Field:([^}]+)\}", template)):
+        if k % 2:
+            safe = F.trim(F.regexp_replace(F.coalesce(fields.get(part, F.lit("")).cast("string"), F.lit("")), r'[\\/:*?"<>|\x00-\x1f]', "_"), F.lit(" ."))
+            parts.append(F.when(safe == "", "_").otherwise(safe))
+        elif part:
+            parts.append(F.lit(part))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def token_windows(parts: Column, budget: int) -> Column:
+    """``token_chunks`` over a column of tokens: arrays of at most budget of them, min(budget / 8, 64) shared with the next."""
+    step = max(budget - min(budget // 8, 64), 1)
+    last = F.greatest(F.size(parts) - (budget - step), F.lit(1)) - 1
+    begins = F.when(F.size(parts) > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(begins, lambda i: F.slice(parts, i + 1, budget))
+
+
 def token_chunks(text: str, budget: int, encode: Callable[[str], list[str]]) -> list[str]:
     """Chunks of at most budget tokens, min(budget / 8, 64) of them shared with the next."""
     parts = encode(text)

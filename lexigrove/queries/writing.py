@@ -111,3 +111,25 @@ def scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return I.VectorIndex(rows).search_all(rows.where("id % 20 = 0"), 10)
+
+
+@query("r28_packed_evidence", "with p as (select conv_id as question_id, turn as rank, role as label, coalesce(text, '') as t from conversations), q as (select distinct conv_id as question_id, 'question ' || conv_id as question from conversations), r as (select p.*, cast(floor((700 - 175) * 0.8) as bigint) - cast(ceil(length(question) / 4) as bigint) - coalesce(sum(cast(ceil(length(t) / 4) as bigint)) over (partition by question_id order by rank rows between unbounded preceding and 1 preceding), 0) as room from p join q using (question_id)) select question_id, label, rank, md5(substring(t, 1, cast(4 * room as bigint))) as digest, cast(ceil(length(substring(t, 1, cast(4 * room as bigint))) / 4) as bigint) as tokens from r where room >= 64")
+def packed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's turns as passages for a question."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), F.col("role").alias("label"), "text")
+    asked = turns.select("question_id", F.concat(F.lit("question "), F.col("question_id").cast("string")).alias("question")).distinct()
+    return I.packed_evidence(turns, asked, 700).select("question_id", "label", "rank", F.md5("text").alias("digest"), "tokens")
+
+
+@query("f16_template_paths", "select doc_id, 'lib/' || coalesce(nullif(trim(coalesce(lang, ''), ' .'), ''), '_') || '/' || coalesce(nullif(trim(replace(replace(coalesce(source, '') || '/' || doc_id % 3, '/', '_'), '?', '_'), ' .'), ''), '_') || '/' || '_' as path from documents")
+def template_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"lang": F.col("lang"), "place": F.concat(F.coalesce("source", F.lit("")), F.lit("/"), (F.col("doc_id") % 3).cast("string"))}
+    return table(spark, sf_dir, "documents").select("doc_id", I.template_path("lib/{Field:lang}/{Field:place}/{Field:none}", fields).alias("path"))
+
+
+@query("f5_token_chunks", "with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r]+') as ws from documents), i as (select doc_id, ws, unnest(range(0, greatest(len(ws) - 12, 1), 84)) as i from w where len(ws) > 0) select doc_id, i // 84 as chunk, len(ws[i + 1 : i + 96]) as tokens, md5(array_to_string(ws[i + 1 : i + 96], ' ')) as digest from i")
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 96 tokens, 12 of them shared with the next; words stand for tokens."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\f\r]+"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).select("doc_id", F.posexplode(I.token_windows(F.col("ws"), 96)).alias("chunk", "own"))
+    return rows.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.size("own").cast("bigint").alias("tokens"), F.md5(F.array_join("own", " ")).alias("digest"))

@@ -32,6 +32,30 @@ def test_evidence_fits():
     assert I.highlighted([(0, 3, 0.7), (3, 5, 0.9), (8, 9, 0.1)]) == [(0, 5, 0.9)]
 
 
+def test_columns_do_what_the_helpers_do(spark):
+    import random
+
+    r = random.Random(2)
+    questions, passages, want = [], [], {}
+    for i in range(12):
+        question, own = "q" * r.randrange(200), [(f"S{k}", "x" * r.choice((0, 5, 300, 900, 2000))) for k in range(6)]
+        questions.append((i, question))
+        passages += [(i, k, label, text) for k, (label, text) in enumerate(own)]
+        want[i] = I.pack_evidence(own, question, 1000)[0]
+    got = {}
+    for x in I.packed_evidence(spark.createDataFrame(passages, "question_id int, rank int, label string, text string"), spark.createDataFrame(questions, "question_id int, question string"), 1000).orderBy("question_id", "rank").collect():
+        got.setdefault(x.question_id, []).append((x.label, x.text))
+    assert got == {i: v for i, v in want.items() if v}
+    fields = [("p/q?", " . ", None), ("a", "b", "c")]
+    rows = spark.createDataFrame(fields, "a string, b string, c string")
+    template = "x/{Field:a}/{Field:b}-{Field:c}{Field:none}"
+    assert [x.p for x in rows.select(I.template_path(template, {c: F.col(c) for c in "abc"}).alias("p")).collect()] == [I.path_from_template(template, {c: v or "" for c, v in zip("abc", f)}) for f in fields]
+    for budget in (1, 8, 20):
+        texts = ["", "a", "abcdefghij", "x" * 61]
+        cut = spark.createDataFrame([(t, list(t)) for t in texts], "t string, parts array<string>").select("t", I.token_windows(F.col("parts"), budget).alias("w")).collect()
+        assert {x.t: ["".join(w) for w in x.w] for x in cut} == {t: I.token_chunks(t, budget, list) for t in texts}
+
+
 def test_small_pieces(spark):
     assert I.path_from_template("x/{Field:a}/{Field:b}", {"a": "p/q?", "b": ""}) == "x/p_q_/_"
     assert I.token_chunks("", 8, list) == [] and I.token_chunks("abcdefghij", 8, list) == ["abcdefgh", "hij"]
