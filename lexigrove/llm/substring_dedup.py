@@ -1,7 +1,9 @@
 """Repeated substrings by anchor and window hashing (winnowing).
 
 Windows of ``depth`` bytes are grouped by hashes of growing reach, called digits here; no suffixes are ordered. A group
-that is in one document is dropped after each pass, and the groups left at full depth are exactly the repeated windows.
+that is in one document is dropped after each pass, and the groups left at full depth are the repeated windows, up to
+collisions: bytes are never compared. Runs are told apart by 96 bits, windows by more, so in 100 TB of text (6e12 runs)
+0.0002 wrong groups are to be expected.
 
 * Digit 1 is a 16-byte string that every window of ``depth`` bytes picks from itself (the one with the smallest hash, the
   leftmost of equals), so equal windows have equal digits. Neighbouring windows that pick the same place travel as one
