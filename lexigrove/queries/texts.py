@@ -221,3 +221,13 @@ def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("path"))
     return debounced(rows, "1 hour").select(F.col("path").alias("user_id"), "last", "n")
+
+
+@query("x3_admissions")
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming caps, run over the table as a batch: one file of a kind an hour, three files and 40 tokens a user's day."""
+    from lexigrove.streaming.admission import admitted
+
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("owner"), F.col("event_type").alias("folder"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), F.date_trunc("millisecond", "ts").alias("ts"), F.floor("value").alias("cost"))
+    got = admitted(rows, 1, 3, 40)
+    return got.select(F.col("path").cast("bigint").alias("event_id"), F.col("owner").cast("bigint").alias("user_id"), "ts", "admitted", "reason")

@@ -39,8 +39,9 @@ def limited(events: DataFrame, most: int, seconds: int, cost: str | None = None,
 
 
 def unchanged_skipped(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Files of the batch whose path, time or hash differs from what is known."""
-    return batch.join(known.select("path", "mtime", "hash"), ["path", "mtime", "hash"], "left_anti")
+    """Files of the batch whose path, time or hash differs from what is known; a time that is null on both sides is the same."""
+    old = known.select(*(F.col(c).alias(f"_{c}") for c in ("path", "mtime", "hash")))
+    return batch.join(old, functools.reduce(lambda a, b: a & b, (batch[c].eqNullSafe(old[f"_{c}"]) for c in ("path", "mtime", "hash"))), "left_anti")
 
 
 def merged(table: KeyedTable, application: str):
