@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lexigrove.corpus import FIELDS, LIB, TOK, library, table, text_index
 from lexigrove.operators import browse as B
 from lexigrove.operators import complete as C
+from lexigrove.operators import duplicates as U
 from lexigrove.operators import records as K
 from lexigrove.operators import sync as S
+from lexigrove.operators.filters import DocumentFilter
 from lexigrove.registry import query
 
 
@@ -59,6 +61,14 @@ def keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.keyset_page(library(spark, sf_dir).select("indexed_at", "owner_id", "id"), (1620000000000, "src3", "5"), 25)
 
 
+@query("o2_page", f"with {LIB}, r as (select id, year, row_number() over (order by year desc nulls last, num) as place, count(*) over () as total from lib where language = 'de') select id, year, total, case when total > 60 then '60' end as next from r where place > 40 and place <= 60")
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of 20 of one language's documents."""
+    docs = library(spark, sf_dir).where(DocumentFilter(language="de").column())
+    found = B.paged(docs, "year", True, ("num",), 20, "40")
+    return found.rows.select("id", "year", F.lit(found.total).cast("bigint").alias("total"), F.lit(found.next).cast("string").alias("next"))
+
+
 _COMPLETE = f"with {LIB}, {TOK}, m as (select * from lib where id in (select id from tok where t = 'thon') and id not in (select id from tok where t = 'was'))"
 
 
@@ -148,6 +158,29 @@ def verified_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
+_ITEMS = {
+    "place": "doc_id",
+    "path": "case when doc_id % 11 = 0 then concat('/d/', cast(cast(floor(doc_id / 2) as bigint) as {string})) when doc_id % 17 = 0 then concat('drive://', cast(doc_id as {string})) else concat('/d/', cast(doc_id as {string})) end",
+    "status": "case when doc_id % 9 = 0 then 'done' else 'ready' end",
+}
+_SCAN = (
+    "with i as (select " + ", ".join(f"{e.format(string='varchar')} as {n}" for n, e in _ITEMS.items()) + ", cast(strlen(text) as bigint) as size, case when doc_id % 23 <> 0 then sha256(text) end as h from documents), "
+    "y as (select *, case when path like '%://%' then 'remote document' when status = 'done' then 'busy or sorted already' when size is null then 'size unknown' when size > 20000 then 'too large to verify' end as why from i), "
+    "f as (select *, row_number() over (partition by path order by place) as k from y where why is null), c as (select *, count(*) over (partition by size) as n from f where k = 1), "
+    "g as (select size, h, min(place) as grp, count(*) as m from c where n > 1 and h is not null group by 1, 2 having count(*) > 1) "
+    "select place, path, size, 'skipped' as outcome, why as reason, null as sha256, null::bigint as grp, null::bigint as members from y where why is not null "
+    "union all select place, path, size, 'skipped', 'the path is in the list already', null, null, null from f where k > 1 "
+    "union all select c.place, c.path, c.size, case when n = 1 then 'unique' when c.h is null then 'failed' when g.grp is null then 'unique' else 'duplicate' end, case when n > 1 and c.h is null then 'no SHA-256' end, case when n > 1 then c.h end, g.grp, g.m from c left join g on c.n > 1 and g.size = c.size and g.h = c.h"
+)
+
+
+@query("a7_duplicate_scan", _SCAN)
+def duplicate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file: duplicates with their group, and why others were not looked at."""
+    items = table(spark, sf_dir, "documents").select(*(F.expr(e.format(string="string")).alias(n) for n, e in _ITEMS.items()), F.octet_length("text").cast("bigint").alias("size"), "text")
+    return U.duplicate_scan(items, F.when(F.col("place") % 23 != 0, F.sha2("text", 256)), 20_000).withColumnRenamed("group", "grp")
+
+
 @query("a9_entity_graph", f"with {LIB}, t as (select distinct owner_id, id, unnest(tags) as tag from lib), f as (select tag, count(*) as n from t where starts_with(tag, 'person:') or starts_with(tag, 'org:') group by tag order by n desc, tag limit 100) select a.tag as a, b.tag as b, count(*) as weight from t a join t b on a.owner_id = b.owner_id and a.id = b.id and a.tag < b.tag where a.tag in (select tag from f) and b.tag in (select tag from f) group by 1, 2 having weight >= 2")
 def entity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.entity_graph(library(spark, sf_dir))

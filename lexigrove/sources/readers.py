@@ -8,7 +8,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -272,23 +272,43 @@ def distinct_clippings(items: list[dict]) -> list[dict]:
 # The parsers over rows of files. A file that cannot be read gives one row that says so in ``problem``; the others go on.
 
 
-def parsed(rows: DataFrame, columns: list[str], parse: Callable[..., list[dict]], fields: str, *keep: str) -> DataFrame:
-    """The columns of ``keep``, ``fields`` and ``problem``: a row for each record that ``parse`` finds in the ``columns`` of a row."""
+#: What is read of a file before it goes out.
+SENT, SENT_BYTES = 1000, 16 << 20
+
+
+def parsed(rows: DataFrame, columns: list[str], parse: Callable[..., Iterable[dict]], fields: str, *keep: str) -> DataFrame:
+    """The columns of ``keep``, ``fields`` and ``problem``: a row for each record that ``parse`` finds in the ``columns`` of a row.
+
+    Records go out as they are read, at most SENT of them or SENT_BYTES and one more at a time.
+    """
     names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
     arrow = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
+    def records(*given) -> Iterator[tuple[dict, str | None]]:
+        try:
+            for found in parse(*given):
+                yield found, None
+        except Exception as e:  # noqa: BLE001 whatever a damaged file does to its parser
+            yield {}, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             inputs = [batch.column(len(keep) + i) for i in range(len(columns))]
             for r in range(batch.num_rows):  # a file at a time, as its members can be many times its size
-                try:
-                    found, problem = parse(*(c[r].as_py() for c in inputs)), None
-                except Exception as e:  # noqa: BLE001 whatever a damaged file does to its parser
-                    found, problem = [{}], f"{type(e).__name__}: {e}"
-                if found:
-                    own = [batch.column(i).take(pa.array([r] * len(found))) for i in range(len(keep))]
-                    read = [pa.array([f.get(n) for f in found], arrow[k]) for n, k in zip(names, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*own, *read, pa.array([problem] * len(found), pa.string())], [*keep, *names, "problem"])
+                held, size = [], 0
+                for found in records(*(c[r].as_py() for c in inputs)):
+                    held.append(found)
+                    size += sum(len(v) for v in found[0].values() if isinstance(v, (str, bytes)))
+                    if len(held) >= SENT or size >= SENT_BYTES:
+                        yield sent(batch, r, held)
+                        held, size = [], 0
+                if held:
+                    yield sent(batch, r, held)
+
+    def sent(batch: pa.RecordBatch, r: int, held: list[tuple[dict, str | None]]) -> pa.RecordBatch:
+        own = [batch.column(i).take(pa.array([r] * len(held))) for i in range(len(keep))]
+        read = [pa.array([f.get(n) for f, _ in held], arrow[k]) for n, k in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*own, *read, pa.array([p for _, p in held], pa.string())], [*keep, *names, "problem"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
     return rows.select(*keep, *(F.col(c).alias(f"_in{i}") for i, c in enumerate(columns))).mapInArrow(run, f"{kept}{fields}, problem string")
@@ -304,6 +324,23 @@ def mails(rows: DataFrame, content: str, *keep: str) -> DataFrame:
     return parsed(rows, [content], parse, "subject string, sender string, text string", *keep)
 
 
+def mailboxes(spark: SparkSession, folder: str, glob: str = "*.mbox") -> DataFrame:
+    """(path, subject, sender, text, problem): a row for each message of the MBOX files below folder.
+
+    A line that begins with ``From `` parts messages, so a file is read by as many tasks as it has splits, and no task
+    holds more of it than a message. The files begin with such a line (``mails`` reads single messages). Bytes stay as
+    they are; compressed files have one split.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\nFrom ")
+    rows = read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("message"))
+
+    def parse(raw: bytes) -> list[dict]:
+        body = bytes(raw).partition(b"\n")[2]  # behind the rest of the line that parts them
+        return [mail_parts(re.sub(rb"(?m)^>From ", b"From ", body))] if body.strip() else []
+
+    return parsed(rows, ["message"], parse, "subject string, sender string, text string", "path")
+
+
 def feeds(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     """A row for each entry of RSS, Atom and JSON feeds."""
     return parsed(rows, [text], lambda t: feed_entries(t) if t else [], "title string, author string, year string, url string, text string", *keep)
@@ -311,7 +348,14 @@ def feeds(rows: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def archive_members(rows: DataFrame, name: str, content: str, *keep: str, depth: int = 4, count: int = 10_000, size: int = 256 << 20) -> DataFrame:
     """A row for each leaf member of ZIP, TAR and GZIP files (binary); one beyond its budgets gives a problem and no member."""
-    parse = lambda n, raw: [{"member": path, "occurrence": k, "body": body} for path, k, body in members(n or "", bytes(raw or b""), depth, count, size)]
+
+    def parse(n: str | None, raw: bytes | None) -> Iterator[dict]:
+        raw = bytes(raw or b"")
+        for _ in members(n or "", raw, depth, count, size):  # an archive that breaks a budget gives no member, so all are unpacked once before the first goes out
+            pass
+        for path, k, body in members(n or "", raw, depth, count, size):
+            yield {"member": path, "occurrence": k, "body": body}
+
     return parsed(rows, [name, content], parse, "member string, occurrence int, body binary", *keep)
 
 
