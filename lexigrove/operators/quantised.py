@@ -52,6 +52,8 @@ class QuantisedIndex(VectorIndex):
     The score of a row is the query's product with the centre and, from a table made once for each query, with the code
     of each part. Candidates are the best by these scores, at least as many as hold the share ``recall`` of the exact
     neighbours of CHECKED rows, which is measured on the table; only they are read whole and scored exactly.
+    Their number follows the size of the parts: on vectors without clusters, parts of 8 numbers need ten times the
+    candidates that parts of 4 do (1357 and 145 for 51 282 rows of 64 numbers).
     Codebooks are fitted on at most ``sample`` rows, each part in its own task; all rows are coded. Vectors have one length.
     """
 

@@ -116,9 +116,9 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r5_quantised_index")
 def quantised_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As r5_vector_index, from codes of the vectors' parts; few vectors are read whole."""
+    """As r5_vector_index, from codes of the vectors' parts, 16 bytes a vector; few vectors are read whole."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return QuantisedIndex(rows).search_all(rows.where("id % 20 = 0"), 10)
+    return QuantisedIndex(rows, width=4).search_all(rows.where("id % 20 = 0"), 10)
 
 
 @query("r28_packed_evidence", "with p as (select conv_id as question_id, turn as rank, role as label, coalesce(text, '') as t from conversations), q as (select distinct conv_id as question_id, 'question ' || conv_id as question from conversations), r as (select p.*, cast(floor((700 - 175) * 0.8) as bigint) - cast(ceil(length(question) / 4) as bigint) - coalesce(sum(cast(ceil(length(t) / 4) as bigint)) over (partition by question_id order by rank rows between unbounded preceding and 1 preceding), 0) as room from p join q using (question_id)) select question_id, label, rank, md5(substring(t, 1, cast(4 * room as bigint))) as digest, cast(ceil(length(substring(t, 1, cast(4 * room as bigint))) / 4) as bigint) as tokens from r where room >= 64")
