@@ -4,8 +4,9 @@ Documents are read once for each block of passages, and nothing of them is shuff
 document has one of its anchors, that is a word of five letters or more, or two words that stand together (any word, in a
 passage of less than eight). An anchor tells where the passage would begin; edits before it can have
 moved that by as many letters as there may be edits at all, and every run of words that begins in between is compared.
-So a run is found if it is near enough and one anchor of the passage is unchanged in it, wherever that is. Passages of one
-or two words, which have no inner word, are also looked for in every document as they are and normalised.
+So a run is found if it is near enough and one anchor of the passage is unchanged in it, wherever that is. Before that,
+runs are left out that share too few groups of letters with the passage to be near; that loses none. Exact and normalised
+places are looked for where all inner words of the passage stand.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from lexigrove.functions.analysis import folded
 LONG, FEW = 5, 8
 #: Passages, and letters of passages, that are looked for in one reading of the documents.
 MOST, LETTERS = 2000, 1 << 20
+#: Groups of letters that are counted have four letters in passages of so many, else three.
+LONGER = 64
+#: Words of a document at which runs are looked at together.
+STRETCH = 2048
 
 
 def plain(text: Column) -> Column:
@@ -44,54 +49,125 @@ class Passages:
         # A run that is near has at most L / least letters, and differs from the passage in at most this many.
         self.edits = [math.floor(len(p) / self.least * (1 - self.least) + 1e-9) for p in self.plain]
         self.words = [p.count(" ") + 1 for p in self.plain]
-        self.anchors: dict[str, list[tuple[int, int]]] = {}
-        self.direct = []
-        for i, p in enumerate(self.plain):
+        self.own: list[list[tuple[str, int]]] = []  # a passage's anchors, with the letters before each
+        for p in self.plain:
             words = p.split(" ")
-            at = 0
+            at, own = 0, []
             for w, after in zip(words, [*words[1:], None], strict=True):
                 if w and (len(words) < FEW or len(w) >= LONG):
-                    self.anchors.setdefault(w, []).append((i, at))
+                    own.append((w, at))
                 if after:
-                    self.anchors.setdefault(f"{w} {after}", []).append((i, at))
+                    own.append((f"{w} {after}", at))
                 at += len(w) + 1
-            if len(words) < 3:
-                self.direct.append(i)
-
-    def near(self, words: list[str], starts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By passage, the letters (from, to) between which a run may begin; words with their first letters."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for k, (w, after) in enumerate(zip(words, [*words[1:], ""], strict=True)):
-            for anchor in (w, f"{w} {after}"):
-                for i, at in self.anchors.get(anchor, ()):
-                    begin = int(starts[k]) - at
-                    found.setdefault(i, []).append((begin - self.edits[i], begin + self.edits[i] + 1))
-        return found
-
-
-def _found(batches: Iterator[pa.RecordBatch], block: Passages) -> Iterator[pa.RecordBatch]:
+            self.own.append(own)
+        # What an exact or normalised place needs: the words inside the passage, each as it stands.
+        self.inner = [frozenset(p.split(" ")[1:-1]) for p in self.plain]
+        self.size = np.array([4 if len(p) >= LONGER else 3 for p in self.plain], np.int64)
+        self.letters, self.most, self.wide = (np.array(x, np.int64) for x in ([len(p) for p in self.plain], self.edits, self.words))
+        self.groups = {}  # by size: the passages, all their groups, and by group the passages that have it, and how often
+        for q in sorted(set(self.size[self.letters >= self.size].tolist())):
+            own = np.flatnonzero((self.size == q) & (self.letters >= q))
+            coded = [_groups(self.plain[i], q) for i in own]
+            codes = np.unique(np.concatenate(coded))
+            have = [np.unique(np.searchsorted(codes, c), return_counts=True) for c in coded]
+            kinds, counts = (np.concatenate([x[k] for x in have]) for k in (0, 1))
+            order = np.argsort(kinds, kind="stable")
+            rows = np.repeat(np.arange(len(own)), [len(x[0]) for x in have])[order]
+            self.groups[q] = own, codes, np.searchsorted(kinds[order], np.arange(len(codes) + 1)), rows, counts[order]
+        self.short = np.flatnonzero(self.letters < self.size).tolist()
+
+    def alike(self, low: str, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(passage, words): the words at which a run begins that shares as many groups of letters with it as a near one must.
+
+        An edit touches as many groups as a group has letters, so a near run shares all groups of the longer text but those.
+        A group that stands m times in the passage counts at a place for the runs that hold the place but not the m-th
+        one before it: for runs that begin behind that one, and in the w words up to the place. Groups that begin in a run
+        and end behind it are counted with it, so a count is never too low.
+        """
+        n = len(starts)
+        after = np.r_[starts[1:], len(low) + 1]  # where the next word begins
+        for i in self.short:
+            yield i, np.arange(n)
+        for q, (own, codes, heads, rows, counts) in self.groups.items():
+            code = _groups(low, q)
+            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            known = np.flatnonzero(codes[at] == code)
+            at, word = at[known], np.searchsorted(starts, known, side="right") - 1
+            wide, letters = self.wide[own][:, None], self.letters[own][:, None]
+            for first in range(0, n, STRETCH):
+                last, stop = min(first + STRETCH + int(wide.max()), n), min(first + STRETCH, n)
+                a, b = np.searchsorted(word, (first, last))
+                kind, place = at[a:b], word[a:b] - first
+                order = np.argsort(kind, kind="stable")
+                rank = np.empty(b - a, np.int64)
+                rank[order] = np.arange(b - a)
+                each = heads[kind + 1] - heads[kind]
+                which = np.repeat(np.arange(b - a), each)
+                of = np.arange(len(which)) + np.repeat(heads[kind] - (np.cumsum(each) - each), each)
+                row, x, back = rows[of], place[which], rank[which] - counts[of]
+                before = order[np.maximum(back, 0)]
+                behind = np.where((back >= 0) & (kind[before] == kind[which]), place[before], -1)
+                behind = np.maximum(behind, x - wide[row, 0])
+                width = last - first + 1
+                ups = np.bincount(row * width + np.maximum(behind + 1, 0), minlength=len(own) * width)
+                ups -= np.bincount(row * width + x + 1, minlength=len(own) * width)
+                places = np.arange(first, stop)
+                shared = ups.reshape(len(own), width).cumsum(axis=1)[:, : stop - first]
+                run = after[np.minimum(places[None, :] + wide, n) - 1] - 1 - starts[places][None, :]
+                longer = np.maximum(run, letters)
+                need = longer - q + 1 - q * np.floor(longer * (1 - self.least) + 1e-9)
+                right = (shared >= need) & (np.abs(run - letters) <= self.most[own][:, None])
+                for r in np.flatnonzero(right.any(axis=1)).tolist():
+                    yield int(own[r]), places[right[r]]
+
+    def anchored(self, i: int, ks: np.ndarray, starts: np.ndarray, where: dict[str, list[int]]) -> np.ndarray:
+        """Those of the words ks at which a run of passage i may begin by one of its anchors; where: the words at which each anchor stands."""
+        begin = [starts[where[anchor]] - at for anchor, at in self.own[i] if anchor in where]
+        if not begin:
+            return ks[:0]
+        begin = np.sort(np.concatenate(begin))
+        from_, to = (np.searchsorted(begin, starts[ks] + x, side=side) for x, side in ((-self.edits[i], "left"), (self.edits[i], "right")))
+        return ks[to > from_]
+
+
+def _groups(text: str, size: int) -> np.ndarray:
+    """Each so many letters that stand together, as one number; letters that share one only make more groups equal."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 32_749
+    n = max(len(c) - size + 1, 0)
+    return sum((c[j : j + n] << 15 * j for j in range(size)), np.zeros(n, np.int64))
+
+
+def _found(batches: Iterator[pa.RecordBatch], block: Passages, fuzzy: bool) -> Iterator[pa.RecordBatch]:
     """(row, item, method, start, run) of exact and normalised places, and of runs that may be near."""
     for batch in batches:
         rows = []
         for row, (text, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             words = low.split(" ")
-            ends = np.cumsum([len(w) + 1 for w in words])  # a space behind each
-            starts = np.r_[0, ends[:-1]]
-            near = block.near(words, starts)
-            for i in {**near, **dict.fromkeys(block.direct)}:
-                at = text.find(block.need[i])
-                if at >= 0:
-                    rows.append((row, i, "exact", at, None))
-                    continue
-                at = low.find(block.plain[i]) if block.plain[i] else -1
-                if at >= 0:
-                    rows.append((row, i, "normalized", low.count(" ", 0, at), None))
-                    continue
-                places = [np.arange(*np.searchsorted(starts, stretch)) for stretch in near.get(i, ())]
-                for k in np.unique(np.concatenate(places)) if places else ():
-                    run = low[starts[k] : ends[min(k + block.words[i], len(words)) - 1] - 1]
-                    if abs(len(run) - len(block.plain[i])) <= block.edits[i]:
-                        rows.append((row, i, "fuzzy", int(k), run))
+            held, done = set(words), set()
+            for i, inner in enumerate(block.inner):
+                if inner <= held:
+                    at = text.find(block.need[i])
+                    if at >= 0:
+                        rows.append((row, i, "exact", at, None))
+                        done.add(i)
+                        continue
+                    at = low.find(block.plain[i]) if fuzzy and block.plain[i] else -1
+                    if at >= 0:
+                        rows.append((row, i, "normalized", low.count(" ", 0, at), None))
+                        done.add(i)
+            if fuzzy and len(done) < len(block.need):
+                ends = np.cumsum([len(w) + 1 for w in words])  # a space behind each
+                starts = np.r_[0, ends[:-1]]
+                where: dict[str, list[int]] = {}
+                for i, ks in block.alike(low, starts):
+                    if i in done:
+                        continue
+                    if not where:
+                        for k, (w, after) in enumerate(zip(words, [*words[1:], ""], strict=True)):
+                            where.setdefault(w, []).append(k)
+                            where.setdefault(f"{w} {after}", []).append(k)
+                    for k in block.anchored(i, ks, starts, where):
+                        rows.append((row, i, "fuzzy", int(k), low[starts[k] : ends[min(k + block.words[i], len(words)) - 1] - 1]))
             if len(rows) > 50_000:
                 yield _as_batch(batch, rows, block)
                 rows = []
@@ -117,12 +193,13 @@ def _blocks(items: DataFrame) -> Iterator[list]:
     yield block
 
 
-def matched(passages: DataFrame, docs: DataFrame, least: float = 0.82, item: str = "item_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
+def matched(passages: DataFrame, docs: DataFrame, least: float = 0.82, item: str = "item_id", doc: str = "doc_id", text: str = "text", fuzzy: bool = True) -> DataFrame:
     """(item, doc, method, score, start): the best method of each pair that has one.
 
     ``exact`` and ``normalized`` score 1. ``fuzzy`` has the best score of all runs of as many words as the passage has: 1
     less the edit distance, by the letters of the longer one, among those with an unchanged anchor. start is the character of an exact match, else the word; of
     equal runs the first. Passages are the queries and are read in blocks of bounded size, one reading of docs each.
+    Without ``fuzzy``, exact places alone are looked for.
     """
     items = passages.select(F.col(item).alias("item"), F.trim(F.col(text)).alias("need")).where("need <> ''").withColumn("plain", plain(F.col("need")))
     have = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).where("text is not null").withColumn("plain", plain(F.col("text")))
@@ -133,7 +210,7 @@ def matched(passages: DataFrame, docs: DataFrame, least: float = 0.82, item: str
     out = None
     for rows in _blocks(items):
         block = Passages([r.need for r in rows], [r.plain for r in rows], least)
-        found = have.mapInArrow(lambda x: _found(x, block), kinds)  # noqa: B023 - each block has a plan of its own
+        found = have.mapInArrow(lambda x: _found(x, block, fuzzy), kinds)  # noqa: B023 - each block has a plan of its own
         longest = F.greatest(F.length("run"), F.length("need"))
         most = F.floor(longest * F.lit(1 - least) + F.lit(1e-9)).cast("int")
         found = found.withColumn("most", most).withColumn("away", F.expr("if(method = 'fuzzy', levenshtein(run, need, most), 0)")).where("away >= 0")

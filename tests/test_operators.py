@@ -387,3 +387,32 @@ def test_index_agrees_with_tokenising(spark, corpus, tmp_path):
         source = spark.read.parquet(f"{tmp_path}/source")
         made = postings.opened(source, source.selectExpr("id", "concat('w', id) as body"), ("id",), {"body": "body"}, str(tmp_path))
         assert made.rows().count() == n
+
+
+def test_few_runs_are_compared_with_a_passage():
+    """Of the runs of unrelated texts of the same syllables few go to the comparison; all near ones do."""
+    import random
+
+    import pyarrow as pa
+
+    from lexigrove.operators.passages import Passages, _found
+
+    r = random.Random(5)
+    syllables = ["he", "on", "th", "an", "re", "er", "le", "de", "in", "es", "ti", "ou"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 5)))
+    needs = [[word() for _ in range(36)] for _ in range(20)]
+    docs = [" ".join([word() for _ in range(300)] + [w[:-1] + "x" if k % 3 == 0 else w for k, w in enumerate(needs[i])] + [word() for _ in range(300)]) for i in range(20)]
+    block = Passages([" ".join(x) for x in needs], [" ".join(x) for x in needs], 0.82)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(docs), pa.array(docs)], ["doc", "text", "plain"])
+    rows = [x for out in _found(iter([batch]), block, True) for x in out.to_pylist()]
+    assert {(x["doc"], x["place"]) for x in rows if x["start"] == 300} >= {(i, i) for i in range(20)}
+    assert len(rows) < 20 * 20 * 636 // 40
+
+
+def test_exact_places_need_no_comparison(spark):
+    from lexigrove.operators.passages import matched
+
+    kinds = "item_id int, text string"
+    items = spark.createDataFrame([(1, "the old castle stood there"), (2, "Hello, WORLD")], kinds)
+    docs = spark.createDataFrame([(1, "xthe old castle stood therex"), (2, "hello world"), (3, "the old castle stands there")], "doc_id int, text string")
+    assert [(r.item_id, r.doc_id, r.method, r.start) for r in matched(items, docs, fuzzy=False).collect()] == [(1, 1, "exact", 1)]
