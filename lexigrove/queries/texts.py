@@ -67,7 +67,7 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f11_passage_matches", "select b.item_id, d.doc_id, position(trim(b.text) in d.text) - 1 as start from benchmark b join documents d on contains(d.text, trim(b.text))")
 def passage_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact stage of the cascade."""
-    return matched(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")).where("method = 'exact'").select("item_id", "doc_id", "start")
+    return matched(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), fuzzy=False).select("item_id", "doc_id", "start")
 
 
 @query("f11_passage_cascade")
