@@ -125,6 +125,14 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in rows], pa.string()) for i in (0, 1)], ["part", "term"])
 
 
+def _head(pattern: str) -> str:
+    return next((pattern[:i] for i, c in enumerate(pattern) if c in "*?"), pattern)
+
+
+def _regex(pattern: str) -> str:
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, c) for c in pattern) + "$"
+
+
 @dataclass
 class TextIndex:
     """One version of an index. keys: the columns that name a document; fields: the search fields."""
@@ -187,8 +195,14 @@ class TextIndex:
             parts.append(self._left(rows if wanted is None else rows.where(F.col("term").isin(wanted)), about["version"]))
         return self._union(parts, kinds)
 
-    def with_terms(self, terms: Iterable[str]) -> DataFrame:
-        return self.postings(terms)
+    def with_terms(self, terms: Iterable[str], patterns: tuple[str, ...] = ()) -> DataFrame:
+        """The postings of some terms, and of those that a pattern matches whole; patterns are held against the terms of all folders."""
+        if not patterns:
+            return self.postings(terms)
+        wanted = F.col("term").isin(sorted(set(terms)))
+        for pattern in patterns:
+            wanted |= F.col("term").startswith(_head(pattern)) & F.col("term").rlike(_regex(pattern))
+        return self.postings().where(wanted)
 
     def words(self) -> DataFrame:
         """(field, term, documents, tokens) over the documents that are left."""
@@ -255,8 +269,7 @@ class TextIndex:
 
     def like(self, pattern: str, most: int) -> tuple[list[str], int]:
         """The terms that a pattern of letters, ``*`` and ``?`` matches whole, and how many were looked at."""
-        head = next((pattern[:i] for i, c in enumerate(pattern) if c in "*?"), pattern)
-        regex = "^" + "".join({"*": ".*", "?": "."}.get(c, c) for c in pattern) + "$"
+        head, regex = _head(pattern), _regex(pattern)
         segments = self._live("segment")
         parts = sorted({g for run in f"^{pattern}$".replace("?", "*").split("*") for g in grams(run)})
         if head or not parts:

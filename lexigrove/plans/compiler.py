@@ -5,7 +5,8 @@ row-local. Over an index, that row is made of the postings of these terms alone,
 (documents, mean lengths, document frequencies) is looked up in the vocabulary. Over plain documents, the row is made by
 tokenising, and the statistics are one aggregate; that is for streams and small sets. Wildcards and fuzzy words are looked
 up in the vocabulary first and become words. How many they may stand for in one query, and how many words may be looked
-at for them, is bounded; what is beyond is an error. Over a stream there is no vocabulary, and wildcards are held against
+at for them, is bounded; what is beyond is an error, or, if all matches are asked for (``whole``), a wildcard that goes
+beyond is held against the terms of the postings. Over a stream there is no vocabulary, and wildcards are held against
 each row's words.
 """
 
@@ -46,7 +47,7 @@ def holds_without_words(expr: object, scope: str | None = None) -> bool:
 
 @dataclass
 class Compiler:
-    """fields: names of text columns of docs by search field. expanded, visited: the bounds of a query's expansion."""
+    """fields: names of text columns of docs by search field. expanded, visited: the bounds of a query's expansion; whole: wildcards may go beyond."""
 
     docs: DataFrame | TextIndex
     fields: dict[str, str]
@@ -54,6 +55,7 @@ class Compiler:
     stats: Stats | None = None
     expanded: int = q.MAX_EXPANDED
     visited: int = q.MAX_VISITED
+    whole: bool = False
 
     def __post_init__(self):
         self.index = self.docs if isinstance(self.docs, TextIndex) else None
@@ -80,7 +82,9 @@ class Compiler:
         terms = {t for k in kinds if isinstance(k, q.Exact) for _, t in k.tokens} | {t for x in leaves if isinstance(x, q.Phrase) for _, t in py_tokens(x.text)}
         for k in kinds:
             if isinstance(k, (q.Fuzzy, q.Wildcard)) and k not in self.words and not (self.base is not None and self.base.isStreaming and isinstance(k, q.Wildcard)):
-                self.words[k] = self._stands_for(k)
+                found = self._stands_for(k)
+                if found is not None:
+                    self.words[k] = found
         if self.index:
             self._from_index(terms, kinds, every or any(holds_without_words(e) for e in exprs))
             return
@@ -100,7 +104,8 @@ class Compiler:
         totals = index.totals()
         frequency = {(f, t): 0 for f in self.fields for t in terms} | {(r.field, r.term): r.documents for r in known}
         self.stats = Stats(max((d for d, _ in totals.values()), default=0), {f: totals[f][1] / max(totals[f][0], 1) for f in self.fields}, frequency)
-        found = index.with_terms(terms | {w for k in kinds if not isinstance(k, q.Exact) for w in self.words[k]})
+        open_ = [k for k in dict.fromkeys(kinds) if isinstance(k, q.Wildcard) and k not in self.words]
+        found = index.with_terms(terms | {w for k in kinds if not isinstance(k, q.Exact) and k in self.words for w in self.words[k]}, tuple(k.pattern for k in open_))
         at = F.transform("places", lambda p: F.struct(F.col("term").alias("t"), p.alias("p")))
         of = lambda f, x: F.when(F.col("field") == f, x)
         rows = found.groupBy(*index.keys).agg(
@@ -113,8 +118,8 @@ class Compiler:
             rows = all_.join(own, on, "left").select(*(f"k.{c}" for c in index.keys), *(F.coalesce(f"_tok_{f}", none).alias(f"_tok_{f}") for f in self.fields), *(f"_len_{f}" for f in self.fields))
         self.base = rows
 
-    def _stands_for(self, k: q.Fuzzy | q.Wildcard) -> list[str]:
-        """The words that a wildcard or a fuzzy word stands for, counted against the query's bounds."""
+    def _stands_for(self, k: q.Fuzzy | q.Wildcard) -> list[str] | None:
+        """The words that a wildcard or a fuzzy word stands for, counted against the query's bounds; None if it is to go beyond."""
         if self.index:
             found, seen = self.index.near(k.term, k.distance, self.visited) if isinstance(k, q.Fuzzy) else self.index.like(k.pattern, self.visited)
         else:
@@ -126,6 +131,8 @@ class Compiler:
                 words = words.where(F.col("t").rlike(k.regex))
             found = [r.t for r in words.limit(self.visited + 1).collect()]
             seen = len(found)
+        if self.whole and isinstance(k, q.Wildcard) and (seen > self.visited or len(found) > self.expanded):
+            return None
         self.visited -= seen
         if self.visited < 0:
             raise q.QueryError(f"a query looks at no more than {q.MAX_VISITED} words of the vocabulary; narrow the pattern")
@@ -245,10 +252,10 @@ def _number(value: float) -> str:
     return f"{value!r}D"
 
 
-def search(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
-    """The matching rows of docs: keep and score. Of an index, keep names key columns."""
+def search(docs: DataFrame | TextIndex, query: str, fields: dict[str, str], keep: tuple[str, ...], whole: bool = False) -> DataFrame:
+    """The matching rows of docs: keep and score. Of an index, keep names key columns. With whole, wildcards have no bounds."""
     expr = q.parse(query, tuple(fields))
-    compiler = Compiler(docs, fields)
+    compiler = Compiler(docs, fields, whole=whole)
     compiler.prepare(expr)
     match, score = compiler.compile(expr)
     return compiler.base.where(match).select(*keep, F.expr(score).alias("score"))

@@ -34,7 +34,7 @@ bm as (select tf.fld, tf.owner_id, tf.id, tf.num, tf.t, {BOOST} * ln(1 + ((selec
 
 
 def hits(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    found = compiler.search(text_index(spark, sf_dir), text, FIELDS, ("owner_id", "id"))
+    found = compiler.search(text_index(spark, sf_dir), text, FIELDS, ("owner_id", "id"), whole=True)
     return found.select("owner_id", "id", F.round("score", 6).alias("score"))
 
 

@@ -121,3 +121,16 @@ def test_expansion_is_bounded(spark, tmp_path):
         with pytest.raises(q.QueryError, match="vocabulary"):
             tight.prepare(q.parse("w10*"))
         assert compiler.Compiler(source, FIELDS, expanded=5000).prepare(q.parse("w*")) is None
+
+
+def test_a_whole_search_goes_beyond_the_bounds(spark, tmp_path):
+    rows = [("o", i, "x9 title", " ".join(f"w{50 * i + k}x" for k in range(50))) for i in range(40)]
+    plain = spark.createDataFrame(rows, KIND)
+    index = postings.build(plain, ("owner", "id"), FIELDS, f"{tmp_path}/a")
+    for source in (index, plain):
+        ids = lambda text: sorted(r.id for r in compiler.search(source, text, FIELDS, ("id",), whole=True).collect())  # noqa: B023, E731
+        assert ids("w*") == list(range(40))
+        assert ids("w1*") == sorted({n // 50 for n in range(2000) if str(n).startswith("1")})
+        assert ids("w1* NOT w19*") == sorted({n // 50 for n in range(2000) if str(n).startswith("1")} - {n // 50 for n in range(2000) if str(n).startswith("19")})
+        assert ids("w*9x AND w3x") == [0]
+        assert ids("title:w*") == []
