@@ -49,6 +49,8 @@ MOST_PRUNED = 1000
 TIER = 4
 #: Text of fewer bytes a core is dealt out before it is analysed.
 SPREAD = 64 << 20
+#: Documents and queries that meet at once in a search for many queries.
+CHUNK, ASKED = 2048, 4096
 #: Raw words whose terms a task remembers.
 CACHE = 500_000
 
@@ -452,8 +454,9 @@ def opened(source: DataFrame, docs: DataFrame, keys: tuple[str, ...], fields: di
 def search_many(index: TextIndex, queries: DataFrame, n: int, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75, key: str | None = None) -> DataFrame:
     """(query_id, key columns, score, rank): the n best documents by BM25 for any of a query's terms, for all queries in one plan.
 
-    queries: (query_id, term), terms as the analyzer gives them. A posting meets the queries that name its term, and
-    only its score goes on. Ties go by ``key`` and then by all keys.
+    queries: (query_id, term), terms as the analyzer gives them. What a term gives a document does not depend on the query,
+    so it is summed up once. Documents go in chunks, each chunk meets each block of queries, and hands on n documents a
+    query: work is queries times the postings of their terms, but scores do not move. Ties go by ``key`` and then by all keys.
     """
     totals = index.totals()
     pick = lambda values: F.coalesce(*(F.when(F.col("field") == f, F.lit(v)) for f, v in values.items()))
@@ -462,11 +465,51 @@ def search_many(index: TextIndex, queries: DataFrame, n: int, boosts: dict[str,
     asked = queries.select("query_id", "term").distinct()
     words = index.words().select("field", "term", "documents").join(asked.select("term").distinct(), "term", "left_semi")
     idf = F.log1p((F.lit(float(n_docs)) - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
-    terms = words.join(asked, "term").select("query_id", "term", "field", (idf * pick({f: float(boosts[f]) for f in index.fields})).alias("w"))
+    weights = words.select("term", "field", (idf * pick({f: float(boosts[f]) for f in index.fields})).alias("w"))
     c = F.col("n").cast("double")
     part = F.col("w") * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("length") / pick(mean)))
-    met = index.postings().select(*index.keys, "term", "field", "n", "length").join(terms, ["term", "field"])
-    scored = met.groupBy("query_id", *index.keys).agg(F.round(F.sum(part), 6).alias("score"))
     ties = [*([key] if key else []), *(k for k in index.keys if k != key)]
+    given = index.postings().select(*index.keys, "term", "field", "n", "length").join(weights, ["term", "field"])
+    own = F.struct(*ties).alias("doc")
+    chunk = F.pmod(F.xxhash64(*index.keys), F.lit(max(math.ceil(n_docs / CHUNK), 1))).cast("int").alias("chunk")
+    given = given.select(chunk, own, "term", part.alias("s"))
+    # of a chunk: its documents in the order of ties, and by term the places of documents and what it gives them
+    per = given.groupBy("chunk", "doc", "term").agg(F.sum("s").alias("s")).groupBy("chunk", "doc").agg(F.collect_list(F.struct("term", "s")).alias("has"))
+    packed = per.repartition("chunk").sortWithinPartitions("chunk", "doc").select("chunk", "doc", F.col("has.term").alias("terms"), F.col("has.s").alias("gives"))
+    chunks = packed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("doc", "terms", "gives"))).alias("d")).select(F.col("d.doc").alias("docs"), F.col("d.terms").alias("terms"), F.col("d.gives").alias("gives"))
+    lists = asked.groupBy("query_id").agg(F.collect_list("term").alias("wants"))
+    total = lists.count()
+    blocks = lists.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(math.ceil(total / ASKED), 1))).alias("b")).agg(F.collect_list(F.struct("query_id", "wants")).alias("q"))
+    met = chunks.crossJoin(blocks.select(F.col("q.query_id").alias("ids"), F.col("q.wants").alias("wants")))
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc", per.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+    scored = met.mapInArrow(lambda x: _best(x, n), kinds).select("query_id", "doc.*", F.round("score", 6).alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), *(F.asc(k) for k in ties))
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
+    return scored.select("query_id", *index.keys, "score").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
+
+
+def _best(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, doc, score): of each chunk of documents the n best for each query of a block; documents come in the order of ties."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            docs, terms, gives, ids, wants = (batch.column(i)[row].values for i in range(5))
+            names = terms.flatten().dictionary_encode()
+            place = np.repeat(np.arange(len(docs)), np.diff(terms.offsets.to_numpy()))
+            kind = names.indices.to_numpy()
+            order = np.argsort(kind, kind="stable")
+            place, given = place[order], gives.flatten().to_numpy()[order]
+            cuts = np.searchsorted(kind[order], np.arange(len(names.dictionary) + 1))
+            number = {t: k for k, t in enumerate(names.dictionary.to_pylist())}
+            which, best, scores = [], [], []
+            for i, own in enumerate(wants.to_pylist()):
+                score = np.zeros(len(docs))
+                for k in filter(lambda k: k is not None, map(number.get, own)):
+                    score[place[cuts[k] : cuts[k + 1]]] += given[cuts[k] : cuts[k + 1]]
+                hit = np.flatnonzero(score)
+                if len(hit) > n:  # all that may round to the n-th score or above
+                    hit = hit[score[hit] >= np.partition(score[hit], -n)[-n] - 2e-6]
+                first = hit[np.argsort(-np.round(score[hit], 6), kind="stable")][:n]
+                which += [i] * len(first)
+                best.append(first)
+                scores.append(score[first])
+            taken = np.concatenate([*best, np.zeros(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), docs.take(pa.array(taken)), pa.array(np.concatenate([*scores, np.zeros(0)]))], ["query_id", "doc", "score"])

@@ -134,3 +134,16 @@ def test_a_whole_search_goes_beyond_the_bounds(spark, tmp_path):
         assert ids("w1* NOT w19*") == sorted({n // 50 for n in range(2000) if str(n).startswith("1")} - {n // 50 for n in range(2000) if str(n).startswith("19")})
         assert ids("w*9x AND w3x") == [0]
         assert ids("title:w*") == []
+
+
+def test_many_queries_over_chunks(spark, tmp_path, monkeypatch):
+    """Documents in small chunks and queries in small blocks, with copies that tie, give what all of them at once give."""
+    rows = [("o", i, None, f"aa b{i % 4} c{i % 3}" if i % 5 else "aa b1 c1") for i in range(60)] + [("o", 90, None, "zz"), ("o", 91, None, None)]
+    index = postings.build(spark.createDataFrame(rows, KIND), ("owner", "id"), FIELDS, f"{tmp_path}/a")
+    queries = spark.createDataFrame([(i, t) for i, own in enumerate((("aa",), ("b1", "c1"), ("b2", "aa", "b2"), ("zz", "c0"), ("none",))) for t in own], "query_id int, term string")
+    run = lambda: sorted(map(tuple, postings.search_many(index, queries, 7, {"title": 3.0, "body": 1.0}, key="id").collect()))
+    whole = run()
+    monkeypatch.setattr(postings, "CHUNK", 3)
+    monkeypatch.setattr(postings, "ASKED", 2)
+    assert run() == whole and [(r[2], r[4]) for r in whole if r[0] == 0] == [(i, i + 1) for i in range(7)]
+    assert next(r[2] for r in whole if r[0] == 3 and r[4] == 1) == 90 and {r[0] for r in whole} == {0, 1, 2, 3}
