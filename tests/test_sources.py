@@ -102,3 +102,11 @@ def test_pages_to_the_end(spark):
     for bad in ("-1", "x", ""):
         with pytest.raises(ValueError, match="cursor"):
             B.paged(docs, "year", cursor=bad)
+
+
+def test_pages_are_parsed_in_small_parts(spark):
+    from lexigrove.sources import readers
+
+    rows = [(i, f"u{i}", None if i == 70 else f"<h1>H{i}</h1><p>text {i}</p>") for i in range(3 * readers.PAGES // 2)]
+    got = sorted(map(tuple, readers.html_text(spark.createDataFrame(rows, "id bigint, url string, html string").coalesce(1), "html", "id", "url").collect()))
+    assert got == [(i, u, *readers.html_parts(h or "")) for i, u, h in rows]
