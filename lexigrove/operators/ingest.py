@@ -142,6 +142,8 @@ def _units(m: np.ndarray) -> np.ndarray:
 
 #: Rows of a packed block of vectors.
 BLOCK = 1024
+#: Scores of queries and centres that a task holds at once, and readings of a list by a query that it sends at once.
+CELLS, READINGS = 1 << 18, 1 << 12
 
 
 class VectorIndex:
@@ -230,11 +232,12 @@ class VectorIndex:
     def _ordered(self, queries: DataFrame, first: int, last: int, radius: np.ndarray | None = None) -> DataFrame:
         """(query_id, vector, list, bound): the lists from place ``first`` to ``last`` in the order of each query; bound is the best score that the lists behind may have."""
         centres = _units(np.array(self.centres))
+        block = max(min(BLOCK, CELLS // len(centres)), 1)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for i in range(0, len(b), BLOCK):
-                    part = b.iloc[i : i + BLOCK]
+                for i in range(0, len(b), block):
+                    part = b.iloc[i : i + block]
                     s = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]])) @ centres.T
                     if radius is None:
                         order, bound = np.argsort(-s, axis=1, kind="stable"), np.zeros(len(part))
@@ -244,7 +247,10 @@ class VectorIndex:
                         behind = np.take_along_axis(best, order, 1)[:, last] if last < len(centres) else np.full(len(part), -1.0)
                         bound = 1 - np.clip(1 - behind, 0, 2) / 2 + 1e-6
                     lists = order[:, first:last]
-                    yield pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(np.int64), lists.shape[1]), "vector": part["vector"].repeat(lists.shape[1]).to_numpy(), "list": lists.ravel().astype(np.int32), "bound": np.repeat(bound, lists.shape[1])})
+                    wide = max(lists.shape[1], 1)
+                    for j in range(0, len(part), max(READINGS // wide, 1)):  # each row has a query's whole vector
+                        some, own = part.iloc[j : j + max(READINGS // wide, 1)], slice(j, j + max(READINGS // wide, 1))
+                        yield pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(np.int64), lists.shape[1]), "vector": some["vector"].repeat(lists.shape[1]).to_numpy(), "list": lists[own].ravel().astype(np.int32), "bound": np.repeat(bound[own], lists.shape[1])})
 
         return queries.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, "query_id bigint, vector array<double>, list int, bound double")
 

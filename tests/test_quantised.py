@@ -72,3 +72,20 @@ def test_query(spark):
     assert found.columns == ["query_id", "id", "score", "rank"]
     rows = found.select("query_id", "id", F.col("rank")).collect()
     assert len({(x.query_id, x.id) for x in rows} & exact) >= 0.9 * len(exact)
+
+
+def test_lists_are_sent_in_small_parts(spark, monkeypatch):
+    """The order of lists does not depend on how many scores and readings a task holds at once."""
+    import random
+
+    from lexigrove.operators import ingest
+
+    r = random.Random(3)
+    index = ingest.VectorIndex.__new__(ingest.VectorIndex)
+    index.centres = [[r.gauss(0, 1) for _ in range(4)] for _ in range(9)]
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(50)], "id bigint, vector array<double>")
+    run = lambda: sorted((x.query_id, x.list, tuple(x.vector)) for x in index._ordered(rows, 0, 5).collect())
+    whole = run()
+    monkeypatch.setattr(ingest, "CELLS", 20)
+    monkeypatch.setattr(ingest, "READINGS", 7)
+    assert run() == whole and len(whole) == 250
