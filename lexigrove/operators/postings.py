@@ -2,9 +2,11 @@
 
 A segment holds, for the documents it was made from and for good,
 
-* ``postings``: a row for each (term, field, document): how often and where the term stands, and how long the field is.
-  Rows lie in folders by a checksum of the term and are sorted by it, so a query opens the folders of its own terms and
-  reads their pages. Folders follow the bytes of text; one that a very common term makes large is split over files.
+* ``postings``: for each (term, field, document) how often and where the term stands, and how long the field is. They are
+  kept as lists, a row for each (term, field) of a piece of a task's documents. When a segment is written, what a piece has
+  for a group of folders moves as one packed row, and lists are sorted, not their postings. Rows lie in folders by a checksum of the term and are sorted by it, so a
+  query opens the folders of its own terms and reads their pages. Folders follow the bytes of text; one that a very common
+  term makes large is split over files.
 * ``words``: the vocabulary, (field, term, documents, tokens), sorted by term.
 * ``keys``: the columns that name a document, and the file it came from.
 
@@ -32,9 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lexigrove.functions.analysis import LONGEST, py_folded, py_words
@@ -53,10 +57,15 @@ SPREAD = 64 << 20
 CHUNK, ASKED = 2048, 4096
 #: Raw words whose terms a task remembers.
 CACHE = 500_000
+#: Postings of a piece, whose lists of a term are one row, and the most postings of such a row.
+PIECE, LIST = 400_000, 4096
+#: Folders that one task writes, and lists that it unpacks at once.
+FOLDERS, UNPACKED = 4, 20_000
 
 
-def tokenised(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fields: tuple[str, ...], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings of a batch of documents, whose columns are keys, then fields."""
+def tokenised(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fields: tuple[str, ...], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Lists of postings of batches of documents, whose columns are keys, then fields, packed by the task that writes them."""
+    pieces = itertools.count(TaskContext.get().partitionId())
 
     class Terms(dict):
         def __missing__(self, word: str) -> str:
@@ -85,21 +94,62 @@ def tokenised(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fields:
                 counts += n
                 lengths += [sum(n)] * len(n)
                 places.append(list(itertools.chain.from_iterable(found.values())))
-                if len(terms) > 200_000 or (i + 1 == len(fields) and row + 1 == batch.num_rows):
-                    yield _posted(batch, keys, fields, buckets, rows, names, terms, counts, lengths, places)
+                if len(terms) > PIECE or (i + 1 == len(fields) and row + 1 == batch.num_rows):
+                    yield _packed(_posted(batch, keys, fields, buckets, rows, names, terms, counts, lengths, places), groups, next(pieces))
                     rows, names, terms, counts, lengths, places = [], [], [], [], [], []
         if terms:
-            yield _posted(batch, keys, fields, buckets, rows, names, terms, counts, lengths, places)
+            yield _packed(_posted(batch, keys, fields, buckets, rows, names, terms, counts, lengths, places), groups, next(pieces))
 
 
 def _posted(batch: pa.RecordBatch, keys: tuple, fields: tuple, buckets: int, rows: list, names: list, terms: list, counts: list, lengths: list, places: list) -> pa.RecordBatch:
-    n = np.array(counts, np.int32)
+    """The postings of a piece as lists by term and field, documents in their order."""
+    numbers: dict[str, int] = {}
+    kind = np.fromiter((numbers.setdefault(t, len(numbers)) for t in terms), np.int64, len(terms)) * len(fields) + np.array(names, np.int64)
+    order = np.argsort(kind, kind="stable")
+    kind, n = kind[order], np.array(counts, np.int32)
+    begins = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(kind))
+    begins = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b, LIST) for a, b in zip(begins[ends - begins > LIST], ends[ends - begins > LIST], strict=True)), begins[ends - begins <= LIST]])
+    begins.sort()
     flat = np.fromiter(itertools.chain.from_iterable(places), np.int32, int(n.sum()))
     at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-    taken, crc = pa.array(np.array(rows, np.int64)), zlib.crc32
-    cols = [*(batch.column(i).take(taken) for i in range(len(keys))), pa.array(fields, pa.string()).take(pa.array(np.array(names, np.int64))), pa.array(terms, pa.string())]
-    bucket = pa.array([crc(t.encode()) % buckets for t in terms], pa.int32())
-    return pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(np.array(lengths, np.int32)), at, bucket], [*keys, "field", "term", "n", "length", "places", "bucket"])
+    taken, place = pa.array(np.array(rows, np.int64)[order]), pa.array(order)
+    own = [*(batch.column(i).take(taken) for i in range(len(keys))), pa.array(n[order]), pa.array(np.array(lengths, np.int32)[order]), at.take(place)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(kind)).astype(np.int32)), pa.StructArray.from_arrays(own, [*keys, "n", "length", "places"]))
+    held, crc = pa.array(list(numbers), pa.string()), zlib.crc32
+    bucket = pa.array(np.array([crc(t.encode()) % buckets for t in numbers], np.int32))
+    term, name = pa.array(kind[begins] // len(fields)), pa.array(kind[begins] % len(fields))
+    documents, tokens = np.diff(np.append(begins, len(kind))), np.add.reduceat(n[order].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+    cols = [pa.array(fields, pa.string()).take(name), held.take(term), pa.array(documents.astype(np.int64)), pa.array(tokens), lists, bucket.take(term)]
+    return pa.RecordBatch.from_arrays(cols, ["field", "term", "documents", "tokens", "lists", "bucket"])
+
+
+def _packed(lists: pa.RecordBatch, groups: int, piece: int) -> pa.RecordBatch:
+    """(task, packed): the lists of a piece by the group of folders that they go to.
+
+    A list that is longer than a group's share of a piece goes to as many groups in turn as it has shares, so the
+    postings of a very common term are dealt out too.
+    """
+    shares = -(-lists.column(2).to_numpy() * groups // PIECE)
+    task = (lists.column(5).to_numpy() % groups + piece % np.maximum(shares, 1)) % groups
+    order = np.argsort(task, kind="stable")
+    lists, task = lists.take(pa.array(order)), task[order]
+    cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)] if len(task) else [0]
+    whole = [lists.slice(i, j - i).serialize() for i, j in itertools.pairwise(cuts)]
+    blobs = [pa.compress(b, "zstd", asbytes=True) for b in whole]
+    return pa.RecordBatch.from_arrays([pa.array(task[cuts[:-1]].astype(np.int32)), pa.array([b.size for b in whole], pa.int64()), pa.array(blobs, pa.binary())], ["task", "size", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for size, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held.append(pa.ipc.read_record_batch(pa.decompress(packed.as_buffer(), size, "zstd"), schema))
+            if sum(b.num_rows for b in held) >= UNPACKED:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def left_out(term: str, most: int) -> set[str]:
@@ -173,15 +223,40 @@ class TextIndex:
         keys = self._union((self._read(name, "keys", self.schema) for name in gone), self.schema).distinct()
         return rows.join(keys, functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(keys[k]) for k in self.keys)), "left_anti")
 
+    def _left_lists(self, rows: DataFrame, version: int) -> DataFrame:
+        """Rows of lists of a segment without the postings of documents that went later."""
+        if not any(about["version"] > version for about in self._live("gone").values()):
+            return rows
+        one = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "field", "term", F.inline("lists"))
+        own = F.struct(*(f.name for f in self._list_kinds()["lists"].dataType.elementType.fields))
+        found = self._left(one, version).groupBy("_row", "field", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.collect_list(own).alias("lists"))
+        return found.drop("_row")
+
     @property
     def _posting_kinds(self) -> T.StructType:
         word, number = T.StringType(), T.IntegerType()
         more = [("field", word), ("term", word), ("n", number), ("length", number), ("places", T.ArrayType(number))]
         return T.StructType([*self.schema.fields, *(T.StructField(c, kind) for c, kind in more)])
 
-    def postings(self, terms: Iterable[str] | None = None) -> DataFrame:
-        """All postings, or those of some terms, from the folders that these are in."""
-        kinds, parts = self._posting_kinds, []
+    def _list_kinds(self, *columns: str) -> T.StructType:
+        """What rows of lists are read as; columns: those of a posting, all if none is named."""
+        own = T.StructType([f for f in self._posting_kinds.fields if f.name not in ("field", "term") and (not columns or f.name in columns)])
+        return T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField("lists", T.ArrayType(own))])
+
+    @property
+    def _rows_kinds(self) -> T.StructType:
+        """The columns of the files of lists."""
+        field, term, lists = self._list_kinds().fields
+        return T.StructType([field, term, T.StructField("documents", T.LongType()), T.StructField("tokens", T.LongType()), lists])
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        """Rows of lists as a row for each posting."""
+        found = rows.select("field", "term", F.inline("lists"))
+        return found.select(*(f.name for f in self._posting_kinds.fields if f.name in found.columns))
+
+    def postings(self, terms: Iterable[str] | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+        """All postings, or those of some terms, from the folders that these are in; with columns, only these are read of a posting beside its keys."""
+        kinds, parts = self._list_kinds(*((*self.keys, *columns) if columns else ())), []
         wanted = None if terms is None else sorted(set(terms))
         for name, about in self._live("segment").items():
             folder = f"{self.path}/data/{name}/postings"
@@ -194,8 +269,8 @@ class TextIndex:
                 rows = self.spark.read.schema(kinds).option("basePath", folder).parquet(*own).drop("bucket")
             else:
                 rows = self.spark.read.schema(kinds).parquet(folder).drop("bucket")
-            parts.append(self._left(rows if wanted is None else rows.where(F.col("term").isin(wanted)), about["version"]))
-        return self._union(parts, kinds)
+            parts.append(self._left(self._each(rows if wanted is None else rows.where(F.col("term").isin(wanted))), about["version"]))
+        return self._union(parts, T.StructType([f for f in self._posting_kinds.fields if not columns or f.name in (*self.keys, "field", "term", *columns)]))
 
     def with_terms(self, terms: Iterable[str], patterns: tuple[str, ...] = ()) -> DataFrame:
         """The postings of some terms, and of those that a pattern matches whole; patterns are held against the terms of all folders."""
@@ -204,7 +279,7 @@ class TextIndex:
         wanted = F.col("term").isin(sorted(set(terms)))
         for pattern in patterns:
             wanted |= F.col("term").startswith(_head(pattern)) & F.col("term").rlike(_regex(pattern))
-        return self.postings().where(wanted)
+        return self.postings().where(wanted)  # goes below the lists, to the files
 
     def words(self) -> DataFrame:
         """(field, term, documents, tokens) over the documents that are left."""
@@ -300,17 +375,19 @@ class TextIndex:
         cores = self.spark.sparkContext.defaultParallelism
         if size < cores * SPREAD:  # few files or row groups would leave most cores idle
             texts = texts.repartition(cores)
-        kinds = T.StructType([*self._posting_kinds.fields, T.StructField("bucket", T.IntegerType())])
-        rows = texts.mapInArrow(lambda x: tokenised(x, keys, own, buckets), kinds)
+        kinds, groups = T.StructType([*self._rows_kinds.fields, T.StructField("bucket", T.IntegerType())]), -(-buckets // FOLDERS)
+        schema = to_arrow_schema(kinds)
+        packed = texts.mapInArrow(lambda x: tokenised(x, keys, own, buckets, groups), "task int, size bigint, packed binary")
+        rows = packed.repartitionById(groups, F.col("task")).select("size", "packed").mapInArrow(lambda x: _unpacked(x, schema), kinds)
         file = [F.col("_file").cast("string").alias("_file")] if "_file" in docs.columns else [F.lit(None).cast("string").alias("_file")]
         docs.select(*keys, *file).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/keys")
         return name, self._finish(name, rows, buckets, size)
 
     def _finish(self, name: str, rows: DataFrame, buckets: int, size: int) -> dict:
-        """Writes postings and the vocabulary of a segment whose keys are written."""
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{name}/postings")
-        kept = self.spark.read.schema("field string, term string, n int").parquet(f"{self.path}/data/{name}/postings")
-        words = kept.groupBy("field", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+        """Writes postings and the vocabulary of a segment whose keys are written; rows of a folder are together in few partitions."""
+        rows.sortWithinPartitions("bucket", "term", "field").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{name}/postings")
+        kept = self.spark.read.schema("field string, term string, documents bigint, tokens bigint").parquet(f"{self.path}/data/{name}/postings")
+        words = kept.groupBy("field", "term").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         words.sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/words")
         tokens = {r.field: r.tokens for r in self._read(name, "words", "field string, tokens bigint").groupBy("field").agg(F.sum("tokens").alias("tokens")).collect()}  # a row for each field
         return {"kind": "segment", "buckets": buckets, "bytes": size, "documents": self._read(name, "keys", self.schema).count(), "tokens": tokens}
@@ -332,7 +409,7 @@ class TextIndex:
         own = self._read(name, "keys", self.schema).distinct()
         parts = []
         for s in counts:
-            rows = self._left(self._read(s, "postings", self._posting_kinds).select(*self.keys, "field", "term", "n"), segments[s]["version"])
+            rows = self._left(self._each(self._read(s, "postings", self._list_kinds(*self.keys, "n"))), segments[s]["version"])
             parts.append(rows.join(own, on(rows), "left_semi").groupBy("field", "term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens")).withColumn("segment", F.lit(s)))
         functools.reduce(DataFrame.unionByName, parts).sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/words")
         for r in self._read(name, "words", "segment string, field string, tokens bigint").groupBy("segment", "field").agg(F.sum("tokens").alias("tokens")).collect():  # segments times fields
@@ -391,9 +468,9 @@ class TextIndex:
             buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET))
             with_file = T.StructType([*now.schema.fields, T.StructField("_file", T.StringType())])
             functools.reduce(DataFrame.unionByName, (now._left(now._read(s, "keys", with_file), segments[s]["version"]) for s in full)).write.option("compression", "zstd").parquet(f"{self.path}/data/{name}/keys")
-            rows = functools.reduce(DataFrame.unionByName, (now._left(now._read(s, "postings", now._posting_kinds), segments[s]["version"]) for s in full))
+            rows = functools.reduce(DataFrame.unionByName, (now._left_lists(now._read(s, "postings", now._rows_kinds), segments[s]["version"]) for s in full))
             rows = rows.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int"))
-            return [(name, now._finish(name, rows, buckets, size))], tuple(full), None
+            return [(name, now._finish(name, rows.hint("rebalance", "bucket"), buckets, size))], tuple(full), None
 
         before = self.state.version
         done = self._commit(make)
@@ -426,7 +503,7 @@ def opened(source: DataFrame, docs: DataFrame, keys: tuple[str, ...], fields: di
     """
     spark, files = docs.sparkSession, _listed(source)
     roots = sorted({n.rpartition("/")[0] for n in files})
-    name = hashlib.sha256(repr((roots, keys, sorted(fields.items()), docs.select(*keys, *fields.values()).columns)).encode()).hexdigest()[:32]
+    name = hashlib.sha256(repr((roots, keys, sorted(fields.items()), "lists", docs.select(*keys, *fields.values()).columns)).encode()).hexdigest()[:32]
     path = f"{folder or shared_folder(spark)}/lexigrove-index/{name}"
     index = TextIndex(spark, path, keys, tuple(fields), docs.select(*keys).schema, State()).current()
 
@@ -469,7 +546,7 @@ def search_many(index: TextIndex, queries: DataFrame, n: int, boosts: dict[str,
     c = F.col("n").cast("double")
     part = F.col("w") * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("length") / pick(mean)))
     ties = [*([key] if key else []), *(k for k in index.keys if k != key)]
-    given = index.postings().select(*index.keys, "term", "field", "n", "length").join(weights, ["term", "field"])
+    given = index.postings(columns=("n", "length")).select(*index.keys, "term", "field", "n", "length").join(weights, ["term", "field"])
     own = F.struct(*ties).alias("doc")
     chunk = F.pmod(F.xxhash64(*index.keys), F.lit(max(math.ceil(n_docs / CHUNK), 1))).cast("int").alias("chunk")
     given = given.select(chunk, own, "term", part.alias("s"))

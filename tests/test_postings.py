@@ -147,3 +147,30 @@ def test_many_queries_over_chunks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "ASKED", 2)
     assert run() == whole and [(r[2], r[4]) for r in whole if r[0] == 0] == [(i, i + 1) for i in range(7)]
     assert next(r[2] for r in whole if r[0] == 3 and r[4] == 1) == 90 and {r[0] for r in whole} == {0, 1, 2, 3}
+
+
+def test_lists_move_and_not_their_postings(spark, tmp_path):
+    index = postings.build(spark.createDataFrame(docs(range(200)), KIND), ("owner", "id"), FIELDS, f"{tmp_path}/a")
+    files = spark.read.parquet(*(f"{tmp_path}/a/data/{name}/postings" for name in index._live("segment")))
+    assert files.count() * 2 < index.postings().count()
+    assert [r.n for r in index.postings(["alpha"], ("n",)).select("id", "n").orderBy("id", "n").collect()] == [r.n for r in index.postings(["alpha"]).select("id", "n").orderBy("id", "n").collect()]
+
+
+def test_a_common_term_is_dealt_to_several_tasks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "PIECE", 80)
+    monkeypatch.setattr(postings, "LIST", 30)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(70)), "body": ["-"] * 70})
+    given = [(i, "often", 2, 9, [1, 4]) for i in range(70)] + [(i, f"t{i}", 1, 9, [3]) for i in range(70)]
+    lists = lambda: postings._posted(batch, ("id",), ("body",), 32, [r[0] for r in given], [0] * 140, [r[1] for r in given], [r[2] for r in given], [r[3] for r in given], [r[4] for r in given])
+    one = lists()
+    assert max(map(len, one.column(4).to_pylist())) == 30 and one.column(2).to_pylist() == list(map(len, one.column(4).to_pylist()))
+    tasks, found = set(), []
+    for piece in range(8):
+        packed = postings._packed(lists(), 8, piece)
+        for row in packed.to_pylist():
+            own = [x for b in postings._unpacked(iter([pa.RecordBatch.from_pylist([row]).select(["size", "packed"])]), one.schema) for x in b.to_pylist()]
+            tasks |= {row["task"] for x in own if x["term"] == "often"}
+            found += [(y["id"], x["term"], y["n"], y["length"], y["places"]) for x in own for y in x["lists"]]
+    assert len(tasks) > 2 and sorted(found) == sorted(given * 8)
