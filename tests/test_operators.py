@@ -416,3 +416,17 @@ def test_exact_places_need_no_comparison(spark):
     items = spark.createDataFrame([(1, "the old castle stood there"), (2, "Hello, WORLD")], kinds)
     docs = spark.createDataFrame([(1, "xthe old castle stood therex"), (2, "hello world"), (3, "the old castle stands there")], "doc_id int, text string")
     assert [(r.item_id, r.doc_id, r.method, r.start) for r in matched(items, docs, fuzzy=False).collect()] == [(1, 1, "exact", 1)]
+
+
+def test_hashes_that_are_alike_in_their_high_bits_meet_on_even_parts(spark):
+    from collections import Counter
+
+    h = [((i // 3) * 2654435761 * 97) ^ (1 << (i % 23)) for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(h)), "k bigint, h bigint")
+    parts, n = browse._dealt_bits(rows)
+    assert n == 3000
+    assert sorted(j for own in parts for j in own) == list(range(64))
+    alike = [max(Counter(x & sum(1 << j for j in own) for x in h).values()) for own in parts]
+    assert max(alike) < 60 <= max(Counter(x >> 43 for x in h).values())
+    want = sorted((a, b, (h[a] ^ h[b]).bit_count()) for a in range(300) for b in range(a + 1, 300) if (h[a] ^ h[b]).bit_count() <= 6 and h[a] != h[b])
+    assert sorted((x.a, x.b, x.distance) for x in browse.hamming_pairs(rows.where("k < 300"), "k", "h", 6).collect()) == want
