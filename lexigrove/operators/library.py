@@ -6,17 +6,24 @@ reader never sees a document beside the chunks of an older text, and a batch tha
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexigrove.operators import ranking
 from lexigrove.operators.ingest import ingest
 from lexigrove.operators.tables import KeyedTable
 
+#: What a row holds of its chunks, and the rows that are cut and embedded at once.
+NAMES = ("chunk_index", "start_byte", "end_byte", "chunk", "vector")
+CHUNKS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in zip(NAMES, (T.IntegerType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.ArrayType(T.FloatType())), strict=True)]))
+ROWS = 64
+
 
 class Library:
     """keys name a document, order tells which of its rows is last, text is what is chunked.
@@ -29,13 +36,24 @@ class Library:
         self.keys, self.order, self.text, self.size, self.shared, self.embed = keys, order, text, size, shared, embed
 
     def _with_chunks(self, rows: DataFrame) -> DataFrame:
-        parts = ranking.chunks(rows, self.text, self.size, self.shared, *self.keys)
-        vector = F.pandas_udf(self.embed, "array<float>")(F.col("chunk")) if self.embed else F.lit(None).cast("array<float>")
-        parts = parts.withColumn("vector", vector)
-        own = F.sort_array(F.collect_list(F.struct("chunk_index", "start_byte", "end_byte", "chunk", "vector"))).alias("chunks")
-        held = parts.groupBy(*self.keys).agg(own).select(*(F.col(k).alias(f"_{k}") for k in self.keys), "chunks")
-        same = functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(held[f"_{k}"]) for k in self.keys))
-        return rows.join(held, same, "left").drop(*(f"_{k}" for k in self.keys))
+        """rows with their chunks, made where a row is, so that no text moves for them."""
+        kinds = T.StructType([*rows.schema.fields, T.StructField("chunks", CHUNKS)])
+        at, size, step, embed, schema = rows.columns.index(self.text), self.size, max(self.size - self.shared, 1), self.embed, to_arrow_schema(kinds)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(begin, ROWS)
+                    own = []
+                    for text in part.column(at):
+                        raw = (text.as_py() or "").encode()
+                        own.append([(k, a, b, raw[a:b].decode()) for k, (a, b) in enumerate(ranking.word_windows(raw, size, step))])
+                    texts = [c[3] for cut in own for c in cut]
+                    vectors = iter(embed(pd.Series(texts, dtype=object)) if embed and texts else [None] * len(texts))
+                    held = [[dict(zip(NAMES, (*c, next(vectors)), strict=True)) for c in cut] or None for cut in own]
+                    yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)), pa.array(held, schema.field("chunks").type)], schema=schema)
+
+        return rows.mapInArrow(run, kinds)
 
     def ingest(self, batch: DataFrame, applied: tuple[str, int] | None = None) -> int:
         """The version that holds the batch: of each key its last row, if that has text and the table has none as late.
@@ -44,7 +62,7 @@ class Library:
         """
         rows = ingest(batch, self.keys, self.order, self.text)
         tags = F.array_sort(F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.trim(t) != ""))) if "tags" in batch.columns else F.array().cast("array<string>")
-        return self.table.upsert(self._with_chunks(rows.withColumn("tags", tags)), applied=applied)
+        return self.table.upsert(self._with_chunks(rows.withColumn("tags", tags)), applied=applied, unique=True)
 
     def delete(self, keys: DataFrame, expected: int | None = None) -> int:
         return self.table.delete(keys, expected)

@@ -128,6 +128,15 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\f\r")] = True
 
 
+def word_windows(raw: bytes, size: int, step: int) -> Iterator[tuple[int, int]]:
+    """Where windows of ``size`` words begin and end in a text, a window at every ``step`` words."""
+    word = ~_BLANK[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    for i in range(0, len(first), step):
+        yield int(first[i]), int(last[min(i + size, len(last)) - 1])
+
+
 def chunks(docs: DataFrame, text: str, size: int, shared: int, *keep: str) -> DataFrame:
     """Windows of ``size`` words, each ``shared`` words into the one before: (keep, chunk_index, start_byte, end_byte, chunk).
 
@@ -146,11 +155,7 @@ def chunks(docs: DataFrame, text: str, size: int, shared: int, *keep: str) -> Da
 
             for r in range(batch.num_rows):
                 raw = (batch.column(len(keep))[r].as_py() or "").encode()
-                word = ~_BLANK[np.frombuffer(raw, np.uint8)]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-                first, last = edge[::2], edge[1::2]
-                for k, i in enumerate(range(0, len(first), step)):
-                    a, b = int(first[i]), int(last[min(i + size, len(last)) - 1])
+                for k, (a, b) in enumerate(word_windows(raw, size, step)):
                     rows.append(r)
                     index.append(k)
                     begins.append(a)

@@ -249,12 +249,13 @@ class KeyedTable:
         own = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("_bucket=")]
         return {p.getName().removeprefix("_bucket="): fs.getContentSummary(p).getLength() for p in own}
 
-    def _newer(self, batch: DataFrame, state: State) -> DataFrame:
-        """The batch's last row of each key, where the table has none as late."""
+    def _newer(self, batch: DataFrame, state: State, unique: bool = False) -> DataFrame:
+        """The batch's last row of each key, where the table has none as late. unique: the batch has one row a key."""
         kind = state.kind() if state.version else batch.schema
         rows = batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kind))
         rest = [c for c in kind.fieldNames() if c not in self.keys]
-        rows = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("_r")).select(*self.keys, "_r.*")
+        if not unique:
+            rows = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("_r")).select(*self.keys, "_r.*")
         if state.version:
             held = self.merged(state, [*self.keys, *self.order], deleted=True).select(*self.keys, F.struct(*self.order).alias("_held"))
             late = _same(rows, held, self.keys) & (F.struct(*(rows[c] for c in self.order)) <= held["_held"])
@@ -301,13 +302,14 @@ class KeyedTable:
                 name = None
             now = then
 
-    def upsert(self, batch: DataFrame, expected: int | None = None, applied: tuple[str, int] | None = None) -> int:
+    def upsert(self, batch: DataFrame, expected: int | None = None, applied: tuple[str, int] | None = None, unique: bool = False) -> int:
         """Sets the batch's rows where they are later than the table's; the version that holds them.
 
+        ``unique`` says that the batch has one row a key, which then need not be looked for.
         ``applied`` names an application and a number that grows with its batches; a batch that comes again writes
         nothing. A batch without a later row makes no version.
         """
-        done = self._commit(lambda state: self._newer(batch, state), batch.schema.json(), expected, applied)
+        done = self._commit(lambda state: self._newer(batch, state, unique), batch.schema.json(), expected, applied)
         self.compact()
         return done
 

@@ -31,3 +31,12 @@ def test_without_a_model(spark, tmp_path):
     held = Library(spark, f"file://{tmp_path}/lib", ("id",), ("rev",), buckets=2)
     held.ingest(spark.createDataFrame([(1, 1, "some words")], "id int, rev int, text string"))
     assert [(r.chunk, r.vector) for r in held.chunks().collect()] == [("some words", None)] and held.tags().count() == 0
+
+
+def test_texts_move_once_to_find_the_last_rows(spark, tmp_path):
+    held = Library(spark, f"file://{tmp_path}/lib", ("id",), ("rev",), buckets=2, embed=lambda texts: texts.map(lambda t: [1.0]))
+    rows = spark.createDataFrame([(1, 1, "some words"), (2, 1, "\n"), (None, 1, "no id")], "id int, rev int, text string")
+    plan = held._with_chunks(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    held.ingest(rows)
+    assert {r.id: r.chunks and [c.chunk for c in r.chunks] for r in held.documents().collect()} == {1: ["some words"], 2: None, None: ["no id"]}
