@@ -146,6 +146,21 @@ BLOCK = 1024
 CELLS, READINGS = 1 << 18, 1 << 12
 
 
+def best_of(s: np.ndarray, q: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score): of each row of cosines the n best columns by rounded score, then id, none of the row's own id.
+
+    Only cosines that may round to the n-th score or above are ordered.
+    """
+    s[q[:, None] == k[None, :]] = -3
+    least = np.partition(s, len(k) - n, axis=1)[:, len(k) - n] - 4e-6 if len(k) > n else np.full(len(q), -2.0)
+    row, column = np.nonzero(s >= np.maximum(least, -2)[:, None])
+    score = np.round(1 - np.clip(1 - s[row, column], 0, 2) / 2, 6)
+    order = np.lexsort((k[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[first], column[first], score[first]
+
+
 class VectorIndex:
     """A coarse partition of all rows by k-means (fitted on at most ``sample`` rows); a query probes the nearest lists.
 
@@ -220,11 +235,8 @@ class VectorIndex:
                 for r in b.itertuples():
                     q, k = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.k_ids, np.int64)
                     s = np.frombuffer(r.q_m).reshape(len(q), -1) @ np.frombuffer(r.k_m).reshape(len(k), -1).T
-                    s = np.round(1 - np.clip(1 - s, 0, 2) / 2, 6)
-                    s[q[:, None] == k[None, :]] = -1
-                    order = np.lexsort((np.broadcast_to(k, s.shape), -s), axis=1)[:, :n]
-                    got = pd.DataFrame({"query_id": np.repeat(q, order.shape[1]), "id": k[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-                    yield got[got["score"] >= 0]
+                    which, place, score = best_of(s, q, k, n)
+                    yield pd.DataFrame({"query_id": q[which], "id": k[place], "score": score})
 
         readers = asked.repartition("list").sortWithinPartitions("list").mapInPandas(packed, "list int, q_ids binary, q_m binary")
         return self.blocks.drop("wide").join(readers, "list").mapInPandas(meet, "query_id bigint, id bigint, score double")

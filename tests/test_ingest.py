@@ -183,3 +183,17 @@ def test_upsert_and_costs(spark, tmp_path):
     q = feeds.limited(stream, 10, 86400, "cost", 8).writeStream.format("memory").queryName("costs").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.admitted for r in spark.table("costs").orderBy("ts").collect()] == [True, False, True, False]
+
+
+def test_the_best_of_a_meeting_are_those_of_a_full_sort():
+    import numpy as np
+
+    from lexigrove.operators.ingest import best_of
+
+    r = np.random.default_rng(3)
+    for wide, n in ((1, 3), (3, 3), (40, 3), (40, 10)):
+        s = np.round(r.uniform(-1, 1, (9, wide)), 1) + r.choice([0, 3e-7, -3e-7], (9, wide))
+        q, k = np.arange(9), r.permutation(60)[:wide]
+        want = [sorted((-round(float(1 - min(max(1 - x, 0), 2) / 2), 6), int(i)) for x, i in zip(row, k, strict=True) if i != own)[:n] for row, own in zip(s, q, strict=True)]
+        row, column, score = best_of(s.copy(), q, k, n)
+        assert [[(-round(float(x), 6), int(k[c])) for a, c, x in zip(row, column, score, strict=True) if a == i] for i in range(9)] == want
