@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.operators.ingest import BLOCK, CHECKED, VectorIndex, _runs, _units
+from lexigrove.operators.ingest import BLOCK, CELLS, CHECKED, VectorIndex, _runs, _units
 from lexigrove.operators.ranking import nearest, top
 from lexigrove.session import checkpointed
 
@@ -19,6 +20,10 @@ from lexigrove.session import checkpointed
 CODES = 256
 #: Steps between the worst and the best score, by which candidates are counted before any is sent.
 STEPS = 4096
+#: Queries of a group, and tasks for each core into which groups are dealt where there are fewer groups.
+GROUP, TASKS = 512, 4
+#: Candidates that a task holds beyond twice those of its group before it drops the worse ones.
+SPARE = 1 << 18
 #: Rounds in which a part's codes move to the middle of what they stand for.
 ROUNDS = 15
 
@@ -46,11 +51,69 @@ def _nearest_codes(parts: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return own
 
 
+def _decoded(books: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """The vectors that codes (part × row) stand for. Products with them are sums over the parts, as a table for each query would give."""
+    return np.concatenate([c[codes[p]] for p, c in enumerate(books)], axis=1)
+
+
+def _in_steps(s: np.ndarray) -> np.ndarray:
+    """Scores from -1 to 1, in place, as numbers whose whole part is the step."""
+    s += 1
+    s *= STEPS / 2
+    return np.clip(s, 0, np.nextafter(STEPS, 0), out=s)
+
+
+class _Best:
+    """The ``most`` best rows of each query by step, then id, of the blocks that were added."""
+
+    def __init__(self, q: np.ndarray, most: int):
+        self.q, self.most = q, most
+        self.least = np.zeros(len(q))  # the step of the last that a query holds, if it holds as many as it may
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
+        self.n = 0
+
+    def add(self, own: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        i, j = np.nonzero(s >= self.least[own][:, None])
+        self.held.append((own[i], s[i, j].astype(np.int32), ids[j]))
+        self.n += len(i)
+        if self.n > 2 * self.most * len(self.q) + SPARE:
+            self.cut()
+
+    def cut(self) -> None:
+        row, step, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -step, row))
+        row, step, ids = row[order], step[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last, first = place == self.most - 1, place < self.most
+        self.least[row[last]] = step[last]
+        self.held, self.n = [(row[first], step[first], ids[first])], int(first.sum())
+
+    def done(self) -> pd.DataFrame:
+        self.cut()
+        row, step, ids = self.held[0]
+        return pd.DataFrame({"query_id": self.q[row], "step": step, "id": ids})
+
+
+class _Places:
+    """How many rows of the blocks that were added have at least the step of each of a query's nearest. steps: (query × rank), NaN where there is none."""
+
+    def __init__(self, q: np.ndarray, steps: np.ndarray):
+        self.q, self.steps, self.n = q, steps, np.zeros(steps.shape, np.int64)
+
+    def add(self, own: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        for rank in range(self.steps.shape[1]):
+            self.n[own, rank] += (s >= self.steps[own, rank][:, None]).sum(axis=1)
+
+    def done(self) -> pd.DataFrame:
+        row, rank = np.nonzero(~np.isnan(self.steps))
+        return pd.DataFrame({"query_id": self.q[row], "rank": rank.astype(np.int32), "n": self.n[row, rank]})
+
+
 class QuantisedIndex(VectorIndex):
     """A ``VectorIndex`` whose lists hold codes: a byte for each part of ``width`` numbers of what a row differs from its list's centre.
 
-    The score of a row is the query's product with the centre and, from a table made once for each query, with the code
-    of each part. Candidates are the best by these scores, at least as many as hold the share ``recall`` of the exact
+    The score of a row is the query's product with the centre and with the code of each part. Queries go in groups, which
+    meet the codes of the lists that they read as products of matrices. Candidates are the best by these scores, at least as many as hold the share ``recall`` of the exact
     neighbours of CHECKED rows, which is measured on the table; only they are read whole and scored exactly.
     Their number follows the size of the parts: on vectors without clusters, parts of 8 numbers need ten times the
     candidates that parts of 4 do (1357 and 145 for 51 282 rows of 64 numbers).
@@ -96,112 +159,110 @@ class QuantisedIndex(VectorIndex):
         near = self.rows.select("id", "vector", "list").repartition("list").sortWithinPartitions("list")
         return checkpointed(near.mapInPandas(packed, "list int, k_ids binary, k_codes binary"))
 
-    def _meetings(self, asked: DataFrame) -> DataFrame:
-        """(list, k_ids, k_codes, q_ids, q_more, q_m): blocks of codes with blocks of the queries that read their list. asked: (query_id, vector, list, more)."""
-
-        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for number, part in _runs(batches, "list", BLOCK // 4):
-                m = _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
-                yield pd.DataFrame({"list": [number], "q_ids": [part["query_id"].to_numpy(np.int64).tobytes()], "q_more": [part["more"].to_numpy(np.int64).tobytes()], "q_m": [m.tobytes()]})
-
-        readers = asked.select("query_id", "vector", "list", F.col("more").cast("bigint").alias("more")).repartition("list").sortWithinPartitions("list")
-        return self.coded.join(readers.mapInPandas(packed, "list int, q_ids binary, q_more binary, q_m binary"), "list")
+    def _groups(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(first, q_ids, q_m, reads, lists): at most GROUP queries, near each other where vectors have clusters; the lists that any of them reads, and for each list a bit for each query that reads it."""
+        centres = _units(np.array(self.centres))
+        block, k = max(CELLS // len(centres), 1), min(probes, len(centres))
+        units = lambda part: _units(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
 
-    def _steps(self):
-        """The function that gives the step of the score of each query and row of a meeting; -1 for a row and itself."""
-        centres, books, width = _units(np.array(self.centres)), self.codebooks, self.width
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i in range(0, len(b), block):
+                    part = b.iloc[i : i + block]
+                    yield part.assign(near=np.argmax(units(part) @ centres.T, axis=1).astype(np.int32))
 
-        def steps(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            q, k, more = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.k_ids, np.int64), np.frombuffer(r.q_more, np.int64)
-            m, codes = np.frombuffer(r.q_m).reshape(len(q), -1), np.frombuffer(r.k_codes, np.uint8).reshape(len(books), -1)
-            s = np.repeat((m * centres[r.list]).sum(axis=1)[:, None], len(k), axis=1)
-            for p, c in enumerate(books):
-                table = (m[:, None, p * width : (p + 1) * width] * c[None]).sum(axis=2)
-                s += table[:, codes[p]]
-            at = np.clip(np.floor((s + 1) / 2 * STEPS), 0, STEPS - 1).astype(np.int64)
-            at[q[:, None] == k[None, :]] = -1
-            return q, k, more, at
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _, part in _runs(batches, "all", GROUP):
+                m, reads = units(part), np.zeros((len(centres), len(part)), bool)
+                for i in range(0, len(part), block):
+                    order = np.argsort(-(m[i : i + block] @ centres.T), axis=1, kind="stable")[:, :k]
+                    reads[order, i + np.arange(len(order))[:, None]] = True
+                lists = np.flatnonzero(reads.any(axis=1)).astype(np.int32)
+                yield pd.DataFrame({"q_ids": [part["query_id"].to_numpy(np.int64).tobytes()], "q_m": [m.tobytes()], "reads": [np.packbits(reads, axis=1).tobytes()], "lists": [lists]})
+
+        asked = queries.select(F.col("id").cast("bigint").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+        near = checkpointed(asked.mapInPandas(placed, "query_id bigint, vector array<double>, near int"))
+        dealt = near.repartitionByRange(max(-(-near.count() // (8 * GROUP)), 1), "near").sortWithinPartitions("near").withColumn("all", F.lit(0))
+        groups = dealt.mapInPandas(packed, "q_ids binary, q_m binary, reads binary, lists array<int>")
+        return checkpointed(groups.select(F.monotonically_increasing_id().alias("first"), "*"))
+
+    def _met(self, groups: DataFrame, begun: Callable[[np.ndarray], _Best | _Places], schema: str) -> tuple[DataFrame, int]:
+        """What is found where groups meet the codes of the lists that they read, and in how many parts a group's lists were read.
+
+        A group's queries come first and its lists follow one block at a time, so a task holds one group and one block, and
+        what moves for a reading of a list is the list's codes once a group, not the vectors of the queries.
+        """
+        spark, centres, books = groups.sparkSession, _units(np.array(self.centres)), self.codebooks
+        n = groups.count()
+        parts = max(-(-TASKS * spark.sparkContext.defaultParallelism // max(n, 1)), 1)
 
-        return steps
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for b in batches:
+                for r in b.itertuples():
+                    ids = np.frombuffer(r.ids, np.int64)
+                    if r.list < 0:
+                        if held is not None:
+                            yield held.done()
+                        q, m = ids, np.frombuffer(r.m).reshape(len(ids), -1)
+                        reads = np.frombuffer(r.reads, np.uint8).reshape(len(centres), -1)
+                        held = begun(q)
+                        continue
+                    own = np.flatnonzero(np.unpackbits(reads[r.list], count=len(q)))
+                    s = m[own] @ (_decoded(books, np.frombuffer(r.m, np.uint8).reshape(len(books), -1)) + centres[r.list]).T
+                    s = _in_steps(s)
+                    s[q[own][:, None] == ids[None, :]] = np.nan  # a row and itself
+                    held.add(own, ids, s)
+            if held is not None:
+                yield held.done()
+
+        no = F.lit(None).cast("binary").alias("reads")
+        asked = groups.select("first", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("list"), F.col("q_ids").alias("ids"), F.col("q_m").alias("m"), "reads")
+        read = groups.select("first", F.explode("lists").alias("list")).join(self.coded, "list")
+        read = read.select("first", F.pmod(F.xxhash64("k_ids"), F.lit(parts)).cast("int").alias("part"), "list", F.col("k_ids").alias("ids"), F.col("k_codes").alias("m"), no)
+        stream = asked.unionByName(read).repartition(max(n, 1) * parts, "first", "part").sortWithinPartitions("first", "part", "list")
+        return stream.mapInPandas(run, schema), parts
 
     def candidates(self, n: int) -> int:
         """How many rows, the best by their codes, hold the share ``recall`` of the n nearest of rows drawn by hash."""
         if n in self._candidates:
             return self._candidates[n]
         drawn = checkpointed(self.rows.select("id", "vector").orderBy(F.xxhash64("id", F.lit("candidates"))).limit(CHECKED))
-        near = nearest(drawn, self.rows.select("id", "vector"), n).select("query_id", F.col("id").alias("near_id"))
-        asked = self._ordered(drawn, 0, len(self.centres)).select("query_id", "vector", "list")
-        pairs = {}
-        for r in near.collect():  # CHECKED rows of n numbers
-            pairs.setdefault(r.query_id, []).append(r.near_id)
-        steps = self._steps()
-
-        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.itertuples():
-                    q, k, _, at = steps(r)
-                    for i, query in enumerate(q):
-                        held = np.bincount(at[i][at[i] >= 0], minlength=STEPS)
-                        true = np.bincount(at[i][np.isin(k, pairs.get(query, [])) & (at[i] >= 0)], minlength=STEPS)
-                        some = np.flatnonzero(held)
-                        yield pd.DataFrame({"query_id": query, "step": some, "held": held[some], "true": true[some]})
-
-        found = self._meetings(asked.withColumn("more", F.lit(0))).mapInPandas(counted, "query_id bigint, step int, held bigint, true bigint")
-        found = found.groupBy("query_id", "step").agg(F.sum("held").alias("held"), F.sum("true").alias("true"))
-        places: list[int] = []
-        for _, part in found.toPandas().groupby("query_id"):  # at most STEPS rows for each of CHECKED queries
-            part = part.sort_values("step", ascending=False)
-            places += np.repeat(part["held"].cumsum(), part["true"]).tolist()
+        near = nearest(drawn, self.rows.select("id", "vector"), n).select("query_id", "id", "rank")
+        found = self.rows.join(F.broadcast(near), "id").join(F.broadcast(drawn.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))), "query_id").toPandas()  # CHECKED rows of n vectors
+        true: dict[int, np.ndarray] = {}
+        if len(found):
+            centres, books, width = _units(np.array(self.centres)), self.codebooks, self.width
+            own = centres[found["list"].to_numpy()]
+            q, k = (_units(np.stack([np.asarray(v, np.float64) for v in found[c]])) for c in ("asked", "vector"))
+            codes = np.stack([_nearest_codes((k - own)[:, p * width : (p + 1) * width], c) for p, c in enumerate(books)])
+            steps = np.floor(_in_steps((q * (_decoded(books, codes) + own)).sum(axis=1)))
+            for query, rank, step in zip(found["query_id"].tolist(), found["rank"].tolist(), np.where(steps > 0, steps, -np.inf).tolist(), strict=True):
+                true.setdefault(query, np.full(n, np.nan))[rank - 1] = step
+        none = np.full(n, np.nan)
+        counts, _ = self._met(self._groups(drawn, len(self.centres)), lambda q: _Places(q, np.stack([true.get(x, none) for x in q.tolist()])), "query_id bigint, rank int, n bigint")
+        places = [r.n for r in counts.groupBy("query_id", "rank").agg(F.sum("n").alias("n")).collect()]  # as many
         self._candidates[n] = max(sorted(places)[math.ceil(self.recall * len(places)) - 1], n) if places else n
         return self._candidates[n]
 
     def shortlist(self, queries: DataFrame, most: int, probes: int) -> DataFrame:
-        """(query_id, id): the rows of the probed lists with the ``most`` best scores by their codes, and all that tie with the last of them.
-
-        Scores are counted by step first, so that a query's candidates are known by one number and no block sends rows that are none.
-        """
-        steps = self._steps()
-
-        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.itertuples():
-                    q, _, _, at = steps(r)
-                    rows = np.broadcast_to(np.arange(len(q))[:, None], at.shape)[at >= 0]
-                    cells, n = np.unique(rows * STEPS + at[at >= 0], return_counts=True)
-                    # beyond the best ``most`` of this meeting nothing is needed
-                    order = np.lexsort((-cells, cells // STEPS))
-                    cells, n = cells[order], n[order]
-                    before = np.cumsum(n) - n
-                    first = np.searchsorted(cells // STEPS, np.arange(len(q)))  # where the cells of a query begin
-                    needed = before - before[first[cells // STEPS]] < most
-                    yield pd.DataFrame({"query_id": q[cells[needed] // STEPS], "step": (cells[needed] % STEPS).astype(np.int32), "n": n[needed]})
-
-        def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.itertuples():
-                    q, k, least, at = steps(r)
-                    i, j = np.nonzero((at >= least[:, None]) & (at >= 0))
-                    yield pd.DataFrame({"query_id": q[i], "id": k[j]})
-
-        asked = checkpointed(self._ordered(queries, 0, min(probes, len(self.centres))).select("query_id", "vector", "list"))
-        counts = self._meetings(asked.withColumn("more", F.lit(0))).mapInPandas(counted, "query_id bigint, step int, n bigint").groupBy("query_id", "step").agg(F.sum("n").alias("n"))
-
-        # a query has at most STEPS counts
-        by_step = counts.groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("step", "n")))).alias("s"))
-        cut = F.aggregate("s", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("step")), lambda a, x: F.when(a["sum"] >= most, a).otherwise(F.struct((a["sum"] + x["n"]).alias("sum"), x["step"].alias("step"))))["step"]
-        cuts = by_step.select("query_id", cut.alias("more"))
-        return self._meetings(asked.join(cuts, "query_id")).mapInPandas(kept, "query_id bigint, id bigint")
+        """(query_id, id): of the rows of the probed lists the ``most`` best by the steps of their scores by codes, of equal ones those with the smallest ids."""
+        found, parts = self._met(self._groups(queries, probes), lambda q: _Best(q, most), "query_id bigint, step int, id bigint")
+        if parts > 1:
+            found = top(found, most, F.desc("step"), F.asc("id"), by=("query_id",))
+        return found.select("query_id", "id")
 
     def search_all(self, queries: DataFrame, n: int, probes: int | None = None, candidates: int | None = None) -> DataFrame:
         """(query_id, id, score, rank) as nearest() has it, of the candidates by code; their scores are exact."""
 
-        def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if len(b):
-                    q, k = (_units(np.stack([np.asarray(v, np.float64) for v in b[c]])) for c in ("asked", "vector"))
-                    yield b[["query_id", "id"]].assign(score=np.round(1 - np.clip(1 - (q * k).sum(axis=1), 0, 2) / 2, 6))
+                if b.num_rows:
+                    q, k = (_units(b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)) for c in ("asked", "vector"))
+                    score = np.round(1 - np.clip(1 - (q * k).sum(axis=1), 0, 2) / 2, 6)
+                    yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(score)], ["query_id", "id", "score"])
 
         short = self.shortlist(queries, candidates or self.candidates(n), probes or self.probes(n))
         asked = queries.select(F.col("id").cast("bigint").alias("query_id"), F.col("vector").alias("asked"))
         whole = short.join(self.rows.select(F.col("id").cast("bigint").alias("id"), "vector"), "id").join(asked, "query_id")
-        return top(whole.mapInPandas(exact, "query_id bigint, id bigint, score double"), n, F.desc("score"), F.asc("id"), by=("query_id",))
+        return top(whole.mapInArrow(exact, "query_id bigint, id bigint, score double"), n, F.desc("score"), F.asc("id"), by=("query_id",))

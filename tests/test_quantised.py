@@ -89,3 +89,55 @@ def test_lists_are_sent_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(ingest, "CELLS", 20)
     monkeypatch.setattr(ingest, "READINGS", 7)
     assert run() == whole and len(whole) == 250
+
+
+def test_copies_are_no_more_candidates_than_asked_for(spark):
+    """Of many rows that tie, a query's shortlist holds as many as asked for, those with the smallest ids, and the answer is that of all."""
+    r = random.Random(4)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(16)]) for i in range(200)] + [(1000 + i, [1.0] * 8 + [0.5] * 8) for i in range(3000)], "id bigint, vector array<double>").repartition(3).checkpoint()
+    index = QuantisedIndex(rows, lists=4)
+    some = rows.where("id = 20 or id % 1000 = 0 and id > 0")
+    got: dict[int, list[int]] = {}
+    for x in index.shortlist(some, 30, index.lists).collect():
+        got.setdefault(x.query_id, []).append(x.id)
+    assert sorted(got) == [20, 1000, 2000, 3000] and all(len(x) == 30 for x in got.values())
+    assert sorted(got[2000]) == list(range(1000, 1030)) and sorted(got[1000]) == list(range(1001, 1031))
+    exact = {(x.query_id, x.id, x.score) for x in nearest(some.where("id >= 1000"), rows, 10).collect()}
+    assert {(x.query_id, x.id, x.score) for x in index.search_all(some.where("id >= 1000"), 10, index.lists, 30).collect()} == exact
+
+
+def test_groups_and_parts_change_nothing(spark, monkeypatch):
+    """A query has the same candidates whatever group it is in and in however many parts its lists are read; a group's vectors move once for each part."""
+    from lexigrove.operators import quantised as Q
+
+    r = random.Random(6)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(12)]) for i in range(900)], "id bigint, vector array<double>").checkpoint()
+    index = QuantisedIndex(rows, lists=6)
+    some = rows.where("id % 20 = 0")
+    run = lambda: sorted((x.query_id, x.id) for x in index.shortlist(some, 25, 3).collect())
+    whole, most = run(), index.candidates(5)
+    assert len(whole) == 45 * 25
+    monkeypatch.setattr(Q, "GROUP", 7)
+    monkeypatch.setattr(Q, "CELLS", 20)
+    monkeypatch.setattr(Q, "TASKS", 0)
+    index._candidates.clear()
+    groups = index._groups(some, 3).collect()
+    assert len(groups) >= 7 and sum(len(g.q_ids) // 8 for g in groups) == 45 and max(len(g.q_ids) // 8 for g in groups) == 7
+    assert run() == whole and index.candidates(5) == most
+
+
+def test_best_of_blocks(monkeypatch):
+    """Dropping candidates on the way loses none of the best."""
+    from lexigrove.operators import quantised as Q
+
+    monkeypatch.setattr(Q, "SPARE", 0)
+    rng = np.random.default_rng(2)
+    held, every = Q._Best(np.arange(50, 54), 5), {x: [] for x in range(4)}
+    for block in range(40):
+        own, ids = np.flatnonzero(rng.random(4) < 0.7), rng.permutation(1000)[:17] * 40 + block
+        s = rng.integers(0, 60, (len(own), 17)) + rng.random((len(own), 17))
+        for i, x in enumerate(own):
+            every[x] += [(-int(s[i, j]), int(ids[j])) for j in range(17)]
+        held.add(own, ids, s)
+    got = sorted(zip(*(held.done()[c].tolist() for c in ("query_id", "step", "id")), strict=True))
+    assert got == sorted((50 + x, -s, k) for x in every for s, k in sorted(every[x])[:5])
