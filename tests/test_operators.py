@@ -430,3 +430,24 @@ def test_hashes_that_are_alike_in_their_high_bits_meet_on_even_parts(spark):
     assert max(alike) < 60 <= max(Counter(x >> 43 for x in h).values())
     want = sorted((a, b, (h[a] ^ h[b]).bit_count()) for a in range(300) for b in range(a + 1, 300) if (h[a] ^ h[b]).bit_count() <= 6 and h[a] != h[b])
     assert sorted((x.a, x.b, x.distance) for x in browse.hamming_pairs(rows.where("k < 300"), "k", "h", 6).collect()) == want
+
+
+def test_top_terms_without_a_group_for_each_document(spark):
+    """Scores against their definition, words that come again and null groups too; texts are read once and no document is a key."""
+    import math
+    from collections import Counter
+
+    data = [("a", "Fox fox den"), ("a", "fox, elk"), ("b", "den den den owl"), (None, "owl elk elk"), ("b", ""), ("a", None), ("b", "owl late late late the the")]
+    got = browse.top_terms(spark.createDataFrame(data, "g string, t string"), "g", "t", 2, words=5, stop=("the",))
+    tf, df = Counter(), Counter()
+    for g, t in data:
+        own = [w for w in (t or "").lower().replace(",", "").split()[:5] if w != "the"]
+        tf.update((g, w) for w in own)
+        df.update(set(own))
+    want = []
+    for g in {g for g, _ in tf}:
+        best = sorted((-round(n * math.log(len(data) / df[w]), 6), w) for (h, w), n in tf.items() if h == g)[:2]
+        want += [(g, w, -s, k + 1) for k, (s, w) in enumerate(best)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and plan.count("regexp_extract_all") == 1
