@@ -119,3 +119,32 @@ def test_unchanged_sources_are_skipped(spark):
     assert got.columns == batch.columns and sorted((r.path, r.hash) for r in got.collect()) == [("a", "other"), ("b", "y"), ("d", "w")]
     assert unchanged_skipped(batch, known.limit(0)).count() == 5
     assert unchanged_skipped(batch.select(F.col("path"), "mtime", "hash"), batch).count() == 0
+
+
+def test_tables_go_through_the_windows_without_stored_state(spark):
+    """Owners that go on over small batches, side by side in a task, as by hand; no store of state is asked for each of them."""
+    key, r = "spark.sql.execution.arrow.maxRecordsPerBatch", random.Random(5)
+    rows = [(f"o{i % 90}", f"f{r.randrange(3)}", f"p{i:05d}", START + datetime.timedelta(seconds=r.randrange(200_000), milliseconds=r.randrange(1000)), r.choice([None, 7, 30])) for i in range(1500)]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        found = A.admitted(spark.createDataFrame(rows, SCHEMA).repartition(5), 1, 6, 70)
+        got = {(x.owner, x.path): (x.reason, x.admitted) for x in found.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {k: (v, v is None) for k, v in by_hand(rows, 1, 6, 70).items()} and len({x for x, _ in got.values()}) == 4
+    assert "TransformWithState" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_hour_is_an_hour_when_clocks_go_back(spark):
+    """A table's windows follow time and not the clock of the session's zone."""
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "Europe/Berlin")
+    try:
+        begin = 1729989000  # 2024-10-27 02:30 in summer time; an hour later it is 02:30 again
+        rows = spark.createDataFrame([("o", "f", f"p{k}", begin + s, 1) for k, s in enumerate((0, 3600, 3601))], "owner string, folder string, path string, s bigint, cost int")
+        got = A.admitted(rows.withColumn("ts", F.timestamp_seconds("s")), 1, 9).select("path", "admitted", F.unix_seconds("ts").alias("s")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(tuple, got)) == [("p0", True, begin), ("p1", False, begin + 3600), ("p2", True, begin + 3601)]
