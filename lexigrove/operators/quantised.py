@@ -95,14 +95,16 @@ class _Best:
 
 
 class _Places:
-    """How many rows of the blocks that were added have at least the step of each of a query's nearest. steps: (query × rank), NaN where there is none."""
+    """The place of each of a query's nearest among the rows of the blocks that were added, by step, then id. steps, near: (query × rank); steps are NaN where there is none."""
 
-    def __init__(self, q: np.ndarray, steps: np.ndarray):
-        self.q, self.steps, self.n = q, steps, np.zeros(steps.shape, np.int64)
+    def __init__(self, q: np.ndarray, steps: np.ndarray, near: np.ndarray):
+        self.q, self.steps, self.near, self.n = q, steps, near, np.zeros(steps.shape, np.int64)
 
     def add(self, own: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        step = np.floor(s)
         for rank in range(self.steps.shape[1]):
-            self.n[own, rank] += (s >= self.steps[own, rank][:, None]).sum(axis=1)
+            least = self.steps[own, rank][:, None]
+            self.n[own, rank] += ((step > least) | (step == least) & (ids <= self.near[own, rank][:, None])).sum(axis=1)
 
     def done(self) -> pd.DataFrame:
         row, rank = np.nonzero(~np.isnan(self.steps))
@@ -230,17 +232,20 @@ class QuantisedIndex(VectorIndex):
         drawn = checkpointed(self.rows.select("id", "vector").orderBy(F.xxhash64("id", F.lit("candidates"))).limit(CHECKED))
         near = nearest(drawn, self.rows.select("id", "vector"), n).select("query_id", "id", "rank")
         found = self.rows.join(F.broadcast(near), "id").join(F.broadcast(drawn.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))), "query_id").toPandas()  # CHECKED rows of n vectors
-        true: dict[int, np.ndarray] = {}
+        steps: dict[int, np.ndarray] = {}
+        ids: dict[int, np.ndarray] = {}
         if len(found):
             centres, books, width = _units(np.array(self.centres)), self.codebooks, self.width
             own = centres[found["list"].to_numpy()]
             q, k = (_units(np.stack([np.asarray(v, np.float64) for v in found[c]])) for c in ("asked", "vector"))
             codes = np.stack([_nearest_codes((k - own)[:, p * width : (p + 1) * width], c) for p, c in enumerate(books)])
-            steps = np.floor(_in_steps((q * (_decoded(books, codes) + own)).sum(axis=1)))
-            for query, rank, step in zip(found["query_id"].tolist(), found["rank"].tolist(), np.where(steps > 0, steps, -np.inf).tolist(), strict=True):
-                true.setdefault(query, np.full(n, np.nan))[rank - 1] = step
-        none = np.full(n, np.nan)
-        counts, _ = self._met(self._groups(drawn, len(self.centres)), lambda q: _Places(q, np.stack([true.get(x, none) for x in q.tolist()])), "query_id bigint, rank int, n bigint")
+            step = np.floor(_in_steps((q * (_decoded(books, codes) + own)).sum(axis=1)))
+            for query, key, rank, at in zip(found["query_id"].tolist(), found["id"].tolist(), found["rank"].tolist(), step.tolist(), strict=True):
+                steps.setdefault(query, np.full(n, np.nan))[rank - 1] = at
+                ids.setdefault(query, np.zeros(n, np.int64))[rank - 1] = key
+        no = np.full(n, np.nan), np.zeros(n, np.int64)
+        places_of = lambda q: _Places(q, np.stack([steps.get(x, no[0]) for x in q.tolist()]), np.stack([ids.get(x, no[1]) for x in q.tolist()]))
+        counts, _ = self._met(self._groups(drawn, len(self.centres)), places_of, "query_id bigint, rank int, n bigint")
         places = [r.n for r in counts.groupBy("query_id", "rank").agg(F.sum("n").alias("n")).collect()]  # as many
         self._candidates[n] = max(sorted(places)[math.ceil(self.recall * len(places)) - 1], n) if places else n
         return self._candidates[n]

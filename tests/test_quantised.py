@@ -101,6 +101,7 @@ def test_copies_are_no_more_candidates_than_asked_for(spark):
     for x in index.shortlist(some, 30, index.lists).collect():
         got.setdefault(x.query_id, []).append(x.id)
     assert sorted(got) == [20, 1000, 2000, 3000] and all(len(x) == 30 for x in got.values())
+    assert index.candidates(10) < 300  # copies are no reason for more
     assert sorted(got[2000]) == list(range(1000, 1030)) and sorted(got[1000]) == list(range(1001, 1031))
     exact = {(x.query_id, x.id, x.score) for x in nearest(some.where("id >= 1000"), rows, 10).collect()}
     assert {(x.query_id, x.id, x.score) for x in index.search_all(some.where("id >= 1000"), 10, index.lists, 30).collect()} == exact
