@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ from pyspark.sql.window import Window
 
 from lexigrove.functions.analysis import LONGEST, py_folded, py_words
 from lexigrove.operators.tables import State, TableLog, _files, _path, put_new
-from lexigrove.session import shared_folder
+from lexigrove.session import checkpointed, shared_folder
 
 #: Bytes of text for a folder of postings, and the fewest and most folders of a segment (6 GB of text each at 100 TB).
 BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 32, 1 << 14
@@ -53,8 +54,12 @@ MOST_PRUNED = 1000
 TIER = 4
 #: Text of fewer bytes a core is dealt out before it is analysed.
 SPREAD = 64 << 20
-#: Documents and queries that meet at once in a search for many queries.
-CHUNK, ASKED = 2048, 4096
+#: In a search for many queries: documents of a chunk, queries of a task, and the fewest documents that make a chunk of their own where cores are idle.
+CHUNK, ASKED, LEAST_CHUNK = 8192, 1 << 18, 512
+#: Chunks of a task, postings that are packed at once, and asked terms whose hashes are broadcast, to leave out postings before they move.
+MOST_CHUNKS, SENT, MOST_HASHED = 128, 1_500_000, 1 << 20
+#: Scores that differ by less may be equal once they are rounded.
+SLACK = 2e-6
 #: Raw words whose terms a task remembers.
 CACHE = 500_000
 #: Postings of a piece, whose lists of a term are one row, and the most postings of such a row.
@@ -281,6 +286,18 @@ class TextIndex:
             wanted |= F.col("term").startswith(_head(pattern)) & F.col("term").rlike(_regex(pattern))
         return self.postings().where(wanted)  # goes below the lists, to the files
 
+    def _numbered(self, terms: DataFrame | None, *columns: str) -> DataFrame:
+        """Postings as (row: a number of their list, field: its place, term, key columns, columns); terms: the hashes h of the wanted ones, which are broadcast, None for all."""
+        field, parts = F.coalesce(*(F.when(F.col("field") == f, F.lit(i)) for i, f in enumerate(self.fields))).cast("tinyint"), []
+        for name, about in self._live("segment").items():
+            rows = self._read(name, "postings", self._list_kinds(*self.keys, *columns))
+            if terms is not None:
+                rows = rows.withColumn("h", F.xxhash64("term")).join(F.broadcast(terms), "h", "left_semi")
+            rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", field.alias("field"), "term", F.inline("lists"))
+            parts.append(self._left(rows, about["version"]).select("row", "field", "term", *self.keys, *columns))
+        kinds = T.StructType([f for f in self._posting_kinds.fields if f.name in (*self.keys, *columns)])
+        return self._union(parts, T.StructType([T.StructField("row", T.LongType()), T.StructField("field", T.ByteType()), T.StructField("term", T.StringType()), *kinds.fields]))
+
     def words(self) -> DataFrame:
         """(field, term, documents, tokens) over the documents that are left."""
         kinds = "field string, term string, documents bigint, tokens bigint"
@@ -531,62 +548,236 @@ def opened(source: DataFrame, docs: DataFrame, keys: tuple[str, ...], fields: di
 def search_many(index: TextIndex, queries: DataFrame, n: int, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75, key: str | None = None) -> DataFrame:
     """(query_id, key columns, score, rank): the n best documents by BM25 for any of a query's terms, for all queries in one plan.
 
-    queries: (query_id, term), terms as the analyzer gives them. What a term gives a document does not depend on the query,
-    so it is summed up once. Documents go in chunks, each chunk meets each block of queries, and hands on n documents a
-    query: work is queries times the postings of their terms, but scores do not move. Ties go by ``key`` and then by all keys.
+    queries: (query_id, term), terms as the analyzer gives them. Postings move once, packed, to chunks of documents. A task
+    has a range of chunks and a block of queries, goes through its chunks one by one, and keeps the n best of each query so
+    far, so what moves grows with the postings and with the queries, not with their product. Chunks in which a query's terms
+    cannot give what its n-th best has are passed over. Work is queries times the postings of their terms at most. Ties go by
+    ``key`` and then by all keys.
     """
-    totals = index.totals()
-    pick = lambda values: F.coalesce(*(F.when(F.col("field") == f, F.lit(v)) for f, v in values.items()))
-    mean = {f: (t / d if d and t else 1.0) for f, (d, t) in totals.items()}
+    spark, totals = index.spark, index.totals()
+    mean = [t / d if d and t else 1.0 for d, t in (totals[f] for f in index.fields)]
     n_docs = max((d for d, _ in totals.values()), default=0)
-    asked = queries.select("query_id", "term").distinct()
+    cores = spark.sparkContext.defaultParallelism
+    chunks = max(math.ceil(n_docs / CHUNK), min(2 * cores, n_docs // LEAST_CHUNK), 1)
+    ranges = max(min(chunks, 2 * cores), math.ceil(chunks / MOST_CHUNKS))
+    ties = [*([key] if key else []), *(k for k in index.keys if k != key)]
+    asked = checkpointed(queries.select("query_id", "term").distinct())
+    blocks = max(math.ceil(asked.agg(F.count_distinct("query_id")).first()[0] / ASKED), 1)
+    hashed = asked.select(F.xxhash64("term").alias("h")).distinct()
+    terms = hashed if hashed.count() <= MOST_HASHED else None
     words = index.words().select("field", "term", "documents").join(asked.select("term").distinct(), "term", "left_semi")
     idf = F.log1p((F.lit(float(n_docs)) - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
-    weights = words.select("term", "field", (idf * pick({f: float(boosts[f]) for f in index.fields})).alias("w"))
-    c = F.col("n").cast("double")
-    part = F.col("w") * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("length") / pick(mean)))
-    ties = [*([key] if key else []), *(k for k in index.keys if k != key)]
-    given = index.postings(columns=("n", "length")).select(*index.keys, "term", "field", "n", "length").join(weights, ["term", "field"])
-    own = F.struct(*ties).alias("doc")
-    chunk = F.pmod(F.xxhash64(*index.keys), F.lit(max(math.ceil(n_docs / CHUNK), 1))).cast("int").alias("chunk")
-    given = given.select(chunk, own, "term", part.alias("s"))
-    # of a chunk: its documents in the order of ties, and by term the places of documents and what it gives them
-    per = given.groupBy("chunk", "doc", "term").agg(F.sum("s").alias("s")).groupBy("chunk", "doc").agg(F.collect_list(F.struct("term", "s")).alias("has"))
-    packed = per.repartition("chunk").sortWithinPartitions("chunk", "doc").select("chunk", "doc", F.col("has.term").alias("terms"), F.col("has.s").alias("gives"))
-    chunks = packed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("doc", "terms", "gives"))).alias("d")).select(F.col("d.doc").alias("docs"), F.col("d.terms").alias("terms"), F.col("d.gives").alias("gives"))
-    lists = asked.groupBy("query_id").agg(F.collect_list("term").alias("wants"))
-    total = lists.count()
-    blocks = lists.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(math.ceil(total / ASKED), 1))).alias("b")).agg(F.collect_list(F.struct("query_id", "wants")).alias("q"))
-    met = chunks.crossJoin(blocks.select(F.col("q.query_id").alias("ids"), F.col("q.wants").alias("wants")))
-    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc", per.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
-    scored = met.mapInArrow(lambda x: _best(x, n), kinds).select("query_id", "doc.*", F.round("score", 6).alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), *(F.asc(k) for k in ties))
-    return scored.select("query_id", *index.keys, "score").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
-
-
-def _best(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, doc, score): of each chunk of documents the n best for each query of a block; documents come in the order of ties."""
+    weights = words.groupBy("term").agg(F.array(*(F.sum(F.when(F.col("field") == f, idf * float(boosts[f])).otherwise(0.0)) for f in index.fields)).alias("w"))
+    lists = asked.join(weights, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("wants"))
+    keys = index.rows().distinct()
+    place = _places(keys, index.keys, chunks)
+    docs = keys.select(place(*index.keys).alias("place"), *index.keys)
+    kinds, asking, naming = "task int, chunk int, size bigint, packed binary", to_arrow_schema(lists.schema), to_arrow_schema(docs.schema)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    sent = lists.select(block, "query_id", "wants").mapInArrow(lambda x: _sent_queries(x, ranges, blocks), kinds)
+    sent = sent.unionByName(docs.mapInArrow(lambda x: _sent_keys(x, chunks, ranges, blocks), kinds))
+    given = index._numbered(terms, "n", "length").select("row", "field", "term", place(*index.keys).alias("place"), "n", "length")
+    sent = sent.unionByName(given.mapInArrow(lambda x: _sent_postings(x, chunks, ranges, blocks), kinds))
+    sent = sent.repartitionById(ranges * blocks, F.col("task")).sortWithinPartitions("task", "chunk")
+    found = T.StructType([queries.schema["query_id"], *index.schema.fields, T.StructField("score", T.DoubleType())])
+    scored = sent.mapInArrow(lambda x: _best(x, n, asking, naming, ties, chunks, mean, k1, b), found).withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *(F.asc(k) for k in ties))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def _places(rows: DataFrame, keys: tuple[str, ...], chunks: int):
+    """A hash of keys, as an expression, by which the documents of a chunk are told apart (see _place)."""
+    for seed in range(100):
+        place = lambda *own: F.xxhash64(F.lit(seed), *own, *(k.isNull() if isinstance(k, Column) else F.col(k).isNull() for k in own))  # noqa: B023, E731
+        h = place(*keys)
+        if rows.groupBy(F.pmod(h, F.lit(chunks)), F.shiftrightunsigned(h, 16)).count().where("count > 1").isEmpty():
+            return place
+    raise ValueError("documents of the index have no distinct hashes")
+
+
+def _place(h: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk, and 48 bits that no other document of the chunk has."""
+    return np.mod(h, chunks), h.view(np.uint64) >> np.uint64(16)
+
+
+def _sent(out: list[tuple[int, int, pa.RecordBatch]]) -> pa.RecordBatch:
+    whole = [b.serialize() for *_, b in out]
+    blobs = [pa.compress(b, "zstd", asbytes=True) for b in whole]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([b.size for b in whole], pa.int64()), pa.array(blobs, pa.binary())], ["task", "chunk", "size", "packed"])
+
+
+def _parted(batch: pa.RecordBatch, part: np.ndarray) -> Iterator[tuple[int, pa.RecordBatch]]:
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist() if len(part) else []
+    batch = batch.take(pa.array(order))
+    for i, j in itertools.pairwise(cuts):
+        yield int(part[order[i]]), batch.slice(i, j - i)
+
+
+def _sent_queries(batches: Iterator[pa.RecordBatch], ranges: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Queries, whose first column is their block, for the tasks of all ranges."""
+    for batch in batches:
+        for block, own in _parted(batch.select(batch.schema.names[1:]), batch.column(0).to_numpy()):
+            yield _sent([(r * blocks + block, -2, own) for r in range(ranges)])
+
+
+def _sent_keys(batches: Iterator[pa.RecordBatch], chunks: int, ranges: int, blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in range(batch.num_rows):
-            docs, terms, gives, ids, wants = (batch.column(i)[row].values for i in range(5))
-            names = terms.flatten().dictionary_encode()
-            place = np.repeat(np.arange(len(docs)), np.diff(terms.offsets.to_numpy()))
-            kind = names.indices.to_numpy()
-            order = np.argsort(kind, kind="stable")
-            place, given = place[order], gives.flatten().to_numpy()[order]
-            cuts = np.searchsorted(kind[order], np.arange(len(names.dictionary) + 1))
-            number = {t: k for k, t in enumerate(names.dictionary.to_pylist())}
-            which, best, scores = [], [], []
-            for i, own in enumerate(wants.to_pylist()):
-                score = np.zeros(len(docs))
-                for k in filter(lambda k: k is not None, map(number.get, own)):
-                    score[place[cuts[k] : cuts[k + 1]]] += given[cuts[k] : cuts[k + 1]]
-                hit = np.flatnonzero(score)
+        for r, own in _parted(batch, _place(batch.column(0).to_numpy(), chunks)[0] % ranges):
+            yield _sent([(r * blocks + k, -1, own) for k in range(blocks)])
+
+
+_POSTINGS = pa.schema([("term", pa.string()), ("field", pa.int8()), ("lists", pa.list_(pa.struct([("low", pa.uint32()), ("high", pa.uint16()), ("n", pa.int32()), ("length", pa.int32())])))])
+
+
+def _sent_postings(batches: Iterator[pa.RecordBatch], chunks: int, ranges: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Postings (row, field, term, place, n, length), those of a list together, by chunk."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            begins = np.flatnonzero(np.diff(batch.column(0).to_numpy(), prepend=-1))
+            at = pa.array(begins)
+            held.append((batch.column(2).take(at), batch.column(1).take(at), np.diff(begins, append=batch.num_rows), *(batch.column(i).to_numpy() for i in (3, 4, 5))))
+            size += batch.num_rows
+        if not size or (batch is not None and size < SENT):
+            continue
+        term, field = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+        each, h, n, length = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4, 5))
+        held, size = [], 0
+        same = np.r_[False, pa.compute.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) & (np.diff(field.to_numpy()) == 0)]  # lists of one term are neighbours
+        heads = np.flatnonzero(~same)
+        term, field, each = term.take(pa.array(heads)), field.take(pa.array(heads)), np.add.reduceat(each, heads)
+        chunk, place = _place(h, chunks)
+        order = np.argsort(chunk, kind="stable")
+        of, chunk, place = np.repeat(np.arange(len(each)), each)[order], chunk[order], place[order]
+        own = (place & np.uint64(0xFFFFFFFF)).astype(np.uint32), (place >> np.uint64(32)).astype(np.uint16), n[order], length[order]
+        own = pa.StructArray.from_arrays([pa.array(x) for x in own], fields=list(_POSTINGS.field("lists").type.value_type))
+        out, many = [], 0
+        for i, j in itertools.pairwise(np.flatnonzero(np.diff(chunk, prepend=-1, append=-1)).tolist()):
+            begins = np.flatnonzero(np.diff(of[i:j], prepend=-1))
+            kinds, c = pa.array(of[i:j][begins]), int(chunk[i])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, j - i).astype(np.int32)), own.slice(i, j - i))
+            packed = pa.RecordBatch.from_arrays([term.take(kinds), field.take(kinds), lists], schema=_POSTINGS)
+            out += [(c % ranges * blocks + k, c, packed) for k in range(blocks)]
+            many += j - i
+            if many >= SENT // 8:
+                yield _sent(out)
+                out, many = [], 0
+        if out:
+            yield _sent(out)
+
+
+class _Asked:
+    """The queries of a block, and the best documents of each in the chunks so far."""
+
+    def __init__(self, queries: pa.RecordBatch, docs: pa.RecordBatch, ties: list[str], chunks: int, n: int):
+        wants = queries.column(1)
+        own, self.ids, self.n, self.chunks = wants.flatten(), queries.column(0), n, chunks
+        names = own.field(0).dictionary_encode()
+        self.wants, self.begins = names.indices.to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(wants).to_numpy())]
+        self.number = {t: k for k, t in enumerate(names.dictionary.to_pylist())}
+        w = own.field(1).flatten().to_numpy()
+        self.weight = np.zeros((len(self.number), len(w) // max(len(own), 1)))
+        self.weight[self.wants] = w.reshape(len(own), -1)
+        self.docs = docs.take(pa.compute.sort_indices(docs, sort_keys=[(k, "ascending") for k in ties], null_placement="at_start"))
+        chunk, place = _place(self.docs.column(0).to_numpy(), chunks)
+        order = np.lexsort((place, chunk))
+        self.doc, self.chunk, self.place = order, chunk[order], place[order]
+        self.score, self.kept = np.full((len(self.ids), n), -1.0), np.full((len(self.ids), n), -1)
+        self.least = np.zeros(len(self.ids))  # the n-th best score, 0 where there are fewer
+
+    def add(self, chunk: int, lists: list[pa.RecordBatch], mean: list[float], k1: float, b: float) -> None:
+        first, last = np.searchsorted(self.chunk, (chunk, chunk + 1))
+        places, doc = self.place[first:last], self.doc[first:last]
+        parts = []
+        for x in lists:  # the postings of asked terms: term, document, what the term gives it
+            number = np.fromiter((self.number.get(t, -1) for t in x.column(0).to_pylist()), np.int64, x.num_rows)
+            of = np.repeat(np.arange(x.num_rows), np.diff(x.column(2).offsets.to_numpy()))
+            low, high, c, length = (x.column(2).flatten().field(i).to_numpy() for i in range(4))
+            if (number < 0).any():
+                some = np.flatnonzero(number[of] >= 0)
+                of, low, high, c, length = of[some], low[some], high[some], c[some], length[some]
+            field, c = x.column(1).to_numpy()[of], c.astype(np.float64)
+            given = self.weight[number[of], field] * c * (k1 + 1) / (c + k1 * (1 - b + b * length / np.array(mean)[field]))
+            parts.append((number[of] * len(places) + np.searchsorted(places, high.astype(np.uint64) << np.uint64(32) | low), given))
+        pair, given = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        if not len(pair):
+            return
+        order = np.argsort(pair)
+        pair, given = pair[order], given[order]
+        begins = np.flatnonzero(np.diff(pair, prepend=-1))
+        given, term, at = np.add.reduceat(given, begins), pair[begins] // len(places), pair[begins] % len(places)
+        heads = np.flatnonzero(np.diff(term, prepend=-1))
+        some, tails = term[heads], np.append(heads[1:], len(term))
+        most = np.zeros(len(self.number))
+        most[some] = np.maximum.reduceat(given, heads)
+        bound = np.add.reduceat(most[self.wants], self.begins[:-1])
+        self._met(np.flatnonzero((bound > 0) & (bound >= self.least - SLACK)), some, heads, tails, at, given, doc)
+
+    def _met(self, alive: np.ndarray, some: np.ndarray, heads: np.ndarray, tails: np.ndarray, at: np.ndarray, given: np.ndarray, doc: np.ndarray) -> None:
+        """alive: the queries that may get documents; some: the terms that the chunk has, and where each one's postings begin and end."""
+        wide = {}  # of a term that many documents have, what it gives each document
+        for t, i, j in zip(some.tolist(), heads.tolist(), tails.tolist(), strict=True):
+            if (j - i) * 24 > len(doc):
+                wide[t] = np.zeros(len(doc))
+                wide[t][at[i:j]] = given[i:j]
+            else:
+                wide[t] = at[i:j], given[i:j]
+        score, n = np.zeros(len(doc)), self.n
+        for first in range(0, len(alive), 4096):
+            asked, hits, scores = alive[first : first + 4096], [], []
+            for i, j, least in zip(self.begins[asked].tolist(), self.begins[asked + 1].tolist(), self.least[asked].tolist(), strict=True):
+                score[:] = 0
+                for t in self.wants[i:j].tolist():
+                    own = wide.get(t)
+                    if own is None:
+                        continue
+                    if type(own) is tuple:
+                        score[own[0]] += own[1]
+                    else:
+                        score += own
+                hit = np.flatnonzero(score >= least - SLACK) if least > SLACK else np.flatnonzero(score)
                 if len(hit) > n:  # all that may round to the n-th score or above
-                    hit = hit[score[hit] >= np.partition(score[hit], -n)[-n] - 2e-6]
-                first = hit[np.argsort(-np.round(score[hit], 6), kind="stable")][:n]
-                which += [i] * len(first)
-                best.append(first)
-                scores.append(score[first])
-            taken = np.concatenate([*best, np.zeros(0, np.int64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), docs.take(pa.array(taken)), pa.array(np.concatenate([*scores, np.zeros(0)]))], ["query_id", "doc", "score"])
+                    hit = hit[score[hit] >= np.partition(score[hit], -n)[-n] - SLACK]
+                hits.append(hit)
+                scores.append(score[hit])
+            self._kept(asked, np.array([len(x) for x in hits]), doc[np.concatenate(hits)], np.concatenate(scores))
+
+    def _kept(self, asked: np.ndarray, each: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        """The n best of what some queries have and of what each of them gets."""
+        some, n = np.flatnonzero(each), self.n
+        if not len(some):
+            return
+        own = asked[some]
+        which = np.concatenate([np.repeat(np.arange(len(some)), n), np.repeat(np.arange(len(some)), each[some])])
+        score, doc = np.concatenate([self.score[own].ravel(), score]), np.concatenate([self.kept[own].ravel(), doc])
+        rounded = np.round(score, 6)
+        order = np.lexsort((doc, -rounded, which))
+        first = order[(np.cumsum(each[some] + n) - each[some] - n)[:, None] + np.arange(n)]
+        self.score[own], self.kept[own], self.least[own] = score[first], doc[first], np.maximum(rounded[first[:, -1]], 0)
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.ids), 4096):
+            which, slot = np.nonzero(self.kept[i : i + 4096] >= 0)
+            own = self.docs.take(pa.array(self.kept[i + which, slot]))
+            cols = [self.ids.take(pa.array(i + which)), *own.columns[1:], pa.array(self.score[i + which, slot])]
+            yield pa.RecordBatch.from_arrays(cols, ["query_id", *own.schema.names[1:], "score"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], n: int, asking: pa.Schema, naming: pa.Schema, ties: list[str], chunks: int, mean: list[float], k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, keys, score): of each task the n best documents for each of its queries; rows come by task, then queries, keys, and chunks."""
+    rows = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True))
+    for _, of_task in itertools.groupby(rows, lambda x: x[0]):
+        head, asked = {-2: [], -1: []}, None
+        for chunk, own in itertools.groupby(of_task, lambda x: x[1]):
+            schema = {-2: asking, -1: naming}.get(chunk, _POSTINGS)
+            held = [pa.ipc.read_record_batch(pa.decompress(packed.as_buffer(), size, "zstd"), schema) for *_, size, packed in own]
+            if chunk < 0:
+                head[chunk] = held
+                continue
+            if not head[-2]:
+                continue
+            asked = asked or _Asked(pa.concat_batches(head[-2]), pa.concat_batches(head[-1]), ties, chunks, n)
+            asked.add(chunk, held, mean, k1, b)
+        if asked:
+            yield from asked.best()

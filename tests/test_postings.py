@@ -149,6 +149,54 @@ def test_many_queries_over_chunks(spark, tmp_path, monkeypatch):
     assert next(r[2] for r in whole if r[0] == 3 and r[4] == 1) == 90 and {r[0] for r in whole} == {0, 1, 2, 3}
 
 
+def test_postings_of_many_queries_move_packed():
+    """A chunk's postings come in few rows of few bytes each, and a task hands on the best of its chunks alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    chunks, ranges, n, r = 6, 1, 4, np.random.default_rng(3)
+    place = r.integers(-(2**63), 2**63, 300)
+    docs = pa.RecordBatch.from_pydict({"place": place, "id": [f"d{i:03}" for i in range(300)]})
+    has = r.random((20, 300)) < 0.3
+    has[:, :40] = True  # copies, which tie
+    row, of = np.nonzero(has)
+    counts = np.where(of < 40, 1, r.integers(1, 5, len(of)))
+    given = pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.zeros(len(row), np.int8)), pa.array([f"t{i}" for i in row]), pa.array(place[of]), pa.array(counts.astype(np.int32)), pa.array(np.full(len(row), 9, np.int32))], ["row", "field", "term", "place", "n", "length"])
+    wants = [[{"term": f"t{t}", "w": [float(t + 1)]} for t in {q, (q * 7) % 20}] for q in range(20)]
+    asking = pa.schema([("query_id", pa.int64()), ("wants", pa.list_(pa.struct([("term", pa.string()), ("w", pa.list_(pa.float64()))])))])
+    asked = pa.RecordBatch.from_pydict({"block": [0] * 20, "query_id": list(range(20)), "wants": wants}, schema=asking.insert(0, pa.field("block", pa.int32())))
+    moved = list(postings._sent_postings(iter([given.slice(0, 1000), given.slice(1000)]), chunks, ranges, 1))
+    assert sum(b.num_rows for b in moved) == chunks and sum(len(x.as_py()) for b in moved for x in b.column(3)) < 10 * len(row)
+    sent = [*postings._sent_queries(iter([asked]), ranges, 1), *postings._sent_keys(iter([docs]), chunks, ranges, 1), *sorted(moved, key=lambda b: b.column(1)[0].as_py())]
+    rows = [x for b in sent for x in b.to_pylist()]
+    rows = [pa.RecordBatch.from_pylist([x], schema=sent[0].schema) for x in sorted(rows, key=lambda x: x["chunk"])]
+    got = {}
+    for b in postings._best(iter(rows), n, asking, docs.schema, ["id"], chunks, [7.0], 1.2, 0.75):
+        for x in b.to_pylist():
+            got.setdefault(x["query_id"], []).append((round(x["score"], 6), x["id"]))
+    gives = np.zeros((20, 300))
+    gives[row, of] = (row + 1) * counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * 9 / 7))
+    for q in range(20):
+        score = gives[[q, *({(q * 7) % 20} - {q})]].sum(axis=0).round(6)
+        want = sorted(((-s, f"d{i:03}") for i, s in enumerate(score.tolist()) if s), key=lambda x: x)[:n]
+        assert sorted((-s, i) for s, i in got[q]) == want
+
+
+def test_many_queries_over_segments_and_deletions(spark, tmp_path, monkeypatch):
+    """Each query alone gives the same, whether or not the asked terms are broadcast."""
+    index = postings.build(spark.createDataFrame(docs(range(30)), KIND), ("owner", "id"), FIELDS, f"{tmp_path}/a")
+    index = index.add(spark.createDataFrame(docs(range(20, 50), 1), KIND), FIELDS)
+    index = index.delete(spark.createDataFrame([("o", 1), ("o", 25)], "owner string, id bigint"))
+    asked = [("alpha", "gata"), ("bexis", "alpha", "delmmae"), ("gaxi",), ("nothing",)]
+    queries = spark.createDataFrame([(i, t) for i, own in enumerate(asked) for t in own], "query_id int, term string")
+    monkeypatch.setattr(postings, "CHUNK", 7)
+    want = {(i, r.owner, r.id, round(r.score, 6)) for i, own in enumerate(asked) for r in compiler.search(index, " OR ".join(own), FIELDS, ("owner", "id")).collect()}
+    for most in (postings.MOST_HASHED, 0):
+        monkeypatch.setattr(postings, "MOST_HASHED", most)
+        got = postings.search_many(index, queries, 100, {"title": 3.0, "body": 1.0}, key="id").collect()
+        assert {(r.query_id, r.owner, r.id, r.score) for r in got} == want and len(got) == len(want) > 40
+
+
 def test_lists_move_and_not_their_postings(spark, tmp_path):
     index = postings.build(spark.createDataFrame(docs(range(200)), KIND), ("owner", "id"), FIELDS, f"{tmp_path}/a")
     files = spark.read.parquet(*(f"{tmp_path}/a/data/{name}/postings" for name in index._live("segment")))
