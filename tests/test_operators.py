@@ -409,6 +409,38 @@ def test_few_runs_are_compared_with_a_passage():
     assert len(rows) < 20 * 20 * 636 // 40
 
 
+def test_groups_count_where_they_stand(monkeypatch):
+    """A run with a passage's words in another order is not compared, nor one that has a group again and again; near ones are, however texts are cut."""
+    import random
+
+    import pyarrow as pa
+
+    from lexigrove.operators import passages as P
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopé") for _ in range(r.randrange(5, 9)))
+    needs = [[word() for _ in range(30)] for _ in range(8)]
+    around = lambda own: " ".join([*(word() for _ in range(35)), *own, *(word() for _ in range(35))])
+    near = [around([w[:-1] + "z" if k % 4 == 0 else w for k, w in enumerate(own)]) for own in needs]
+    turned = [around(own[::-1]) for own in needs]
+    again = [around([own[14]] * 30) for own in needs]
+    docs = [*near, *turned, *again, "x" * 70_000 + " " + " ".join(needs[0]), "", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs), pa.array(docs)], ["doc", "text", "plain"])
+    plain = [*(" ".join(x) for x in needs), "", "ab", "q"]
+
+    def found():
+        return sorted(tuple(x.values()) for out in P._found(iter([batch]), P.Passages(plain, plain, 0.82), True) for x in out.to_pylist() if x["place"] < 8)
+
+    rows = found()
+    assert {(x[0], x[1]) for x in rows} == {*((i, i) for i in range(8)), (24, 0)}
+    assert all((i, i, "fuzzy", 35) in {x[:4] for x in rows} for i in range(8))
+    for name, value in (("TOGETHER", 50), ("DIRECT", 0), ("LOOKED_UP", 1)):
+        monkeypatch.setattr(P, name, value)
+        assert found() == rows
+    none = P.Passages(["", "--"], ["", ""], 0.82)
+    assert not [x for out in P._found(iter([batch]), none, True) for x in out.to_pylist() if x["method"] == "fuzzy"]
+
+
 def test_exact_places_need_no_comparison(spark):
     from lexigrove.operators.passages import matched
 
